@@ -1,0 +1,11 @@
+"""Registered queries of the footage engine, each with its DuckDB oracle where SQL can express it."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}

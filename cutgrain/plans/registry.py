@@ -2,10 +2,480 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cutgrain.functions import costs, hashing, pictures, text
+from cutgrain.operators import answers as answer_ops
+from cutgrain.operators import budget, grouping, intervals, keyframes, sampling, shots, stretches
+from cutgrain.operators.components import connected_components
+from cutgrain.plans import fixtures as fx
+from cutgrain.session import cut, table
+from cutgrain.sources import subtitles, tables
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+# pictures: stretches, signatures, groups
+
+
+def _stretches(spark: SparkSession, d: str) -> DataFrame:
+    got = stretches.stretches_of(fx.clip_frames(spark, d), fx.clip_list(spark, d))
+    return got.withColumn("piece", F.col("clip_id") * (1 << 20) + F.col("pos"))
+
+
+def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = cut(_stretches(spark, d))
+    links = grouping.picture_pairs(p).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return p, grouping.group_ids(p, links)
+
+
+@query("stretches", f"WITH {fx.STRETCHES_SQL.split(', means AS')[0]} SELECT clip_id, pos::BIGINT AS pos, start_s, end_s, n_frames FROM stretches")
+def _(spark, d):
+    return _stretches(spark, d).select("clip_id", "pos", "start_s", "end_s", "n_frames")
+
+
+@query("stretch_signatures", f"WITH {fx.STRETCHES_SQL.split(', grids AS')[0]} SELECT clip_id, pos::BIGINT AS pos, i::INT AS cell, round(z, 6) + 0.0 AS value FROM signed")
+def _(spark, d):
+    return _stretches(spark, d).select("clip_id", "pos", F.posexplode("signature").alias("cell", "v")).select("clip_id", "pos", "cell", (F.round("v", 6) + 0.0).alias("value"))
+
+
+@query("picture_pairs", f"WITH {fx.STRETCHES_SQL.split(', links AS')[0]} SELECT a::BIGINT AS a, b::BIGINT AS b FROM pairs WHERE distance < 0.2")
+def _(spark, d):
+    return grouping.picture_pairs(_stretches(spark, d)).select("a", "b")
+
+
+@query("picture_groups", f"WITH RECURSIVE {fx.STRETCHES_SQL} SELECT s.clip_id, s.pos::BIGINT AS pos, s.start_s, s.end_s, g.group_id::BIGINT AS group_id FROM stretches s JOIN grouped g USING (piece)")
+def _(spark, d):
+    p, g = _grouped(spark, d)
+    return p.join(g, "piece").select("clip_id", "pos", "start_s", "end_s", F.col("group_id").cast("bigint").alias("group_id"))
+
+
+@query("main_group_per_clip", f"WITH RECURSIVE {fx.STRETCHES_SQL}, l AS (SELECT clip_id, group_id, sum(end_s - start_s) AS len FROM stretches JOIN grouped USING (piece) GROUP BY ALL) SELECT clip_id, arg_max(group_id, len * 1000000 - group_id)::BIGINT AS group_id FROM l GROUP BY clip_id")
+def _(spark, d):
+    p, g = _grouped(spark, d)
+    return intervals.main_group(p.join(g, "piece")).select("clip_id", F.col("group_id").cast("bigint").alias("group_id"))
+
+
+@query(
+    "group_medoid",
+    f"""WITH RECURSIVE {fx.STRETCHES_SQL}, both_ways AS (SELECT a, b, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs),
+    t AS (SELECT x.group_id, x.piece, coalesce(sum(p.distance / 0.2), 0) AS total FROM grouped x LEFT JOIN grouped y ON x.group_id = y.group_id AND x.piece <> y.piece LEFT JOIN both_ways p ON p.a = x.piece AND p.b = y.piece GROUP BY ALL)
+    SELECT group_id::BIGINT AS group_id, count(*) AS stretches, round(min(total), 6) AS total FROM t GROUP BY group_id""",
+)
+def _(spark, d):
+    p, g = _grouped(spark, d)
+    g = cut(g)
+    m = grouping.medoids(p, g).join(g.groupBy("group_id").agg(F.count("*").alias("stretches")), "group_id")
+    return m.select(F.col("group_id").cast("bigint").alias("group_id"), "stretches", F.round("total", 6).alias("total"))
+
+
+@query("group_clips")
+def _(spark, d):
+    """The whole of grouping, words on: each stretch of clips whose summaries and segments are documents."""
+    s = stretches.stretches_of(fx.clip_frames(spark, d), fx.clip_list(spark, d))
+    docs = table(spark, d, "documents")
+    summaries = docs.select(F.col("doc_id").alias("clip_id"), F.split("text", "\n")[0].alias("summary"))
+    seg = docs.select(F.col("doc_id").alias("clip_id"), F.posexplode(F.slice(F.split("text", "\n"), 2, 3)).alias("item", "description")).select("clip_id", "item", (F.col("item") * 6.0).alias("start_s"), (F.col("item") * 6.0 + 5).alias("end_s"), "description")
+    clips = fx.clip_list(spark, d).select("clip_id")
+    got = grouping.group_clips(s, seg.join(clips, "clip_id", "left_semi"), summaries.join(clips, "clip_id", "left_semi"))
+    return got["stretches"].join(got["groups"], "group_id").select("clip_id", "pos", "start_s", "end_s", "group_id", "label", "stretches")
+
+
+# sampling
+
+
+_CLIPS = "(SELECT doc_id AS clip_id, n_chars / 10.0::DOUBLE AS duration_s FROM documents)"
+
+
+def _doc_clips(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), (F.col("n_chars") / 10.0).cast("double").alias("duration_s"))
+
+
+def _sample_sql(interval: float, most: int) -> str:
+    n = f"(CASE WHEN duration_s <= 0 THEN 0 WHEN duration_s < {interval} THEN 1 ELSE least(ceil(duration_s / {interval}), {most}) END)::BIGINT"
+    return f"SELECT clip_id, i::INT AS idx, round(CASE WHEN duration_s < {interval} THEN duration_s / 2 ELSE i * greatest({interval}::DOUBLE, duration_s / {most}) END, 6) AS time_s FROM {_CLIPS}, LATERAL (SELECT unnest(range({n})) AS i)"
+
+
+@query("fixed_interval_frames", _sample_sql(2.0, 60))
+def _(spark, d):
+    return sampling.sampled(_doc_clips(spark, d)).withColumn("time_s", F.round("time_s", 6))
+
+
+@query("candidate_frames", _sample_sql(0.5, 240))
+def _(spark, d):
+    return sampling.sampled(_doc_clips(spark, d), *sampling.CANDIDATES).withColumn("time_s", F.round("time_s", 6))
+
+
+@query(
+    "key_frames",
+    f"""WITH {fx.STRETCHES_SQL.split('), sized AS')[0]}), sc AS (SELECT a.clip_id, a.k AS idx, coalesce(sum(abs(a.v - b.v)) / 64 / 255, 0) AS score FROM cells a LEFT JOIN cells b ON a.clip_id = b.clip_id AND b.k = a.k - 1 AND a.i = b.i GROUP BY a.clip_id, a.k),
+    w AS (SELECT *, ((idx + 1) * 4 - 1) // 10 AS slot FROM sc)
+    SELECT clip_id, idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, slot ORDER BY round(score, 9) DESC, idx) AS r FROM w) WHERE r = 1""",
+)
+def _(spark, d):
+    scored = keyframes.change_scores(fx.clip_frames(spark, d)).withColumn("score", F.round("score", 9))
+    return keyframes.select_key_frames(scored, F.lit(4)).select("clip_id", F.col("idx").cast("bigint").alias("idx"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "shot_frame_allocation",
+    """WITH s AS (SELECT user_id AS clip_id, event_id AS pos, (event_id % 97 / 4.0 + 0.25)::DOUBLE AS len FROM events),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY len DESC, pos) AS r FROM s) WHERE r <= 60),
+    c AS (SELECT *, greatest(40 - count(*) OVER (PARTITION BY clip_id), 0) AS spare FROM k),
+    e AS (SELECT clip_id, pos, spare, row_number() OVER (PARTITION BY clip_id ORDER BY len / j DESC, pos) AS o FROM c, LATERAL (SELECT unnest(range(1, 1 + greatest(1, floor(len / 2)::BIGINT))) AS j) WHERE len / (j + 1) >= 2)
+    SELECT k.clip_id, k.pos, 1 + count(e.pos) AS frames FROM k LEFT JOIN (SELECT * FROM e WHERE o <= spare) e ON e.clip_id = k.clip_id AND e.pos = k.pos GROUP BY k.clip_id, k.pos""",
+)
+def _(spark, d):
+    s = table(spark, d, "events").select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("pos"), F.lit(0.0).alias("start_s"), (F.col("event_id") % 97 / 4.0 + 0.25).alias("end_s"))
+    return sampling.shot_times(s, F.lit(40)).groupBy("clip_id", "pos").agg(F.count("*").alias("frames"))
+
+
+# words
+
+
+_STOP = ", ".join(f"'{x}'" for x in text.STOP_WORDS)
+WORDS_SQL = f"""words AS MATERIALIZED (SELECT doc_id, left(w, 4) AS word FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents)
+  WHERE length(w) >= 4 AND w NOT IN ({_STOP}) AND NOT (suffix(w, 's') AND left(w, length(w) - 1) IN ({_STOP})))"""
+
+
+@query("doc_words", f"WITH {WORDS_SQL} SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+SIMILAR_SQL = f"""WITH {WORDS_SQL}, s AS MATERIALIZED (SELECT DISTINCT doc_id, word FROM words), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 3),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.word = b.word AND a.doc_id < b.doc_id GROUP BY ALL)
+  SELECT c.a, c.b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE c >= 0.25 * (x.n + y.n - c)"""
+
+
+def _pieces_of_docs(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("piece"), F.col("doc_id").alias("clip_id"), text.word_set(F.col("text")).alias("words"))
+
+
+@query("similar_docs", SIMILAR_SQL)
+def _(spark, d):
+    return grouping.word_pairs(cut(_pieces_of_docs(spark, d))).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("word_groups")
+def _(spark, d):
+    """Documents linked by words in order; a document is a clip, and sources share... no clip twice in a group."""
+    p = cut(_pieces_of_docs(spark, d).withColumn("clip_id", F.col("piece") % 400))
+    pairs = grouping.word_pairs(p)
+    roots = p.select("piece", F.col("piece").alias("root"))
+    links = grouping.link_words(p, roots, pairs)
+    return grouping.group_ids(p, links).select(F.col("piece").alias("doc_id"), F.col("group_id").cast("bigint").alias("group_id"))
+
+
+# intervals
+
+
+@query(
+    "nearby_cues",
+    """WITH c AS (SELECT conv_id AS clip_id, turn * 3000 AS start_ms, turn * 3000 + length(text) * 10 AS end_ms, text FROM conversations), m AS (SELECT DISTINCT conv_id AS clip_id, conv_id % 5 AS moment_id, conv_id % 20 * 1000 AS at_ms, (conv_id % 4 - 1) * 1500 AS width_ms FROM conversations)
+    SELECT c.clip_id, moment_id, start_ms, end_ms, text FROM c JOIN m USING (clip_id) WHERE start_ms <= at_ms + greatest(width_ms, 0) AND end_ms >= at_ms - greatest(width_ms, 0)""",
+)
+def _(spark, d):
+    t = table(spark, d, "conversations")
+    cues = t.select(F.col("conv_id").alias("clip_id"), (F.col("turn") * 3000).alias("start_ms"), (F.col("turn") * 3000 + F.char_length("text") * 10).alias("end_ms"), "text")
+    c = F.col("conv_id")
+    moments = t.select(c.alias("clip_id"), (c % 5).alias("moment_id"), (c % 20 * 1000).alias("at_ms"), ((c % 4 - 1) * 1500).alias("width_ms")).distinct()
+    return intervals.nearby_cues(cues, moments)
+
+
+_WINDOWS = "(SELECT DISTINCT user_id AS clip_id, p::BIGINT AS pos, p * 12.5::DOUBLE AS b0, p * 12.5::DOUBLE + 12.5 AS b1 FROM events, range(8) t(p))"
+
+
+@query("segment_to_stretch", f"WITH {fx.INTERVALS_SQL} SELECT s.clip_id, s.item, arg_max(w.pos, least(end_s, b1) - greatest(start_s, b0) - w.pos * 1e-9) AS pos FROM spans s JOIN {_WINDOWS} w ON s.clip_id = w.clip_id AND least(end_s, b1) > greatest(start_s, b0) GROUP BY ALL")
+def _(spark, d):
+    items = fx.intervals(spark, d)
+    spans = items.select("clip_id").distinct().select("clip_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("pos")).select("clip_id", "pos", (F.col("pos") * 12.5).alias("start_s"), (F.col("pos") * 12.5 + 12.5).alias("end_s"))
+    return intervals.most_overlapping(items, spans).where("pos is not null").select("clip_id", "item", "pos")
+
+
+@query(
+    "covered_seconds",
+    f"""WITH {fx.INTERVALS_SQL}, o AS (SELECT clip_id, start_s, end_s, max(end_s) OVER (PARTITION BY clip_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE end_s > start_s)
+    SELECT clip_id, round(sum(greatest(0, end_s - greatest(start_s, coalesce(r, start_s)))), 6) AS covered_s FROM o GROUP BY clip_id""",
+)
+def _(spark, d):
+    return intervals.covered(fx.intervals(spark, d), ["clip_id"], F.lit(0.0), F.lit(100.0)).withColumn("covered_s", F.round("covered_s", 6))
+
+
+@query(
+    "merged_neighbours",
+    f"""WITH {fx.INTERVALS_SQL}, f AS (SELECT *, CASE WHEN lag(description) OVER w = description THEN 0 ELSE 1 END AS fresh FROM spans WINDOW w AS (PARTITION BY clip_id ORDER BY item)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id ORDER BY item) AS run FROM f)
+    SELECT clip_id, min(item) AS pos, arg_min(start_s, item) AS start_s, max(end_s) AS end_s, arg_min(description, item) AS description FROM r GROUP BY clip_id, run""",
+)
+def _(spark, d):
+    return intervals.merge_neighbours(fx.intervals(spark, d).withColumnRenamed("item", "pos"))
+
+
+@query("nearest_shot", f"SELECT e.clip_id, e.time_s, arg_min(w.pos, greatest(b0 - time_s, time_s - b1, 0) + w.pos * 1e-9) AS pos FROM (SELECT DISTINCT user_id AS clip_id, (event_id % 130)::DOUBLE AS time_s FROM events) e JOIN {_WINDOWS} w USING (clip_id) WHERE w.pos % 2 = 0 GROUP BY ALL")
+def _(spark, d):
+    e = table(spark, d, "events")
+    frames = e.select(F.col("user_id").alias("clip_id"), (F.col("event_id") % 130).cast("double").alias("time_s")).distinct()
+    spans = e.select(F.col("user_id").alias("clip_id")).distinct().select("clip_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (0, 2, 4, 6)])).alias("pos")).select("clip_id", "pos", (F.col("pos") * 12.5).alias("start_s"), (F.col("pos") * 12.5 + 12.5).alias("end_s"))
+    return intervals.nearest_shot(frames, spans)
+
+
+# answers
+
+
+_NUM = "CASE WHEN json_type({0}, '{1}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN ({0}->>'{1}')::DOUBLE END"
+_SEG = f"""{fx.ANSWERS_SQL}, a AS MATERIALIZED (SELECT clip_id, duration_s, body::JSON AS j, trim(body::JSON->>'$.summary') AS summary, stop_reason,
+    CASE stop_reason WHEN 'end_turn' THEN CASE WHEN trim(body::JSON->>'$.summary') = '' THEN 'The answer had no summary' END WHEN 'max_tokens' THEN 'The answer was too long'
+      WHEN 'refusal' THEN 'The model declined to describe it' ELSE 'The model stopped early (' || stop_reason || ')' END AS error FROM answers),
+  raw AS (SELECT clip_id, duration_s, summary, i, j->('$.segments[' || i || ']') AS v FROM a, range(10) t(i) WHERE error IS NULL AND i < json_array_length(j, '$.segments')),
+  seg AS (SELECT * FROM (SELECT clip_id, duration_s, summary, i, {_NUM.format('v', '$.start_s')} AS start_s, least({_NUM.format('v', '$.end_s')}, duration_s) AS end_s, {_NUM.format('v', '$.end_s')} AS e, trim(v->>'$.description') AS description FROM raw WHERE json_type(v) = 'OBJECT')
+    WHERE e IS NOT NULL AND start_s >= 0 AND end_s > start_s AND start_s < duration_s + 1 AND description <> ''),
+  ord AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY start_s, i) AS pos FROM seg)"""
+
+
+@query(
+    "validated_segments",
+    f"""WITH {_SEG}, f AS (SELECT *, CASE WHEN lag(lower(description)) OVER (PARTITION BY clip_id ORDER BY pos) = lower(description) THEN 0 ELSE 1 END AS fresh FROM ord),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY clip_id ORDER BY pos) AS run FROM f),
+  m AS (SELECT clip_id, any_value(duration_s) AS duration_s, any_value(summary) AS summary, min(pos) AS pos, arg_min(start_s, pos) AS start_s, max(end_s) AS end_s, arg_min(description, pos) AS description FROM r GROUP BY clip_id, run),
+  k AS MATERIALIZED (SELECT * FROM m WHERE end_s - start_s < 0.9 * duration_s AND lower(description) <> lower(summary) AND NOT (length(description) >= 20 AND contains(lower(summary), lower(description)))),
+  mn AS MATERIALIZED (SELECT clip_id, duration_s, greatest((j->>'$.main[0].start_s')::DOUBLE, 0) AS lo, least((j->>'$.main[0].end_s')::DOUBLE, duration_s) AS hi FROM a WHERE error IS NULL),
+  mo AS MATERIALIZED (SELECT clip_id, duration_s, CASE WHEN hi > lo AND lo < duration_s AND hi - lo < 0.9 * duration_s THEN lo END AS lo, CASE WHEN hi > lo AND lo < duration_s AND hi - lo < 0.9 * duration_s THEN hi END AS hi FROM mn),
+  sp AS (SELECT k.clip_id, pos, k.start_s, k.end_s, mo.lo, mo.hi, mo.duration_s, max(k.end_s) OVER (PARTITION BY k.clip_id ORDER BY k.start_s, k.end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM k JOIN mo USING (clip_id)),
+  cv AS (SELECT clip_id, any_value(lo) AS lo, any_value(hi) AS hi, any_value(duration_s) AS duration_s, sum(greatest(0, end_s - greatest(start_s, coalesce(r, start_s)))) AS c, sum(greatest(0, least(end_s, hi) - greatest(start_s, lo, coalesce(r, start_s)))) AS inm FROM sp GROUP BY clip_id),
+  clr AS (SELECT clip_id FROM cv WHERE CASE WHEN lo IS NULL THEN c >= 0.9 * duration_s ELSE c + hi - lo - inm >= 0.9 * duration_s OR inm >= 0.9 * (hi - lo) END)
+  SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY pos) - 1 AS item, start_s, end_s, description FROM k WHERE clip_id NOT IN (SELECT clip_id FROM clr)
+  QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY pos) <= greatest(3, least(12, floor(duration_s / 30)))""",
+)
+def _(spark, d):
+    got = answer_ops.parse_answers(fx.answers(spark, d))
+    return got.select("clip_id", F.posexplode("segments").alias("item", "s")).select("clip_id", F.col("item").cast("bigint").alias("item"), "s.start_s", "s.end_s", "s.description")
+
+
+@query("answer_errors", f"WITH {_SEG.split(', raw AS')[0].split('raw AS')[0].rstrip().rstrip(',')} SELECT clip_id, error, CASE WHEN error IS NULL THEN summary END AS summary FROM a")
+def _(spark, d):
+    return answer_ops.parse_answers(fx.answers(spark, d), important=False).select("clip_id", "error", "summary")
+
+
+_TAGS = f"""WITH {fx.ANSWERS_SQL}, t AS (SELECT clip_id, duration_s, i, body::JSON->('$.tags[' || i || ']') AS v FROM answers, range(4) t(i)),
+  n AS (SELECT *, trim(v->>'$.name') AS name FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY clip_id, name ORDER BY i) AS r FROM n WHERE name IN ('en', 'de', 'fr', 'es', 'odd')),
+  g AS (SELECT clip_id, i, name, {_NUM.format('v', '$.confidence')} AS c, json_array_length(v, '$.ranges') AS nr, (v->>'$.ranges[0].start_s')::DOUBLE AS s, least((v->>'$.ranges[0].end_s')::DOUBLE, duration_s) AS e, duration_s FROM f WHERE r = 1)
+  SELECT clip_id, i::INT AS pos, name, greatest(0, least(1, c))::DOUBLE AS confidence, CASE WHEN nr = 0 THEN 0 ELSE 1 END AS n_ranges, CASE WHEN nr > 0 THEN e END AS end_s FROM g WHERE c IS NOT NULL AND (nr = 0 OR (s >= 0 AND e > s))"""
+
+
+@query("tag_validation", _TAGS)
+def _(spark, d):
+    vocabulary = spark.createDataFrame([("en",), ("de",), ("fr",), ("es",), ("odd",)], "name string")
+    got = answer_ops.parse_tags(fx.answers(spark, d), vocabulary)
+    return got.select("clip_id", "pos", "name", "confidence", F.size("ranges").alias("n_ranges"), F.try_element_at("ranges", F.lit(1))["end_s"].alias("end_s"))
+
+
+@query("new_tag_ideas", f"WITH {fx.ANSWERS_SQL} SELECT a.clip_id, row_number() OVER (PARTITION BY a.clip_id ORDER BY i) - 1 AS pos, trim(body::JSON->>('$.new_tag_ideas[' || i || ']')) AS idea FROM answers a, range(5) t(i) WHERE json_type(body::JSON, '$.new_tag_ideas[' || i || ']') = 'VARCHAR' AND trim(body::JSON->>('$.new_tag_ideas[' || i || ']')) <> ''")
+def _(spark, d):
+    return answer_ops.parse_new_tag_ideas(fx.answers(spark, d)).select("clip_id", F.posexplode("ideas").alias("p", "idea")).select("clip_id", F.col("p").cast("bigint").alias("pos"), "idea")
+
+
+# costs, budgets, cache
+
+
+_MODELS_SQL = "(VALUES " + ", ".join(f"('{m[0]}', '{m[1]}', {m[2]}::DOUBLE, {m[3]}::DOUBLE)" for m in costs.MODELS) + ") m(id, provider, pin, pout)"
+_FRAME_SQL = """(SELECT doc_id AS clip_id, n_chars / 10.0::DOUBLE AS duration_s, 1 + n_chars % 1920 AS w, 1 + n_chars * 7 % 1080 AS h FROM documents)"""
+
+
+@query(
+    "frame_budget_cost",
+    f"""WITH s AS (SELECT *, CASE WHEN greatest(w, h) <= 512 THEN w ELSE greatest(1, (w * 512 + greatest(w, h) // 2) // greatest(w, h)) END AS fw, CASE WHEN greatest(w, h) <= 512 THEN h ELSE greatest(1, (h * 512 + greatest(w, h) // 2) // greatest(w, h)) END AS fh,
+      (CASE WHEN duration_s <= 0 THEN 0 WHEN duration_s < 2 THEN 1 ELSE least(ceil(duration_s / 2), 60) END)::BIGINT AS frames FROM {_FRAME_SQL}),
+    t AS (SELECT s.*, m.id AS model, pin, pout, (CASE provider WHEN 'anthropic' THEN ceil(fw / 28) * ceil(fh / 28) WHEN 'gemini' THEN 280 ELSE greatest(85 + 170 * ceil(fw / 512) * ceil(fh / 512), ceil(ceil(fw / 32) * ceil(fh / 32) * 1.62)) END)::BIGINT AS per_frame FROM s, {_MODELS_SQL})
+    SELECT clip_id, model, fw::BIGINT AS width, fh::BIGINT AS height, frames, per_frame, greatest(3, least(12, floor(duration_s / 30)))::INT AS max_segments, round(((frames * per_frame + 600) * pin + 600 * pout) / 1e6, 9) AS usd FROM t""",
+)
+def _(spark, d):
+    n = F.col("n_chars")
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), (n / 10.0).alias("duration_s"), (1 + n % 1920).alias("w"), (1 + n * 7 % 1080).alias("h"))
+    c = c.withColumn("s", costs.frame_size(F.col("w"), F.col("h"))).withColumn("frames", sampling.frame_budget(F.col("duration_s"), "interval").cast("bigint"))
+    c = costs.priced(c.withColumn("model", F.explode(F.array(*[F.lit(m[0]) for m in costs.MODELS]))))
+    c = c.withColumn("per_frame", costs.image_tokens_bound(F.col("provider"), F.col("s.width"), F.col("s.height")))
+    usage = costs.estimate_usage(F.col("frames"), F.col("per_frame"), F.lit(0))
+    return c.select("clip_id", "model", F.col("s.width").alias("width"), F.col("s.height").alias("height"), "frames", "per_frame", costs.max_segments(F.col("duration_s")).alias("max_segments"), F.round(costs.cost_usd(usage, F.lit(600)), 9).alias("usd"))
+
+
+@query(
+    "serial_budget",
+    """WITH o AS (SELECT o_custkey, o_orderkey, (o_totalprice * 100)::BIGINT AS bound, (o_totalprice * 100)::BIGINT // 2 AS actual FROM orders),
+    s AS (SELECT *, coalesce(sum(actual) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM o),
+    x AS (SELECT *, max(CASE WHEN spent_before + bound > 50000000 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS st, max(CASE WHEN spent_before + bound > 50000000 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sb FROM s)
+    SELECT o_custkey, o_orderkey, spent_before, CASE WHEN st = 0 THEN 'admitted' WHEN coalesce(sb, 0) = 0 THEN 'stopped' ELSE 'not_started' END AS outcome FROM x""",
+)
+def _(spark, d):
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", cents.alias("bound"), F.floor(cents / 2).cast("bigint").alias("actual"))
+    return budget.serial_budget(o, F.lit(50_000_000), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "spent_before", "outcome")
+
+
+@query(
+    "usage_totals",
+    """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS described, count(*) FILTER (WHERE o_orderstatus = 'O') AS cached, count(*) FILTER (WHERE o_orderstatus = 'P') AS problems,
+    sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderkey % 5 ELSE 0 END)::BIGINT AS moments, round(sum(CASE WHEN o_orderstatus IN ('F', 'P') THEN o_totalprice ELSE 0 END), 2) AS cost_usd FROM orders GROUP BY ALL""",
+)
+def _(spark, d):
+    outcome = F.when(F.col("o_orderstatus") == "F", "described").when(F.col("o_orderstatus") == "O", "cached").otherwise("failed")
+    o = table(spark, d, "orders").select("o_orderpriority", outcome.alias("outcome"), (F.col("o_orderkey") % 5).alias("moments"), F.col("o_totalprice").alias("cost_usd"))
+    return budget.run_totals(o, ["o_orderpriority"]).select("o_orderpriority", "described", "cached", "problems", "moments", F.round("cost_usd", 2).alias("cost_usd"))
+
+
+_CACHE_SQL = "(SELECT event_id AS line_no, user_id::VARCHAR AS identity, event_type AS settings, props AS clip, event_id % 13 = 5 AS broken, CASE WHEN event_id % 17 = 4 THEN 2 ELSE 1 END AS v FROM events)"
+
+
+def _cache_lines(spark, d):
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 17 == 4, 2).otherwise(1).alias("v"), F.col("user_id").cast("string").alias("identity"), F.col("event_type").alias("settings"), F.col("props").alias("clip")))
+    return e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 13 == 5, F.substr(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("raw"))
+
+
+@query("cache_latest", f"SELECT identity, arg_max(settings, line_no) AS settings, arg_max(clip, line_no) AS clip, max(line_no) AS line_no FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity")
+def _(spark, d):
+    return tables.read_cache(_cache_lines(spark, d)).select("identity", "settings", "clip", "line_no")
+
+
+@query(
+    "resume_split",
+    f"""WITH l AS (SELECT identity, arg_max(settings, line_no) AS settings FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity)
+    SELECT c_custkey, coalesce(l.settings = 'click', false) AS cached FROM customer LEFT JOIN l ON l.identity = c_custkey::VARCHAR""",
+)
+def _(spark, d):
+    clips = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("identity"), F.lit("click").alias("settings"))
+    return tables.cached_answers(clips, tables.read_cache(_cache_lines(spark, d))).select("c_custkey", "cached")
+
+
+@query(
+    "fnv_hash",
+    """WITH RECURSIVE n AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT p_name FROM (SELECT 'part ' || p_partkey AS p_name FROM part WHERE p_partkey <= 200)),
+    h AS (SELECT name, 0 AS i, 14695981039346656037::HUGEINT AS h FROM n UNION ALL SELECT name, i + 1, ((h - h % 256 + xor((h % 256)::INT, ascii(name[i + 1]))) * 1099511628211) % 18446744073709551616 FROM h WHERE i < length(name))
+    SELECT name, h::VARCHAR AS hash FROM h WHERE i = length(name)""",
+)
+def _(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).union(table(spark, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")))).distinct()
+    return n.select("name", hashing.fnv1a(F.col("name").cast("binary")).cast("string").alias("hash"))
+
+
+# text sources
+
+
+@query(
+    "srt_parse",
+    """SELECT conv_id AS clip_id, turn * 2500 AS start_ms, turn * 2500 + 1500 + turn % 7 AS end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations
+    WHERE turn % 5 <> 3 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""",
+)
+def _(spark, d):
+    """Subtitle files written from conversations, every fifth cue broken, then parsed."""
+    t = table(spark, d, "conversations").withColumn("clean", text.collapse(F.col("text")))
+    stamp = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000).cast("bigint"), F.floor(ms / 60000).cast("bigint") % 60, F.floor(ms / 1000).cast("bigint") % 60, ms % 1000)
+    start, end = F.col("turn") * 2500, F.col("turn") * 2500 + 1500 + F.col("turn") % 7
+    block = F.concat((F.col("turn") + 1).cast("string"), F.lit("\r\n"), stamp(start), F.lit(" --> "), F.when(F.col("turn") % 5 == 3, F.lit("soon")).otherwise(stamp(end)), F.lit(" X1:40\r\n"), "clean")
+    files = t.groupBy(F.col("conv_id").alias("clip_id")).agg(F.concat(F.lit("﻿"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda s: s["b"]), "\r\n\r\n")).alias("text"))
+    return subtitles.parse_srt(files).select("clip_id", "start_ms", "end_ms", "text")
+
+
+@query("ass_parse")
+def _(spark, d):
+    """ASS files written from conversations, parsed; cues are held against brute force in tests."""
+    t = table(spark, d, "conversations").withColumn("clean", text.collapse(F.col("text")))
+    line = F.format_string("Dialogue: 0,0:%02d:%02d.5,0:%02d:%02d.75,Default,,{\\i1}%s\\Nend", F.floor(F.col("turn") / 20).cast("bigint"), F.col("turn") * 3 % 60, F.floor(F.col("turn") / 20).cast("bigint"), F.col("turn") * 3 % 60 + 2, F.col("clean"))
+    files = t.groupBy(F.col("conv_id").alias("clip_id")).agg(F.concat(F.lit("[Script Info]\n[Events]\nFormat: Layer, Start, End, Style, Name, Text\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("b")))), lambda s: s["b"]), "\n")).alias("text"))
+    return subtitles.parse_ass(files)
+
+
+@query(
+    "vocabulary_parse",
+    "SELECT n_regionkey AS file_id, n_name AS name, CASE WHEN n_nationkey % 3 = 1 THEN NULL ELSE 'hint for ' || lower(n_name) END AS hint FROM nation WHERE n_nationkey % 7 <> 6",
+)
+def _(spark, d):
+    n = table(spark, d, "nation")
+    line = F.when(F.col("n_nationkey") % 7 == 6, F.concat(F.lit("# "), "n_name")).when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("  "), "n_name")).otherwise(F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, F.lit(" — ")).otherwise(F.lit(" - ")), F.lit("hint for "), F.lower("n_name")))
+    files = n.groupBy(F.col("n_regionkey").alias("file_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda s: s["l"]), "\n\n").alias("text"))
+    return tables.parse_vocabulary(files).select("file_id", "name", "hint")
+
+
+# shots
+
+
+@query(
+    "cut_scores",
+    """WITH x AS (SELECT user_id, event_id, coalesce(abs(value - lag(value) OVER w), 0) AS d, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, round(d, 6) AS d, round(CASE WHEN i <= 2 THEN 0 ELSE least(d, abs(d - lag(d) OVER (PARTITION BY user_id ORDER BY event_id))) END, 6) AS score FROM x""",
+)
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    got = shots.cut_scores(e, ["user_id"], F.col("event_id"), F.abs(F.col("value") - F.lag("value").over(w)))
+    return got.select("user_id", "event_id", F.round("d", 6).alias("d"), F.round("score", 6).alias("score"))
+
+
+def grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Films of 120 frames at 30 a second, one for each ten vectors: a still, a cut after 2 s, noise by frame."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def make(batches):
+        for b in batches:
+            for v in b["vec_id"]:
+                r = np.random.default_rng(int(v))
+                a, c = r.integers(0, 256, (2, 64 * 36))
+                rows = [(int(v) // 10, i, i / 30.0, [int(x) for x in (a if i < 60 else c)]) for i in range(120)]
+                yield pd.DataFrame(rows, columns=["clip_id", "idx", "time_s", "px"])
+
+    return e.where("vec_id % 100 = 0").select("vec_id").mapInPandas(make, "clip_id long, idx int, time_s double, px array<int>")
+
+
+@query("shots")
+def _(spark, d):
+    grey = grey_frames(spark, d)
+    return shots.find_shots(grey, grey.select("clip_id").distinct().select("clip_id", F.lit(4.0).alias("duration_s")))
+
+
+# graph and whole runs
+
+
+@query(
+    "linked_orders",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, 1000000000 + l_suppkey AS b FROM lineitem WHERE l_partkey % 40 = 0 AND l_orderkey % 50 = 0), l AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT DISTINCT a AS id, a AS other FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other) SELECT id, min(other) AS component FROM r GROUP BY id""",
+)
+def _(spark, d):
+    e = table(spark, d, "lineitem").where("l_partkey % 40 = 0 and l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
+    return connected_components(e)
+
+
+@query(
+    "described_run",
+    f"""WITH {_SEG.split(', raw AS')[0].split('raw AS')[0].rstrip().rstrip(',')}, l AS (SELECT DISTINCT identity FROM {_CACHE_SQL} WHERE NOT broken AND v = 1)
+    SELECT clip_id, CASE WHEN duration_s > 600 THEN 'too_long' WHEN l.identity IS NOT NULL THEN 'cached' WHEN error IS NULL THEN 'described' ELSE 'failed' END AS outcome, CASE WHEN duration_s <= 600 AND l.identity IS NULL THEN error END AS error FROM a LEFT JOIN l ON l.identity = clip_id::VARCHAR""",
+)
+def _(spark, d):
+    from cutgrain.operators.runs import describe_clips
+
+    clips = fx.answers(spark, d).select("clip_id", "duration_s", F.col("clip_id").cast("string").alias("identity"))
+    cache = tables.read_cache(_cache_lines(spark, d)).withColumn("settings", F.lit("s"))
+    got = describe_clips(clips.withColumn("settings", F.lit("s")), cache, lambda todo: todo.join(fx.answers(spark, d).drop("duration_s"), "clip_id"), longest_s=600.0)
+    return got.select("clip_id", "outcome", "error")

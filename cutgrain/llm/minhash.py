@@ -4,11 +4,12 @@ Each permutation is evaluated once and gives two coordinates, the least and the
 make a signature of 128. Bands of four coordinates (two permutations) find candidates: at a similarity of 0.8 a pair
 shares no band with a probability below 1e-7.
 
-Rows with equal sets form a class first, and only the classes' smallest ids are compared. A bucket never becomes all
-its pairs: every member is compared with one leader, links become components, and then only members of a bucket that
-are in different components are compared. Where even that is much more than linear in the bucket, the bucket is dealt
-out in pairs of small blocks that are compared inside tasks. Every pair that shares a band is thus either in one
-component or has been compared on full sets.
+Rows with equal sets form a class first, and only the classes' smallest ids are compared. Buckets join classes into
+clusters, and a cluster's members meet in groups of at most two blocks of bounded size, where pairs that share a band
+and aren't connected yet are compared on full sets; only links come out. In a cluster of several blocks every member is
+first compared with one leader, and then only members outside the largest component meet the others, so that a group of
+copies of any size costs little more than its size. Every pair that shares a band is thus either in one component or
+has been compared.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from cutgrain.session import cut
 
 PERMUTATIONS = 64
 BANDS = 32
-#: Comparisons a member of a bucket, on average, beyond which the bucket is dealt out in blocks.
-PAIRS_PER_MEMBER = 64
 #: Members of a block.
-BLOCK = 128
+BLOCK = 256
+#: Ids that may be broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(7919)
 _MASK = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -87,46 +88,67 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def rows_of(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with distinct ids (doc_id); where these are few, texts aren't shuffled."""
+    return docs.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, na, nb) -> those (src, dst) whose full sets are similar enough."""
     pairs = cut(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(docs.join(asked, "doc_id", "left_semi"), k)
+    asked = cut(pairs.select("a").union(pairs.select("b")).toDF("doc_id").distinct())
+    sets = full_sets(rows_of(docs, asked, "left_semi"), k)
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     same = two.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("x"))
     return same.where(100 * F.col("x") >= percent * (F.col("na") + F.col("nb") - F.col("x"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _confirm_blocks(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, rep, comp, size): every two members of a key in different components, compared in pairs of blocks."""
+def _confirm_clusters(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cluster, rep, comp, minor, bands) -> links (src, dst) that join components of a cluster, each compared on full sets."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(s, np.int64) for s in g["shingles"]]
-        rep, comp, part = g["rep"].tolist(), g["comp"].tolist(), g["part"].tolist()
-        same, out = {c: c for c in comp}, []
+        g = g.sort_values("rep", ignore_index=True)
+        rep, comp, part = g["rep"].tolist(), g["comp"].tolist(), g["part"].to_numpy()
+        sets = [frozenset(s.tolist()) for s in g["shingles"]]
+        size = np.array([len(s) for s in sets])
+        bands = np.stack(g["bands"])
+        shared = np.zeros((len(g), len(g)), np.int16)
+        for c in range(bands.shape[1]):
+            shared += bands[:, c][:, None] == bands[:, c][None, :]
+        ok = (shared > 0) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
+        if g["i"].iloc[0] != g["j"].iloc[0]:
+            ok &= part[:, None] != part[None, :]  # a block has met itself elsewhere
+        x, y = np.nonzero(np.triu(ok, 1))
+        same = {c: c for c in comp}
 
         def root(c: int) -> int:
             while same[c] != c:
+                same[c] = same[same[c]]
                 c = same[c]
             return c
 
-        cross = g["i"].iloc[0] != g["j"].iloc[0]
-        for x in range(len(rep)):
-            for y in range(x):
-                if rep[x] == rep[y] or cross and part[x] == part[y] or 100 * min(len(sets[x]), len(sets[y])) < percent * max(len(sets[x]), len(sets[y])) or root(comp[x]) == root(comp[y]):
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    out.append((rep[x], rep[y]))
-                    same[root(comp[x])] = root(comp[y])
+        out = []
+        for at in np.argsort(-shared[x, y], kind="stable"):  # likely links first: what they connect needs no comparison
+            p, q = int(x[at]), int(y[at])
+            cp, cq = root(comp[p]), root(comp[q])
+            if cp != cq or rep[p] == rep[q] and comp[p] != comp[q]:
+                both = len(sets[p] & sets[q])
+                if 100 * both >= percent * (size[p] + size[q] - both):
+                    out.append((rep[p], rep[q]))
+                    same[cp] = cq
         return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "rep", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    sets = full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
-    return dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").groupBy("key", "i", "j").applyInPandas(run, "src long, dst long").distinct()
+    # minor members are dealt to blocks 0 ... m - 1 and meet every block, major ones to m ... m + n - 1 and meet the minor blocks
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count_if(F.col("minor")) / BLOCK).cast("int").alias("m"), F.ceil(F.count_if(~F.col("minor")) / BLOCK).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("minor"), F.col("m")).otherwise(F.col("n"))).cast("int") + F.when(F.col("minor"), 0).otherwise(F.col("m"))
+    dealt = members.join(sizes, "cluster").where("m > 0").withColumn("part", own)
+    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("m") + F.col("n")).otherwise(F.col("m")) - 1)
+    asked = cut(members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = full_sets(rows_of(docs, asked, "left_semi"), k)
+    full = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep").select("cluster", "rep", "comp", "part", "bands", "shingles", F.explode(others).alias("o"))
+    met = full.select("cluster", "rep", "comp", "part", "bands", "shingles", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    return met.groupBy("cluster", "i", "j").applyInPandas(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,35 +163,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = cut(signatures(docs, k))
     some = rows.where("n > 0 and doc_id is not null")
     reps = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    banded = reps.select("rep", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1 and lead is not null")
-    members = cut(banded.join(shared.select("key", "lead"), "key"))
-
-    sizes = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
-    first = members.where("lead < rep").groupBy(F.col("rep").alias("a"), F.col("n").alias("na")).agg(F.min("lead").alias("b")).join(sizes, "b")
+    banded = reps.select("rep", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1")
+    near = cut(banded.join(shared.select("key", "lead"), "key").where("lead < rep").select("rep", "lead").distinct())
+    clusters = connected_components(near, "rep", "lead").select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    clusters = cut(clusters.join(reps.select("rep", "n", "bands"), "rep"))
+    sizes = cut(clusters.groupBy("cluster").agg(F.count("*").alias("size")).where(f"size > {BLOCK}"))
     docs_of = docs.where("doc_id is not null")
-    links = _confirm(first, docs_of, k, percent)
-    comps = cut(connected_components(links))
-
-    named = members.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("f"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x")).where("c0 != c1")
-    mixed = mixed.groupBy("size", "f", "x").agg(F.min("key").alias("key"))  # buckets of the same members once
-    open_ = cut(named.join(mixed.select("key", "size"), "key"))
-    by_comp = open_.groupBy("key", "size", "comp").agg(F.count("*").alias("own"))
-    split = by_comp.groupBy("key", "size").agg(F.max_by("comp", F.struct("own", "comp")).alias("most"), F.sum(F.col("own") * F.col("own")).alias("sq"))
-    split = split.select("key", "most", ((F.col("size") * F.col("size") - F.col("sq")) > 2 * PAIRS_PER_MEMBER * F.col("size")).alias("heavy"))
-    open_ = cut(open_.join(split, "key"))
-    light = open_.where("not heavy")
-    few = light.where("comp != most").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    rest = light.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "most")
-    pairs = few.join(rest, "key").where("ca != cb and (cb = most or a < b)")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    more = _confirm(pairs, docs_of, k, percent)
-    if not (heavy := open_.where("heavy")).isEmpty():
-        more = more.union(_confirm_blocks(heavy.select("key", "rep", "comp", "size"), docs_of, k, percent))
-    more = cut(more)
-    if not more.isEmpty():
-        comps = connected_components(more.union(comps.select(F.col("id").alias("src"), F.col("component").alias("dst"))))
+    comps = None
+    if not sizes.isEmpty():
+        # clusters of several blocks: one leader for each member first, the smallest id of its buckets
+        some = clusters.join(sizes, "cluster").select("rep", "n")
+        first = near.groupBy("rep").agg(F.min("lead").alias("b")).join(some, "rep").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"))
+        links = _confirm(first.join(some.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b"), docs_of, k, percent)
+        comps = cut(connected_components(links))
+        clusters = clusters.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        own = clusters.groupBy("cluster", "comp").agg(F.count("*").alias("own"))
+        most = own.groupBy("cluster").agg(F.max_by("comp", F.struct("own", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        work = clusters.join(most, "cluster").select("cluster", "rep", "comp", "bands", (F.col("comp") != F.col("most")).alias("minor"))
+    else:
+        work = clusters.select("cluster", "rep", F.col("rep").alias("comp"), "bands", F.lit(True).alias("minor"))
+    more = _confirm_clusters(cut(work), docs_of, k, percent)
+    if comps is not None:
+        more = more.union(comps.select(F.col("id").alias("src"), F.col("component").alias("dst")))
+    comps = connected_components(more)
 
     # every row gets its class's smallest id, and through it the component
     classes = reps.select("d1", "d2", "n", "rep").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
@@ -180,5 +197,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, one of each component: those whose id is the component's smallest."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return rows_of(docs, cut(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()), "left_anti")

@@ -5,7 +5,7 @@ vector serves all thresholds: P(grade > k) = sigmoid(w.x - t_k) with t_0 <= t_1
 the sum of these probabilities.
 
 Labels say only whether a text is toxic. The ordered grades are derived from them: 0 is not toxic, and toxic texts are
-split at the median of their share of toxic words (those whose features are selected for toxicity) into 1, mild, and
+split at the median of their number of toxic words (those whose features are selected for toxicity) into 1, mild, and
 2, severe.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE) with a bounded number of features (FEATURES); scoring
@@ -32,8 +32,8 @@ from cutgrain.llm.words import Memory
 SAMPLE = 20_000
 #: Features that the model may use.
 FEATURES = 2000
-#: Sampled texts of a class that a feature has to occur in.
-LEAST_TEXTS = 4
+#: Likelihood-ratio statistic that a feature needs: chance gives so much once in 100,000 features.
+EVIDENCE = 20.0
 #: A text is rejected from this probability of a grade over 0.
 REJECT = 0.5
 
@@ -97,17 +97,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     pos, neg = (first["pos"], first["neg"]) if first else (0, 0)
     if not pos or not neg:
         return Ordinal({}, (1e9, 1e9))
-    # association: difference of the classes' shares in standard errors, shrunk for rare features
-    p, q, r = F.col("pos") / pos, F.col("neg") / neg, (F.col("pos") + F.col("neg") + 1) / (pos + neg)
-    z = (p - q) / F.sqrt(r * (1 / pos + 1 / neg))
-    top = counts.where(f"name != '' and greatest(pos, neg) >= {LEAST_TEXTS}").select("name", z.alias("z"), "pos", "neg").orderBy(F.abs("z").desc(), "name").limit(features).toPandas()
+    # association: the likelihood-ratio statistic, which holds for rare features too; EVIDENCE leaves out what chance explains
+    p, q = F.col("pos"), F.col("neg")
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (p + q) / share)).otherwise(0.0)
+    g = 2 * (part(p, pos / (pos + neg)) + part(q, neg / (pos + neg)))
+    top = counts.where("name != ''").select("name", g.alias("g"), "pos", "neg").where(F.col("g") >= EVIDENCE).orderBy(F.col("g").desc(), "name").limit(features).toPandas()
     index = {x: i for i, x in enumerate(top["name"])}
     # those of mostly toxic texts measure how severe a toxic text is
     bad = frozenset(top["name"][(top["pos"] / pos) > 20 * (top["neg"] + 0.5) / neg])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values, share = [], [], []
+            ids, values, hits = [], [], []
             for text in b.column(0).to_pylist():
                 c = _words(text)
                 x: Counter = Counter()
@@ -119,19 +120,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                     hit += n * any(f in bad for f in fs)
                 ids.append(list(x))
                 values.append([math.log1p(v) for v in x.values()])
-                share.append(hit / max(1, sum(c.values())))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(share, pa.float64())], names=["toxic", "ids", "x", "share"])
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(hits, pa.int64())], names=["toxic", "ids", "x", "hits"])
 
-    got = rows.select("text", "toxic").mapInArrow(vectors, "toxic boolean, ids array<int>, x array<float>, share double").toPandas()
+    got = rows.select("text", "toxic").mapInArrow(vectors, "toxic boolean, ids array<int>, x array<float>, hits long").toPandas()
     return _regress(got, list(top["name"]))
 
 
-def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 400, ridge: float = 1e-4) -> Ordinal:
+def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 1500, ridge: float = 0.1) -> Ordinal:
     """Accelerated gradient descent on the mean negative log-likelihood of the cumulative-link model."""
-    rows = rows.sort_values(["share", "toxic"], kind="stable", ignore_index=True)
+    rows = rows.sort_values(["hits", "toxic"], kind="stable", ignore_index=True)
     toxic = rows["toxic"].to_numpy(bool)
-    median = float(np.median(rows["share"][toxic]))
-    grade = np.where(toxic, np.where(rows["share"] > median, 2, 1), 0)
+    median = float(np.median(rows["hits"][toxic]))
+    grade = np.where(toxic, np.where(rows["hits"] > median, 2, 1), 0)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["ids"]])
     col = np.concatenate([np.asarray(x, np.int64) for x in rows["ids"]]) if len(row) else np.empty(0, np.int64)
     val = np.concatenate([np.asarray(x, np.float64) for x in rows["x"]]) if len(row) else np.empty(0)
@@ -153,7 +154,7 @@ def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 400, ridge: flo
         g0 = np.where(grade == 0, p0, np.where(grade == 1, -p0 * (1 - p0) / mid, 0.0))
         g1 = np.where(grade == 2, -(1 - p1), np.where(grade == 1, p1 * (1 - p1) / mid, 0.0))
         gs = (g0 + g1) / n
-        grad = np.concatenate([np.bincount(col, val * gs[row], d) + ridge * w, [-gs.sum(), -(g1 / n).sum() * gap]])
+        grad = np.concatenate([np.bincount(col, val * gs[row], d) + ridge / n * w, [-gs.sum(), -(g1 / n).sum() * gap]])
         now = look - rate * np.clip(grad, -1, 1)
         look = now + k / (k + 3) * (now - last)
         if k % 50 == 49:

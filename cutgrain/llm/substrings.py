@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutgrain.session import cut
+
 #: Words that a run of repeated neighbouring units has to have to be removed.
 LEAST_WORDS = 20
 
@@ -41,7 +43,7 @@ def units_of(text: str, unit: str) -> list[tuple[int, int]]:
 
 def _units(docs: DataFrame, unit: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             cols: list[list] = [[] for _ in range(5)]
             digests = bytearray()
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -64,7 +66,8 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     units = _units(docs, unit)
-    again = units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h1", "h2", "first")
+    # cut, so that the join deals both sides anew and adaptive execution can split a digest of very many occurrences
+    again = cut(units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h1", "h2", "first"))
     late = units.join(again, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
     by_doc = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "words"))).alias("units"))
     # runs: neighbours have consecutive places, so place minus rank is constant in a run

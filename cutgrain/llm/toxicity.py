@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total[toxic] += 1
                 n.update((x, toxic) for x in {f for w in _words(text) for f in names(w)})
-                if len(n) > 500_000:
+                if len(n) > 200_000:
                     yield out()
         n.update({("", True): total[1], ("", False): total[0]})
         yield out()

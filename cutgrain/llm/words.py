@@ -8,7 +8,7 @@ from collections.abc import Callable
 import regex
 
 #: Entries in each of the two generations of a worker's memory.
-MEMORY = 300_000
+MEMORY = 200_000
 
 #: White space on which words and pre-tokens might be cut differently: two spaces, or three characters and more.
 _UNSAFE = re.compile(r"\s\s\s|  ")

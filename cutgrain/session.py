@@ -31,9 +31,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, into reliable shared storage, and cut its lineage there."""
+    """Compute df once, into reliable shared storage, and cut its lineage there.
+
+    Shuffles before the cut are no longer needed. Spark deletes their files once the driver's garbage is collected, by
+    default every half hour; iterative jobs would pile them up, so that is asked for here.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    got = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return got
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,14 +7,16 @@ one more byte of context). Block probabilities depend on counts alone, so traini
 out are the posterior ones, and prediction mixes the estimates of all depths down the path of a context; where a
 context was not seen in training, the path ends at the deepest one that was.
 
-Nothing is broadcast or collected: nodes are rows, keyed by context and bit prefix, so the model may outgrow any one
-machine. Documents are dealt into buckets of bounded bytes; a bucket asks for its distinct grams once and gets their
-log probabilities back, so that what is shuffled is distinct grams per bucket, not positions.
+No table of the model is broadcast or collected. Documents are dealt into buckets of bounded bytes, and a bucket asks for
+its distinct grams and words once, packed. Grams are dealt into ranges by their last TOP context bytes: the trees below
+such a context are within one range, where they are summed upwards and later walked downwards as arrays; the few levels
+above are tables of nodes. A range answers each bucket's packed request with as many values.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +29,8 @@ from cutgrain.session import cut
 
 #: Bytes of context.
 DEPTH = 5
+#: Bytes of context by which trees are dealt into ranges; a context of so many bytes has its whole subtree in one.
+TOP = 3
 #: Bytes of text in a bucket, about.
 BUCKET = 16 << 20
 #: Bytes looked at together in a task.
@@ -34,9 +38,10 @@ SLICE = 1 << 21
 
 
 def _texts(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    # runs of ids stay together: where a file holds a run, its distinct grams are asked for once
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return d.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", held.alias("held_out"), "text")
+    return d.select(F.pmod(F.xxhash64(F.shiftright("doc_id", 8)), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", held.alias("held_out"), "text")
 
 
 def grams_of(data: bytes, depth: int) -> np.ndarray:
@@ -65,25 +70,72 @@ def _slices(texts: list[bytes], depth: int, size: int = SLICE) -> Iterator[np.nd
         yield np.concatenate(have)
 
 
-def _count_grams(texts: DataFrame, depth: int) -> DataFrame:
-    """(bucket, gram, n): distinct grams of each bucket with their number in training texts, summed per task."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(bucket, data): runs of a bucket's documents as compressed Arrow streams, which is what is shuffled of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # bucket -> (sorted grams, counts) so far; sent on when it has grown large
-        have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def out(b: int) -> pa.RecordBatch:
-            g, n = have.pop(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), b, np.int32)), pa.array(g), pa.array(n)], names=["bucket", "gram", "n"])
-
-        def add(b: int, g: np.ndarray, n: np.ndarray) -> None:
-            if b in have:
-                g, n = np.concatenate([have[b][0], g]), np.concatenate([have[b][1], n])
-                order = np.argsort(g, kind="stable")
-                g, n = g[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                g, n = g[first], np.add.reduceat(n, first)
-            have[b] = g, n
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in batches:
+            bucket = b.column(0).to_numpy()
+            found, data = np.unique(bucket), []
+            for k in found:
+                sink = pa.BufferOutputStream()
+                own = b.select(["doc_id", "held_out", "text"]).filter(pa.array(bucket == k))
+                with pa.ipc.new_stream(sink, own.schema, options=how) as w:
+                    w.write_batch(own)
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    return texts.mapInArrow(run, "bucket int, data binary")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Of integers in any order; sorted ones take little space."""
+    return zlib.compress(np.diff(x, prepend=np.int64(0)).astype("<i8").tobytes(), 1)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<i8"))
+
+
+def _merge(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with their summed counts."""
+    order = np.argsort(g, kind="stable")
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    return g[first], np.add.reduceat(n, first) if len(g) else n
+
+
+REQUEST = "range int, bucket int, keys binary, counts binary"
+
+
+def _requests(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "bucket", "keys", "counts"])
+
+
+def _ask_grams(texts: DataFrame, depth: int, ranges: int) -> DataFrame:
+    """Distinct grams of buckets with their number in training texts, as packed requests to ranges."""
+    keep = np.int64((1 << 8 * min(TOP, depth)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held_n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for b, parts in have.items():
+                g, n = _merge(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+                r = (_mixed(g >> 8 & keep) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(r, kind="stable")
+                ends = np.searchsorted(r[order], np.arange(ranges + 1))
+                rows = [(i, b, pack(g[at]), zlib.compress(n[at].astype("<i8").tobytes(), 1)) for i in range(ranges) if len(at := order[ends[i] : ends[i + 1]])]
+                yield _requests(rows)
+            have.clear()
 
         for batch in batches:
             by: dict[tuple[int, bool], list[bytes]] = {}
@@ -93,14 +145,115 @@ def _count_grams(texts: DataFrame, depth: int) -> DataFrame:
             for (b, held), ts in by.items():
                 for part in _slices(ts, depth):
                     g, n = np.unique(part, return_counts=True)
-                    add(b, g, n * (not held))
-            if sum(len(g) for g, _ in have.values()) > 4_000_000:
-                for b in list(have):
-                    yield out(b)
-        for b in list(have):
-            yield out(b)
+                    have.setdefault(b, []).append((g, n * (not held)))
+                    held_n += len(g)
+            if held_n > 4_000_000:
+                yield from out()
+                held_n = 0
+        yield from out()
+
+    return texts.select("bucket", "held_out", "text").mapInArrow(run, REQUEST)
+
+
+def _table(start: float) -> np.ndarray:
+    return np.array([math.lgamma(i + start) for i in range(1 << 12)])
+
+
+_HALF, _WHOLE = _table(0.5), _table(1.0)
 
-    return texts.select("bucket", "held_out", "text").mapInArrow(run, "bucket int, gram long, n long").groupBy("bucket", "gram").agg(F.sum("n").alias("n"))
+
+def _lgamma_of(n: np.ndarray, table: np.ndarray, start: float) -> np.ndarray:
+    """ln gamma(n + start) of whole n: from a table, beyond it by Stirling's series."""
+    x = n + start
+    big = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(n < len(table), table[np.minimum(n, len(table) - 1).astype(np.int64)], big)
+
+
+def kt_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _lgamma_of(a, _HALF, 0.5) + _lgamma_of(b, _HALF, 0.5) - _lgamma_of(a + b, _WHOLE, 1.0) - math.log(math.pi)
+
+
+class Trees:
+    """The levels `top` to `depth` of the trees of some grams: nodes are contexts << 8 | bits of the byte so far, sorted."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> None:
+        byte, ctx = grams & 255, grams >> 8
+        self.bit = np.concatenate([byte >> 7 - i & 1 for i in range(8)]).astype(bool)
+        keys, self.leaf = np.unique(np.concatenate([ctx << 8 | (byte | 256) >> 8 - i for i in range(8)]), return_inverse=True)
+        n = np.tile(counts, 8).astype(float)
+        a, b = np.bincount(self.leaf, n * ~self.bit, len(keys)), np.bincount(self.leaf, n * self.bit, len(keys))
+        own = kt_of(a, b)
+        #: level -> (keys, a, b, own estimate, what the children say, place of each node's parent)
+        self.levels: dict[int, list] = {depth: [keys, a, b, own, None, None]}
+        low = own
+        for d in range(depth - 1, top - 1, -1):
+            up, place = np.unique((keys >> 8 & (1 << 8 * d) - 1) << 8 | keys & 255, return_inverse=True)
+            self.levels[d + 1][5] = place
+            a, b, below = (np.bincount(place, x, len(up)) for x in (a, b, low))
+            keys, own = up, kt_of(a, b)
+            low = np.logaddexp(own, below) - math.log(2)
+            self.levels[d] = [keys, a, b, own, below, None]
+        self.low, self.depth, self.top = low, depth, top
+
+    def logp(self, mix: np.ndarray, rest: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """ln P of each gram's last byte, from the mixtures that reach the nodes of level `top`."""
+        for d in range(self.top + 1, self.depth + 1):
+            _, a, b, own, below, place = self.levels[d]
+            m, r, e = mix[place], rest[place], end[place]
+            est, unseen = (b + 0.5) / (a + b + 1), a + b == 0
+            weight = 1.0 if below is None else 1 / (1 + np.exp(np.minimum(below - own, 700)))
+            end = np.where(unseen, e, m + r * est)
+            mix, rest = np.where(unseen, m, m + r * weight * est), np.where(unseen, r, r * (1 - weight))
+        p = end[self.leaf]
+        return np.log(np.where(self.bit, p, 1 - p)).reshape(8, -1).sum(0)
+
+
+def _read(t: pa.Table) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    keys = [unpack(x) for x in t["keys"].to_pylist()]
+    return t["bucket"].to_pylist(), keys, [np.frombuffer(zlib.decompress(x), "<i8") for x in t["counts"].to_pylist()]
+
+
+def _nodes(asked: DataFrame, depth: int, top: int) -> DataFrame:
+    """Requests -> nodes of level `top`: (ctx, node, a, b, own, below, lw)."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        _, keys, counts = _read(t)
+        trees = Trees(*_merge(np.concatenate(keys), np.concatenate(counts)), depth, top)
+        k, a, b, own, below, _ = trees.levels[top]
+        return pa.table({"ctx": k >> 8, "node": (k & 255).astype(np.int32), "a": a.astype(np.int64), "b": b.astype(np.int64), "own": own, "below": own if below is None else below, "lw": trees.low})
+
+    return asked.groupBy("range").applyInArrow(run, "ctx long, node int, a long, b long, own double, below double, lw double")
+
+
+def _answer_grams(asked: DataFrame, reach: DataFrame, depth: int, top: int, ranges: int) -> DataFrame:
+    """Requests and the mixtures at level `top` -> (bucket, kind, keys, values): each bucket's grams with their ln P."""
+
+    def run(key: tuple, t: pa.Table, nodes: pa.Table) -> pa.Table:
+        buckets, keys, counts = _read(t)
+        grams, n = _merge(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.int64),) * 2
+        out: list[list] = [[], [], []]
+        if len(grams):
+            trees = Trees(grams, n, depth, top)
+            k = nodes["ctx"].to_numpy() << 8 | nodes["node"].to_numpy()
+            order = np.argsort(k)
+            place = order[np.searchsorted(k[order], trees.levels[top][0])]
+            logp = trees.logp(*(nodes[c].to_numpy()[place] for c in ("mix", "rest", "end")))
+            for b in sorted(set(buckets)):
+                own = np.unique(np.concatenate([x for x, y in zip(keys, buckets, strict=True) if y == b]))
+                out[0].append(b)
+                out[1].append(pack(own))
+                out[2].append(logp[np.searchsorted(grams, own)].astype("<f8").tobytes())
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(["gram"] * len(out[0])), "keys": pa.array(out[1], pa.binary()), "values": pa.array(out[2], pa.binary())})
+
+    keep = (1 << 8 * top) - 1
+    # the same range as _ask_grams() gives: computed where rows are few, in Python
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((_mixed(ctx & keep) % np.uint64(ranges)).astype(np.int32)), *b.columns], names=["range", *b.schema.names])
+
+    dealt = reach.select("ctx", "node", "mix", "rest", "end").mapInArrow(place, "range int, ctx long, node int, mix double, rest double, end double")
+    return asked.groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(run, "bucket int, kind string, keys binary, values binary")
 
 
 def _lgamma(x: Column) -> Column:
@@ -120,71 +273,79 @@ def kt(a: Column, b: Column) -> Column:
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi)
 
 
-def model(grams: DataFrame, depth: int) -> DataFrame:
-    """(gram, n), all distinct, n = 0 for what training lacks -> (gram, logp): ln P(last byte | the bytes before)."""
-    # a node is a context (its last d bytes) and the bits of the byte so far, with a leading one: 1 ... 255
-    bit = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")
-    steps = grams.select("gram", "n", bit)
-    prefix = F.expr("cast(shiftrightunsigned((gram & 255) | 256, 8 - i) as int)")
-    one = F.expr("cast(shiftrightunsigned(gram & 255, 7 - i) & 1 as int)")
-    leaf = steps.groupBy(F.expr("shiftrightunsigned(gram, 8)").alias("ctx"), prefix.alias("node")).agg(F.sum(F.when(one == 0, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(one == 1, F.col("n")).otherwise(0)).alias("b"))
-    # upwards: ln P_w of a node from its own estimate and the sum of its children's
-    levels = [cut(leaf.select("ctx", "node", "a", "b", kt(F.col("a"), F.col("b")).alias("own"), F.lit(None).cast("double").alias("below")).withColumn("lw", F.col("own")))]
-    for d in range(depth - 1, -1, -1):
-        keep = (1 << 8 * d) - 1
-        up = levels[0].groupBy(F.col("ctx").bitwiseAND(F.lit(keep).cast("long")).alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
+def _reach(nodes: DataFrame, top: int) -> DataFrame:
+    """Nodes of level `top` -> (ctx, node, mix, rest, end): what reaches them from the root.
+
+    mix is the mixture of estimates so far, rest the weight that deeper ones still have, end the probability of a one if the
+    path ended here. The levels above `top` are few rows: at most 256^top contexts.
+    """
+    levels = [nodes]
+    for d in range(top - 1, -1, -1):
+        up = levels[0].groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")).alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
         up = up.select("ctx", "node", "a", "b", kt(F.col("a"), F.col("b")).alias("own"), "below")
         high, low = F.greatest("own", "below"), F.least("own", "below")
         levels.insert(0, cut(up.withColumn("lw", high + F.log1p(F.exp(low - high)) - math.log(2))))
-    # downwards: p so far is the mixture of shallower estimates, rest the weight that deeper ones still have;
-    # seen_p is the bit's probability if the path ended here
     stop = 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0))))  # posterior weight of a node's own estimate
     est = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)  # of a one
-    top = levels[0].select("ctx", "node", (stop * est).alias("mix"), (1 - stop).alias("rest"), est.alias("end"))
-    for d in range(1, depth + 1):
-        up = top.select(F.col("ctx").alias("uctx"), F.col("node").alias("unode"), F.col("mix").alias("m"), F.col("rest").alias("r"), F.col("end").alias("e"))
-        here = levels[d].withColumn("uctx", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1).cast("long")))
-        joined = here.join(up, (here["uctx"] == up["uctx"]) & (here["node"] == up["unode"]))
-        weight = stop if d < depth else F.lit(1.0)
+    now = levels[0].select("ctx", "node", (stop * est).alias("mix"), (1 - stop).alias("rest"), est.alias("end"))
+    for d in range(1, top + 1):
+        up = now.select(F.col("ctx").alias("uctx"), F.col("node").alias("unode"), F.col("mix").alias("m"), F.col("rest").alias("r"), F.col("end").alias("e"))
+        here = levels[d].withColumn("uctx", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1).cast("long"))).withColumn("unode", F.col("node"))
         unseen = F.col("a") + F.col("b") == 0
-        top = joined.select(
+        now = here.join(up, ["uctx", "unode"]).select(
             "ctx",
             "node",
-            F.when(unseen, F.col("m")).otherwise(F.col("m") + F.col("r") * weight * est).alias("mix"),
-            F.when(unseen, F.col("r")).otherwise(F.col("r") * (1 - weight)).alias("rest"),
+            F.when(unseen, F.col("m")).otherwise(F.col("m") + F.col("r") * stop * est).alias("mix"),
+            F.when(unseen, F.col("r")).otherwise(F.col("r") * (1 - stop)).alias("rest"),
             F.when(unseen, F.col("e")).otherwise(F.col("m") + F.col("r") * est).alias("end"),
         )
-    ends = top.select("ctx", F.col("node").alias("prefix"), F.col("end"))
-    asked = steps.select("gram", F.expr("shiftrightunsigned(gram, 8)").alias("ctx"), prefix.alias("prefix"), one.alias("one"))
-    p = F.when(F.col("one") == 1, F.col("end")).otherwise(1 - F.col("end"))
-    return asked.join(ends, ["ctx", "prefix"]).groupBy("gram").agg(F.sum(F.log(p)).alias("logp"))
+    return now
 
 
-def _count_words(texts: DataFrame) -> DataFrame:
-    """(bucket, word binary, n): distinct words of each bucket with their number in training texts; the end is empty."""
+def _ask_words(texts: DataFrame, ranges: int) -> DataFrame:
+    """Distinct words of buckets with their number in training texts, as packed requests; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for b, c in have.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), b, np.int32)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["bucket", "word", "n"])
+                by: dict[int, list[bytes]] = {}
+                for w in sorted(c):
+                    by.setdefault(zlib.crc32(w) % ranges, []).append(w)
+                yield _requests([(r, b, zlib.compress(b" ".join(ws), 1), zlib.compress(np.array([c[w] for w in ws], "<i8").tobytes(), 1)) for r, ws in by.items()])
             have.clear()
 
         for batch in batches:
             for b, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = t.encode("utf-8", "replace").lower().split()
                 c = have.setdefault(b, Counter())
-                if held:
-                    c.update(dict.fromkeys(words, 0))
-                else:
-                    c.update(words)
+                c.update(dict.fromkeys(words, 0) if held else words)
                 c[b""] += not held
-            if sum(map(len, have.values())) > 500_000:
+            if sum(map(len, have.values())) > 1_000_000:
                 yield from out()
         yield from out()
 
-    return texts.select("bucket", "held_out", "text").mapInArrow(run, "bucket int, word binary, n long").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
+    return texts.select("bucket", "held_out", "text").mapInArrow(run, REQUEST)
+
+
+def _answer_words(asked: DataFrame) -> DataFrame:
+    """Requests -> (bucket, kind, keys, values): each bucket's words with their counts; a range's totals in bucket -1."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        words = [zlib.decompress(x).split(b" ") for x in t["keys"].to_pylist()]
+        counts = [np.frombuffer(zlib.decompress(x), "<i8").tolist() for x in t["counts"].to_pylist()]
+        total: Counter = Counter()
+        by: dict[int, set[bytes]] = {}
+        for b, ws, ns in zip(t["bucket"].to_pylist(), words, counts, strict=True):
+            for w, n in zip(ws, ns, strict=True):
+                total[w] += n
+            by.setdefault(b, set()).update(ws)
+        sums = np.array([sum(total.values()), sum(n > 0 for n in total.values())], "<f8")
+        rows = [(-1, b"", zlib.compress(sums.tobytes(), 1))] + [(b, zlib.compress(b" ".join(sorted(ws)), 1), zlib.compress(np.array([total[w] for w in sorted(ws)], "<f8").tobytes(), 1)) for b, ws in by.items()]
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(["word"] * len(rows)), "keys": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
+
+    return asked.groupBy("range").applyInArrow(run, "bucket int, kind string, keys binary, values binary")
 
 
 def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,24 +359,31 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
     if not 1 <= depth <= 6:
         raise ValueError("a gram has to fit 63 bits: depth is 1 to 6")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    texts = _texts(docs, max(1, -(-size // bucket_bytes)), id_col, text_col)
-
-    grams = cut(_count_grams(texts, depth))
-    logp = model(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    words = cut(_count_words(texts))
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c")))
-    total = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    n_train, vocabulary = int(total[0] or 0), int(total[1] or 0)
-    asked = grams.select("bucket", "gram").join(logp, "gram").select("bucket", F.col("gram"), F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value"))
-    asked = asked.union(words.select("bucket", "word").join(counts, "word").select("bucket", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
+    buckets = max(1, -(-size // bucket_bytes))
+    texts, top = _texts(docs, buckets, id_col, text_col), min(TOP, depth)
+
+    grams = cut(_ask_grams(texts, depth, buckets))
+    reach = _reach(cut(_nodes(grams, depth, top)), top)
+    words = cut(_answer_words(_ask_words(texts, buckets)))
+    n_train = vocabulary = 0
+    for r in words.where("bucket = -1").select("values").toLocalIterator():  # two numbers a range
+        n, v = np.frombuffer(zlib.decompress(r["values"]), "<f8")
+        n_train, vocabulary = n_train + int(n), vocabulary + int(v)
+    asked = _answer_grams(grams, reach, depth, top, buckets).union(words.where("bucket >= 0"))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        gram, value = right["gram"].combine_chunks(), right["value"].combine_chunks()
-        mask = gram.is_valid().to_numpy(zero_copy_only=False)
-        g, v = gram.drop_null().to_numpy(), value.to_numpy(zero_copy_only=False)
+        streams = [pa.ipc.open_stream(x).read_all() for x in left["data"].to_pylist()]
+        left = pa.concat_tables(streams) if streams else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "text": pa.array([], pa.string())})
+        g, lp, known = [np.empty(0, np.int64)], [np.empty(0)], {}
+        for kind, k, v in zip(right["kind"].to_pylist(), right["keys"].to_pylist(), right["values"].to_pylist(), strict=True):
+            if kind == "gram":
+                g.append(unpack(k))
+                lp.append(np.frombuffer(v, "<f8"))
+            else:
+                known.update(zip(zlib.decompress(k).split(b" "), np.frombuffer(zlib.decompress(v), "<f8").tolist(), strict=True))
+        g, lp = np.concatenate(g), np.concatenate(lp)
         order = np.argsort(g)
-        g, lp = g[order], v[mask][order]
-        known = dict(zip(right["word"].combine_chunks().drop_null().to_pylist(), v[~mask].tolist(), strict=True))
+        g, lp = g[order], lp[order]
         floor = math.log10(n_train + vocabulary + 1)
         cols: list[list] = [[] for _ in range(6)]
         for t in left["text"].to_pylist():
@@ -231,4 +399,4 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([n_train] * len(cols[0]), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "n_bytes": pa.array(cols[4], pa.int64()), "bits_per_byte": pa.array(cols[5], pa.float64())})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return texts.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, schema)
+    return _packed(texts).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, schema)

@@ -20,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.words import Memory, Words
+from cutgrain.llm.words import Words
 
 class RankQueue:
-    """Buckets of positions by rank, under three levels of 64-bit words."""
+    """Buckets of entries by rank, under three levels of 64-bit words.
+
+    An entry is (start << 32 | end) of a pair of parts; a bucket is one entry or a heap of them, so that the leftmost of a
+    rank comes first. A summary bit is written only when the word below it starts or ceases to hold any.
+    """
 
     __slots__ = ("bits", "buckets", "mid", "top")
 
@@ -31,38 +35,46 @@ class RankQueue:
         self.bits = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[tuple[int, int]]] = {}
-
-    def push(self, rank: int, entry: tuple[int, int]) -> None:
-        got = self.buckets.get(rank)
-        if got is None:
-            self.buckets[rank] = [entry]
-            self.bits[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heapq.heappush(got, entry)
-
-    def lowest(self) -> int:
-        """The lowest rank that has entries, or -1."""
-        if not self.top:
-            return -1
-        i = (self.top & -self.top).bit_length() - 1
-        i = i << 6 | (self.mid[i] & -self.mid[i]).bit_length() - 1
-        return i << 6 | (self.bits[i] & -self.bits[i]).bit_length() - 1
-
-    def pop(self, rank: int) -> tuple[int, int]:
-        """The leftmost entry of a rank."""
+        self.buckets: dict[int, int | list[int]] = {}
+
+    def push(self, rank: int, entry: int) -> None:
+        buckets = self.buckets
+        if rank in buckets:
+            got = buckets[rank]
+            if got.__class__ is int:
+                buckets[rank] = [got, entry] if got < entry else [entry, got]
+            else:
+                heapq.heappush(got, entry)
+            return
+        buckets[rank] = entry
+        i = rank >> 6
+        if not self.bits[i]:
+            if not self.mid[i >> 6]:
+                self.top |= 1 << (i >> 6)
+            self.mid[i >> 6] |= 1 << (i & 63)
+        self.bits[i] |= 1 << (rank & 63)
+
+    def pop(self) -> int:
+        """The leftmost entry of the lowest rank, found by three find-first-set steps; the queue isn't empty."""
+        j = (self.top & -self.top).bit_length() - 1
+        w = self.mid[j]
+        i = j << 6 | (w & -w).bit_length() - 1
+        w = self.bits[i]
+        rank = i << 6 | (w & -w).bit_length() - 1
         got = self.buckets[rank]
-        entry = heapq.heappop(got)
-        if not got:
-            del self.buckets[rank]
-            self.bits[rank >> 6] &= ~(1 << (rank & 63))
-            if not self.bits[rank >> 6]:
-                self.mid[rank >> 12] &= ~(1 << (rank >> 6 & 63))
-                if not self.mid[rank >> 12]:
-                    self.top &= ~(1 << (rank >> 12))
-        return entry
+        if got.__class__ is not int:
+            entry = heapq.heappop(got)
+            if got:
+                return entry
+            got = entry
+        del self.buckets[rank]
+        w &= w - 1
+        self.bits[i] = w
+        if not w:
+            self.mid[j] &= self.mid[j] - 1
+            if not self.mid[j]:
+                self.top &= self.top - 1
+        return got
 
 
 class Bpe:
@@ -73,8 +85,13 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.parts = {v: k for k, v in self.ranks.items()}
         self.queue = RankQueue(max(self.ranks.values()))
-        self.words = Words(pattern, lambda x: " ".join(map(str, self.merge(x.encode("utf-8", "replace")))), " ".join)
-        self.bytes = Memory(lambda x: b"".join(self.parts[int(i)] for i in x.split(" ")), longest=256)
+        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.words = Words(pattern, self._pretoken, lambda got: (" ".join([x for x, _ in got]), b"".join([x for _, x in got])))
+
+    def _pretoken(self, x: str) -> tuple[str, bytes]:
+        """ids in decimal, joined by spaces, and the bytes that they stand for."""
+        ids = self.merge(x.encode("utf-8", "replace"))
+        return " ".join(map(str, ids)), b"".join([self.parts[i] for i in ids])
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """ids of one pre-token's bytes."""
@@ -84,38 +101,37 @@ class Bpe:
         n = len(piece)
         end = list(range(1, n + 1))  # of the part that starts here; 0: no part starts here any more
         before = list(range(-1, n))  # start of the part before
-        queue = self.queue
-        push, pop, lowest, known = queue.push, queue.pop, queue.lowest, ranks.get
-        for i in range(n - 1):
-            if (r := known(piece[i : i + 2])) is not None:
-                push(r, (i, i + 2))
+        queue, pairs, known = self.queue, self.pairs, ranks.get
+        push, pop = queue.push, queue.pop
+        last = piece[0]
+        for i in range(1, n):
+            now = piece[i]
+            if (r := pairs[last << 8 | now]) >= 0:
+                push(r, i - 1 << 32 | i + 1)
+            last = now
         while queue.top:
-            at, to = pop(lowest())
+            to = pop()
+            at, to = to >> 32, to & 0xFFFFFFFF
             mid = end[at]
             if not mid or mid >= to or end[mid] != to:
                 continue  # stale: one of its parts has been merged
             end[at], end[mid] = to, 0
             if to < n:
                 before[to] = at
-                if (x := known(piece[at : end[to]])) is not None:
-                    push(x, (at, end[to]))
-            if at and (x := known(piece[(b := before[at]) : to])) is not None:
-                push(x, (b, to))
+                if (r := known(piece[at : (z := end[to])])) is not None:
+                    push(r, at << 32 | z)
+            if at and (r := known(piece[(b := before[at]) : to])) is not None:
+                push(r, b << 32 | to)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
         return tuple(out)
 
-    def encode(self, text: str) -> list[str]:
-        """ids in decimal, several of them joined by spaces in each string."""
+    def encode(self, text: str) -> list[tuple[str, bytes]]:
+        """Words in order: their ids in decimal, joined by spaces, and the bytes that these ids decode to."""
         return self.words.of(text)
 
-    def decode(self, ids: list[str]) -> bytes:
-        """Bytes of what encode() returns."""
-        known = self.bytes
-        return b"".join([known[x] for x in ids])
-
 
 _made: dict[tuple[str, str], Bpe] = {}
 
@@ -135,7 +151,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
         for b in batches:
-            ids = [[int(i) for x in bpe.encode(t or "") for i in x.split(" ")] for t in b.column(1).to_pylist()]
+            ids = [[int(i) for x, _ in bpe.encode(t or "") for i in x.split(" ")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -162,10 +178,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             n, a, d = [], [], []
             for t in b.column(1).to_pylist():
                 got = bpe.encode(t or "")
-                ids = " ".join(got)
+                ids = " ".join([x for x, _ in got])
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
-                d.append(hashlib.sha256(bpe.decode(got)).hexdigest())
+                d.append(hashlib.sha256(b"".join([x for _, x in got])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,7 +10,6 @@ each hold a bounded share of the documents, so the work spreads with the input a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -70,8 +69,7 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        added = [x.content for x in self.model.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
         # the letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -82,7 +80,7 @@ class _Ids:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.model.tokenize(s)])
 
     def of(self, text: str) -> bytes:
-        if self.special is not None and self.special.search(text):
+        if any(x in text for x in self.special):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(self.words.of(text))
 

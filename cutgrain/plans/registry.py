@@ -181,7 +181,7 @@ def _(spark, d):
 
 @query("word_groups")
 def _(spark, d):
-    """Documents linked by words in order; a document is a clip, and sources share... no clip twice in a group."""
+    """Documents linked by words in order; every 400th is of the same clip, and no group holds a clip twice by words."""
     p = cut(_pieces_of_docs(spark, d).withColumn("clip_id", F.col("piece") % 400))
     pairs = grouping.word_pairs(p)
     roots = p.select("piece", F.col("piece").alias("root"))

@@ -1,4 +1,8 @@
-"""Substring dedup by hashed units: of each repeated line or sentence, the earliest occurrence stays.
+"""Substring dedup by hashed units: of each repeated line or passage, the earliest occurrence stays.
+
+The query and the pipeline remove passages (repeated_passages()): windows of words wherever they start, and whole lines
+and paragraphs. A window is looked for only where the least hash of the short word sequences in it, which depends on
+the window's own words alone, occurs again. The units below are the coarser choice.
 
 Texts are cut into units (paragraphs, lines, or sentences within lines), which are normalised (lower case, white space
 collapsed) and digested to 128 bits. Digests are counted globally, with the earliest place (doc_id, offset) of each;
@@ -14,17 +18,27 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cutgrain.llm.shingles import _BACK, _BASE, _SPACE, _power, mix, word_hashes
 from cutgrain.session import cut
 
 #: Words that a run of repeated neighbouring units has to have to be removed.
 LEAST_WORDS = 20
 
+#: Words of a passage that goes wherever it starts, and of the hashes that find its occurrences.
+RUN = LEAST_WORDS
+GRAM = 8
+
+#: Words of a whole line or paragraph that goes.
+LEAST_LINE = LEAST_WORDS
+_WHOLE = np.uint64(0x2545F4914F6CDD1D)
+
 #: Ends of units; an end belongs to its unit.
 ENDS = {"paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "line": re.compile(r"\n"), "sentence": re.compile(r"\n|(?<=[.!?])[^\S\n]+")}
 
@@ -78,9 +92,157 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     return by_doc.select("doc_id", ranked.alias("ranked")).select("doc_id", "ranked", runs.alias("runs")).select("doc_id", spans.alias("removed")).where(F.size("removed") > 0)
 
 
+# passages: whole lines and paragraphs, and runs of words wherever they start
+
+PASSAGES = "doc_id long, pass int, keys array<long>, starts array<int>, ends array<int>"
+
+#: Parts of the keys that are looked for one after the other.
+PASSES = 4
+
+
+def _powers_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial over word hashes, and the factors that take a range of them to its start."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power("on", _BASE, len(h)), out=sums[1:])
+    return sums, _power("back", _BACK, len(h) + 1)
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best of each `width` consecutive elements."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = best(x[: len(x) - step], x[step:])
+        have += step
+    return x
+
+
+def anchors(h: np.ndarray, sums: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's word hashes: (hashes that stand for it, at each of their places; the one of each window of RUN words).
+
+    A window's anchor is the least hash of the GRAM words that start in it, so equal windows have equal anchors.
+    """
+    if len(h) < RUN:
+        return h[:0], h[:0]
+    gram = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(h) - GRAM + 1])
+    width = RUN - GRAM + 1
+    least = _sliding(gram, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    return gram[gram == _sliding(np.concatenate([edge, least, edge]), width, np.maximum)], least
+
+
+def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' hashes, their starts and ends, where what goes with a word ends (code points), line feeds after each."""
+    data = text.encode("utf-8", "replace")
+    h, a = word_hashes(text), np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[a].view(np.int8), prepend=1, append=1))
+    start, end = edge[::2], edge[1::2]
+    after = np.append(start[1:], len(a))[: len(start)]
+    feeds = np.concatenate([[0], np.cumsum(a == 10)])
+    lines = feeds[after] - feeds[end]
+    if not text.isascii():
+        at = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
+        start, end, after = at[start], at[end], at[after]
+    return h, start, end, np.where(lines > 0, end, after), lines
+
+
+def _whole(sums: np.ndarray, back: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first word, last word) of lines and of paragraphs of several lines that have at least LEAST_LINE words."""
+    n = len(lines)
+    line_ends, parts = np.flatnonzero(np.append(lines[:-1], 1)), []
+    for feeds in (1, 2):
+        last = np.flatnonzero(np.append(lines[:-1] >= feeds, True))
+        first = np.append(0, last[:-1] + 1)
+        several = np.searchsorted(line_ends, last) > np.searchsorted(line_ends, first)
+        ok = (last - first + 1 >= LEAST_LINE) & (several if feeds == 2 else True)
+        parts.append((first[ok], last[ok]))
+    first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if n else (np.empty(0, int), np.empty(0, int))
+    return mix((sums[last + 1] - sums[first]) * back[first] + (last - first + 1).astype(np.uint64)) ^ _WHOLE, first, last
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    for b in batches:
+        for at in range(0, b.num_rows, 100):
+            yield list(zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True))
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, key): anchors, lines and paragraphs."""
+    for rows in _slices(batches):
+        docs, keys = [], []
+        for doc, text in rows:
+            h, *_, lines = _places(text)
+            if len(h):
+                sums, back = _powers_of(h)
+                keys += anchors(h, sums, back)[0], _whole(sums, back, lines)[0]
+                docs.append(np.full(len(keys[-1]) + len(keys[-2]), doc, np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "key"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, shared) -> PASSAGES: the keys and places of what may occur again, a row for each document and pass."""
+    for rows in _slices(batches):
+        docs, sizes, parts = [], [], []
+        for doc, text, shared in rows:
+            h, start, _, after, lines = _places(text)
+            sums, back = _powers_of(h)
+            known = np.unique(np.array(shared, np.int64).view(np.uint64))
+            isin = lambda x: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x  # noqa: E731, B023
+            keys, first, last = _whole(sums, back, lines)
+            ok = isin(keys)
+            to = np.append(start[1:], len(text))[last]  # a line takes the white space that ends it along
+            at = np.flatnonzero(isin(anchors(h, sums, back)[1]))
+            keys = np.concatenate([keys[ok], mix((sums[at + RUN] - sums[at]) * back[at])])
+            which = (keys % np.uint64(PASSES)).astype(np.int64)
+            order = np.argsort(which, kind="stable")
+            parts.append((keys[order].view(np.int64), np.concatenate([start[first[ok]], start[at]])[order], np.concatenate([to[ok], after[at + RUN - 1]])[order]))
+            docs.append(doc)
+            sizes.append(np.bincount(which, minlength=PASSES))
+        if docs:
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+            cols = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(t))) for c, t in zip(zip(*parts, strict=True), (np.int64, np.int32, np.int32), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, PASSES), pa.int64()), pa.array(np.tile(np.arange(PASSES, dtype=np.int32), len(docs))), *cols], names=["doc_id", "pass", "keys", "starts", "ends"])
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """(doc_id, start, end) -> the same, overlapping and touching ones joined."""
+    by_place = Window.partitionBy("doc_id").orderBy("start", "end")
+    seen = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce(F.col("start") > seen, F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("island", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (doc_id, removed array<struct<start, end>>): for documents that lose something, what goes, in order.
+
+    What goes is each whole line or paragraph of LEAST_LINE words and more, and each window of RUN words wherever it
+    starts, that has an earlier occurrence: one of a smaller (doc_id, start). Nulls and repeated ids are as in
+    repeated_spans(). Words are runs of characters other than ASCII white space, A-Z lower-cased.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    asked = docs.mapInArrow(_ask, "doc_id long, key long")
+    shared = cut(asked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    of_doc = cut(asked.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("shared")))
+    # only windows whose anchor occurs again can occur again
+    packed = cut(docs.join(of_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_answer, PASSAGES))
+    found = []
+    for i in range(PASSES):  # a part of the keys at a time, so that only its places are shuffled at once
+        places = packed.where(F.col("pass") == i).select("doc_id", F.inline(F.arrays_zip("keys", "starts", "ends")).alias("key", "start", "end"))
+        again = cut(places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("key", "first"))
+        late = places.join(again, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
+        found.append(cut(_islands(late)))
+    return _islands(reduce(DataFrame.union, found)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+
+
 def dedup(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with repeated units cut out of text, and `removed`, their original offsets (empty: none)."""
-    spans = repeated_spans(docs, unit, least_words).select(F.col("doc_id").alias("__id"), "removed")
+    """docs with repeated units cut out of text, and `removed`, their original offsets (empty: none).
+
+    The unit "passage" stands for repeated_passages(), which doesn't use least_words.
+    """
+    found = repeated_passages(docs) if unit == "passage" else repeated_spans(docs, unit, least_words)
+    spans = found.select(F.col("doc_id").alias("__id"), "removed")
     got = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
     kept = F.zip_with(ends, F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.char_length("text"))), lambda a, b: F.substr(F.col("text"), a + 1, b - a))

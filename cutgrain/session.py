@@ -34,11 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once, into reliable shared storage, and cut its lineage there.
 
     Shuffles before the cut are no longer needed. Spark deletes their files once the driver's garbage is collected, by
-    default every half hour; iterative jobs would pile them up, so that is asked for here.
+    default every half hour; iterative jobs would pile them up, so that is asked for here, without holding df.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     got = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    spark.sparkContext._jvm.System.gc()
     return got
 
 

@@ -181,6 +181,43 @@ def test_substrings(docs, nothing):
     assert len(substrings.dedup(docs).collect()) == len(rows)
 
 
+def passages_by_hand(rows, run, least):
+    """id -> code points covered by repeated windows of `run` words and repeated lines and paragraphs; white space aside."""
+    units, first = [], {}
+    for i, t in rows:
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t)]
+        spans = [(0, a, a + run) for a in range(len(words) - run + 1)]
+        for end in (r"\n", r"\n[^\S\n]*\n"):
+            borders = [0, *sorted({sum(w[0] < m.end() for w in words) for m in re.finditer(end, t)} - {0, len(words)}), len(words)]
+            spans += [(1, a, z) for a, z in zip(borders, borders[1:]) if z - a >= least]
+        for kind, a, z in spans:
+            key = kind, tuple(w[2] for w in words[a:z])
+            first[key] = min(first.get(key, (i, words[a][0])), (i, words[a][0]))
+            units.append((i, key, words[a][0], words[z - 1][1]))
+    out = {i: set() for i, _ in rows}
+    for i, key, a, z in units:
+        if first[key] != (i, a):
+            out[i] |= set(range(a, z))
+    return out
+
+
+def test_passages_mid_sentence(spark, nothing):
+    r, line = random.Random(8), "all rights kept by the makers"
+    shared = [say(50 + i, n) for i, n in enumerate((50, 63, 90, 49))]
+    rows = [(i, f"{say(200 + i, r.randint(0, 30))} {shared[i % 4]} é日 {say(300 + i, r.randint(1, 30))}") for i in range(24)]
+    rows += [(100 + i, f"{say(400 + i, 9)}\n{line}\n{say(500 + i, 9)}\n\none two\nthree {'x' * (i % 2)}\n\n{'la ' * 70}end{i}\n") for i in range(4)]
+    rows += [(200, ""), (201, " \n"), (202, "\n" + line.upper() + "  \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in substrings.dedup(df, unit="passage").collect()}
+    want = passages_by_hand(rows, substrings.RUN, substrings.LEAST_LINE)
+    for i, t in rows:
+        gone = {x for s in got[i].removed for x in range(s.start, s.end)}
+        assert {x for x in gone if not t[x].isspace()} == {x for x in want[i] if not t[x].isspace()}, i
+        assert got[i].text == "".join(c for x, c in enumerate(t) if x not in gone)
+    assert not any(shared[k] in got[i].text for i in range(4, 24) for k in range(3))
+    assert substrings.dedup(nothing, unit="passage").collect() == []
+
+
 # op4
 
 

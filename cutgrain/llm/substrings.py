@@ -35,8 +35,9 @@ LEAST_WORDS = 20
 RUN = LEAST_WORDS
 GRAM = 8
 
-#: Words of a whole line or paragraph that goes.
-LEAST_LINE = LEAST_WORDS
+#: Words of a whole line or paragraph that goes. On sf0.1, of the distinct lines of 1, 2, 3, 4, 5 and 6 words 24, 20, 13, 13,
+#: 12 and 11 % recur, and of those of 7 to 12 words 9 to 12 %: only shorter ones recur by chance more than long ones.
+LEAST_LINE = 3
 _WHOLE = np.uint64(0x2545F4914F6CDD1D)
 
 #: Ends of units; an end belongs to its unit.

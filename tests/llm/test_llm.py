@@ -218,6 +218,14 @@ def test_passages_mid_sentence(spark, nothing):
     assert substrings.dedup(nothing, unit="passage").collect() == []
 
 
+def test_short_lines_go_once(spark):
+    line = "all rights kept by the makers"
+    rows = [(i, f"{say(600 + i, 9)}\n{line}\nyes\n{say(700 + i, 9)}") for i in range(4)] + [(9, line.upper() + "\n")]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit="passage").collect()}
+    assert got[0] == rows[0][1] and got[9] == ""
+    assert all(got[i] == rows[i][1].replace(line + "\n", "") for i in range(1, 4))
+
+
 # op4
 
 

@@ -91,15 +91,22 @@ def _(spark, d):
     return m.select(F.col("group_id").cast("bigint").alias("group_id"), "stretches", F.round("total", 6).alias("total"))
 
 
+def _line_segments(spark, d):
+    """Every line after a document's first as a segment, spread evenly over the clip's duration."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), F.split("text", "\n").alias("lines"))
+    each = docs.join(fx.clip_list(spark, d), "clip_id").select("clip_id", F.posexplode("lines").alias("line", "description"), F.try_divide("duration_s", F.size("lines") - 1).alias("step")).where("line > 0")
+    item = F.col("line") - 1
+    return each.select("clip_id", item.alias("item"), (item * F.col("step")).alias("start_s"), (F.col("line") * F.col("step")).alias("end_s"), "description")
+
+
 @query("group_clips")
 def _(spark, d):
     """The whole of grouping, words on: each stretch of clips whose summaries and segments are documents."""
     s = stretches.stretches_of(fx.clip_frames(spark, d), fx.clip_list(spark, d))
     docs = table(spark, d, "documents")
     summaries = docs.select(F.col("doc_id").alias("clip_id"), F.split("text", "\n")[0].alias("summary"))
-    seg = docs.select(F.col("doc_id").alias("clip_id"), F.posexplode(F.slice(F.split("text", "\n"), 2, 3)).alias("item", "description")).select("clip_id", "item", (F.col("item") * 6.0).alias("start_s"), (F.col("item") * 6.0 + 5).alias("end_s"), "description")
     clips = fx.clip_list(spark, d).select("clip_id")
-    got = grouping.group_clips(s, seg.join(clips, "clip_id", "left_semi"), summaries.join(clips, "clip_id", "left_semi"))
+    got = grouping.group_clips(s, _line_segments(spark, d), summaries.join(clips, "clip_id", "left_semi"))
     return got["stretches"].join(got["groups"], "group_id").select("clip_id", "pos", "start_s", "end_s", "group_id", "label", "stretches")
 
 

@@ -225,3 +225,13 @@ def test_stream_resumes(spark, tmp_path):
         stream = spark.readStream.schema("clip_id long, duration_s double").parquet(source)
         describe_stream(stream, lambda b: b.withColumn("summary", F.lit("s")), out, mark).awaitTermination()
     assert sorted(r.clip_id for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_every_line_is_a_segment(spark, sf):
+    from cutgrain.plans import fixtures, registry
+
+    clips = {r.clip_id for r in fixtures.clip_list(spark, sf).collect()}
+    want = {(r.doc_id, i, line) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in clips for i, line in enumerate((r.text or "").split("\n")[1:])}
+    got = registry._line_segments(spark, sf).collect()
+    assert {(r.clip_id, r.item, r.description) for r in got} == want and len(got) == len(want) and max(r.item for r in got) > 2
+    assert all(0 <= r.start_s < r.end_s <= 20.0001 for r in got)

@@ -474,6 +474,13 @@ def _(spark, d):
     return connected_components(e)
 
 
+@query("all_linked_orders")
+def _(spark, d):
+    """linked_orders over all of lineitem, which its recursive SQL can't reach; held against brute force in tests."""
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
+    return connected_components(e)
+
+
 @query(
     "described_run",
     f"""WITH {_SEG.split(', raw AS')[0].split('raw AS')[0].rstrip().rstrip(',')}, l AS (SELECT DISTINCT identity FROM {_CACHE_SQL} WHERE NOT broken AND v = 1)

@@ -235,3 +235,20 @@ def test_every_line_is_a_segment(spark, sf):
     got = registry._line_segments(spark, sf).collect()
     assert {(r.clip_id, r.item, r.description) for r in got} == want and len(got) == len(want) and max(r.item for r in got) > 2
     assert all(0 <= r.start_s < r.end_s <= 20.0001 for r in got)
+
+
+def test_all_linked_orders(spark, sf):
+    from cutgrain.plans import registry
+
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect():
+        lo, hi = sorted((root(r.l_orderkey), root(r.l_suppkey + 1_000_000_000)))
+        up[hi] = lo
+    got = registry.queries()["all_linked_orders"](spark, sf).collect()
+    assert {r.id: r.component for r in got} == {x: root(x) for x in list(up)} and len(got) == len(up)

@@ -452,13 +452,13 @@ def grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows = [(int(v) // 10, i, i / 30.0, [int(x) for x in (a if i < 60 else c)]) for i in range(120)]
                 yield pd.DataFrame(rows, columns=["clip_id", "idx", "time_s", "px"])
 
-    return e.where("vec_id % 100 = 0").select("vec_id").mapInPandas(make, "clip_id long, idx int, time_s double, px array<int>")
+    return e.where("vec_id % 10 = 0").select("vec_id").mapInPandas(make, "clip_id long, idx int, time_s double, px array<int>")
 
 
 @query("shots")
 def _(spark, d):
-    grey = grey_frames(spark, d)
-    return shots.find_shots(grey, grey.select("clip_id").distinct().select("clip_id", F.lit(4.0).alias("duration_s")))
+    clips = fx.clip_list(spark, d).select("clip_id", F.lit(4.0).alias("duration_s"))
+    return shots.find_shots(grey_frames(spark, d), clips)
 
 
 # graph and whole runs

@@ -252,3 +252,11 @@ def test_all_linked_orders(spark, sf):
         up[hi] = lo
     got = registry.queries()["all_linked_orders"](spark, sf).collect()
     assert {r.id: r.component for r in got} == {x: root(x) for x in list(up)} and len(got) == len(up)
+
+
+def test_every_clip_has_shots(spark, sf):
+    from cutgrain.plans import fixtures, registry
+
+    got = registry.queries()["shots"](spark, sf).collect()
+    assert {r.clip_id for r in got} == {r.clip_id for r in fixtures.clip_list(spark, sf).collect()}
+    assert sorted((r.start_s, r.end_s) for r in got if r.clip_id == 7) == [(0.0, 2.0), (2.0, 4.0)]

@@ -387,6 +387,14 @@ def _(spark, d):
     return n.select("name", hashing.fnv1a(F.col("name").cast("binary")).cast("string").alias("hash"))
 
 
+@query("all_fnv_hash")
+def _(spark, d):
+    """fnv_hash over every part, by its numbered name and by its own; held against a plain FNV-1a in tests."""
+    part = table(spark, d, "part")
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).union(part.select("p_name")).union(part.select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")))).distinct()
+    return n.select("name", hashing.fnv1a(F.col("name").cast("binary")).cast("string").alias("hash"))
+
+
 # text sources
 
 

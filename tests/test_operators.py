@@ -260,3 +260,18 @@ def test_every_clip_has_shots(spark, sf):
     got = registry.queries()["shots"](spark, sf).collect()
     assert {r.clip_id for r in got} == {r.clip_id for r in fixtures.clip_list(spark, sf).collect()}
     assert sorted((r.start_s, r.end_s) for r in got if r.clip_id == 7) == [(0.0, 2.0), (2.0, 4.0)]
+
+
+def test_every_part_is_hashed(spark, sf):
+    from cutgrain.plans import registry
+
+    def by_hand(name):
+        h = 0xCBF29CE484222325
+        for b in name.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return str(h)
+
+    names = {r[0] for t, c in (("nation", "n_name"), ("region", "r_name"), ("part", "p_name")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()}
+    names |= {f"part {r.p_partkey}" for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    got = registry.queries()["all_fnv_hash"](spark, sf).collect()
+    assert {r.name: r.hash for r in got} == {n: by_hand(n) for n in names} and len(got) == len(names)

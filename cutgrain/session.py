@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     got = df.checkpoint(eager=True)
     del df
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return got
 

@@ -1,33 +1,35 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
-Each pre-token is a linked list of parts. Every adjacent pair that the vocabulary knows waits in the bucket of
-its rank; a bitmap over the ranks, with two summary levels above it, gives the lowest non-empty rank by three
-find-first-set steps. Entries whose parts have since been merged are skipped when they come up. Work is
-O(n log n) in the pre-token's length, so one very long pre-token costs no more a byte than many short ones.
+Many pre-tokens are merged together: their bytes stand in one array, with a border after each, as a linked list of parts.
+Every adjacent pair that the vocabulary knows waits in the bucket of its rank, which holds its position in the list; a
+bitmap over the ranks, with two summary levels above it, gives the lowest non-empty rank by three find-first-set steps.
+A bucket's pairs are merged at once, entries whose parts have since been merged are skipped, and the pairs that come to
+be are dealt to their buckets. Work grows with the number of merges, so one very long pre-token costs no more a byte
+than many short ones.
 
 Texts are cut into words at single spaces, then into pre-tokens by the vocabulary's pattern; results are kept by
-word and by pre-token in bounded memories, which are emptied when full.
+word and by pre-token in bounded memories.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.words import Words
+from cutgrain.llm.words import Words, chunks
 
-class RankQueue:
-    """Buckets of entries by rank, under three levels of 64-bit words.
+#: Stands for a border between pre-tokens; no pair with it is known.
+_BORDER = (1 << 24) - 1
 
-    An entry is (start << 32 | end) of a pair of parts; a bucket is one entry or a heap of them, so that the leftmost of a
-    rank comes first. A summary bit is written only when the word below it starts or ceases to hold any.
-    """
+
+class RankQueue:
+    """Buckets by rank, under three levels of 64-bit words; a summary bit is written only when the word below it changes."""
 
     __slots__ = ("bits", "buckets", "mid", "top")
 
@@ -35,18 +37,13 @@ class RankQueue:
         self.bits = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, int | list[int]] = {}
-
-    def push(self, rank: int, entry: int) -> None:
-        buckets = self.buckets
-        if rank in buckets:
-            got = buckets[rank]
-            if got.__class__ is int:
-                buckets[rank] = [got, entry] if got < entry else [entry, got]
-            else:
-                heapq.heappush(got, entry)
+        self.buckets: dict[int, list[np.ndarray]] = {}
+
+    def push(self, rank: int, positions: np.ndarray) -> None:
+        if rank in self.buckets:
+            self.buckets[rank].append(positions)
             return
-        buckets[rank] = entry
+        self.buckets[rank] = [positions]
         i = rank >> 6
         if not self.bits[i]:
             if not self.mid[i >> 6]:
@@ -54,27 +51,29 @@ class RankQueue:
             self.mid[i >> 6] |= 1 << (i & 63)
         self.bits[i] |= 1 << (rank & 63)
 
-    def pop(self) -> int:
-        """The leftmost entry of the lowest rank, found by three find-first-set steps; the queue isn't empty."""
+    def pop(self) -> tuple[int, list[np.ndarray]]:
+        """The lowest rank, found by three find-first-set steps, and its bucket; the queue isn't empty."""
         j = (self.top & -self.top).bit_length() - 1
         w = self.mid[j]
         i = j << 6 | (w & -w).bit_length() - 1
         w = self.bits[i]
         rank = i << 6 | (w & -w).bit_length() - 1
-        got = self.buckets[rank]
-        if got.__class__ is not int:
-            entry = heapq.heappop(got)
-            if got:
-                return entry
-            got = entry
-        del self.buckets[rank]
-        w &= w - 1
-        self.bits[i] = w
-        if not w:
+        self.bits[i] = w & (w - 1)
+        if not self.bits[i]:
             self.mid[j] &= self.mid[j] - 1
             if not self.mid[j]:
                 self.top &= self.top - 1
-        return got
+        return rank, self.buckets.pop(rank)
+
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Each position to the bucket of its rank; a bucket's are ascending where `positions` are."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        edge = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])).tolist()
+        for lo, hi, r in zip(edge, [*edge[1:], len(ranks)], ranks[edge].tolist(), strict=True):
+            self.push(r, positions[lo:hi])
 
 
 class Bpe:
@@ -84,53 +83,102 @@ class Bpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.parts = {v: k for k, v in self.ranks.items()}
-        self.queue = RankQueue(max(self.ranks.values()))
-        self.pairs = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.words = Words(pattern, self._pretoken, lambda got: (" ".join([x for x, _ in got]), b"".join([x for _, x in got])))
-
-    def _pretoken(self, x: str) -> tuple[str, bytes]:
-        """ids in decimal, joined by spaces, and the bytes that they stand for."""
-        ids = self.merge(x.encode("utf-8", "replace"))
-        return " ".join(map(str, ids)), b"".join([self.parts[i] for i in ids])
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """ids of one pre-token's bytes."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
-        end = list(range(1, n + 1))  # of the part that starts here; 0: no part starts here any more
-        before = list(range(-1, n))  # start of the part before
-        queue, pairs, known = self.queue, self.pairs, ranks.get
-        push, pop = queue.push, queue.pop
-        last = piece[0]
-        for i in range(1, n):
-            now = piece[i]
-            if (r := pairs[last << 8 | now]) >= 0:
-                push(r, i - 1 << 32 | i + 1)
-            last = now
+        self.shown = {v: str(v) for v in self.parts}
+        self.said = {str(v): k for v, k in self.parts.items()}
+        ranks, known = self.ranks, {}
+        for whole, r in ranks.items():  # every way of putting a token together from two
+            for i in range(1, len(whole)):
+                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
+                if a is not None and b is not None:
+                    known[a << 24 | b] = r
+        self.pair_keys = np.array(sorted(known), np.int64)
+        self.pair_ranks = np.array([known[k] for k in self.pair_keys.tolist()] + [-1], np.int64)
+        self.letters = np.array([ranks[bytes((i,))] for i in range(256)], np.int64)
+        self.words = Words(pattern, self._shown, " ".join)
+
+    def _shown(self, pretokens: list[str]) -> list[str]:
+        """ids of each pre-token in decimal, joined by spaces."""
+        shown = self.shown
+        return [" ".join([shown[i] for i in ids]) for ids in self.merge([p.encode("utf-8", "replace") for p in pretokens])]
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs of parts are together, -1 where that is no token."""
+        key = a << 24 | b
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """ids of each pre-token's bytes."""
+        out: list = [[r] if (r := self.ranks.get(p)) is not None else None for p in pieces]
+        todo = [i for i, x in enumerate(out) if x is None]
+        for i, ids, certain in zip(todo, *self._merge([pieces[i] for i in todo]), strict=True):
+            out[i] = ids if certain else self._merge([pieces[i]], one_by_one=True)[0][0]
+        return out
+
+    def _merge(self, pieces: list[bytes], one_by_one: bool = False) -> tuple[list[list[int]], list[bool]]:
+        """ids of pieces, and whether they are certain.
+
+        All pairs of the lowest rank are merged at once. Where that makes a pair of a lower rank still, the order within that
+        piece may matter, and it isn't certain; one_by_one merges the leftmost pair of a rank alone.
+        """
+        if not pieces:
+            return [], []
+        data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        border = np.cumsum(size + 1) - 1
+        n = len(data)
+        tok = self.letters[data]
+        tok[border] = _BORDER
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        pair = np.append(self.rank_of(tok[:-1], tok[1:]), -1)  # rank of the pair whose first part starts here
+        queue = RankQueue(len(self.ranks))
+        at = np.flatnonzero(pair >= 0)
+        queue.push_all(pair[at], at)
+        odd: list[np.ndarray] = []
         while queue.top:
-            to = pop()
-            at, to = to >> 32, to & 0xFFFFFFFF
-            mid = end[at]
-            if not mid or mid >= to or end[mid] != to:
-                continue  # stale: one of its parts has been merged
-            end[at], end[mid] = to, 0
-            if to < n:
-                before[to] = at
-                if (r := known(piece[at : (z := end[to])])) is not None:
-                    push(r, at << 32 | z)
-            if at and (r := known(piece[(b := before[at]) : to])) is not None:
-                push(r, b << 32 | to)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(out)
-
-    def encode(self, text: str) -> list[tuple[str, bytes]]:
-        """Words in order: their ids in decimal, joined by spaces, and the bytes that these ids decode to."""
-        return self.words.of(text)
+            r, got = queue.pop()
+            a = got[0] if len(got) == 1 else np.concatenate(got)
+            a = a[pair[a] == r]  # the others are stale: one of their parts has been merged
+            if not len(a):
+                continue
+            if len(a) > 1:
+                a = np.unique(a)
+                if one_by_one:
+                    queue.push(r, a[1:])
+                    a = a[:1]
+            m = after[a]
+            if len(a) > 1 and (over := a[1:] == m[:-1]).any():  # a run of pairs that share parts: every other one
+                first = np.flatnonzero(np.concatenate([[True], ~over]))
+                rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+                a = a[rank % 2 == 0]
+                m = after[a]
+            z = after[m]
+            tok[a], after[a], before[z], alive[m], pair[m] = r, z, a, False, -1
+            p = before[a]
+            right, left = self.rank_of(tok[a], tok[z]), self.rank_of(tok[p], tok[a])
+            pair[p], pair[a] = left, right
+            at, new = np.concatenate([p, a]), np.concatenate([left, right])
+            at, new = at[new >= 0], new[new >= 0]
+            if len(at):
+                if (low := new < r).any():
+                    odd.append(at[low])
+                queue.push_all(new, at)
+        ids = tok[alive].tolist()
+        ends = np.cumsum(alive)[border].tolist()  # with a border for each piece
+        exact = np.ones(len(pieces), bool)
+        if odd and not one_by_one:
+            exact[np.searchsorted(border, np.concatenate(odd))] = False
+        return [ids[lo : hi - 1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)], exact.tolist()
+
+    def encode(self, texts: list[str]) -> Iterator[str]:
+        """Each text's ids in decimal, joined by spaces."""
+        return self.words.of(texts)
+
+    def decode(self, ids: str) -> bytes:
+        """The bytes of ids in decimal, joined by spaces."""
+        return b"".join(map(self.said.__getitem__, ids.split(" "))) if ids else b""
 
 
 _made: dict[tuple[str, str], Bpe] = {}
@@ -145,14 +193,18 @@ def _bpe(path: str, pattern: str) -> Bpe:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, ids array<int>): every row's whole text. A null text counts as empty; empty gives no ids.
 
-    Rows are independent: null or repeated ids are passed through, and other columns are dropped.
+    Rows are independent: null or repeated ids are passed through, and other columns are dropped. A very long text is
+    held whole in one task, at some ten times its size, whether it is one pre-token or many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
         for b in batches:
-            ids = [[int(i) for x, _ in bpe.encode(t or "") for i in x.split(" ")] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            at = 0
+            for some in chunks(b.column(1).to_pylist()):
+                ids = [np.array(x.split(" ") if x else [], np.int32) for x in bpe.encode(some)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                at += len(some)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -176,12 +228,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         bpe = _bpe(ranks_path, pattern)
         for b in batches:
             n, a, d = [], [], []
-            for t in b.column(1).to_pylist():
-                got = bpe.encode(t or "")
-                ids = " ".join([x for x, _ in got])
+            for ids in bpe.encode(b.column(1).to_pylist()):
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(hashlib.sha256(ids.encode()).hexdigest())
-                d.append(hashlib.sha256(b"".join([x for _, x in got])).hexdigest())
+                d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,7 @@ each hold a bounded share of the documents, so the work spreads with the input a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,16 +74,22 @@ class _Ids:
         # the letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.words = Words(pattern, self._pretoken, b"".join)
+        self.words = Words(pattern, self._pretokens, b"".join)
 
-    def _pretoken(self, x: str) -> bytes:
-        s = x.encode("utf-8", "replace").decode("latin-1").translate(self.shown)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.model.tokenize(s)])
+    def _pretokens(self, pretokens: list[str]) -> list[bytes]:
+        ids, space, shown = self.model.model.tokenize, chr(self.shown[32]), self.shown
+        out = []
+        for x in pretokens:
+            plain = x.isascii() and x[0] == " " and x[1:].isalpha()
+            s = space + x[1:] if plain else x.encode("utf-8", "replace").decode("latin-1").translate(shown)
+            out.append(array("I", [t.id for t in ids(s)]).tobytes())
+        return out
 
-    def of(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.words.of(text))
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; null texts count as empty."""
+        odd = {i for i, t in enumerate(texts) if t and any(x in t for x in self.special)}
+        for i, data in enumerate(self.words.of(["" if i in odd else t for i, t in enumerate(texts)])):
+            yield np.array(self.model.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() if i in odd else data
 
 
 _made: dict[tuple[str, str], _Ids] = {}
@@ -95,14 +102,17 @@ def _ids(path: str, pattern: str) -> _Ids:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole documents cut at multiples of the window, each piece with its ids' checksum."""
+    """-> PIECES: whole documents cut at multiples of the window, each piece with its ids' checksum.
+
+    A null or empty text is the end id alone; null and repeated ids are passed through; an empty table gives no pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = _ids(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = ids.of(text or "") + end
+            for doc, data in zip(b.column(0).to_pylist(), ids.of(b.column(1).to_pylist()), strict=True):
+                data += end
                 n = len(data) // 4
                 rows += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

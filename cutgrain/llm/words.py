@@ -1,35 +1,56 @@
-"""Texts cut into words and pre-tokens, with what was made of each kept in bounded memory."""
+"""Texts cut into words and pre-tokens, whose values are computed for many at once and kept in bounded memory."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import regex
 
-#: Entries in each of the two generations of a worker's memory.
+#: Words, twice, and pre-tokens that are kept from one chunk of texts to the next.
 MEMORY = 200_000
+#: Characters of text looked at together; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+#: Longer words and pre-tokens are not kept.
+LONGEST = 64
+
+#: Characters after which a word of letters ends as a pre-token of its own, and which are one themselves.
+_ENDS = frozenset(".,;:!?")
 
 #: White space on which words and pre-tokens might be cut differently: two spaces, or three characters and more.
 _UNSAFE = re.compile(r"\s\s\s|  ")
 
-#: In an ASCII text without these and without the first, no such white space can occur.
-_RARE = ("\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Without such a character and without two spaces, it can only be one of these.
+_RARE = re.compile(r"[^\S \n]")
+_THREE = ("\n\n\n", "\n\n ", " \n\n", "\n \n", " \n ")
 
 
 def unsafe(text: str) -> bool:
     """Whether single spaces may not be taken as borders of pre-tokens."""
     if "  " in text:
         return True
-    if text.isascii() and not any(x in text for x in _RARE):
-        return False
+    if _RARE.search(text) is None:
+        return "\n" in text and any(x in text for x in _THREE)
     return _UNSAFE.search(text) is not None
 
 
+def chunks(texts: list, size: int = CHUNK) -> Iterator[list]:
+    """Consecutive texts of about `size` characters together."""
+    some, n = [], 0
+    for t in texts:
+        if some and n + len(t or "") > size:
+            yield some
+            some, n = [], 0
+        some.append(t)
+        n += len(t or "")
+    if some:
+        yield some
+
+
 class Memory(dict):
     """A dict that computes what it lacks; when full, the older half is forgotten."""
 
-    def __init__(self, make: Callable, size: int = MEMORY, longest: int = 64) -> None:
+    def __init__(self, make: Callable, size: int = MEMORY, longest: int = LONGEST) -> None:
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
@@ -46,30 +67,82 @@ class Memory(dict):
 
 
 class Words:
-    """What `pretoken` makes of each pre-token, joined by word with `join`; words are looked up whole."""
+    """The joined values of texts' pre-tokens.
+
+    `values` gives those of many distinct pre-tokens at once, `join` puts values together. In texts where single spaces
+    are borders of pre-tokens, whole words are looked up. Of what is kept, the older half is forgotten when it is full.
+    """
 
-    def __init__(self, pattern: str, pretoken: Callable, join: Callable) -> None:
+    def __init__(self, pattern: str, values: Callable[[list[str]], list], join: Callable) -> None:
         self.pattern = regex.compile(pattern)
-        self.pretokens = Memory(pretoken)
-        self.join = join
-        self.first = Memory(self._word)
-        self.rest = Memory(lambda x: self._word(" " + x))
-
-    def _word(self, x: str):
-        if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()):
-            return self.pretokens[x]
-        if len(x) > 2 and x[-1] in ".,;:!?" and x[1:-1].isalpha() and (x[0] == " " or x[0].isalpha()):
-            return self.join((self.pretokens[x[:-1]], self.pretokens[x[-1]]))
-        return self.join([self.pretokens[p] for p in self.pattern.findall(x)])
-
-    def of(self, text: str) -> list:
-        if not text:
-            return []
-        if unsafe(text):
-            return [self.pretokens[p] for p in self.pattern.findall(text)]
-        words = text.split(" ")
-        rest = self.rest
-        out = [rest[x] for x in words[1:]]
-        if words[0]:
-            out.insert(0, self.first[words[0]])
+        self.values, self.join = values, join
+        self.words: dict = {}  # without the space before them
+        self.older: dict = {}
+        self.pretokens: dict = {}
+
+    def _learn(self, words: set[str], pretokens: set[str]) -> None:
+        """Makes words and pretokens known, which aren't yet."""
+        whole, known, older = self.words, self.pretokens, self.older
+        if older:
+            for w in (again := words & older.keys()):
+                whole[w] = older[w]
+            words = words - again
+        plain = {w for w in words if w.isalpha()}  # a space and letters are one pre-token
+        ended = {w: w[:-1] for w in words - plain if w[-1:] in _ENDS and w[:-1].isalpha()}
+        stems = list(plain.union(ended.values()) - whole.keys())
+        other = {w: self.pattern.findall(" " + w) for w in words - plain - ended.keys()}
+        need = list(pretokens.union(_ENDS, *other.values()) - known.keys())
+        got = self.values([" " + w for w in stems] + need)
+        whole.update(zip(stems, got, strict=False))
+        known.update(zip(need, got[len(stems) :], strict=True))
+        join = self.join
+        for w, x in ended.items():
+            whole[w] = join((whole[x], known[w[-1]]))
+        for w, c in other.items():
+            whole[w] = join([known[p] for p in c])
+
+    def of(self, texts: list[str]) -> Iterator:
+        """The value of each text, in order; null texts count as empty."""
+        for some in chunks(texts):
+            yield from self._chunk(some)
+
+    def _chunk(self, texts: list[str]) -> list:
+        """A value is looked up once where it is known; what isn't is learned together."""
+        parts: list[list] = []
+        lacks: list[tuple] = []
+        words: set[str] = set()
+        pretokens: set[str] = set()
+
+        def look(items: list[str], known: dict, unknown: set[str]) -> list:
+            got = [*map(known.get, items)]
+            if None in got:
+                miss = [i for i, v in enumerate(got) if v is None]
+                unknown.update([items[i] for i in miss])
+                lacks.append((got, items, known, miss))
+            return got
+
+        for t in texts:
+            if not t:
+                parts.append([])
+            elif unsafe(t):
+                parts.append([look(self.pattern.findall(t), self.pretokens, pretokens)])
+            else:
+                rest = t.split(" ")
+                first = self.pattern.findall(rest.pop(0))
+                parts.append([look(first, self.pretokens, pretokens), look(rest, self.words, words)])
+        unknown = [*words, *pretokens]
+        if unknown:
+            self._learn(words, pretokens)
+        for got, items, known, miss in lacks:
+            for i in miss:
+                got[i] = known[items[i]]
+        out = [self.join(sum(ps, [])) for ps in parts]
+        for x in unknown:
+            if len(x) > LONGEST:
+                self.words.pop(x, None)
+                self.pretokens.pop(x, None)
+        if len(self.words) > MEMORY:
+            self.words, self.older = {}, self.words
+        if len(self.pretokens) > MEMORY:
+            self.pretokens = {}
         return out

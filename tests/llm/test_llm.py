@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cutgrain.llm import bpe, chat, covertree, ctw, minhash, packing, rabitq, registry, secrets, substrings, toxicity
+from cutgrain.llm import bpe, chat, covertree, ctw, minhash, packing, rabitq, registry, secrets, substrings, toxicity, words
 from cutgrain.llm.shingles import shingles, word_hashes
 from cutgrain.session import table
 
@@ -306,15 +306,41 @@ def test_bpe(docs, nothing):
     assert bpe.round_trip(nothing, RANKS, PATTERN).collect() == []
 
 
-def test_word_borders():
+def test_word_borders(monkeypatch):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     own, fast, slow = bpe.Bpe(RANKS, PATTERN), packing._Ids(JSON, PATTERN), Tokenizer.from_file(JSON)
     bits, r = ["a", " ", "  ", "\n", "\t", "\n\n", " \n", "é", "foo", "'s", "12", "!!", " ", "日本", "　", "\x1c", "🎉", "\r\n", "²", "."], random.Random(3)
-    for _ in range(3000):
-        x = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
-        assert [int(i) for w, _ in own.encode(x) for i in w.split(" ")] == t.encode_ordinary(x)
-        assert fast.of(x) == np.array(slow.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["<|endoftext|> x", "a" * 300 + " " + "ab" * 200, None]
+    monkeypatch.setattr(words, "MEMORY", 50)
+    monkeypatch.setattr(words, "CHUNK", 2000)
+    for x, ids, data in zip(texts, own.encode(texts), fast.of(texts), strict=True):
+        x = x or ""
+        assert [int(i) for i in ids.split(" ") if i] == t.encode_ordinary(x) and own.decode(ids) == x.encode()
+        assert data == np.array(slow.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_rank_queue():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, r = bpe.Bpe(RANKS, PATTERN), random.Random(6)
+    pieces = [bytes(r.choice(letters) for _ in range(r.randint(1, 60))) for letters in (b"ab", b"a", b"the ing", bytes(range(256)), b"0123456789", b" =-_") * 200]
+    pieces += [b"a" * 5000, b"ab" * 3000, bytes(r.choice(b"abc") for _ in range(20_000))]
+    want = [t._encode_single_piece(p) for p in pieces]
+    assert own.merge(pieces) == want and own._merge(pieces[:30], one_by_one=True)[0] == [own._merge([p])[0][0] for p in pieces[:30]]
+    assert own.merge([]) == []
+
+
+def test_rank_queue_where_order_matters(tmp_path):
+    # merging "bc" makes "abc", of a lower rank, whose own merge decides what becomes of the next "bc"
+    tokens = [*[bytes((i,)) for i in range(256)], b"abc", b"abcb", b"bc", b"cb"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % i for i, x in enumerate(tokens)))
+    own = bpe.Bpe(str(tmp_path / "ranks"), PATTERN)
+    t = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(tokens)}, special_tokens={})
+    r = random.Random(2)
+    pieces = [b"abcbc", b"abcbcbc"] + [bytes(r.choice(b"abc") for _ in range(r.randint(1, 12))) for _ in range(2000)]
+    assert not all(own._merge(pieces)[1])
+    assert own.merge(pieces) == [[own.ranks[p]] if p in own.ranks else t._encode_single_piece(p) for p in pieces]
 
 
 # op7

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of an action go when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
@@ -22,28 +26,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset and everything runs on this machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cutgrain-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if configured is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cutgrain-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Actions within drop their shuffle files when they end, instead of when the driver happens to collect its garbage."""
+    had = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, had)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, into reliable shared storage, and cut its lineage there.
-
-    Shuffles before the cut are no longer needed. Spark deletes their files once the driver's garbage is collected, by
-    default every half hour; iterative jobs would pile them up, so that is asked for here, without holding df.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    got = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return got
+    """Compute df once, into reliable shared storage, and cut its lineage there; its own shuffle files go."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

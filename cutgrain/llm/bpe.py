@@ -76,64 +76,54 @@ class RankQueue:
             self.push(r, positions[lo:hi])
 
 
-class Bpe:
-    """Encoder and decoder for one table of ranks."""
-
-    def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.parts = {v: k for k, v in self.ranks.items()}
-        self.shown = {v: str(v) for v in self.parts}
-        self.said = {str(v): k for v, k in self.parts.items()}
-        ranks, known = self.ranks, {}
-        for whole, r in ranks.items():  # every way of putting a token together from two
-            for i in range(1, len(whole)):
-                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
-                if a is not None and b is not None:
-                    known[a << 24 | b] = r
-        self.pair_keys = np.array(sorted(known), np.int64)
-        self.pair_ranks = np.array([known[k] for k in self.pair_keys.tolist()] + [-1], np.int64)
-        self.letters = np.array([ranks[bytes((i,))] for i in range(256)], np.int64)
-        self.words = Words(pattern, self._shown, " ".join)
+class Merger:
+    """Merges of adjacent parts by rank; a part is the number of a token, and a merge makes the token of its rank."""
 
-    def _shown(self, pretokens: list[str]) -> list[str]:
-        """ids of each pre-token in decimal, joined by spaces."""
-        shown = self.shown
-        return [" ".join([shown[i] for i in ids]) for ids in self.merge([p.encode("utf-8", "replace") for p in pretokens])]
+    def __init__(self, letters: np.ndarray, pairs: dict[int, int], whole: dict[bytes, int]) -> None:
+        """letters: tokens of the 256 bytes; pairs: first << 24 | second -> rank; whole: pre-tokens that are tokens as they are."""
+        self.letters, self.whole = letters, whole
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of what pairs of parts are together, -1 where that is no token."""
+        """Ranks of pairs, -1 where parts don't merge."""
         key = a << 24 | b
-        at = np.searchsorted(self.pair_keys, key)
-        at[at == len(self.pair_keys)] = 0
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """ids of each pre-token's bytes."""
-        out: list = [[r] if (r := self.ranks.get(p)) is not None else None for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None]
-        for i, ids, certain in zip(todo, *self._merge([pieces[i] for i in todo]), strict=True):
-            out[i] = ids if certain else self._merge([pieces[i]], one_by_one=True)[0][0]
-        return out
-
-    def _merge(self, pieces: list[bytes], one_by_one: bool = False) -> tuple[list[list[int]], list[bool]]:
-        """ids of pieces, and whether they are certain.
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all pre-tokens, one after the other, and how many each has."""
+        if not pieces:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        found = list(map(self.whole.get, pieces))
+        ids, size, certain = self._merge([b"" if r is not None else p for p, r in zip(pieces, found, strict=True)])
+        alone = {i: np.array([r]) for i, r in enumerate(found) if r is not None}
+        alone |= {int(i): self._merge([pieces[i]], one_by_one=True)[0] for i in np.flatnonzero(~certain)}
+        if alone:
+            ends, at, parts = np.cumsum(size), 0, []
+            for i in sorted(alone):
+                parts += [ids[at : ends[i] - size[i]], alone[i]]
+                at = ends[i]
+                size[i] = len(alone[i])
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, size
+
+    def _merge(self, pieces: list[bytes], one_by_one: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of pieces, how many each has, and whether they are certain.
 
         All pairs of the lowest rank are merged at once. Where that makes a pair of a lower rank still, the order within that
         piece may matter, and it isn't certain; one_by_one merges the leftmost pair of a rank alone.
         """
-        if not pieces:
-            return [], []
         data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        border = np.cumsum(size + 1) - 1
+        border = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
         n = len(data)
         tok = self.letters[data]
         tok[border] = _BORDER
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         alive = np.ones(n, bool)
         pair = np.append(self.rank_of(tok[:-1], tok[1:]), -1)  # rank of the pair whose first part starts here
-        queue = RankQueue(len(self.ranks))
+        queue = RankQueue(int(self.ranks.max(initial=0)))
         at = np.flatnonzero(pair >= 0)
         queue.push_all(pair[at], at)
         odd: list[np.ndarray] = []
@@ -165,20 +155,41 @@ class Bpe:
                 if (low := new < r).any():
                     odd.append(at[low])
                 queue.push_all(new, at)
-        ids = tok[alive].tolist()
-        ends = np.cumsum(alive)[border].tolist()  # with a border for each piece
-        exact = np.ones(len(pieces), bool)
+        certain = np.ones(len(pieces), bool)
         if odd and not one_by_one:
-            exact[np.searchsorted(border, np.concatenate(odd))] = False
-        return [ids[lo : hi - 1] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)], exact.tolist()
+            certain[np.searchsorted(border, np.concatenate(odd))] = False
+        size = np.diff(np.cumsum(alive)[border], prepend=0) - 1
+        alive[border] = False
+        return tok[alive], size, certain
 
-    def encode(self, texts: list[str]) -> Iterator[str]:
-        """Each text's ids in decimal, joined by spaces."""
+
+class Bpe:
+    """Encoder and decoder for one table of ranks."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks, pairs = self.ranks, {}
+        for whole, r in ranks.items():  # every way of putting a token together from two
+            for i in range(1, len(whole)):
+                a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
+                if a is not None and b is not None:
+                    pairs[a << 24 | b] = r
+        self.merge = Merger(np.array([ranks[bytes((i,))] for i in range(256)], np.int64), pairs, ranks)
+        self.words = Words(pattern, lambda pretokens: self.merge([p.encode("utf-8", "replace") for p in pretokens]))
+        self.parts = {v: k for k, v in ranks.items()}
+        self.shown = {v: str(v) for v in self.parts}
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each text's ids."""
         return self.words.of(texts)
 
-    def decode(self, ids: str) -> bytes:
-        """The bytes of ids in decimal, joined by spaces."""
-        return b"".join(map(self.said.__getitem__, ids.split(" "))) if ids else b""
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.parts.__getitem__, ids))
+
+    def in_decimal(self, ids: list[int]) -> str:
+        """ids joined by spaces."""
+        return " ".join(map(self.shown.__getitem__, ids))
 
 
 _made: dict[tuple[str, str], Bpe] = {}
@@ -202,8 +213,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for b in batches:
             at = 0
             for some in chunks(b.column(1).to_pylist()):
-                ids = [np.array(x.split(" ") if x else [], np.int32) for x in bpe.encode(some)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(list(bpe.encode(some)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
                 at += len(some)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -215,7 +225,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _bpe(ranks_path, pattern).parts
         for b in batches:
-            data = [b"".join(parts[i] for i in x or ()) for x in b.column(1).to_pylist()]
+            data = [b"".join([parts[i] for i in x or ()]) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, data binary")
@@ -229,8 +239,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for b in batches:
             n, a, d = [], [], []
             for ids in bpe.encode(b.column(1).to_pylist()):
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(hashlib.sha256(ids.encode()).hexdigest())
+                ids = ids.tolist()
+                n.append(len(ids))
+                a.append(hashlib.sha256(bpe.in_decimal(ids).encode()).hexdigest())
                 d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

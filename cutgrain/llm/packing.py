@@ -10,8 +10,8 @@ each hold a bounded share of the documents, so the work spreads with the input a
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutgrain.llm.bpe import Merger
 from cutgrain.llm.words import Words
 
 #: Documents that one packer places, about.
@@ -64,32 +65,34 @@ class SumOfSquares:
 
 
 class _Ids:
-    """Little-endian ids of texts by the `tokenizers` library, kept by word in a bounded memory."""
+    """Ids of texts as the `tokenizers` library gives them for a byte-level BPE whose merges make ids in rising order.
+
+    Its file's merges go through the rank queue of operator 6; texts that hold strings of special tokens go to the library.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab, merges = file["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+        ranks = [vocab[a + b] for a, b in merges]
+        if file["model"]["type"] != "BPE" or file["normalizer"] is not None or ranks != sorted(set(ranks)):
+            raise ValueError("a byte-level BPE without a normaliser is needed, whose merges make ids in rising order")
         # the letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        self.shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.words = Words(pattern, self._pretokens, b"".join)
-
-    def _pretokens(self, pretokens: list[str]) -> list[bytes]:
-        ids, space, shown = self.model.model.tokenize, chr(self.shown[32]), self.shown
-        out = []
-        for x in pretokens:
-            plain = x.isascii() and x[0] == " " and x[1:].isalpha()
-            s = space + x[1:] if plain else x.encode("utf-8", "replace").decode("latin-1").translate(shown)
-            out.append(array("I", [t.id for t in ids(s)]).tobytes())
-        return out
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
+        shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        letters = np.array([vocab[chr(shown.get(b, b))] for b in range(256)], np.int64)
+        merge = Merger(letters, {vocab[a] << 24 | vocab[b]: r for (a, b), r in zip(merges, ranks, strict=True)}, {})
+        self.words = Words(pattern, lambda pretokens: merge([p.encode("utf-8", "replace") for p in pretokens]))
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; null texts count as empty."""
         odd = {i for i, t in enumerate(texts) if t and any(x in t for x in self.special)}
-        for i, data in enumerate(self.words.of(["" if i in odd else t for i, t in enumerate(texts)])):
-            yield np.array(self.model.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() if i in odd else data
+        for i, ids in enumerate(self.words.of(["" if i in odd else t for i, t in enumerate(texts)])):
+            yield np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.int32) if i in odd else ids
 
 
 _made: dict[tuple[str, str], _Ids] = {}
@@ -108,12 +111,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = _ids(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
+        ids = _ids(tokenizer_path, pattern)
         for b in batches:
             rows: list[tuple] = []
-            for doc, data in zip(b.column(0).to_pylist(), ids.of(b.column(1).to_pylist()), strict=True):
-                data += end
-                n = len(data) // 4
+            for doc, own in zip(b.column(0).to_pylist(), ids.of(b.column(1).to_pylist()), strict=True):
+                data = np.append(own, end_id).astype("<u4").tobytes()
+                n = len(own) + 1
                 rows += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

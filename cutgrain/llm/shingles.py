@@ -54,6 +54,27 @@ def _hash_chunk(data: bytes) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _power("back", _BACK, len(a))[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes a[at[i] : at[i + 1]], taken over about CHUNK bytes at once."""
+    out, lo = [np.empty(0, np.uint64)], 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+        part = a[at[lo] : at[hi]]
+        cuts = at[lo : hi + 1] - at[lo]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_LETTER[part] * _power("on", _BASE, len(part)), out=sums[1:])
+        out.append(mix((sums[cuts[1:]] - sums[cuts[:-1]]) * _power("back", _BACK, len(part) + 1)[cuts[:-1]] + np.diff(cuts).astype(np.uint64)))
+        lo = hi
+    return np.concatenate(out)
+
+
+def isin_sorted(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are among known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def word_hashes(text: str) -> np.ndarray:
     data = text.encode("utf-8", "replace").lower()
     if len(data) <= CHUNK:

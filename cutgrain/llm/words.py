@@ -1,17 +1,20 @@
-"""Texts cut into words and pre-tokens, whose values are computed for many at once and kept in bounded memory."""
+"""Texts cut into words and pre-tokens, whose ids are computed for many at once and kept in bounded memory."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import regex
 
-#: Words, twice, and pre-tokens that are kept from one chunk of texts to the next.
-MEMORY = 200_000
+from cutgrain.llm.shingles import isin_sorted, span_hashes
+
+#: Words that are kept from one chunk of texts to the next.
+MEMORY = 1_000_000
 #: Characters of text looked at together; a longer text is a chunk of its own.
 CHUNK = 4 << 20
-#: Longer words and pre-tokens are not kept.
+#: Longer keys are not kept in a Memory.
 LONGEST = 64
 
 #: Characters after which a word of letters ends as a pre-token of its own, and which are one themselves.
@@ -50,7 +53,7 @@ def chunks(texts: list, size: int = CHUNK) -> Iterator[list]:
 class Memory(dict):
     """A dict that computes what it lacks; when full, the older half is forgotten."""
 
-    def __init__(self, make: Callable, size: int = MEMORY, longest: int = LONGEST) -> None:
+    def __init__(self, make: Callable, size: int = 200_000, longest: int = LONGEST) -> None:
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 
@@ -66,83 +69,100 @@ class Memory(dict):
         return got
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Words:
-    """The joined values of texts' pre-tokens.
+    """The ids of texts, by pre-token.
 
-    `values` gives those of many distinct pre-tokens at once, `join` puts values together. In texts where single spaces
-    are borders of pre-tokens, whole words are looked up. Of what is kept, the older half is forgotten when it is full.
+    `values` gives many distinct pre-tokens' ids at once: all of them in one array, and how many each has. In texts where
+    single spaces are borders of pre-tokens, whole words are looked up by 64-bit hashes of their bytes (two of a million
+    words share one with a probability of 3e-8); what was made of them is kept, and forgotten when it is too much.
     """
 
-    def __init__(self, pattern: str, values: Callable[[list[str]], list], join: Callable) -> None:
+    def __init__(self, pattern: str, values: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.pattern = regex.compile(pattern)
-        self.values, self.join = values, join
-        self.words: dict = {}  # without the space before them
-        self.older: dict = {}
-        self.pretokens: dict = {}
-
-    def _learn(self, words: set[str], pretokens: set[str]) -> None:
-        """Makes words and pretokens known, which aren't yet."""
-        whole, known, older = self.words, self.pretokens, self.older
-        if older:
-            for w in (again := words & older.keys()):
-                whole[w] = older[w]
-            words = words - again
-        plain = {w for w in words if w.isalpha()}  # a space and letters are one pre-token
-        ended = {w: w[:-1] for w in words - plain if w[-1:] in _ENDS and w[:-1].isalpha()}
-        stems = list(plain.union(ended.values()) - whole.keys())
-        other = {w: self.pattern.findall(" " + w) for w in words - plain - ended.keys()}
-        need = list(pretokens.union(_ENDS, *other.values()) - known.keys())
-        got = self.values([" " + w for w in stems] + need)
-        whole.update(zip(stems, got, strict=False))
-        known.update(zip(need, got[len(stems) :], strict=True))
-        join = self.join
-        for w, x in ended.items():
-            whole[w] = join((whole[x], known[w[-1]]))
-        for w, c in other.items():
-            whole[w] = join([known[p] for p in c])
-
-    def of(self, texts: list[str]) -> Iterator:
-        """The value of each text, in order; null texts count as empty."""
-        for some in chunks(texts):
-            yield from self._chunk(some)
-
-    def _chunk(self, texts: list[str]) -> list:
-        """A value is looked up once where it is known; what isn't is learned together."""
-        parts: list[list] = []
-        lacks: list[tuple] = []
-        words: set[str] = set()
-        pretokens: set[str] = set()
-
-        def look(items: list[str], known: dict, unknown: set[str]) -> list:
-            got = [*map(known.get, items)]
-            if None in got:
-                miss = [i for i, v in enumerate(got) if v is None]
-                unknown.update([items[i] for i in miss])
-                lacks.append((got, items, known, miss))
-            return got
-
-        for t in texts:
-            if not t:
-                parts.append([])
-            elif unsafe(t):
-                parts.append([look(self.pattern.findall(t), self.pretokens, pretokens)])
+        self.values = values
+        self._forget()
+
+    def _forget(self) -> None:
+        #: sorted hashes of known words; where the ids of each begin in `ids`, and how many there are
+        self.keys, self.start, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        pieces: dict[str, int] = {}
+        made: list[int] = []
+        parts: list[int] = []
+        put, findall = pieces.setdefault, self.pattern.findall
+        for w in words:
+            x = w[1:] if w[0] == " " else w
+            if x.isalpha():  # letters, and a space before them, are one pre-token
+                made.append(put(w, len(pieces)))
+                parts.append(1)
+            elif x[-1:] in _ENDS and x[:-1].isalpha():
+                made.append(put(w[:-1], len(pieces)))
+                made.append(put(w[-1], len(pieces)))
+                parts.append(2)
             else:
-                rest = t.split(" ")
-                first = self.pattern.findall(rest.pop(0))
-                parts.append([look(first, self.pretokens, pretokens), look(rest, self.words, words)])
-        unknown = [*words, *pretokens]
-        if unknown:
-            self._learn(words, pretokens)
-        for got, items, known, miss in lacks:
-            for i in miss:
-                got[i] = known[items[i]]
-        out = [self.join(sum(ps, [])) for ps in parts]
-        for x in unknown:
-            if len(x) > LONGEST:
-                self.words.pop(x, None)
-                self.pretokens.pop(x, None)
-        if len(self.words) > MEMORY:
-            self.words, self.older = {}, self.words
-        if len(self.pretokens) > MEMORY:
-            self.pretokens = {}
-        return out
+                c = findall(w)
+                made += [put(p, len(pieces)) for p in c]
+                parts.append(len(c))
+        ids, size = self.values(list(pieces))
+        place = np.array(made, np.int64)
+        start = (np.cumsum(size) - size)[place]
+        own = np.add.reduceat(size[place], np.cumsum(parts) - parts) if parts else np.empty(0, np.int64)
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys)
+        self.keys = all_keys[order]
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(own) - own])[order]
+        self.size = np.concatenate([self.size, own])[order]
+        self.ids = np.concatenate([self.ids, gather(ids, start, size[place]).astype(np.int32)])
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; null texts count as empty."""
+        for some in chunks(texts):
+            plain = [i for i, t in enumerate(some) if t and not unsafe(t)]
+            out = dict(zip(plain, self._plain([some[i].encode("utf-8", "replace") for i in plain]), strict=True))
+            rest = [i for i, t in enumerate(some) if i not in out]
+            out |= dict(zip(rest, self._cut([some[i] or "" for i in rest]), strict=True))
+            for i in range(len(some)):
+                yield out.pop(i)
+
+    def _cut(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """By the pattern over whole texts."""
+        pieces: dict[str, int] = {}
+        places = [np.array([pieces.setdefault(p, len(pieces)) for p in self.pattern.findall(t)], np.int64) for t in texts]
+        ids, size = self.values(list(pieces))
+        start = np.cumsum(size) - size
+        for p in places:
+            yield gather(ids, start[p], size[p]).astype(np.int32)
+
+    def _plain(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """By words, a space and what follows up to the next one."""
+        if not texts:
+            return
+        data = b"".join(texts)
+        a = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        first = np.zeros(len(a) + 1, bool)
+        first[:-1] = a == 32
+        first[0] = first[ends] = True
+        at = np.flatnonzero(first)
+        keys = span_hashes(a, at)
+        kinds, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        lacks = ~isin_sorted(kinds, self.keys)
+        begin, end = at[:-1][one[lacks]].tolist(), at[1:][one[lacks]].tolist()
+        if len(self.keys) + len(begin) > MEMORY or len(self.ids) > 16 * MEMORY:  # what this chunk needs and is known goes along
+            self._forget()
+            begin, end, lacks = at[:-1][one].tolist(), at[1:][one].tolist(), slice(None)
+        if begin:
+            self._learn(kinds[lacks], [data[lo:hi].decode() for lo, hi in zip(begin, end, strict=True)])
+        place = np.searchsorted(self.keys, kinds)[which]
+        size = self.size[place]
+        ids = gather(self.ids, self.start[place], size)
+        border = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(at, np.concatenate([[0], ends]))].tolist()
+        for lo, hi in zip(border, border[1:], strict=False):
+            yield ids[lo:hi]

@@ -7,10 +7,11 @@ one more byte of context). Block probabilities depend on counts alone, so traini
 out are the posterior ones, and prediction mixes the estimates of all depths down the path of a context; where a
 context was not seen in training, the path ends at the deepest one that was.
 
-No table of the model is broadcast or collected. Documents are dealt into buckets of bounded bytes, and a bucket asks for
-its distinct grams and words once, packed. Grams are dealt into ranges by their last TOP context bytes: the trees below
-such a context are within one range, where they are summed upwards and later walked downwards as arrays; the few levels
-above are tables of nodes. A range answers each bucket's packed request with as many values.
+No table of the model is broadcast or collected. Documents are dealt into buckets of about equal bytes, compressed, and a
+bucket asks for its distinct grams and words once, packed. Grams are dealt into ranges by their last TOP context bytes: the
+trees below such a context are within one range, where they are summed upwards and later walked downwards as arrays; the few
+levels above are tables of nodes. A range answers each bucket's packed request with as many values. There are fewer ranges
+than buckets when there are many, so that requests don't grow with their square.
 """
 
 from __future__ import annotations
@@ -32,16 +33,15 @@ DEPTH = 5
 #: Bytes of context by which trees are dealt into ranges; a context of so many bytes has its whole subtree in one.
 TOP = 3
 #: Bytes of text in a bucket, about.
-BUCKET = 16 << 20
+BUCKET = 32 << 20
 #: Bytes looked at together in a task.
 SLICE = 1 << 21
 
 
 def _texts(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    # runs of ids stay together: where a file holds a run, its distinct grams are asked for once
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return d.select(F.pmod(F.xxhash64(F.shiftright("doc_id", 8)), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", held.alias("held_out"), "text")
+    return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", held.alias("held_out"), "text")
 
 
 def grams_of(data: bytes, depth: int) -> np.ndarray:
@@ -53,21 +53,22 @@ def grams_of(data: bytes, depth: int) -> np.ndarray:
     return got.view(np.int64)
 
 
-def _slices(texts: list[bytes], depth: int, size: int = SLICE) -> Iterator[np.ndarray]:
-    """grams of texts, in arrays of bounded length; long texts are cut with the context kept."""
-    have: list[np.ndarray] = []
-    n = 0
-    for t in texts:
-        for at in range(0, len(t), size):
+def _slices(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
+    """Arrays of bounded length with the grams of texts, the texts in each, and how many grams each has; long texts are cut."""
+    have, own, size, n = [], [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t), SLICE):
             lead = min(depth, at)
-            g = grams_of(t[at - lead : at + size], depth)[lead:]
+            g = grams_of(t[at - lead : at + SLICE], depth)[lead:]
             have.append(g)
+            own.append(i)
+            size.append(len(g))
             n += len(g)
-            if n >= size:
-                yield np.concatenate(have)
-                have, n = [], 0
+            if n >= SLICE:
+                yield np.concatenate(have), own, size
+                have, own, size, n = [], [], [], 0
     if have:
-        yield np.concatenate(have)
+        yield np.concatenate(have), own, size
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def _packed(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = pa.ipc.IpcWriteOptions(compression="zstd")
-        for b in batches:
+        for b in (whole.slice(at, 4000) for whole in batches for at in range(0, whole.num_rows, 4000)):
             bucket = b.column(0).to_numpy()
             found, data = np.unique(bucket), []
             for k in found:
@@ -111,48 +112,50 @@ def _merge(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[first], np.add.reduceat(n, first) if len(g) else n
 
 
-REQUEST = "range int, bucket int, keys binary, counts binary"
+REQUEST = "kind string, range int, bucket int, keys binary, counts binary"
 
 
-def _requests(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "bucket", "keys", "counts"])
+def _unpacked(t: pa.Table) -> Iterator[tuple[pa.Table, list[bytes]]]:
+    """The documents of a bucket, a part at a time, and their texts' bytes."""
+    for x in t["data"]:
+        own = pa.ipc.open_stream(x.as_py()).read_all()
+        yield own, [s.encode("utf-8", "replace") for s in own["text"].to_pylist()]
 
 
-def _ask_grams(texts: DataFrame, depth: int, ranges: int) -> DataFrame:
-    """Distinct grams of buckets with their number in training texts, as packed requests to ranges."""
+def _ask(packed: DataFrame, depth: int, ranges: int) -> DataFrame:
+    """Distinct grams and words of buckets with their number in training texts, as packed requests to ranges; the end of a
+    text is the empty word."""
     keep = np.int64((1 << 8 * min(TOP, depth)) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        held_n = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for b, parts in have.items():
-                g, n = _merge(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
-                r = (_mixed(g >> 8 & keep) % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(r, kind="stable")
-                ends = np.searchsorted(r[order], np.arange(ranges + 1))
-                rows = [(i, b, pack(g[at]), zlib.compress(n[at].astype("<i8").tobytes(), 1)) for i in range(ranges) if len(at := order[ends[i] : ends[i + 1]])]
-                yield _requests(rows)
-            have.clear()
-
-        for batch in batches:
-            by: dict[tuple[int, bool], list[bytes]] = {}
-            for b, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if t:
-                    by.setdefault((b, held), []).append(t.encode("utf-8", "replace"))
-            for (b, held), ts in by.items():
-                for part in _slices(ts, depth):
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        some: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        words: Counter = Counter()
+        for own, texts in _unpacked(t):
+            held = own["held_out"].to_pylist()
+            for out in (False, True):
+                for part, *_ in _slices([x for x, h in zip(texts, held, strict=True) if h == out], depth):
                     g, n = np.unique(part, return_counts=True)
-                    have.setdefault(b, []).append((g, n * (not held)))
-                    held_n += len(g)
-            if held_n > 4_000_000:
-                yield from out()
-                held_n = 0
-        yield from out()
-
-    return texts.select("bucket", "held_out", "text").mapInArrow(run, REQUEST)
+                    some.append((g, n * (not out)))
+                    if sum(len(x) for x, _ in some) > 4_000_000:
+                        some = [_merge(*map(np.concatenate, zip(*some, strict=True)))]
+            for x, h in zip(texts, held, strict=True):
+                w = x.lower().split()
+                words.update(dict.fromkeys(w, 0) if h else w)
+            words[b""] += held.count(False)
+        g, n = _merge(*map(np.concatenate, zip(*some, strict=True)))
+        r = (_mixed(g >> 8 & keep) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(r, kind="stable")
+        ends = np.searchsorted(r[order], np.arange(ranges + 1))
+        rows = [("gram", i, pack(g[at]), zlib.compress(n[at].astype("<i8").tobytes(), 1)) for i in range(ranges) if len(at := order[ends[i] : ends[i + 1]])]
+        by: dict[int, list[bytes]] = {}
+        for w in sorted(words):
+            by.setdefault(zlib.crc32(w) % ranges, []).append(w)
+        rows += [("word", i, zlib.compress(b" ".join(ws), 1), zlib.compress(np.array([words[w] for w in ws], "<i8").tobytes(), 1)) for i, ws in by.items()]
+        kind, place, keys, counts = zip(*rows, strict=True)
+        return pa.table({"kind": pa.array(kind), "range": pa.array(place, pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return packed.groupBy("bucket").applyInArrow(run, REQUEST)
 
 
 def _table(start: float) -> np.ndarray:
@@ -246,7 +249,7 @@ def _answer_grams(asked: DataFrame, reach: DataFrame, depth: int, top: int, rang
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "kind": pa.array(["gram"] * len(out[0])), "keys": pa.array(out[1], pa.binary()), "values": pa.array(out[2], pa.binary())})
 
     keep = (1 << 8 * top) - 1
-    # the same range as _ask_grams() gives: computed where rows are few, in Python
+    # the same range as _ask() gives: computed where rows are few, in Python
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ctx = b.column(0).to_numpy()
@@ -302,50 +305,25 @@ def _reach(nodes: DataFrame, top: int) -> DataFrame:
     return now
 
 
-def _ask_words(texts: DataFrame, ranges: int) -> DataFrame:
-    """Distinct words of buckets with their number in training texts, as packed requests; the end is the empty word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for b, c in have.items():
-                by: dict[int, list[bytes]] = {}
-                for w in sorted(c):
-                    by.setdefault(zlib.crc32(w) % ranges, []).append(w)
-                yield _requests([(r, b, zlib.compress(b" ".join(ws), 1), zlib.compress(np.array([c[w] for w in ws], "<i8").tobytes(), 1)) for r, ws in by.items()])
-            have.clear()
-
-        for batch in batches:
-            for b, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = t.encode("utf-8", "replace").lower().split()
-                c = have.setdefault(b, Counter())
-                c.update(dict.fromkeys(words, 0) if held else words)
-                c[b""] += not held
-            if sum(map(len, have.values())) > 1_000_000:
-                yield from out()
-        yield from out()
-
-    return texts.select("bucket", "held_out", "text").mapInArrow(run, REQUEST)
-
-
 def _answer_words(asked: DataFrame) -> DataFrame:
-    """Requests -> (bucket, kind, keys, values): each bucket's words with their counts; a range's totals in bucket -1."""
+    """Requests -> (bucket, kind, keys, values, n, kinds): each bucket's words with their counts; a range's totals in bucket -1."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         words = [zlib.decompress(x).split(b" ") for x in t["keys"].to_pylist()]
         counts = [np.frombuffer(zlib.decompress(x), "<i8").tolist() for x in t["counts"].to_pylist()]
         total: Counter = Counter()
-        by: dict[int, set[bytes]] = {}
-        for b, ws, ns in zip(t["bucket"].to_pylist(), words, counts, strict=True):
+        for ws, ns in zip(words, counts, strict=True):
             for w, n in zip(ws, ns, strict=True):
                 total[w] += n
-            by.setdefault(b, set()).update(ws)
-        sums = np.array([sum(total.values()), sum(n > 0 for n in total.values())], "<f8")
-        rows = [(-1, b"", zlib.compress(sums.tobytes(), 1))] + [(b, zlib.compress(b" ".join(sorted(ws)), 1), zlib.compress(np.array([total[w] for w in sorted(ws)], "<f8").tobytes(), 1)) for b, ws in by.items()]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array(["word"] * len(rows)), "keys": pa.array([r[1] for r in rows], pa.binary()), "values": pa.array([r[2] for r in rows], pa.binary())})
+        rows = [(-1, b"", b"", sum(total.values()), sum(n > 0 for n in total.values()))]
+        rows += [(b, zlib.compress(b" ".join(ws), 1), zlib.compress(np.array([total[w] for w in ws], "<f8").tobytes(), 1), 0, 0) for b, ws in zip(t["bucket"].to_pylist(), words, strict=True)]
+        bucket, keys, values, n, kinds = zip(*rows, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "kind": pa.array(["word"] * len(rows)), "keys": pa.array(keys, pa.binary()), "values": pa.array(values, pa.binary()), "n": pa.array(n, pa.int64()), "kinds": pa.array(kinds, pa.int64())})
+
+    return asked.groupBy("range").applyInArrow(run, "bucket int, kind string, keys binary, values binary, n long, kinds long")
+
 
-    return asked.groupBy("range").applyInArrow(run, "bucket int, kind string, keys binary, values binary")
+SCORE = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("bits_per_byte", pa.float64())]
 
 
 def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,20 +338,18 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
         raise ValueError("a gram has to fit 63 bits: depth is 1 to 6")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    texts, top = _texts(docs, buckets, id_col, text_col), min(TOP, depth)
+    ranges = min(buckets, math.ceil(16 * math.sqrt(buckets)))
+    packed, top = _packed(_texts(docs, buckets, id_col, text_col)), min(TOP, depth)
 
-    grams = cut(_ask_grams(texts, depth, buckets))
+    asked = cut(_ask(packed, depth, ranges))
+    grams = asked.where("kind = 'gram'").drop("kind")
     reach = _reach(cut(_nodes(grams, depth, top)), top)
-    words = cut(_answer_words(_ask_words(texts, buckets)))
-    n_train = vocabulary = 0
-    for r in words.where("bucket = -1").select("values").toLocalIterator():  # two numbers a range
-        n, v = np.frombuffer(zlib.decompress(r["values"]), "<f8")
-        n_train, vocabulary = n_train + int(n), vocabulary + int(v)
-    asked = _answer_grams(grams, reach, depth, top, buckets).union(words.where("bucket >= 0"))
+    words = cut(_answer_words(asked.where("kind = 'word'").drop("kind")))
+    n_train, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    answers = _answer_grams(grams, reach, depth, top, ranges).union(words.where("bucket >= 0").drop("n", "kinds"))
+    floor = math.log10(n_train + vocabulary + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        streams = [pa.ipc.open_stream(x).read_all() for x in left["data"].to_pylist()]
-        left = pa.concat_tables(streams) if streams else pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "text": pa.array([], pa.string())})
         g, lp, known = [np.empty(0, np.int64)], [np.empty(0)], {}
         for kind, k, v in zip(right["kind"].to_pylist(), right["keys"].to_pylist(), right["values"].to_pylist(), strict=True):
             if kind == "gram":
@@ -384,19 +360,22 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
         g, lp = np.concatenate(g), np.concatenate(lp)
         order = np.argsort(g)
         g, lp = g[order], lp[order]
-        floor = math.log10(n_train + vocabulary + 1)
-        cols: list[list] = [[] for _ in range(6)]
-        for t in left["text"].to_pylist():
-            data = t.encode("utf-8", "replace")
-            nats = 0.0
-            for part in _slices([data], depth):
-                nats += float(lp[np.searchsorted(g, part)].sum())
-            tokens = [known[w] for w in data.lower().split()]
-            tokens.append(known[b""])
-            c = np.array(tokens)
-            for col, x in zip(cols, (len(tokens), int((c > 0).sum()), float(np.log10(c + 1).sum()) - len(tokens) * floor, nats / math.log(10), len(data), -nats / math.log(2) / len(data) if data else 0.0), strict=True):
-                col.append(x)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([n_train] * len(cols[0]), pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "n_bytes": pa.array(cols[4], pa.int64()), "bits_per_byte": pa.array(cols[5], pa.float64())})
+        out = [pa.table({c: pa.array([], t) for c, t in SCORE})]
+        for own, texts in _unpacked(left):
+            nats, n = np.zeros(len(texts)), np.array([len(x) for x in texts], np.int64)
+            for part, docs_in, sizes in _slices(texts, depth):
+                kinds, which = np.unique(part, return_inverse=True)
+                sums = np.add.reduceat(lp[np.searchsorted(g, kinds)][which], np.cumsum(sizes) - sizes)
+                np.add.at(nats, docs_in, sums)
+            tokens, seen, base = [], [], []
+            for x in texts:
+                c = np.array([*map(known.__getitem__, x.lower().split()), known[b""]])
+                tokens.append(len(c))
+                seen.append(np.count_nonzero(c))
+                base.append(np.log10(c + 1).sum() - len(c) * floor)
+            cols = [own["doc_id"], own["held_out"], tokens, seen, [n_train] * len(n), base, nats / math.log(10), n, -nats / math.log(2) / np.maximum(n, 1)]
+            out.append(pa.table({c: x if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for (c, t), x in zip(SCORE, cols, strict=True)}))
+        return pa.concat_tables(out)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return _packed(texts).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, schema)
+    return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)

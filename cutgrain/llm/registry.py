@@ -23,8 +23,8 @@ def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated passages, and the original offsets of what went."""
-    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), unit="passage")
+    """Every document's text without repeated lines and passages, and the original offsets of what went."""
+    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,17 +41,23 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return got[:n]
 
 
-def _hash_chunk(data: bytes) -> np.ndarray:
+def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
-    space = _SPACE[a]
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
+    edge = np.flatnonzero(np.diff(_SPACE[a].view(np.int8), prepend=1, append=1))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), start, end
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_LETTER[a] * _power("on", _BASE, len(a)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power("back", _BACK, len(a))[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * _power("back", _BACK, len(a))[start] + (end - start).astype(np.uint64)), start, end
+
+
+def running(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial over hashes, and the factors that take a range of them to its start."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power("on", _BASE, len(h)), out=sums[1:])
+    return sums, _power("back", _BACK, len(h) + 1)
 
 
 def span_hashes(a: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -75,8 +81,9 @@ def isin_sorted(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def word_hashes(text: str) -> np.ndarray:
-    data = text.encode("utf-8", "replace").lower()
+def located_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, where they start and end (bytes)."""
+    data = data.lower()
     if len(data) <= CHUNK:
         return _hash_chunk(data)
     out, at = [], 0
@@ -84,9 +91,14 @@ def word_hashes(text: str) -> np.ndarray:
         to = min(len(data), at + CHUNK)
         while to < len(data) and not _SPACE[data[to]]:
             to += 1
-        out.append(_hash_chunk(data[at:to]))
+        h, start, end = _hash_chunk(data[at:to])
+        out.append((h, start + at, end + at))
         at = to
-    return np.concatenate(out)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    return located_words(text.encode("utf-8", "replace"))[0]
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

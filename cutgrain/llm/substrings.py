@@ -1,111 +1,44 @@
 """Substring dedup by hashed units: of each repeated line or passage, the earliest occurrence stays.
 
-The query and the pipeline remove passages (repeated_passages()): windows of words wherever they start, and whole lines
-and paragraphs. A window is looked for only where the least hash of the short word sequences in it, which depends on
-the window's own words alone, occurs again. The units below are the coarser choice.
-
-Texts are cut into units (paragraphs, lines, or sentences within lines), which are normalised (lower case, white space
-collapsed) and digested to 128 bits. Digests are counted globally, with the earliest place (doc_id, offset) of each;
-only digests that occur again come back to the units. An occurrence that isn't the earliest goes if the run of such
-neighbours that it stands in has enough words: short sentences recur by chance, long runs don't.
-
-A digest of any number of occurrences is one aggregated row; the join back to the units can be split where one
-digest holds many of them. Offsets are code points of the original text.
+Units are lines, and pieces of a text's words whose borders the words themselves decide: a border stands where the hash of
+GRAM words is the least of some WIDTH neighbouring ones, so a passage has the same borders wherever it stands, and starts
+and ends within lines and sentences are found to within WIDTH words. A piece reaches GRAM words beyond its end, so that
+neighbouring pieces overlap; a text's start and end are borders too.
+
+Units are normalised (A-Z lower-cased, white space left out) and digested to 96 bits. Digests are grouped globally with the
+smallest id that has them; only digests of several ids come back to the documents. A line of LEAST_LINE words and more goes
+wherever it isn't the earliest; pieces go where a run of such neighbours has LEAST_RUN words, since short ones recur by
+chance. Offsets are code points of the original text.
+
+A digest of any number of occurrences is one aggregated row; the join back to the units can be split where one digest
+holds many of them. Each document sends a digest once, whatever number of times it has it.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.shingles import _BACK, _BASE, _SPACE, _power, mix, word_hashes
+from cutgrain.llm.rows import keyed, sliced
+from cutgrain.llm.shingles import isin_sorted, located_words, mix, running
 from cutgrain.session import cut
 
-#: Words that a run of repeated neighbouring units has to have to be removed.
-LEAST_WORDS = 20
+#: Words of the hashes that decide on borders, and how many neighbouring ones a border's is the least of.
+GRAM = 4
+WIDTH = 12
 
-#: Words of a passage that goes wherever it starts, and of the hashes that find its occurrences.
-RUN = LEAST_WORDS
-GRAM = 8
+#: Words that a run of repeated neighbouring pieces has to have to go.
+LEAST_RUN = 20
 
-#: Words of a whole line or paragraph that goes. On sf0.1, of the distinct lines of 1, 2, 3, 4, 5 and 6 words 24, 20, 13, 13,
-#: 12 and 11 % recur, and of those of 7 to 12 words 9 to 12 %: only shorter ones recur by chance more than long ones.
+#: Words of a line that goes. On sf0.1, of the distinct lines of 1, 2, 3, 4, 5 and 6 words 24, 20, 13, 13, 12 and 11 %
+#: recur, and of those of 7 to 12 words 9 to 12 %: only shorter ones recur by chance more than long ones.
 LEAST_LINE = 3
-_WHOLE = np.uint64(0x2545F4914F6CDD1D)
-
-#: Ends of units; an end belongs to its unit.
-ENDS = {"paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "line": re.compile(r"\n"), "sentence": re.compile(r"\n|(?<=[.!?])[^\S\n]+")}
-
-UNITS = "doc_id long, at int, start int, end int, words int, h1 long, h2 long"
-
-
-def units_of(text: str, unit: str) -> list[tuple[int, int]]:
-    """Spans of the units that hold words, with the white space that ends them."""
-    out, start = [], 0
-    for m in ENDS[unit].finditer(text):
-        out.append((start, m.end()))
-        start = m.end()
-    out.append((start, len(text)))
-    return [(a, b) for a, b in out if text[a:b].strip()]
-
-
-def _units(docs: DataFrame, unit: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-            cols: list[list] = [[] for _ in range(5)]
-            digests = bytearray()
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i, (a, z) in enumerate(units_of(text or "", unit)):
-                    words = text[a:z].lower().split()
-                    digests += hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
-                    for c, v in zip(cols, (doc, i, a, z, len(words)), strict=True):
-                        c.append(v)
-            h = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]], pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "at", "start", "end", "words", "h1", "h2"])
-
-    return docs.mapInArrow(run, UNITS)
-
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (doc_id, removed array<struct<start, end>>): for documents that lose something, what goes, in order.
-
-    The earliest place of a unit is that of the smallest (doc_id, start). Units without words don't count. Null texts
-    and null ids lose nothing. Rows that repeat an id are taken for one document's.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    units = _units(docs, unit)
-    # cut, so that the join deals both sides anew and adaptive execution can split a digest of very many occurrences
-    again = cut(units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h1", "h2", "first"))
-    late = units.join(again, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
-    by_doc = late.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "words"))).alias("units"))
-    # runs: neighbours have consecutive places, so place minus rank is constant in a run
-    ranked = F.transform("units", lambda u, i: F.struct((u["at"] - i).alias("run"), u["start"].alias("start"), u["end"].alias("end"), u["words"].alias("words")))
-    runs = F.transform(F.array_distinct(F.transform("ranked", lambda u: u["run"])), lambda r: F.filter("ranked", lambda u: u["run"] == r))
-    long_ = F.filter("runs", lambda us: F.aggregate(us, F.lit(0), lambda a, u: a + u["words"]) >= least_words)
-    spans = F.transform(long_, lambda us: F.struct(F.array_min(F.transform(us, lambda u: u["start"])).alias("start"), F.array_max(F.transform(us, lambda u: u["end"])).alias("end")))
-    return by_doc.select("doc_id", ranked.alias("ranked")).select("doc_id", "ranked", runs.alias("runs")).select("doc_id", spans.alias("removed")).where(F.size("removed") > 0)
-
-
-# passages: whole lines and paragraphs, and runs of words wherever they start
-
-PASSAGES = "doc_id long, pass int, keys array<long>, starts array<int>, ends array<int>"
-
-#: Parts of the keys that are looked for one after the other.
-PASSES = 4
-
-
-def _powers_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of a polynomial over word hashes, and the factors that take a range of them to its start."""
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _power("on", _BASE, len(h)), out=sums[1:])
-    return sums, _power("back", _BACK, len(h) + 1)
+_LINE, _SECOND = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -118,134 +51,130 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray, sums: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a text's word hashes: (hashes that stand for it, at each of their places; the one of each window of RUN words).
-
-    A window's anchor is the least hash of the GRAM words that start in it, so equal windows have equal anchors.
-    """
-    if len(h) < RUN:
-        return h[:0], h[:0]
-    gram = mix((sums[GRAM:] - sums[:-GRAM]) * back[: len(h) - GRAM + 1])
-    width = RUN - GRAM + 1
-    least = _sliding(gram, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    return gram[gram == _sliding(np.concatenate([edge, least, edge]), width, np.maximum)], least
-
-
-def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' hashes, their starts and ends, where what goes with a word ends (code points), line feeds after each."""
-    data = text.encode("utf-8", "replace")
-    h, a = word_hashes(text), np.frombuffer(data, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[a].view(np.int8), prepend=1, append=1))
-    start, end = edge[::2], edge[1::2]
-    after = np.append(start[1:], len(a))[: len(start)]
-    feeds = np.concatenate([[0], np.cumsum(a == 10)])
-    lines = feeds[after] - feeds[end]
-    if not text.isascii():
-        at = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
-        start, end, after = at[start], at[end], at[after]
-    return h, start, end, np.where(lines > 0, end, after), lines
-
-
-def _whole(sums: np.ndarray, back: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first word, last word) of lines and of paragraphs of several lines that have at least LEAST_LINE words."""
-    n = len(lines)
-    line_ends, parts = np.flatnonzero(np.append(lines[:-1], 1)), []
-    for feeds in (1, 2):
-        last = np.flatnonzero(np.append(lines[:-1] >= feeds, True))
-        first = np.append(0, last[:-1] + 1)
-        several = np.searchsorted(line_ends, last) > np.searchsorted(line_ends, first)
-        ok = (last - first + 1 >= LEAST_LINE) & (several if feeds == 2 else True)
-        parts.append((first[ok], last[ok]))
-    first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if n else (np.empty(0, int), np.empty(0, int))
-    return mix((sums[last + 1] - sums[first]) * back[first] + (last - first + 1).astype(np.uint64)) ^ _WHOLE, first, last
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    for b in batches:
-        for at in range(0, b.num_rows, 100):
-            yield list(zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True))
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, key): anchors, lines and paragraphs."""
-    for rows in _slices(batches):
-        docs, keys = [], []
-        for doc, text in rows:
-            h, *_, lines = _places(text)
-            if len(h):
-                sums, back = _powers_of(h)
-                keys += anchors(h, sums, back)[0], _whole(sums, back, lines)[0]
-                docs.append(np.full(len(keys[-1]) + len(keys[-2]), doc, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(keys).view(np.int64))], names=["doc_id", "key"])
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, shared) -> PASSAGES: the keys and places of what may occur again, a row for each document and pass."""
-    for rows in _slices(batches):
-        docs, sizes, parts = [], [], []
-        for doc, text, shared in rows:
-            h, start, _, after, lines = _places(text)
-            sums, back = _powers_of(h)
-            known = np.unique(np.array(shared, np.int64).view(np.uint64))
-            isin = lambda x: known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x  # noqa: E731, B023
-            keys, first, last = _whole(sums, back, lines)
-            ok = isin(keys)
-            to = np.append(start[1:], len(text))[last]  # a line takes the white space that ends it along
-            at = np.flatnonzero(isin(anchors(h, sums, back)[1]))
-            keys = np.concatenate([keys[ok], mix((sums[at + RUN] - sums[at]) * back[at])])
-            which = (keys % np.uint64(PASSES)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
-            parts.append((keys[order].view(np.int64), np.concatenate([start[first[ok]], start[at]])[order], np.concatenate([to[ok], after[at + RUN - 1]])[order]))
-            docs.append(doc)
-            sizes.append(np.bincount(which, minlength=PASSES))
-        if docs:
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
-            cols = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(t))) for c, t in zip(zip(*parts, strict=True), (np.int64, np.int32, np.int32), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, PASSES), pa.int64()), pa.array(np.tile(np.arange(PASSES, dtype=np.int32), len(docs))), *cols], names=["doc_id", "pass", "keys", "starts", "ends"])
-
-
-def _islands(spans: DataFrame) -> DataFrame:
-    """(doc_id, start, end) -> the same, overlapping and touching ones joined."""
-    by_place = Window.partitionBy("doc_id").orderBy("start", "end")
-    seen = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans.withColumn("fresh", F.coalesce(F.col("start") > seen, F.lit(True)).cast("int"))
-    numbered = fresh.withColumn("island", F.sum("fresh").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (doc_id, removed array<struct<start, end>>): for documents that lose something, what goes, in order.
-
-    What goes is each whole line or paragraph of LEAST_LINE words and more, and each window of RUN words wherever it
-    starts, that has an earlier occurrence: one of a smaller (doc_id, start). Nulls and repeated ids are as in
-    repeated_spans(). Words are runs of characters other than ASCII white space, A-Z lower-cased.
+def borders(gram: np.ndarray) -> np.ndarray:
+    """Places of hashes that are the least of some WIDTH neighbours."""
+    if len(gram) < WIDTH:
+        return np.empty(0, np.int64)
+    edge = np.zeros(WIDTH - 1, np.uint64)
+    return np.flatnonzero(gram == _sliding(np.concatenate([edge, _sliding(gram, WIDTH, np.minimum), edge]), WIDTH, np.maximum))
+
+
+class Units:
+    """A text's units: digests `h1` and `h2`, first words and the words after the last; pieces come first, then lines."""
+
+    def __init__(self, text: str) -> None:
+        data = text.encode("utf-8", "replace")
+        h, self.start, self.end = located_words(data)
+        self.words = n = len(h)
+        a = np.frombuffer(data, np.uint8)
+        after = np.append(self.start[1:], len(a))[:n]  # white space goes with the word before it
+        feeds = np.flatnonzero(a == 10)
+        lines = np.searchsorted(feeds, after) - np.searchsorted(feeds, self.end)
+        sums, back = running(h)
+        other = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ _SECOND))])
+        hashed = lambda s, e: mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
+        gram = np.arange(max(0, n - GRAM + 1))
+        cuts = np.unique(np.concatenate([[0], borders(hashed(gram, gram + GRAM)), [n]]))
+        first, last = cuts[:-1], np.minimum(cuts[1:] + GRAM, n)
+        self.pieces = len(first)
+        line_end = np.flatnonzero(np.append(lines[:-1] > 0, True))[: n or None] + 1 if n else np.empty(0, np.int64)
+        line_start = np.append(0, line_end[:-1])[: len(line_end)]
+        ok = line_end - line_start >= LEAST_LINE
+        self.first, self.last = np.concatenate([first, line_start[ok]]), np.concatenate([last, line_end[ok]])
+        self.h1 = hashed(self.first, self.last)
+        self.h1[self.pieces :] ^= _LINE
+        self.h2 = (other[self.last] - other[self.first]).astype(np.uint32).view(np.int32)
+        # a run of pieces takes white space along up to the line's end, a line its end too
+        self.to = np.where(lines > 0, self.end, after)
+        self.after = after
+        if not text.isascii():
+            at = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
+            self.start, self.end, self.to, self.after = at[self.start], at[self.end], at[self.to], at[self.after]
+
+    def removed(self, late: np.ndarray) -> list[tuple[int, int]]:
+        """Offsets of what goes where `late` units aren't the earliest ones, in order and apart from each other."""
+        if not late.any():
+            return []
+        edge = np.flatnonzero(np.diff(late[: self.pieces].astype(np.int8), prepend=0, append=0))
+        first, last = self.first[edge[::2]], self.last[edge[1::2] - 1]
+        ok = last - first >= LEAST_RUN
+        which = self.pieces + np.flatnonzero(late[self.pieces :])
+        start = np.concatenate([self.start[first[ok]], self.start[self.first[which]]])
+        end = np.concatenate([self.to[last[ok] - 1], self.after[self.last[which] - 1]])
+        out: list[tuple[int, int]] = []
+        for i in np.lexsort((end, start)):
+            a, z = int(start[i]), int(end[i])
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(z, out[-1][1]))
+            else:
+                out.append((a, z))
+        return out
+
+
+def _send(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(doc_id, t, text) -> (h1, h2, doc_id, t): each digest of a document once."""
+    ids, ts, h1, h2 = [], [], [], []
+    for doc, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        u = Units(text)
+        one = np.unique(u.h1, return_index=True)[1]
+        h1.append(u.h1[one])
+        h2.append(u.h2[one])
+        ids.append(np.full(len(one), doc, np.int64))
+        ts.append(np.full(len(one), t, np.int64))
+    if h1:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (h2, ids, ts))], names=["h1", "h2", "doc_id", "t"])
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text) -> (doc_id, t, late array<long>): digests of a row that another row before it has.
+
+    Before it are rows of smaller ids, and of the same id those of smaller t.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    asked = docs.mapInArrow(_ask, "doc_id long, key long")
-    shared = cut(asked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    of_doc = cut(asked.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("shared")))
-    # only windows whose anchor occurs again can occur again
-    packed = cut(docs.join(of_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_answer, PASSAGES))
-    found = []
-    for i in range(PASSES):  # a part of the keys at a time, so that only its places are shuffled at once
-        places = packed.where(F.col("pass") == i).select("doc_id", F.inline(F.arrays_zip("keys", "starts", "ends")).alias("key", "start", "end"))
-        again = cut(places.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("key", "first"))
-        late = places.join(again, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end")
-        found.append(cut(_islands(late)))
-    return _islands(reduce(DataFrame.union, found)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-
-
-def dedup(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with repeated units cut out of text, and `removed`, their original offsets (empty: none).
-
-    The unit "passage" stands for repeated_passages(), which doesn't use least_words.
+    units = docs.mapInArrow(sliced(_send), "h1 long, h2 int, doc_id long, t long")
+    # both sides of the joins are dealt anew, so that adaptive execution can split a digest of very many occurrences
+    again = cut(units.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
+    late = units.join(again, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "t", "h1")
+    several = units.where("t != 0")  # rows of repeated ids
+    own = cut(several.groupBy("h1", "h2", "doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("h1", "h2", "doc_id", "lo"))
+    if not own.isEmpty():
+        late = late.union(several.join(own, ["h1", "h2", "doc_id"]).where("t > lo").select("doc_id", "t", "h1"))
+    return late.groupBy("doc_id", "t").agg(F.collect_list("h1").alias("late"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs without what repeats, and `removed` array<struct<start, end>>: original offsets of what went, in order.
+
+    What goes is each line of LEAST_LINE words and more, and each run of pieces of LEAST_RUN words and more, that has an
+    earlier occurrence. The earliest is that of the smallest doc_id and offset. Rows that repeat an id come in the order of a
+    hash of their texts; of rows with the same id and text one counts as the first. Null texts and texts without words
+    lose nothing, nor do rows with a null id, nor count their texts. Other columns stay as they are; an input column
+    `removed` is replaced. A text is held whole in one task, at some hundred times its size. An empty table gives no rows.
     """
-    found = repeated_passages(docs) if unit == "passage" else repeated_spans(docs, unit, least_words)
-    spans = found.select(F.col("doc_id").alias("__id"), "removed")
-    got = docs.join(spans, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
-    kept = F.zip_with(ends, F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.char_length("text"))), lambda a, b: F.substr(F.col("text"), a + 1, b - a))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text"))
-    return got.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("removed", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("removed"))
+    docs = docs.drop("removed")
+    own = keyed(docs.withColumn("__id", F.col("doc_id").cast("long")), id_col="__id")
+    full = own.where("__id is not null and text is not null and not __copy").select(F.col("__id").alias("doc_id"), F.col("__t").alias("t"), F.col("text").cast("string").alias("text"))
+    late = repeated(full).select(F.col("doc_id").alias("__doc"), F.col("t").alias("__u"), F.col("late").alias("__late"))
+    got = own.join(late, (F.col("__id") == F.col("__doc")) & (F.col("__t") == F.col("__u")), "left")
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def remove(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, gone = b.column(at).to_pylist(), []
+        for i, (text, late, copy) in enumerate(zip(texts, b.column("__late").to_pylist(), b.column("__copy").to_pylist(), strict=True)):
+            out: list[tuple[int, int]] = []
+            if text and (late or copy is not None):
+                u = Units(text)
+                again = np.ones(len(u.h1), bool)
+                if not copy:
+                    again[np.unique(u.h1, return_index=True)[1]] = False  # a later occurrence in the same text
+                    again |= isin_sorted(u.h1, np.sort(np.array(late or [], np.int64).view(np.uint64)))
+                out = u.removed(again)
+            if out:
+                texts[i] = "".join([text[a:z] for a, z in zip([0, *[z for _, z in out]], [*[a for a, _ in out], len(text)], strict=True)])
+            gone.append([{"start": a, "end": z} for a, z in out])
+        cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, spans)], names=[*names, "removed"])
+
+    rows = got.select(*names, F.when(F.col("__id").isNotNull(), F.col("__copy")).alias("__copy"), "__late").withColumn("text", F.col("text").cast("string"))
+    schema = rows.select(*names).schema
+    return rows.mapInArrow(sliced(remove), ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema) + ", removed array<struct<start:int,end:int>>")

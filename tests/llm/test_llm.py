@@ -158,72 +158,75 @@ def test_bounds():
 # op3
 
 
-def test_substrings(docs, nothing):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    first, spans = {}, lambda t: substrings.units_of(t or "", "sentence")
-    norm = lambda t, a, z: " ".join(t[a:z].lower().split())
-    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
-        for a, z in spans(t):
-            at = first.setdefault(norm(t, a, z), (i, a))
-            first[norm(t, a, z)] = min(at, (i, a))
-    got = {r.doc_id: r for r in substrings.dedup(docs.where("doc_id <> 12 or doc_id is null")).collect()}
-    for i, t in rows:
-        if i in (12,):
+def words_of(t):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t or "")]
+
+
+def check_removed(rows):
+    """What each row lost is as told, stood earlier too, and no repeated line is left twice. rows: (rank, text, new text, removed)."""
+    first, lines = {}, collections.defaultdict(list)
+    for rank, t, _, _ in rows:
+        w = words_of(t)
+        for i in range(len(w)):
+            for n in (3, substrings.GRAM + 1):
+                key = tuple(x[2] for x in w[i : i + n])
+                first[key] = min(first.get(key, (rank, i)), (rank, i))
+    for rank, t, new, removed in rows:
+        if t is None:
+            assert new is None and removed == []
             continue
-        late = [(a, z) for a, z in spans(t) if i is not None and first[norm(t, a, z)] != (i, a) and len(t[a:z].split()) >= substrings.LEAST_WORDS]
-        assert [tuple(s) for s in got[i].removed] == late
-        want, at = "", 0
-        for a, z in late:
-            want, at = want + t[at:a], z
-        assert got[i].text == (None if t is None else want + t[at:])
-    assert got[2].text == "" and got[1].removed == [] and "END" in got[11].text.upper()
+        at, kept = 0, ""
+        for a, z in removed:
+            assert at <= a < z <= len(t)
+            kept, at = kept + t[at:a], z
+        assert new == kept + t[at:]
+        w = words_of(t)
+        for a, z in removed:
+            inside = [i for i, x in enumerate(w) if a <= x[0] and x[1] <= z]
+            n = min(substrings.GRAM + 1, len(inside))
+            assert n >= 3
+            for i in inside[: len(inside) - n + 1]:
+                n_ = n if n in (3, substrings.GRAM + 1) else 3
+                assert first[tuple(x[2] for x in w[i : i + n_])] < (rank, i)
+        gone = {i for a, z in removed for i in range(a, z)}
+        for m in re.finditer(r"[^\n]+", t):
+            key = " ".join(m[0].lower().split())
+            if len(key.split()) >= 3:
+                whole = any(i not in gone and not t[i].isspace() for i in range(*m.span()))
+                lines[key].append(((rank, m.start()), whole))
+    for places in lines.values():
+        places.sort()
+        assert not any(stays for _, stays in places[1:]), places
+    return lines
+
+
+def test_lines_and_passages(spark, docs, nothing):
+    r, line = random.Random(8), "all rights kept by the makers"
+    shared = [say(50 + i, n) for i, n in enumerate((50, 63, 90, 51))]
+    rows = [(i, f"{say(200 + i, r.randint(0, 30))} {shared[i % 4]} é日 {say(300 + i, r.randint(1, 30))}") for i in range(24)]
+    rows += [(100 + i, f"{say(400 + i, 9)}\n{line}\nyes\n{say(500 + i, 9)}\n\none two\nthree {'x' * (i % 2)}\n\n{'la ' * 70}end{i}\n") for i in range(4)]
+    rows += [(200, ""), (201, " \n"), (202, "\n" + line.upper() + "  \n"), (203, None), (204, LONG), (205, "x " + LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1)).withColumn("late", F.lit(2)).withColumn("h1", F.lit(3)).repartition(3)
+    got = {x.doc_id: x for x in substrings.dedup(df).collect()}
+    check_removed([(i, t, got[i].text, [tuple(x) for x in got[i].removed]) for i, t in rows])
+    assert got[5].late == 2 and got[202].text.strip() == "" and got[101].text.count(line) == 0 and "yes" in got[101].text
+    for i in range(24):  # a passage within a sentence goes but for what stands before its first border
+        lost = len(words_of(rows[i][1])) - len(words_of(got[i].text))
+        assert lost == 0 if i < 4 else lost >= len(shared[i % 4].split()) - 2 * substrings.WIDTH
+    assert got[204].removed == [] and len(got[205].text.split()) <= 1 + substrings.WIDTH
     assert substrings.dedup(nothing).collect() == []
-    assert len(substrings.dedup(docs).collect()) == len(rows)
-
-
-def passages_by_hand(rows, run, least):
-    """id -> code points covered by repeated windows of `run` words and repeated lines and paragraphs; white space aside."""
-    units, first = [], {}
-    for i, t in rows:
-        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t)]
-        spans = [(0, a, a + run) for a in range(len(words) - run + 1)]
-        for end in (r"\n", r"\n[^\S\n]*\n"):
-            borders = [0, *sorted({sum(w[0] < m.end() for w in words) for m in re.finditer(end, t)} - {0, len(words)}), len(words)]
-            spans += [(1, a, z) for a, z in zip(borders, borders[1:]) if z - a >= least]
-        for kind, a, z in spans:
-            key = kind, tuple(w[2] for w in words[a:z])
-            first[key] = min(first.get(key, (i, words[a][0])), (i, words[a][0]))
-            units.append((i, key, words[a][0], words[z - 1][1]))
-    out = {i: set() for i, _ in rows}
-    for i, key, a, z in units:
-        if first[key] != (i, a):
-            out[i] |= set(range(a, z))
-    return out
 
 
-def test_passages_mid_sentence(spark, nothing):
-    r, line = random.Random(8), "all rights kept by the makers"
-    shared = [say(50 + i, n) for i, n in enumerate((50, 63, 90, 49))]
-    rows = [(i, f"{say(200 + i, r.randint(0, 30))} {shared[i % 4]} é日 {say(300 + i, r.randint(1, 30))}") for i in range(24)]
-    rows += [(100 + i, f"{say(400 + i, 9)}\n{line}\n{say(500 + i, 9)}\n\none two\nthree {'x' * (i % 2)}\n\n{'la ' * 70}end{i}\n") for i in range(4)]
-    rows += [(200, ""), (201, " \n"), (202, "\n" + line.upper() + "  \n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x for x in substrings.dedup(df, unit="passage").collect()}
-    want = passages_by_hand(rows, substrings.RUN, substrings.LEAST_LINE)
-    for i, t in rows:
-        gone = {x for s in got[i].removed for x in range(s.start, s.end)}
-        assert {x for x in gone if not t[x].isspace()} == {x for x in want[i] if not t[x].isspace()}, i
-        assert got[i].text == "".join(c for x, c in enumerate(t) if x not in gone)
-    assert not any(shared[k] in got[i].text for i in range(4, 24) for k in range(3))
-    assert substrings.dedup(nothing, unit="passage").collect() == []
-
-
-def test_short_lines_go_once(spark):
-    line = "all rights kept by the makers"
-    rows = [(i, f"{say(600 + i, 9)}\n{line}\nyes\n{say(700 + i, 9)}") for i in range(4)] + [(9, line.upper() + "\n")]
-    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit="passage").collect()}
-    assert got[0] == rows[0][1] and got[9] == ""
-    assert all(got[i] == rows[i][1].replace(line + "\n", "") for i in range(1, 4))
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c, d = (say(70 + i, 40) for i in range(4))
+    rows = [(2, f"{a} {b}"), (2, c), (2, c), (2, c), (3, a), (5, d), (5, d + "\nplus one line here"), (None, a), (None, a), (None, "")]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    texts = collections.Counter((r.doc_id, r.text) for r in got)
+    assert texts[2, f"{a} {b}"] == 1 and texts[2, c] == 1 and texts[2, ""] == 2 and texts[None, a] == 2
+    assert len(next(r.text for r in got if r.doc_id == 3).split()) <= substrings.WIDTH
+    left = " ".join(r.text for r in got if r.doc_id == 5).split()
+    assert 40 + 4 <= len(left) <= 40 + 4 + substrings.WIDTH + substrings.GRAM and set(d.split()) <= set(left)
 
 
 # op4

@@ -130,11 +130,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     Before it are rows of smaller ids, and of the same id those of smaller t.
     """
-    units = docs.mapInArrow(sliced(_send), "h1 long, h2 int, doc_id long, t long")
+    units, several = (d.mapInArrow(sliced(_send), "h1 long, h2 int, doc_id long, t long") for d in (docs, docs.where("t != 0")))
     # both sides of the joins are dealt anew, so that adaptive execution can split a digest of very many occurrences
     again = cut(units.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
     late = units.join(again, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "t", "h1")
-    several = units.where("t != 0")  # rows of repeated ids
+    # several: rows of repeated ids
     own = cut(several.groupBy("h1", "h2", "doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("h1", "h2", "doc_id", "lo"))
     if not own.isEmpty():
         late = late.union(several.join(own, ["h1", "h2", "doc_id"]).where("t > lo").select("doc_id", "t", "h1"))

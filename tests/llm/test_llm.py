@@ -454,6 +454,17 @@ def components_by_hand(rows, k, percent):
     return sorted(((i, len(s), root(i) if i is not None else None, i is None or root(i) == i) for i, s in sets), key=repr)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = say(80, 40), say(81, 40), say(82, 40)
+    rows = [(5, a), (12, a), (12, b), (20, b), (12, b), (30, c), (30, c + " x"), (None, c), (None, c), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("t", F.lit("x")).repartition(3)
+    got = minhash.near_duplicates(df, k=2).collect()
+    assert sorted(map(tuple, got), key=repr) == components_by_hand(rows, 2, 80)
+    left = collections.Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df, k=2).collect())
+    one = [x for x in ((30, c), (30, c + " x")) if left[x]]
+    assert len(one) == 1 and left == collections.Counter([*one, (5, a), (12, b), (None, "")])
+
+
 @pytest.mark.parametrize(("k", "block"), [(2, 256), (5, 3)])
 def test_near_duplicates(spark, docs, nothing, k, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)

@@ -8,8 +8,11 @@ Labels say only whether a text is toxic. The ordered grades are derived from the
 split at the median of their number of toxic words (those whose features are selected for toxicity) into 1, mild, and
 2, severe.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE) with a bounded number of features (FEATURES); scoring
-covers every row. The fitted model's size doesn't depend on the data, so it travels with the tasks.
+So the upper threshold tells how many toxic words a text has rather than what a reader would call severe; with graded
+labels it would tell that.
+
+The model is fitted on a bounded sample of labelled rows (SAMPLE), with the features of which that sample gives evidence;
+scoring covers every row. The fitted model's size depends on the sample only, so it travels with the tasks.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutgrain.llm.rows import sliced, small
 from cutgrain.llm.words import Memory
+from cutgrain.session import cut
 
 #: Labelled rows that the model is fitted on, about: those with the smallest hashes.
 SAMPLE = 20_000
-#: Features that the model may use.
-FEATURES = 2000
 #: Likelihood-ratio statistic that a feature needs: chance gives so much once in 100,000 features.
 EVIDENCE = 20.0
 #: A text is rejected from this probability of a grade over 0.
@@ -62,46 +65,45 @@ def _words(text: str | None) -> Counter:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, text, toxic boolean) of about `sample` labelled documents."""
+    """(text, toxic boolean) of about `sample` labelled documents, one row for each id."""
     lab = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     part = min(1.0, sample / max(1, lab.count()))
-    lab = lab.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(lab) if sample <= 100_000 else lab, "doc_id")
+    lab = cut(lab.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < int(part * (1 << 20))))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(lab), "doc_id")
+    return cut(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Ordinal:
-    """Null ids and labels are left out; several labels of one document count as the highest. Without both classes the
-    model has no weights and rejects nothing."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
+    """Null ids and labels are left out; several labels of one document count as the highest, of rows that repeat an id one
+    counts. Without both classes, as with empty tables, the model has no weights and rejects nothing. Other columns of docs
+    and labels don't matter."""
     rows = _labelled(docs, labels, sample)
+    total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows at most
+    pos, neg = total.get(True, 0), total.get(False, 0)
+    if not pos or not neg:
+        return Ordinal({}, (1e9, 1e9))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
-        total = [0, 0]
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([k for k, _ in n]), pa.array([t for _, t in n]), pa.array(list(n.values()), pa.int64())], names=["name", "toxic", "n"])
+            got = pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.string()), pa.array([t for _, t in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["name", "toxic", "n"])
             n.clear()
             return got
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[toxic] += 1
                 n.update((x, toxic) for x in {f for w in _words(text) for f in names(w)})
                 if len(n) > 200_000:
                     yield out()
-        n.update({("", True): total[1], ("", False): total[0]})
         yield out()
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "name string, toxic boolean, n long").groupBy("name").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("neg"))
-    first = counts.where("name = ''").first()
-    pos, neg = (first["pos"], first["neg"]) if first else (0, 0)
-    if not pos or not neg:
-        return Ordinal({}, (1e9, 1e9))
+    counts = rows.mapInArrow(count, "name string, toxic boolean, n long").groupBy("name").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("neg"))
     # association: the likelihood-ratio statistic, which holds for rare features too; EVIDENCE leaves out what chance explains
     p, q = F.col("pos"), F.col("neg")
     part = lambda n, share: F.when(n > 0, n * F.log(n / (p + q) / share)).otherwise(0.0)
     g = 2 * (part(p, pos / (pos + neg)) + part(q, neg / (pos + neg)))
-    top = counts.where("name != ''").select("name", g.alias("g"), "pos", "neg").where(F.col("g") >= EVIDENCE).orderBy(F.col("g").desc(), "name").limit(features).toPandas()
+    top = counts.select("name", g.alias("g"), "pos", "neg").where(F.col("g") >= EVIDENCE).orderBy(F.col("g").desc(), "name").toPandas()
     index = {x: i for i, x in enumerate(top["name"])}
     # those of mostly toxic texts measure how severe a toxic text is
     bad = frozenset(top["name"][(top["pos"] / pos) > 20 * (top["neg"] + 0.5) / neg])
@@ -123,12 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 hits.append(hit)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(hits, pa.int64())], names=["toxic", "ids", "x", "hits"])
 
-    got = rows.select("text", "toxic").mapInArrow(vectors, "toxic boolean, ids array<int>, x array<float>, hits long").toPandas()
+    got = rows.mapInArrow(vectors, "toxic boolean, ids array<int>, x array<float>, hits long").toPandas()
     return _regress(got, list(top["name"]))
 
 
-def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 1500, ridge: float = 0.1) -> Ordinal:
-    """Accelerated gradient descent on the mean negative log-likelihood of the cumulative-link model."""
+def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 3000, ridge: float = 0.1, settled: float = 1e-4) -> Ordinal:
+    """Accelerated gradient descent on the mean negative log-likelihood of the cumulative-link model, until 50 steps change no
+    parameter by more than `settled`."""
     rows = rows.sort_values(["hits", "toxic"], kind="stable", ignore_index=True)
     toxic = rows["toxic"].to_numpy(bool)
     median = float(np.median(rows["hits"][toxic]))
@@ -145,7 +148,7 @@ def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 1500, ridge: fl
     scale = np.bincount(col, val * val, d) / n + 1e-3  # a diagonal bound of the curvature
     rate = np.concatenate([1 / (scale * 8), [1.0, 0.5]])
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    last, look = par.copy(), par.copy()
+    last, look, before = par.copy(), par.copy(), par
     for k in range(steps):
         w, t0, gap = look[:d], look[d], math.exp(min(look[d + 1], 5))
         s = np.bincount(row, val * w[col], n)
@@ -159,6 +162,10 @@ def _regress(rows: pd.DataFrame, names_: list[str], steps: int = 1500, ridge: fl
         look = now + k / (k + 3) * (now - last)
         if k % 50 == 49:
             look = now.copy()  # restart: momentum doesn't overshoot
+            if np.abs(now - before).max() < settled:
+                last = now
+                break
+            before = now
         last = now
     w, t0 = last[:d], last[d]
     return Ordinal({x: float(v) for x, v in zip(names_, w, strict=True) if abs(v) > 1e-6}, (float(t0), float(t0 + math.exp(min(last[d + 1], 5)))))
@@ -169,7 +176,7 @@ class _Scorer:
 
     def __init__(self, model: Ordinal) -> None:
         self.model = model
-        self.known = Memory(lambda w: tuple(f for f in names(w) if f in model.weights), longest=40)
+        self.known = Memory(lambda w: tuple(f for f in names(w) if f in model.weights), 50_000, longest=40)
 
     def __call__(self, text: str | None) -> list[float]:
         known, x = self.known, {}
@@ -188,20 +195,30 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Scorer(model)
-        for b in batches:
+
+        def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             p = np.array([of(t) for t in b.column(1).to_pylist()]).reshape(-1, len(model.thresholds))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)], names=["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
+        yield from sliced(one, 2000)(batches)
+
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of docs that the model doesn't reject, in one pass and without a join."""
+    """The rows of docs that the model doesn't reject, in one pass and without a join.
+
+    Null and empty texts stay, unless the model rejects a text without features. Rows are independent: null and repeated
+    ids are kept, whatever the columns are named. An empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Scorer(model)
-        for b in batches:
+
+        def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array([of(t)[0] < REJECT for t in b.column(at).to_pylist()], pa.bool_()))
 
+        yield from sliced(one, 2000)(batches)
+
     return docs.mapInArrow(run, docs.schema)

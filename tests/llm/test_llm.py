@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -431,6 +432,42 @@ def test_toxicity(spark, sf, docs, nothing):
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
 
 
+def test_fit_is_least():
+    """No change of a weight or threshold lowers the negative log-likelihood, computed row by row."""
+    r = np.random.default_rng(5)
+    n, d = 300, 6
+    toxic = r.random(n) < 0.4
+    hits = np.where(toxic, r.integers(1, 9, n), 0)
+    ids = [sorted(set(r.integers(0, 3, 2).tolist() + (r.integers(3, d, 2).tolist() if t and r.random() < 0.8 or r.random() < 0.1 else []))) for t in toxic]
+    rows = pd.DataFrame({"toxic": toxic, "ids": ids, "x": [[math.log1p(1 + (i % 3)) for i in x] for x in ids], "hits": hits})
+    model = toxicity._regress(rows, [f"f{i}" for i in range(d)])
+    w = [model.weights.get(f"f{i}", 0.0) for i in range(d)]
+    middle = float(np.median(hits[toxic]))
+
+    def loss(w, t0, t1):
+        total = 0.05 * sum(v * v for v in w)
+        for bad, own, x, hit in zip(toxic, ids, rows["x"], hits, strict=True):
+            s = sum(w[i] * v for i, v in zip(own, x, strict=True))
+            above = [1 / (1 + math.exp(t - s)) for t in (t0, t1)]
+            total -= math.log((above[1] if hit > middle else above[0] - above[1]) if bad else 1 - above[0])
+        return total / n
+
+    best = loss(w, *model.thresholds)
+    for i in range(d):
+        for step in (0.05, -0.05):
+            assert loss([v + step * (i == j) for j, v in enumerate(w)], *model.thresholds) > best
+    for a, b in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)):
+        assert loss(w, model.thresholds[0] + a, model.thresholds[1] + b) > best
+
+
+def test_reject_keeps_columns(docs, nothing):
+    model = toxicity.Ordinal({"=token": 5.0}, (1.0, 2.0))
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter((i, t) for i, t in TEXTS if i != -7)
+    assert toxicity.drop_toxic(nothing, model).collect() == []
+
+
 # op10
 
 

@@ -42,7 +42,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(secrets.default_samples(spark).union(secrets.samples_of(docs))))
 
 
 def op8_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:

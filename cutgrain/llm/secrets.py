@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-DataFrame functions only. One model is trained on random strings, the other on ordinary identifiers, both from a table
-of labelled samples. A token of a text is a secret where its characters' transitions are likelier under the first by
-more than a threshold. Spans of the patterns are always reported; the models add those of other tokens.
+DataFrame functions only. One model is trained on random strings, the other on ordinary identifiers and words, both from
+a table of labelled samples. A token of a text is a secret where the log-likelihood ratio of its characters' transitions
+exceeds a threshold, which held-out samples decide. Spans of the patterns are always reported; the models add those of
+other tokens.
 
 Offsets come from splitting a text at a pattern: the pieces' and the matches' lengths add up to positions. Sums run
 over blocks of matches, so that many matches in one text don't cost their square.
@@ -24,9 +25,15 @@ PATTERNS = {
 }
 #: Tokens that the models look at; shorter ones say too little.
 TOKEN = r"[A-Za-z0-9+/_=-]+"
-LEAST_TOKEN = 20
-#: Natural-log likelihood ratio a transition, above which a token is random.
-THRESHOLD = 0.35
+LEAST_TOKEN = 12
+#: Of tokens in texts at least so many are ordinary for each random one: the least log-likelihood ratio that says otherwise.
+LEAST_RATIO = math.log(1e5)
+#: Share of the held-out ordinary samples that may exceed the threshold, and one in how many samples is held out.
+FALSE_ALARMS = 1e-3
+HELD_OUT = 4
+#: Documents from which samples are taken, about, and in how many of them a word has to stand to be an ordinary one.
+SAMPLE_DOCS = 5000
+WORD_DOCS = 3
 BLOCK = 256
 
 #: Classes of characters in transitions: letters and digits stand for themselves, the rest for one.
@@ -56,10 +63,11 @@ IDENTIFIER_PARTS = (
 
 @dataclass(frozen=True)
 class Markov:
-    """Log-likelihood ratios of transitions between classes of characters, row by row."""
+    """Log-likelihood ratios of transitions between classes of characters, row by row, and the sum from which a token is random."""
 
     ratios: tuple[float, ...]
     classes: int
+    threshold: float = LEAST_RATIO
 
 
 def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
@@ -80,6 +88,17 @@ def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return i.select(random.alias("text"), F.lit(True).alias("random")).union(i.select(plain, F.lit(False)))
 
 
+def samples_of(docs: DataFrame, about: int = SAMPLE_DOCS, text_col: str = "text") -> DataFrame:
+    """Labelled samples (text, random) from about so many documents: what the patterns' measured groups hold is random, words
+    of several of these documents are ordinary. Null texts give none."""
+    part = min(1.0, about / max(1, docs.count()))
+    some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g, _ in PATTERNS.values()]))
+    random = some.select(F.explode(found).alias("text")).where(f"char_length(text) >= {LEAST_TOKEN} and text rlike '[0-9]'").distinct().withColumn("random", F.lit(True))
+    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z])[A-Za-z]{{{LEAST_TOKEN // 2},}}(?![A-Za-z])"), F.lit(0)))).alias("text"))
+    return random.union(words.groupBy("text").agg(F.count("*").alias("n")).where(f"n >= {WORD_DOCS}").select("text", F.lit(False)))
+
+
 def _class(c: Column) -> Column:
     """0: other; from 1 on the place in ALPHABET."""
     return F.instr(F.lit(ALPHABET), c)
@@ -88,18 +107,32 @@ def _class(c: Column) -> Column:
 def train(samples: DataFrame) -> Markov:
     """(text, random boolean) -> add-half estimates of both chains. The result has a fixed size, whatever the samples'.
 
-    Null texts and labels, and texts of fewer than two characters, count nothing; without samples all ratios are 0.
+    One in HELD_OUT samples, by a hash of its text, isn't trained on; the threshold is what at most FALSE_ALARMS of its
+    ordinary ones of a token's length exceed, and LEAST_RATIO at least. Null texts and labels, and texts of fewer than two
+    characters, count nothing; without samples all ratios are 0 and nothing is random.
     """
     k = len(ALPHABET) + 1
+    samples = samples.where("random is not null and char_length(text) > 1")
+    held = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HELD_OUT)) == 0
     letters = F.split(F.col("text"), "")
     two = F.arrays_zip(F.slice(letters, F.lit(1), F.size(letters) - 1).alias("a"), F.slice(letters, F.lit(2), F.size(letters) - 1).alias("b"))
-    pairs = samples.where("random is not null and char_length(text) > 1").select("random", F.explode(two).alias("t"))
+    pairs = samples.where(~held).select("random", F.explode(two).alias("t"))
     counted = pairs.groupBy("random", _class(F.col("t.a")).alias("a"), _class(F.col("t.b")).alias("b")).count()
     n = {True: [[0.5] * k for _ in range(k)], False: [[0.5] * k for _ in range(k)]}
     for r in counted.collect():  # at most 2 x 63 x 63 rows
         n[r["random"]][r["a"]][r["b"]] += r["count"]
     ratios = [math.log(n[True][a][b] / sum(n[True][a])) - math.log(n[False][a][b] / sum(n[False][a])) for a in range(k) for b in range(k)]
-    return Markov(tuple(round(x, 6) for x in ratios), k)
+    model = Markov(tuple(round(x, 6) for x in ratios), k)
+    plain = samples.where(held & ~F.col("random") & (F.char_length("text") >= LEAST_TOKEN))
+    high = plain.agg(F.percentile(_ratio(F.col("text"), model), F.lit(1 - FALSE_ALARMS))).first()[0]
+    return Markov(model.ratios, k, round(max(LEAST_RATIO, high if high is not None else 0.0), 6))
+
+
+def _ratio(x: Column, model: Markov) -> Column:
+    """Sum of the log-likelihood ratios of a token's transitions."""
+    ratios = F.array(*[F.lit(v) for v in model.ratios])
+    steps = F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.element_at(ratios, _class(F.substr(x, i, F.lit(1))) * model.classes + _class(F.substr(x, i + 1, F.lit(1))) + 1))
+    return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b)
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -138,22 +171,19 @@ def _kind(text: Column, kind: str) -> Column:
 def _random(text: Column, model: Markov) -> Column:
     """Tokens that the chain of random strings explains better."""
     token = rf"{TOKEN[:-1]}{{{LEAST_TOKEN},}}"
-    ratios = F.array(*[F.lit(x) for x in model.ratios])
-    spans = _located(text, token)
-
-    def score(x: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: F.element_at(ratios, _class(F.substr(x, i, F.lit(1))) * model.classes + _class(F.substr(x, i + 1, F.lit(1))) + 1))
-        return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / (F.char_length(x) - 1)
-
-    tagged = F.zip_with(spans, F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda s, x: F.when(score(x) > THRESHOLD, F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("rank"), s["end"].alias("end"))))
-    return F.when(F.col("text").rlike(token), F.filter(tagged, lambda s: s.isNotNull())).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)"))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
+    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
+    said = F.transform(tokens, lambda x: _ratio(x, model) > model.threshold)  # most texts have none, and need no offsets
+    tagged = F.zip_with(_located(text, token), said, lambda s, hit: F.when(hit, F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("rank"), s["end"].alias("end"))))
+    return F.when(F.exists(said, lambda hit: hit), F.filter(tagged, lambda s: s.isNotNull())).otherwise(none)
 
 
 def scan(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, text, base, added): spans as array<struct<start, rank, end>> by start, then kind as listed.
 
     rank counts the kinds of PATTERNS in order; the models' kind comes after them. The models add only tokens that no base
-    span touches. A null text counts as empty and has no spans; rows are independent, so null and repeated ids are kept.
+    span touches. A null text counts as empty and has no spans; rows are independent, so null and
+    repeated ids are kept; other columns are dropped; an empty table gives no rows.
     """
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = t.select("doc_id", "text", *[_kind(F.col("text"), k).alias(k) for k in PATTERNS], _random(F.col("text"), model).alias("found"))
@@ -175,7 +205,11 @@ def report(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str
 
 
 def redact(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span in text replaced by mark (overlapping spans by one); all other columns as they are."""
+    """docs with every span in text replaced by mark (overlapping spans by one); all other columns as they are.
+
+    A null text stays null; rows are independent, so null and repeated ids are kept, whatever the columns are named. A text
+    is put together anew at each of its spans. An empty table gives no rows.
+    """
     kinds = [_kind_of(k) for k in PATTERNS]
     spans = F.array_sort(F.concat(*kinds, _random_of(model)))
     t = docs.withColumn("__spans", spans)

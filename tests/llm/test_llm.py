@@ -377,12 +377,40 @@ def test_secrets(spark, docs, nothing):
     assert secrets.report(nothing, model).collect() == []
 
 
-def test_markov_held_out(spark):
-    model = secrets.train(secrets.default_samples(spark, 2000))
-    fresh = secrets.default_samples(spark, 3000).where("length(text) >= 20")
-    hit = fresh.select("random", (F.size(secrets._random(F.col("text"), model)) > 0).alias("said")).groupBy("random").agg(F.avg(F.col("said").cast("int")).alias("share"))
-    share = {r.random: r.share for r in hit.collect()}
-    assert share[True] > 0.95 and share[False] < 0.02
+def test_markov_by_hand(spark):
+    """Counts, ratios and the threshold, pair by pair and token by token."""
+    samples = [(r.text, r.random) for r in secrets.default_samples(spark, 1500).collect()]
+    df = spark.createDataFrame([*samples, (None, True), ("abc", None), ("x", False)], "text string, random boolean")
+    model = secrets.train(df)
+    held = {r.text for r in df.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(secrets.HELD_OUT)) == 0).collect()}
+    place = lambda c: secrets.ALPHABET.find(c) + 1
+    n = {True: collections.Counter(), False: collections.Counter()}
+    for text, random_ in samples:
+        if text not in held:
+            n[random_].update((place(a), place(b)) for a, b in zip(text, text[1:]))
+    total = {(k, a): sum(n[k][a, b] + 0.5 for b in range(63)) for k in n for a in range(63)}
+    ratio = lambda t: sum(math.log((n[True][p, q] + 0.5) / total[True, p]) - math.log((n[False][p, q] + 0.5) / total[False, p]) for p, q in ((place(x), place(y)) for x, y in zip(t, t[1:])))
+    tokens = ["aZ3kQ9xLm2Pw8RtY5vB7", "getUserSessionHandlerFactory", "q7Xv2Lp0Zr4K", "internationalisation", "zxqjkvbnwpfh", "AbCdEfGhIjKlMnOp", "short1x"]
+    rows = spark.createDataFrame([(i, f"some {t} here") for i, t in enumerate(tokens)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(rows, model).collect()}
+    for i, t in enumerate(tokens):
+        assert got[i] == (f"random:5:{5 + len(t)}" if len(t) >= secrets.LEAST_TOKEN and ratio(t) > model.threshold else ""), t
+    assert got[0] and got[2] and not got[1]
+
+
+def test_markov_on_held_out_documents(spark):
+    """Secrets without the patterns' words around them, in documents that the models haven't seen."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    seen, fresh = d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")
+    model = secrets.train(secrets.default_samples(spark, 2000).union(secrets.samples_of(seen)))
+    texts = [r.text or "" for r in fresh.collect()]
+    tokens = [x for t in texts for x in re.findall(rf"{secrets.TOKEN[:-1]}{{{secrets.LEAST_TOKEN},}}", t) if not spans_by_hand(t)]
+    r = random.Random(12)
+    alphabet = secrets.ALPHABET
+    planted = ["".join(r.choice(alphabet) for _ in range(n)) for n in [16, 20, 32, 40] * 50]
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(tokens)] + [(i, t, True) for i, t in enumerate(planted)], "doc_id long, text string, planted boolean")
+    share = {r.planted: r.share for r in rows.select("planted", (F.size(secrets._random(F.col("text"), model)) > 0).cast("int").alias("hit")).groupBy("planted").agg(F.avg("hit").alias("share")).collect()}
+    assert len(tokens) > 300 and share[True] >= 0.9 and share[False] <= 0.01
 
 
 # op8

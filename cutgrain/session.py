@@ -48,6 +48,14 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIDY, had)
 
 
+def bounded(df: DataFrame, size: str = "8m") -> DataFrame:
+    """df, in whose session batches for Python workers get at most so many bytes, unless that was set before."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) == "67108864b":  # the default, which is much for texts
+        conf.set(key, size)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, into reliable shared storage, and cut its lineage there; its own shuffle files go."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutgrain.llm.rows import sliced
 from cutgrain.llm.words import Words, chunks
+from cutgrain.session import bounded
 
 #: Stands for a border between pre-tokens; no pair with it is known.
 _BORDER = (1 << 24) - 1
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(list(bpe.encode(some)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
                 at += len(some)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -236,7 +238,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
-        for b in batches:
+
+        def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n, a, d = [], [], []
             for ids in bpe.encode(b.column(1).to_pylist()):
                 ids = ids.tolist()
@@ -245,4 +248,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        yield from sliced(one, 4000)(batches)
+
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

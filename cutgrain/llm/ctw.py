@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.session import cut
+from cutgrain.session import bounded, cut
 
 #: Bytes of context.
 DEPTH = 5
@@ -336,7 +336,7 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
     """
     if not 1 <= depth <= 6:
         raise ValueError("a gram has to fit 63 bits: depth is 1 to 6")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    size = bounded(docs).agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     ranges = min(buckets, math.ceil(16 * math.sqrt(buckets)))
     packed, top = _packed(_texts(docs, buckets, id_col, text_col)), min(TOP, depth)

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutgrain.llm.bpe import Merger
+from cutgrain.llm.rows import sliced
 from cutgrain.llm.words import Words
+from cutgrain.session import bounded
 
 #: Documents that one packer places, about.
 PER_PACKER = 100_000
@@ -112,7 +114,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(tokenizer_path, pattern)
-        for b in batches:
+
+        def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             for doc, own in zip(b.column(0).to_pylist(), ids.of(b.column(1).to_pylist()), strict=True):
                 data = np.append(own, end_id).astype("<u4").tobytes()
@@ -120,7 +123,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_
                 rows += [(doc, s, min(window, n - s), zlib.crc32(data[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+        yield from sliced(one, 4000)(batches)
+
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = 2048, end_id: int = 1, per_packer: int = PER_PACKER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.session import cut
+from cutgrain.session import bounded, cut
 
 #: Rows that may be broadcast (ids and hashes, some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -30,7 +30,7 @@ def keyed(docs: DataFrame, nulls: bool = False, id_col: str = "doc_id", text_col
     Null ids are taken for different ones (0, not a copy) unless `nulls`, where they are one id. Only ids are read where none
     repeats; rows of repeated ids are written once, so that every later look at them sees the same row as the first.
     """
-    ids = docs.select(F.col(id_col).alias("__kid"))
+    ids = bounded(docs).select(F.col(id_col).alias("__kid"))
     if not nulls:
         ids = ids.where("__kid is not null")
     ids = cut(ids.groupBy("__kid").agg(F.count("*").alias("__n")).where("__n > 1").select("__kid"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.llm.rows import sliced, small
 from cutgrain.llm.words import Memory
-from cutgrain.session import cut
+from cutgrain.session import bounded, cut
 
 #: Labelled rows that the model is fitted on, about: those with the smallest hashes.
 SAMPLE = 20_000
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n.update((x, toxic) for x in {f for w in _words(text) for f in names(w)})
-                if len(n) > 200_000:
+                if len(n) > 50_000:
                     yield out()
         yield out()
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 
         yield from sliced(one, 2000)(batches)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -221,4 +221,4 @@ def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
 
         yield from sliced(one, 2000)(batches)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

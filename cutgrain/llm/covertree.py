@@ -16,21 +16,27 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.vectors import is_usable, matrix, unit, usable
+from cutgrain.llm.rows import small
+from cutgrain.llm.vectors import is_usable, unit
 from cutgrain.operators.components import connected_components
-from cutgrain.session import cut
+from cutgrain.session import bounded, cut
 
 #: Points of a block, about.
-BLOCK = 2048
+BLOCK = 4096
 #: Pivots of a label at most; beyond, cells are cut into more blocks.
-PIVOTS = 64
+PIVOTS = 1024
+#: Points that meet a label's pivots together.
+DEAL = 8192
 #: Nodes with this many points aren't split.
-LEAF = 24
-#: Slack of bounds against rounding; pairs within it are computed exactly.
+LEAF = 48
+#: Slack of bounds on distances: rounding of a distance near 0 is the root of that of a product, some 2e-8, and a bound adds
+#: three of them. What bounds don't decide, products do.
+SLACK = 1e-7
+#: Products this close to the threshold are computed again one by one in double precision.
 EPS = 1e-9
 
 
@@ -129,12 +135,12 @@ def links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray |
         same = own and a is b
         if not same:
             d = float(np.sqrt(max(2 - 2 * float(x[a.centre] @ y[b.centre]), 0)))
-            if d - a.radius - b.radius > most + EPS:
+            if d - a.radius - b.radius > most + SLACK:
                 continue
-            if d + a.radius + b.radius < most - EPS:
+            if d + a.radius + b.radius < most - SLACK:
                 whole(a.points, b.points, False)
                 continue
-        elif 2 * a.radius < most - EPS:
+        elif 2 * a.radius < most - SLACK:
             whole(a.points, a.points, True)
             continue
         if not a.children and not b.children:
@@ -152,53 +158,66 @@ def links(x: np.ndarray, y: np.ndarray | None, wx: np.ndarray, wy: np.ndarray |
 def _near(x: np.ndarray, y: np.ndarray, p: list[Node], q: list[Node], most: float, upper: bool) -> list[tuple[Node, Node]]:
     """Pairs of nodes that the covering radii don't exclude."""
     d = np.sqrt(np.maximum(2 - 2 * (x[[k.centre for k in p]] @ y[[k.centre for k in q]].T), 0))
-    keep = d - np.array([k.radius for k in p])[:, None] - np.array([k.radius for k in q])[None, :] <= most + EPS
+    keep = d - np.array([k.radius for k in p])[:, None] - np.array([k.radius for k in q])[None, :] <= most + SLACK
     if upper:
         keep = np.triu(keep, 1)
     return [(p[i], q[j]) for i, j in zip(*np.nonzero(keep), strict=True)]
 
 
+def _points(rows: DataFrame) -> DataFrame:
+    """(label, e1, e2, embedding array<double>) of usable rows -> (label, dim, point, e1, e2, w, embedding), cut: distinct
+    vectors of a label, and how many rows have each."""
+    points = rows.groupBy("label", "e1", "e2").agg(F.count("*").alias("w"), F.first("embedding").alias("embedding"))
+    return cut(points.select("label", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("point"), "e1", "e2", "w", "embedding"))
+
+
+def _celled(points: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Points with the nearest of their label's pivots, `cell`, and their distance from it, `away`; and the pivots."""
+    sizes = cut(points.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    sizes = sizes.withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / BLOCK)).cast("int")).withColumn("deals", F.ceil(F.col("n") / DEAL).cast("int"))
+    ranked = points.join(small(sizes), ["label", "dim"])
+    # pivots: about that many of each label by hash, at most 2 x PIVOTS, and one in any case
+    mark = F.pmod(F.xxhash64("point", F.lit(5)), F.lit(1 << 30))
+    picked = ranked.where(mark < F.col("pivots") / F.col("n") * (1 << 30)).groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list(F.struct(mark.alias("m"), "embedding"))), 1, 2 * PIVOTS).alias("some"))
+    least = ranked.groupBy("label", "dim").agg(F.min_by("embedding", mark).alias("one"))
+    pivots = least.join(picked, ["label", "dim"], "left").select("label", "dim", F.when(F.size("some") > 0, F.transform("some", lambda s: s["embedding"])).otherwise(F.array("one")).alias("pivots"))
+    pivots = cut(pivots)
+    left = ranked.select("label", "dim", F.pmod("point", "deals").cast("int").alias("deal"), "point", "w", "embedding")
+    right = pivots.join(sizes.select("label", "dim", "deals"), ["label", "dim"]).select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "pivots")
+    right = right.toDF("plabel", "pdim", "pdeal", "pivots")
+
+    def run(key: tuple, t: pa.Table, p: pa.Table) -> pa.Table:
+        cell, away = np.empty(len(t), np.int32), np.empty(len(t))
+        if len(t):
+            dim = key[1].as_py()
+            near = unit(p["pivots"].combine_chunks().flatten().flatten().to_numpy().reshape(-1, dim))
+            x = unit(t["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+            for lo in range(0, len(x), 512):
+                d = x[lo : lo + 512] @ near.T
+                cell[lo : lo + 512] = d.argmax(1)
+                away[lo : lo + 512] = np.sqrt(np.maximum(2 - 2 * d.max(1), 0))
+        return t.drop_columns(["deal"]).append_column("cell", pa.array(cell)).append_column("away", pa.array(away))
+
+    return cut(left.groupBy("label", "dim", "deal").cogroup(right.groupBy("plabel", "pdim", "pdeal")).applyInArrow(run, f"label {kind}, dim int, point long, w long, embedding array<double>, cell int, away double")), pivots
+
+
 def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """-> (vec_id, n_links, component_id, kept): one row a row of rows.
 
     Rows with equal labels, and vectors of equal lengths, link where the cosine in double precision is at least `cosine`.
     Null labels, and vectors that are null, zero, or hold null or non-finite components, link with nothing. Null ids take
-    no part and are returned with no links. Rows that repeat an id are one vertex; with different labels each reports the
-    id's links. An empty table gives no rows; other columns are dropped.
+    no part and are returned with no links. Rows that repeat an id count their links one by one and join what each of them
+    is linked with, also across labels. An empty table gives no rows; other columns are dropped.
     """
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("embedding"), F.col(label).alias("label"))
-    clean = usable(rows.where("label is not null and vec_id is not null"))
-    # equal vectors of a label are one point
-    points = cut(clean.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).withColumn("dim", F.size("embedding")))
-    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    ranked = points.join(sizes, ["label", "dim"])
-    # pivots: about that many of each label by hash, at most 4 x PIVOTS, and one in any case
-    mark = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30))
-    picked = ranked.where(mark < F.col("pivots") / F.col("n") * (1 << 30)).groupBy("label", "dim").agg(F.slice(F.array_sort(F.collect_list(F.struct(mark.alias("m"), "embedding"))), 1, 4 * PIVOTS).alias("some"))
-    least = ranked.groupBy("label", "dim").agg(F.min_by("embedding", mark).alias("one"))
-    pivots = least.join(picked, ["label", "dim"], "left").select("label", "dim", F.when(F.size("some") > 0, F.transform("some", lambda s: s["embedding"])).otherwise(F.array("one")).alias("pivots"))
-    given = ranked.drop("pivots").join(pivots, ["label", "dim"])
-
-    def deal(batches):
-        for g in batches:
-            cells, aways = [], []
-            kept: dict = {}
-            for v, p in zip(g["embedding"], g["pivots"], strict=True):
-                key = (len(p), bytes(np.asarray(p[0], np.float64)))
-                if key not in kept:
-                    kept[key] = unit(matrix(p))
-                d = distance(kept[key], unit(np.asarray(v, np.float64)[None])[0])
-                i = int(d.argmin())
-                cells.append(i)
-                aways.append(float(d[i]))
-            yield g[["label", "dim", "rep", "w", "embedding"]].assign(cell=np.array(cells, np.int32), away=aways)
-
-    kind = clean.schema["label"].dataType.simpleString()
-    celled = cut(given.select("label", "dim", "rep", "w", "embedding", "pivots").mapInPandas(deal, f"label {kind}, dim int, rep long, w long, embedding array<double>, cell int, away double"))
+    rows = bounded(rows).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
+    ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & is_usable("embedding")
+    digests = [F.xxhash64("embedding"), F.xxhash64(F.lit(17), "embedding")]
+    kind = rows.schema["label"].dataType.simpleString()
+    points = _points(rows.where(ok).select("label", digests[0].alias("e1"), digests[1].alias("e2"), "embedding"))
+    celled, pivots = _celled(points, kind)
     cells = celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
     cells = cells.join(pivots, ["label", "dim"]).select("label", "dim", "cell", "n", "radius", F.element_at("pivots", F.col("cell") + 1).alias("pivot"))
-    cells = cells.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cells = cut(cells.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     left, right = (cells.select("label", "dim", *[F.col(c).alias(f"{c}{k}") for c in ("cell", "radius", "pivot", "parts")]) for k in "ab")
     apart = F.sqrt(F.greatest(2 - 2 * dot("pivota", "pivotb") / F.sqrt(dot("pivota", "pivota") * dot("pivotb", "pivotb")), F.lit(0.0)))
@@ -208,29 +227,40 @@ def near_vectors(rows: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     # each block of a pair is asked for once; side 0 is the first of a pair, a block with itself has one side
     sides = blocks.select("label", "dim", "cella", "cellb", "parta", "partb", F.explode(F.when((F.col("cella") == F.col("cellb")) & (F.col("parta") == F.col("partb")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.select("label", "dim", F.concat_ws(":", "cella", "parta", "cellb", "partb").alias("pair"), "side", F.when(F.col("side") == 0, F.col("cella")).otherwise(F.col("cellb")).alias("cell"), F.when(F.col("side") == 0, F.col("parta")).otherwise(F.col("partb")).alias("part"))
-    parts = celled.join(cells.select("label", "dim", "cell", "parts"), ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    asked = parts.select("label", "dim", "cell", "part", "rep", "w", "embedding").join(sides, ["label", "dim", "cell", "part"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["side", "rep"], ignore_index=True)
-        a, b = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(a) or not len(b) and ":".join(g["pair"].iloc[0].split(":")[:2]) != ":".join(g["pair"].iloc[0].split(":")[2:]):
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        x, wx, rx = unit(matrix(a["embedding"])), a["w"].to_numpy(np.int64), a["rep"].to_numpy(np.int64)
-        y, wy, ry = (unit(matrix(b["embedding"])), b["w"].to_numpy(np.int64), b["rep"].to_numpy(np.int64)) if len(b) else (None, None, rx)
-        nx, ny, forest = links(x, y, wx, wy, cosine)
-        counts = [rx[nx > 0], ry[ny > 0]]
-        ids = np.concatenate(counts)
-        out = {"src": np.concatenate([ids, np.array([rx[i] for i, _ in forest], np.int64)]), "dst": np.concatenate([ids, np.array([ry[j] for _, j in forest], np.int64)]), "n": np.concatenate([nx[nx > 0], ny[ny > 0], np.zeros(len(forest), np.int64)])}
-        return pd.DataFrame(out).astype("int64")
-
-    found = cut(asked.groupBy("label", "dim", "pair").applyInPandas(run, "src long, dst long, n long"))
-    counts = found.where("src = dst").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
-    comps = connected_components(found.where("src != dst"))
-    by_point = points.select("label", "embedding", "rep", "w").join(counts, "rep", "left").join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    by_point = by_point.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & is_usable("embedding")
-    every = rows.select("vec_id", F.when(ok, F.col("label")).alias("own_label"), F.when(ok, F.col("embedding").cast("array<double>")).alias("own_vector"))
-    got = every.join(by_point, (every["own_label"] == by_point["label"]) & (every["own_vector"] == by_point["embedding"]), "left")
-    component = F.coalesce("component", "vec_id")
+    parts = celled.join(small(cells.select("label", "dim", "cell", "parts")), ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+    asked = parts.select("label", "dim", "cell", "part", "point", "w", "embedding").join(small(cut(sides)), ["label", "dim", "cell", "part"])
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        dim, pair = key[1].as_py(), key[2].as_py().split(":")
+        t = t.sort_by([("side", "ascending"), ("point", "ascending")])
+        side = t["side"].to_numpy()
+        x = unit(t["embedding"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        w, ids = t["w"].to_numpy(), t["point"].to_numpy()
+        a, b = side == 0, side == 1
+        empty = np.empty(0, np.int64)
+        if not a.any() or not b.any() and pair[:2] != pair[2:]:
+            return pa.table({"src": empty, "dst": empty, "n": empty})
+        ra, rb = ids[a], ids[b] if b.any() else ids[a]
+        na, nb, forest = links(x[a], x[b] if b.any() else None, w[a], w[b] if b.any() else None, cosine)
+        some = np.concatenate([ra[na > 0], rb[nb > 0]])
+        ends = np.array(forest, np.int64).reshape(-1, 2)
+        return pa.table({"src": np.concatenate([some, ra[ends[:, 0]]]), "dst": np.concatenate([some, rb[ends[:, 1]]]), "n": np.concatenate([na[na > 0], nb[nb > 0], np.zeros(len(ends), np.int64)])})
+
+    found = cut(asked.groupBy("label", "dim", "pair").applyInArrow(run, "src long, dst long, n long"))
+    counts = found.where("src = dst").groupBy(F.col("src").alias("point")).agg(F.sum("n").alias("n"))
+    comps = connected_components(found.where("src != dst")).select(F.col("id").alias("point"), "component")
+    by_point = points.select("label", "e1", "e2", "point", "w").join(counts, "point", "left").join(comps, "point", "left")
+    by_point = by_point.select(F.col("label").alias("own_label"), "e1", "e2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "point").alias("component"))
+    every = rows.select("vec_id", F.when(ok, F.col("label")).alias("own_label"), *[F.when(ok, d).alias(c) for c, d in zip(("e1", "e2"), digests, strict=True)])
+    got = cut(every.join(cut(by_point), ["own_label", "e1", "e2"], "left").select("vec_id", "n_links", "component"))
+    # an id of several components joins them; a component is known by its smallest id
+    linked = got.where("component is not null")
+    several = linked.groupBy("vec_id").agg(F.min("component").alias("src"), F.max("component").alias("dst")).where("src < dst").select("vec_id", "src")
+    more = cut(linked.join(several, "vec_id").select("src", F.col("component").alias("dst")).where("src < dst").distinct())
+    if not more.isEmpty():
+        joined = cut(connected_components(more).select(F.col("id").alias("component"), F.col("component").alias("joined")))
+        got = cut(got.join(small(joined), "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined"))
+    least = got.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
+    got = got.join(small(cut(least.where("least < most").select("component", "least"))), "component", "left")
+    component = F.coalesce("least", "vec_id")
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -420,8 +420,8 @@ def test_markov_on_held_out_documents(spark):
 def test_near_vectors(vectors, block, monkeypatch):
     monkeypatch.setattr(covertree, "BLOCK", block)
     monkeypatch.setattr(covertree, "LEAF", 4)
-    rows = [tuple(r)[:3] for r in vectors.collect() if r.vec_id != 100]
-    got = collections.Counter(tuple(r) for r in covertree.near_vectors(vectors.where("vec_id <> 100 or vec_id is null")).collect())
+    rows = [tuple(r)[:3] for r in vectors.collect()]
+    got = collections.Counter(tuple(r) for r in covertree.near_vectors(vectors).collect())
     ok = [i for i, (v, e, lab) in enumerate(rows) if v is not None and lab is not None and usable(e)]
     up = {rows[i][0]: rows[i][0] for i in ok}
 
@@ -440,6 +440,27 @@ def test_near_vectors(vectors, block, monkeypatch):
                 up[b] = a
     want = collections.Counter((v, n[i], root(v), root(v) == v) if i in set(ok) else (v, 0, v, True) for i, (v, _, _) in enumerate(rows))
     assert got == want
+    assert covertree.near_vectors(vectors.limit(0)).collect() == []
+
+
+def test_near_vectors_of_repeated_ids(spark):
+    u, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(5, u, 1), (12, u, 1), (12, w, 1), (20, w, 1), (12, w, 2), (3, w, 2), (12, None, 1), (8, w, None)], VECTORS)
+    got = collections.Counter(tuple(r) for r in covertree.near_vectors(df).collect())
+    assert got == collections.Counter([(5, 1, 3, False), (12, 1, 3, False), (12, 1, 3, False), (20, 1, 3, False), (12, 1, 3, False), (3, 1, 3, True), (8, 0, 8, True), (12, 0, 12, True)])
+
+
+def test_links_beside_the_threshold():
+    """Distances near 0 are known to some 1e-8 only; bounds made of them must not decide such pairs."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = np.linalg.qr(r.standard_normal((3, 2)))[0].T
+        turn = lambda t: math.cos(t) * a + math.sin(t) * b  # noqa: E731, B023
+        angle = math.acos(0.93)
+        x = np.stack([turn(0.0), turn(1e-8 * r.random()), turn(angle + 5e-9 * r.standard_normal()), turn(angle + 3 * r.random())])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n, _, _ = covertree.links(x, None, np.ones(4, np.int64), None, 0.93)
+        assert n.tolist() == [sum(float(np.dot(x[i], x[j])) >= 0.93 for j in range(4) if j != i) for i in range(4)]
 
 
 # op9

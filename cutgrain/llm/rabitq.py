@@ -5,8 +5,10 @@ the cosine between it and its code. An inner product with a query is estimated f
 estimator is unbiased over rotations, and its error has a bound that shrinks with the dimension. Candidates whose upper
 bound reaches the k-th largest lower bound are reranked with the original vectors in double precision.
 
-Queries and candidates are dealt into blocks, and each pair of blocks is one group of bounded size; a group returns k
-rows a query, which a ranked window merges.
+Queries and candidates are dealt into blocks, and each pair of blocks is one group of bounded size: within it, the exact
+products of the best estimates give a query its k-th best so far, and what can't reach that by its bound is left out. A
+group returns k rows a query, which a ranked window merges. Candidates are copied once for each block of queries, so work
+grows with queries times candidates, and a thousandfold table has a thousand times the blocks of either.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutgrain.llm.vectors import matrix, unit, usable
+from cutgrain.llm.vectors import is_usable, unit
+from cutgrain.session import bounded, cut
 
 CANDIDATES = 8192
-QUERIES = 2048
+QUERIES = 8192
 #: Standard errors in a bound: the estimate's error is Gaussian-like, so one in some 10,000 bounds fails.
 EPSILON = 3.9
 #: Queries estimated at once in a group.
@@ -43,67 +45,83 @@ def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.packbits(y > 0, axis=1), np.linalg.norm(x, axis=1), np.abs(y).sum(1) / np.sqrt(x.shape[1])
 
 
-def estimate(codes: np.ndarray, length: np.ndarray, cosine: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x candidates) and their error bounds."""
+def estimate(codes: np.ndarray, cosine: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (queries x candidates) of unit vectors q in single precision, and a bound of the error for each candidate."""
     d = q.shape[1]
     signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    turned = (q @ rotation(d)).astype(np.float32)
-    est = (turned @ signs.T) * (length / (cosine * np.sqrt(d))).astype(np.float32)
-    spread = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * (EPSILON / np.sqrt(max(d - 1, 1)))
-    slack = 1e-5 * length  # of single precision
-    return est, np.linalg.norm(q, axis=1)[:, None] * (spread + slack)[None, :]
+    est = (q @ rotation(d)).astype(np.float32) @ (signs / (cosine * np.sqrt(d)).astype(np.float32)[:, None]).T
+    spread = np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * (EPSILON / np.sqrt(max(d - 1, 1)))
+    return est, (spread + 1e-5).astype(np.float32)  # with the slack of single precision
+
+
+def nearest(x: np.ndarray, codes: np.ndarray, length: np.ndarray, cosine: np.ndarray, ids: np.ndarray, own: np.ndarray, y: np.ndarray, asker: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query of y (its place, places of its best candidates, their products). own and asker: rows, of which a query
+    leaves out its own."""
+    size = np.linalg.norm(y, axis=1)
+    for lo in range(0, len(y), CHUNK):
+        q = y[lo : lo + CHUNK]
+        est, bound = estimate(codes, cosine, unit(q))
+        middle, high = est * length, (est + bound) * length  # in double precision, over the query's length
+        mine = np.searchsorted(own, asker[lo : lo + CHUNK])
+        mine[mine == len(own)] = 0
+        here = np.flatnonzero(own[mine] == asker[lo : lo + CHUNK])
+        middle[here, mine[here]] = high[here, mine[here]] = -np.inf
+        least = np.full(len(q), -np.inf)
+        if len(own) > 2 * k:
+            some = np.argpartition(middle, len(own) - 2 * k, axis=1)[:, len(own) - 2 * k :]
+            exact = np.where(own[some] == asker[lo : lo + CHUNK, None], -np.inf, np.einsum("ijk,ik->ij", x[some], q))
+            tau = np.partition(exact, k, axis=1)[:, k]  # k of 2 k reach it
+            least = tau / size[lo : lo + CHUNK] - 1e-12 * np.abs(tau / size[lo : lo + CHUNK])
+        for i in range(len(q)):
+            at = np.flatnonzero(high[i] >= least[i])
+            at = at[own[at] != asker[lo + i]]
+            s = (x[at] * q[i]).sum(1)
+            best = np.lexsort((ids[at], -s))[:k]
+            yield lo + i, at[best], s[best]
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """-> (query_id, rank, vec_id, score): each query's k candidates of the largest inner product found, ties to the
     smaller id; score is the inner product of the original vectors in double precision.
 
-    Queries are rows for which is_query holds; candidates are all rows of another id and the same length. Vectors that are
-    null, zero or hold null or non-finite components, and null ids, take no part. A repeated id is one query (its
-    smallest vector) but a candidate for each row. With fewer candidates than k all are returned; none give no rows.
+    Queries are rows for which is_query holds; a query's candidates are all other rows of the same length. Vectors that are
+    null, zero or hold null or non-finite components, and null ids, take no part. Rows that repeat an id are queries and
+    candidates each. With fewer candidates than k all are returned; none, or an empty table, give no rows.
     """
-    good = usable(rows.select("*").where(F.col(id_col).isNotNull()), vector)
-    queries = good.where(is_query).groupBy(F.col(id_col).cast("long").alias("query_id")).agg(F.min(vector).alias("query"))
-    good = good.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-    n, m = good.count(), queries.count()
+    good = bounded(rows).where(F.col(id_col).isNotNull() & is_usable(vector))
+    kind = rows.schema[vector].dataType.simpleString()
+    good = good.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).alias("vector"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column("vector")
+            sizes = vectors.value_lengths().to_numpy()
+            for dim in np.unique(sizes).tolist():
+                one = b.filter(pa.array(sizes == dim))
+                codes, length, cosine = encode(one.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(cosine)], names=[*one.schema.names, "code", "length", "cosine"])
+
+    # cut, so that a row keeps its number
+    coded = cut(good.mapInArrow(index, f"row long, vec_id long, asks boolean, vector {kind}, code binary, length double, cosine double"))
+    n, m = coded.agg(F.count("*"), F.count_if("asks")).first()
     parts, asks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for _, one in g.groupby(g["vector"].map(len), sort=False):
-                codes, length, cosine = encode(matrix(one["vector"]))
-                yield one.assign(code=[bytes(c) for c in codes], length=length, cosine=cosine)
-
-    coded = good.mapInPandas(index, "vec_id long, vector array<double>, code binary, length double, cosine double")
-    left = coded.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))).alias("ask"), "*")
-    right = queries.select(F.size("query").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(asks)).alias("ask"), "query_id", "query")
+    dim = F.size("vector").alias("dim")
+    left = coded.select(dim, F.pmod("row", F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))).alias("ask"), "row", "vec_id", "vector", "code", "length", "cosine")
+    right = coded.where("asks").select(dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.pmod(F.xxhash64("row"), F.lit(asks)).alias("ask"), F.col("row").alias("asker"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    right = right.toDF("qdim", "qpart", "qask", "asker", "query_id", "query")
 
     def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if len(c) and len(q):
-            dim = key[0].as_py()
-            flat = lambda t, name: t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            x, ids = flat(c, "vector"), c["vec_id"].to_numpy()
+            flat = lambda t, name: t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, key[0].as_py())
+            c = c.sort_by("row")
             codes = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(len(c), -1)
-            length, cosine = c["length"].to_numpy(), c["cosine"].to_numpy()
-            y, qids = flat(q, "query"), q["query_id"].to_numpy()
-            for lo in range(0, len(y), CHUNK):
-                est, bound = estimate(codes, length, cosine, y[lo : lo + CHUNK])
-                low = est - bound
-                low[qids[lo : lo + CHUNK, None] == ids[None, :]] = -np.inf  # the query's own rows
-                least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
-                chosen = est + bound >= least[:, None]
-                for i in range(len(low)):
-                    at = np.flatnonzero(chosen[i])
-                    at = at[ids[at] != qids[lo + i]]
-                    s = (x[at] * y[lo + i]).sum(1)
-                    best = np.lexsort((ids[at], -s))[:k]
-                    out[0].append(np.full(len(best), qids[lo + i]))
-                    out[1].append(ids[at][best])
-                    out[2].append(s[best])
-        return pa.table({"query_id": np.concatenate(out[0]), "vec_id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
-
-    keys = ["dim", "part", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            ids, asker, query = c["vec_id"].to_numpy(), q["asker"].to_numpy(), q["query_id"].to_numpy()
+            for i, at, s in nearest(flat(c, "vector"), codes, c["length"].to_numpy(), c["cosine"].to_numpy(), ids, c["row"].to_numpy(), flat(q, "query"), asker, k):
+                for col, x in zip(out, (np.full(len(at), asker[i]), np.full(len(at), query[i]), ids[at], s), strict=True):
+                    col.append(x)
+        return pa.table(dict(zip(("asker", "query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
+
+    found = left.groupBy("dim", "part", "ask").cogroup(right.groupBy("qdim", "qpart", "qask")).applyInArrow(run, "asker long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

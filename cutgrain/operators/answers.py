@@ -36,14 +36,16 @@ def items(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def stop_error(stop_reason: Column) -> Column:
+#: Messages of failed answers (fixed values: they are what a run's list of failures shows).
+TOO_LONG, STOPPED = "The answer was too long", "The model stopped early ("
+DECLINED, DECLINED_TAGS = "The model declined to describe it", "The model declined to suggest tags"
+NO_SUMMARY, NO_MOMENT = "The answer had no summary", "The answer had no name or no description"
+
+
+def stop_error(stop_reason: Column, declined: str = DECLINED) -> Column:
     """Why an answer can't be used, or null."""
-    return (
-        F.when(stop_reason == "end_turn", F.lit(None).cast("string"))
-        .when(stop_reason == "max_tokens", "The answer was too long")
-        .when(stop_reason == "refusal", "The model declined to describe it")
-        .otherwise(F.concat(F.lit("The model stopped early ("), F.coalesce(stop_reason, F.lit("")), F.lit(")")))
-    )
+    early = F.concat(F.lit(STOPPED), F.coalesce(stop_reason, F.lit("")), F.lit(")"))
+    return F.when(stop_reason == "end_turn", F.lit(None).cast("string")).when(stop_reason == "max_tokens", TOO_LONG).when(stop_reason == "refusal", declined).otherwise(early)
 
 
 def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
@@ -55,7 +57,7 @@ def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
     """
     a = answers.select("clip_id", "duration_s", "stop_reason", F.try_parse_json("body").alias("j"))
     summary = F.coalesce(trim(string(F.col("j"), "$.summary")), F.lit(""))
-    a = a.withColumn("summary", summary).withColumn("error", F.coalesce(stop_error(F.col("stop_reason")), F.when(F.col("summary") == "", "The answer had no summary")))
+    a = a.withColumn("summary", summary).withColumn("error", F.coalesce(stop_error(F.col("stop_reason")), F.when(F.col("summary") == "", NO_SUMMARY)))
     ok = a.where("error is null")
     s = ok.select("clip_id", "duration_s", "summary", F.posexplode(items(F.col("j"), "$.segments")).alias("item", "v"))
     s = s.select("clip_id", "duration_s", "summary", "item", number(F.col("v"), "$.start_s").alias("start_s"), F.least(number(F.col("v"), "$.end_s"), "duration_s").alias("end_s"), trim(string(F.col("v"), "$.description")).alias("description"), number(F.col("v"), "$.end_s").isNotNull().alias("ended"))
@@ -114,52 +116,26 @@ def parse_moments(answers: DataFrame) -> DataFrame:
     """(clip_id, body, stop_reason) -> (clip_id, error, name, description)."""
     j = F.try_parse_json("body")
     a = answers.select("clip_id", stop_error(F.col("stop_reason")).alias("e"), F.coalesce(trim(string(j, "$.name")), F.lit("")).alias("name"), F.coalesce(trim(string(j, "$.description")), F.lit("")).alias("description"))
-    error = F.coalesce("e", F.when((F.col("name") == "") | (F.col("description") == ""), "The answer had no name or description"))
+    error = F.coalesce("e", F.when((F.col("name") == "") | (F.col("description") == ""), NO_MOMENT))
     return a.select("clip_id", error.alias("error"), F.when(error.isNull(), F.col("name")).alias("name"), F.when(error.isNull(), F.col("description")).alias("description"))
 
 
-#: provider -> (finish reason -> stop reason), others as they are (fixed values).
-STOP_REASONS = {
-    "anthropic": {},
-    "openai": {"stop": "end_turn", "length": "max_tokens", "content_filter": "refusal"},
-    "gemini": {"STOP": "end_turn", "MAX_TOKENS": "max_tokens", "SAFETY": "refusal", "PROHIBITED_CONTENT": "refusal", "BLOCKLIST": "refusal", "RECITATION": "refusal"},
-}
-
-
-def read_envelopes(replies: DataFrame) -> DataFrame:
-    """(clip_id, provider, raw) -> (clip_id, body, stop_reason, input_tokens, output_tokens, error_kind): each provider's reply
-    as one shape. Parts of a text are joined; thinking tokens count as output; a finished answer that isn't JSON is bad."""
-    j = F.col("j")
-    texts = lambda path, key: F.array_join(F.transform(items(j, path), lambda x: F.coalesce(string(x, key), F.lit(""))), "")
-    count = lambda path: F.coalesce(number(j, path), F.lit(0.0)).cast("bigint")
-    p = F.col("provider")
-    r = replies.withColumn("j", F.try_parse_json("raw"))
-    body = F.when(p == "anthropic", texts("$.content", "$.text")).when(p == "openai", string(j, "$.choices[0].message.content")).when(p == "gemini", texts("$.candidates[0].content.parts", "$.text"))
-    finish = F.when(p == "anthropic", string(j, "$.stop_reason")).when(p == "openai", string(j, "$.choices[0].finish_reason")).when(p == "gemini", string(j, "$.candidates[0].finishReason"))
-    refused = (p == "openai") & string(j, "$.choices[0].message.refusal").isNotNull() | (p == "gemini") & string(j, "$.promptFeedback.blockReason").isNotNull()
-    mapped = F.coalesce(*[F.when((p == k) & (finish == a), F.lit(b)) for k, by in STOP_REASONS.items() for a, b in by.items()], finish)
-    stop = F.when(refused, "refusal").otherwise(F.coalesce(mapped, F.lit("unknown")))
-    inp = F.when(p == "anthropic", count("$.usage.input_tokens")).when(p == "openai", count("$.usage.prompt_tokens")).otherwise(count("$.usageMetadata.promptTokenCount"))
-    out = F.when(p == "anthropic", count("$.usage.output_tokens")).when(p == "openai", count("$.usage.completion_tokens")).otherwise(count("$.usageMetadata.candidatesTokenCount") + count("$.usageMetadata.thoughtsTokenCount"))
-    got = r.select("clip_id", body.alias("body"), stop.alias("stop_reason"), inp.alias("input_tokens"), out.alias("output_tokens"))
-    bad = (F.col("stop_reason") == "end_turn") & F.try_parse_json("body").isNull()
-    return got.withColumn("error_kind", F.when(bad, "bad_answer"))
-
-
-#: Kinds of errors that end a whole run (fixed values).
-STOPS_RUN = ("auth", "no_credit", "bad_request_key")
-
-
-def classify_status(provider: Column, status: Column, body: Column) -> Column:
-    """HTTP status and body -> ok, auth, no_credit, limit, overloaded, retry, too_large or failed."""
-    text = F.lower(F.coalesce(body, F.lit("")))
-    return (
-        F.when(status.between(200, 299), "ok")
-        .when(F.contains(text, F.lit("credit balance")) | F.contains(text, F.lit("insufficient_quota")) | (status == 402), "no_credit")
-        .when(status.isin(401, 403) | ((provider == "gemini") & (status == 400) & F.contains(text, F.lit("api key"))), "auth")
-        .when(status == 429, "limit")
-        .when(status == 413, "too_large")
-        .when(status == 529, "overloaded")
-        .when(status.isin(408, 409) | (status >= 500), "retry")
-        .otherwise("failed")
-    )
+def _tag_lists(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(clip_id, duration_s, body) -> (clip_id, tags, ideas)."""
+    listed = parse_tags(answers, vocabulary).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "confidence", "ranges"))).alias("l"))
+    both = parse_new_tag_ideas(answers).join(listed, "clip_id", "left")
+    tags = F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["confidence"].alias("confidence"), x["ranges"].alias("ranges")))
+    none = F.expr("cast(array() as array<struct<name:string,confidence:double,ranges:array<struct<start_s:double,end_s:double>>>>)")
+    return both.select("clip_id", F.coalesce(tags, none).alias("tags"), "ideas")
+
+
+def parse_combined(answers: DataFrame, vocabulary: DataFrame, important: bool = True) -> DataFrame:
+    """(clip_id, duration_s, body, stop_reason) -> parse_answers() with tags and ideas, which are null where there is an error."""
+    got = parse_answers(answers, important).join(_tag_lists(answers, vocabulary), "clip_id")
+    return got.select("clip_id", "error", "summary", "segments", "main", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("tags", "ideas")])
+
+
+def parse_tags_only(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(clip_id, duration_s, body, stop_reason) -> (clip_id, error, tags, ideas); there is no description to look at."""
+    got = answers.select("clip_id", stop_error(F.col("stop_reason"), DECLINED_TAGS).alias("error")).join(_tag_lists(answers, vocabulary), "clip_id")
+    return got.select("clip_id", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("tags", "ideas")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.functions import costs, hashing, pictures, text
 from cutgrain.operators import answers as answer_ops
-from cutgrain.operators import budget, grouping, intervals, keyframes, sampling, shots, stretches
+from cutgrain.operators import budget, grouping, intervals, keyframes, replies, sampling, shots, stretches
 from cutgrain.operators.components import connected_components
 from cutgrain.plans import fixtures as fx
 from cutgrain.session import cut, table
@@ -304,6 +304,74 @@ def _(spark, d):
     return answer_ops.parse_new_tag_ideas(fx.answers(spark, d)).select("clip_id", F.posexplode("ideas").alias("p", "idea")).select("clip_id", F.col("p").cast("bigint").alias("pos"), "idea")
 
 
+_TAGS_ONLY = _TAGS.replace("SELECT clip_id, i::INT AS pos", ", t2 AS (SELECT clip_id, i::INT AS pos").replace("(s >= 0 AND e > s))", "(s >= 0 AND e > s)))").replace("n_ranges, CASE WHEN nr > 0 THEN e END AS end_s", "n_ranges")
+
+
+@query(
+    "tags_only_answers",
+    _TAGS_ONLY
+    + """ SELECT a.clip_id, CASE a.stop_reason WHEN 'end_turn' THEN NULL WHEN 'max_tokens' THEN 'The answer was too long' WHEN 'refusal' THEN 'The model declined to suggest tags' ELSE 'The model stopped early (' || a.stop_reason || ')' END AS error,
+  CASE WHEN a.stop_reason = 'end_turn' THEN (SELECT count(*) FROM t2 WHERE t2.clip_id = a.clip_id) END AS n_tags,
+  CASE WHEN a.stop_reason = 'end_turn' THEN (SELECT count(*) FROM range(5) r(i) WHERE json_type(a.body::JSON, '$.new_tag_ideas[' || i || ']') = 'VARCHAR' AND trim(a.body::JSON->>('$.new_tag_ideas[' || i || ']')) <> '') END AS n_ideas FROM answers a""",
+)
+def _(spark, d):
+    vocabulary = spark.createDataFrame([("en",), ("de",), ("fr",), ("es",), ("odd",)], "name string")
+    got = answer_ops.parse_tags_only(fx.answers(spark, d), vocabulary)
+    return got.select("clip_id", "error", F.when(F.col("tags").isNotNull(), F.size("tags").cast("bigint")).alias("n_tags"), F.when(F.col("ideas").isNotNull(), F.size("ideas").cast("bigint")).alias("n_ideas"))
+
+
+# replies of providers: three providers, statuses and texts in all combinations, by doc_id
+
+_STATUSES = (200, 400, 401, 402, 403, 404, 413, 429, 500, 503, 504, 529)
+_SAYS = ("slow down", "Your Credit Balance is low", "Usage limit hit", "Prepayment needed", "API key not valid here", "api key not valid")
+
+
+@query(
+    "reply_outcomes",
+    f"""WITH p AS (SELECT doc_id, (['anthropic', 'openai', 'gemini'])[1 + doc_id % 3] AS provider, ({list(_STATUSES)})[1 + doc_id // 3 % 12] AS status, ({list(_SAYS)})[1 + doc_id // 36 % 6] AS says,
+    doc_id // 5 % 2 = 0 AS quota, doc_id // 7 % 3 = 0 AS bad_key, (['x', '0.5s', '27s'])[1 + doc_id // 11 % 3] AS delay FROM documents),
+  o AS (SELECT *, CASE WHEN status = 200 THEN 'answer' WHEN status IN (401, 403) THEN 'key_rejected'
+    WHEN provider = 'anthropic' AND status = 402 THEN 'out_of_credit' WHEN provider = 'anthropic' AND status = 400 AND contains(lower(says), 'credit balance') THEN 'out_of_credit'
+    WHEN provider = 'anthropic' AND status = 400 AND contains(lower(says), 'usage limit') THEN 'limit_reached' WHEN provider = 'openai' AND status = 429 AND quota THEN 'out_of_credit'
+    WHEN provider = 'gemini' AND status = 400 AND (bad_key OR contains(says, 'API key not valid')) THEN 'key_rejected' WHEN provider = 'gemini' AND status = 429 AND contains(lower(says), 'prepayment') THEN 'out_of_credit'
+    WHEN status = 429 THEN 'rate_limited' WHEN status IN (500, 503) OR status = 529 AND provider = 'anthropic' OR status = 504 AND provider <> 'anthropic' THEN 'retry' ELSE 'rejected' END AS outcome FROM p)
+  SELECT doc_id, outcome, CASE WHEN outcome = 'rate_limited' THEN CASE WHEN provider = 'gemini' AND delay <> 'x' THEN ceil(rtrim(delay, 's')::DOUBLE) WHEN doc_id % 2 = 0 THEN 7.0 ELSE 20.0 END END::DOUBLE AS wait_s,
+    CASE outcome WHEN 'key_rejected' THEN CASE provider WHEN 'anthropic' THEN 'Anthropic' WHEN 'openai' THEN 'OpenAI' ELSE 'Gemini' END || ' rejected the key' WHEN 'out_of_credit' THEN 'The ' || CASE provider WHEN 'anthropic' THEN 'Anthropic' WHEN 'openai' THEN 'OpenAI' ELSE 'Gemini' END || ' account has no credit left' WHEN 'limit_reached' THEN says WHEN 'rejected' THEN says END AS reason,
+    outcome IN ('key_rejected', 'out_of_credit', 'limit_reached') AS stops FROM o""",
+)
+def _(spark, d):
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    i = F.col("doc_id")
+    part = lambda n: F.floor(i / n)
+    detail = F.struct(F.when(part(7) % 3 == 0, "API_KEY_INVALID").alias("reason"), pick(("x", "0.5s", "27s"), part(11)).alias("retryDelay"))
+    error = F.struct(pick(_SAYS, part(36)).alias("message"), F.when(part(5) % 2 == 0, "insufficient_quota").alias("code"), F.array(detail).alias("details"))
+    rows = table(spark, d, "documents").select("doc_id", pick(("anthropic", "openai", "gemini"), i).alias("provider"), pick(_STATUSES, part(3)).alias("status"), F.to_json(F.struct(error.alias("error"))).alias("raw"), F.when(i % 2 == 0, 7.0).alias("retry_after_s"))
+    return replies.classify(rows).select("doc_id", "outcome", "wait_s", "reason", F.col("stops_run").isNotNull().alias("stops"))
+
+
+@query(
+    "reply_envelopes",
+    """WITH p AS (SELECT doc_id, doc_id % 3 AS k, CASE WHEN doc_id // 3 % 4 = 0 THEN 'no json' ELSE '{"n": ' || n_chars || '}' END AS said, (['end_turn', 'max_tokens', 'refusal', 'odd'])[1 + doc_id // 12 % 4] AS stop, n_chars FROM documents)
+  SELECT doc_id AS clip_id, said AS body, stop AS stop_reason, n_chars::BIGINT AS input_tokens, (doc_id + CASE WHEN k = 2 THEN 5 ELSE 0 END)::BIGINT AS output_tokens, CASE WHEN stop = 'end_turn' AND said = 'no json' THEN 'bad_answer' END AS error_kind FROM p""",
+)
+def _(spark, d):
+    i, n = F.col("doc_id"), F.col("n_chars")
+    said = F.when(F.floor(i / 3) % 4 == 0, "no json").otherwise(F.concat(F.lit('{"n": '), n.cast("string"), F.lit("}")))
+    half = F.floor(F.char_length(said) / 2).cast("int")
+    head, tail = F.substr(said, F.lit(1), half), F.substr(said, half + 1)
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.floor(i / 12) % 4 + 1).cast("int"))
+    block = lambda t, kind: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    claude = F.struct(F.array(block(head, "text"), block(F.lit("hm"), "thinking"), block(tail, "text")).alias("content"), pick("end_turn", "max_tokens", "refusal", "odd").alias("stop_reason"), F.struct(n.alias("input_tokens"), i.alias("output_tokens")).alias("usage"))
+    choice = F.struct(F.struct(said.alias("content")).alias("message"), pick("stop", "length", "content_filter", "odd").alias("finish_reason"))
+    gpt = F.struct(F.array(choice).alias("choices"), F.struct(n.alias("prompt_tokens"), i.alias("completion_tokens")).alias("usage"))
+    piece = lambda t, thought: F.struct(t.alias("text"), F.lit(thought).alias("thought"))
+    candidate = F.struct(F.struct(F.array(piece(F.lit("hm"), True), piece(head, False), piece(tail, False)).alias("parts")).alias("content"), pick("STOP", "MAX_TOKENS", "SPII", "odd").alias("finishReason"))
+    gemini = F.struct(F.array(candidate).alias("candidates"), F.struct(n.alias("promptTokenCount"), i.alias("candidatesTokenCount"), F.lit(5).alias("thoughtsTokenCount")).alias("usageMetadata"))
+    raw = F.when(i % 3 == 0, F.to_json(claude)).when(i % 3 == 1, F.to_json(gpt)).otherwise(F.to_json(gemini))
+    provider = F.when(i % 3 == 0, "anthropic").when(i % 3 == 1, "openai").otherwise("gemini")
+    return replies.read_envelopes(table(spark, d, "documents").select(i.alias("clip_id"), provider.alias("provider"), raw.alias("raw")))
+
+
 # costs, budgets, cache
 
 

@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from cutgrain.operators import answers, budget, grouping, intervals, keyframes, sampling, shots, stretches
+from cutgrain.operators import answers, budget, grouping, intervals, keyframes, replies, sampling, shots, stretches
 from cutgrain.operators.components import connected_components
 from cutgrain.operators.runs import describe_clips, recorded
 from cutgrain.sources import subtitles, tables
@@ -93,22 +93,65 @@ def test_parse_answer_main_and_errors(spark):
 
 
 def test_tags(spark):
-    body = {"tags": [{"name": "Goat", "confidence": 1.5, "ranges": []}, {"name": "Goat", "confidence": 0.2, "ranges": []}, {"name": "Car", "confidence": 0.5, "ranges": []}, {"name": "Indoor", "confidence": "x", "ranges": []}, {"name": "Indoor", "confidence": 0.5, "ranges": []}, {"name": "Night", "confidence": 0.5, "ranges": [{"start_s": 90, "end_s": 95}]}], "new_tag_ideas": ["Tractor", "  ", 3, "Tractor"]}
+    body = {"tags": [{"name": "Sheep", "confidence": 1.5, "ranges": []}, {"name": "Sheep", "confidence": 0.2, "ranges": []}, {"name": "Car", "confidence": 0.5, "ranges": []}, {"name": "Kitchen", "confidence": "x", "ranges": []}, {"name": "Kitchen", "confidence": 0.5, "ranges": []}, {"name": "Dawn", "confidence": 0.5, "ranges": [{"start_s": 90, "end_s": 95}]}], "new_tag_ideas": ["Barn", "  ", 3, "Barn"]}
     df = spark.createDataFrame([(1, 30.0, json.dumps(body))], "clip_id int, duration_s double, body string")
-    v = spark.createDataFrame([("Goat",), ("Indoor",), ("Night",)], "name string")
-    assert [(r.name, r.confidence) for r in answers.parse_tags(df, v).collect()] == [("Goat", 1.0)]
-    assert answers.parse_new_tag_ideas(df).first().ideas == ["Tractor", "Tractor"]
+    v = spark.createDataFrame([("Sheep",), ("Kitchen",), ("Dawn",)], "name string")
+    assert [(r.name, r.confidence) for r in answers.parse_tags(df, v).collect()] == [("Sheep", 1.0)]
+    assert answers.parse_new_tag_ideas(df).first().ideas == ["Barn", "Barn"]
 
 
 def test_envelopes(spark):
-    rows = [
-        (1, "anthropic", json.dumps({"content": [{"text": '{"a":'}, {"text": "1}"}], "stop_reason": "end_turn", "usage": {"input_tokens": 5, "output_tokens": 2}})),
-        (2, "openai", json.dumps({"choices": [{"message": {"content": "oops"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}})),
-        (3, "gemini", json.dumps({"candidates": [{"content": {"parts": [{"text": "{}"}]}, "finishReason": "MAX_TOKENS"}], "usageMetadata": {"promptTokenCount": 7, "candidatesTokenCount": 1, "thoughtsTokenCount": 9}})),
+    part = lambda t, **more: {"text": t, **more}
+    gem = lambda reason, *parts: {"candidates": [{"content": {"parts": list(parts)}, **({"finishReason": reason} if reason else {})}], "usageMetadata": {"promptTokenCount": 7, "candidatesTokenCount": 1, "thoughtsTokenCount": 9}}
+    cases = [
+        ("anthropic", {"content": [{"type": "text", "text": '{"a":'}, {"type": "thinking", "text": "hm"}, {"type": "text", "text": "1}"}], "stop_reason": "end_turn", "usage": {"input_tokens": 5, "output_tokens": 2}}, ('{"a":1}', "end_turn", 5, 2, None)),
+        ("anthropic", {"content": [], "usage": {"input_tokens": -1, "output_tokens": 1.5}}, ("", "", 0, 0, None)),
+        ("anthropic", {"content": [{"type": "text", "text": "null"}], "stop_reason": "end_turn"}, ("null", "end_turn", 0, 0, "bad_answer")),
+        ("openai", {"choices": [{"message": {"content": "oops"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}}, ("oops", "end_turn", 3, 4, "bad_answer")),
+        ("openai", {"choices": [{"message": {"refusal": "no"}, "finish_reason": "stop"}]}, (None, "refusal", 0, 0, None)),
+        ("openai", {"choices": [{"message": {"refusal": "", "content": "{"}, "finish_reason": "length"}]}, ("{", "max_tokens", 0, 0, None)),
+        ("gemini", gem("MAX_TOKENS", part("{}")), ("{}", "max_tokens", 7, 10, None)),
+        ("gemini", gem(None, part("hm", thought=True), part("{"), part("}")), ("{}", "end_turn", 7, 10, None)),
+        ("gemini", gem("IMAGE_SAFETY"), ("", "refusal", 7, 10, None)),
+        ("gemini", {"promptFeedback": {"blockReason": "OTHER"}}, (None, "refusal", 0, 0, None)),
+        ("gemini", {"candidates": []}, ("", "", 0, 0, "bad_answer")),
     ]
-    got = {r.clip_id: r for r in answers.read_envelopes(spark.createDataFrame(rows, "clip_id int, provider string, raw string")).collect()}
-    assert (got[1].body, got[1].stop_reason, got[1].input_tokens, got[1].error_kind) == ('{"a":1}', "end_turn", 5, None)
-    assert got[2].error_kind == "bad_answer" and (got[3].stop_reason, got[3].output_tokens) == ("max_tokens", 10)
+    rows = [(i, p, json.dumps(raw)) for i, (p, raw, _) in enumerate(cases)] + [(99, "openai", "not json")]
+    got = {r[0]: tuple(r[1:]) for r in replies.read_envelopes(spark.createDataFrame(rows, "clip_id int, provider string, raw string")).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert got[i] == want, i
+    assert got[99] == ("", "", 0, 0, None)
+
+
+def test_statuses(spark):
+    err = lambda m=None, **more: json.dumps({"error": ({"message": m} if m else {}) | more})
+    cases = [
+        ("anthropic", 200, "{}", "answer"), ("openai", 401, "", "key_rejected"), ("gemini", 403, "", "key_rejected"), ("anthropic", 402, "", "out_of_credit"), ("openai", 402, "", "rejected"),
+        ("anthropic", 400, err("Your CREDIT balance is too low"), "out_of_credit"), ("openai", 400, err("credit balance"), "rejected"), ("anthropic", 400, err("monthly Spending Limit"), "limit_reached"),
+        ("openai", 429, err("x", code="insufficient_quota"), "out_of_credit"), ("openai", 429, err("x", code="other"), "rate_limited"), ("anthropic", 429, err("x", code="insufficient_quota"), "rate_limited"),
+        ("gemini", 400, err("x", details=[{"a": 1}, {"reason": "API_KEY_INVALID"}]), "key_rejected"), ("gemini", 400, err("API key expired"), "key_rejected"), ("gemini", 400, err("api key not valid"), "rejected"),
+        ("gemini", 429, err("Prepayment is used up"), "out_of_credit"), ("gemini", 429, err("your credits are depleted"), "out_of_credit"), ("gemini", 429, err("check billing"), "rate_limited"),
+        ("anthropic", 529, "", "retry"), ("openai", 529, "", "rejected"), ("anthropic", 504, "", "rejected"), ("gemini", 504, "", "retry"), ("openai", 502, "", "retry"), ("gemini", 408, "", "rejected"), ("openai", 413, "", "rejected"),
+    ]
+    rows = [(i, p, s, raw, None) for i, (p, s, raw, _) in enumerate(cases)]
+    rows += [(100, "gemini", 429, err("x", details=[{"retryDelay": "bad"}, {"retryDelay": "0.5s"}]), 3.0), (101, "openai", 429, "", 3.0), (102, "gemini", 429, "", None)]
+    got = {r.i: r for r in replies.classify(spark.createDataFrame(rows, "i int, provider string, status int, raw string, retry_after_s double")).collect()}
+    for i, (*_, want) in enumerate(cases):
+        assert got[i].outcome == want, cases[i]
+        assert (got[i].stops_run is not None) == (want in replies.STOPS_RUN)
+    assert [got[i].wait_s for i in (100, 101, 102)] == [1.0, 3.0, 20.0]
+    assert got[1].reason == "OpenAI rejected the key" and got[7].stops_run == "Stopped: monthly Spending Limit" and got[4].reason == "HTTP 402" and got[0].reason is None
+
+
+def test_combined_and_tags_only(spark):
+    body = json.dumps({"summary": "a field", "segments": [], "tags": [{"name": "Sky", "confidence": 0.5, "ranges": []}], "new_tag_ideas": ["Cloud"]})
+    df = spark.createDataFrame([(1, 30.0, body, "end_turn"), (2, 30.0, body, "refusal"), (3, 30.0, "{}", "end_turn"), (4, 30.0, None, "x")], "clip_id int, duration_s double, body string, stop_reason string")
+    v = spark.createDataFrame([("Sky",)], "name string")
+    tags = {r.clip_id: r for r in answers.parse_tags_only(df, v).collect()}
+    assert [x.name for x in tags[1].tags] == ["Sky"] and tags[1].ideas == ["Cloud"] and tags[3].tags == [] and tags[3].error is None
+    assert (tags[2].error, tags[2].tags, tags[4].error) == ("The model declined to suggest tags", None, "The model stopped early (x)")
+    both = {r.clip_id: r for r in answers.parse_combined(df, v).collect()}
+    assert both[1].summary == "a field" and both[1].ideas == ["Cloud"] and both[3].error == "The answer had no summary" and both[3].tags is None
 
 
 def test_budget(spark):
@@ -132,7 +175,7 @@ def test_ass(spark):
 
 def test_vocabulary_and_cache(spark):
     v = spark.createDataFrame([(1, "Goat — hint\nIndoor\n# c\n\n Night - after dark\nX — ")], "file_id int, text string")
-    assert [(r.name, r.hint) for r in tables.parse_vocabulary(v).orderBy("pos").collect()] == [("Goat", "hint"), ("Indoor", None), ("Night", "after dark"), ("X —", None)]
+    assert [(r.name, r.hint) for r in tables.parse_vocabulary(v).orderBy("pos").collect()] == [("Sheep", "hint"), ("Kitchen", None), ("Dawn", "after dark"), ("X —", None)]
     line = lambda v, i, s: json.dumps({"v": v, "identity": i, "settings": s, "clip": "c" + s})
     raw = [line(1, "a", "1"), line(1, "a", "2"), "garbage", line(2, "a", "3"), line(1, "b", "1")]
     lines = spark.createDataFrame(list(enumerate(raw)), "line_no long, raw string")

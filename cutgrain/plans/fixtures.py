@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cutgrain.session import table
 
-#: Ten vectors make a clip of 20 s, a frame every 2 s. Three base pictures a clip, 17 sets of them; odd clips are turned a
-#: quarter, exposure differs by clip, and there is a little noise.
+#: Ten vectors make a clip of 20 s, a frame every 2 s. Three base pictures a clip; of 170 clips in a row every 17th has the
+#: same set, the own vectors of another clip, so sets grow with the table. Odd clips are turned a quarter, exposure differs
+#: by clip, and there is a little noise.
 BASES = 17
 
 
@@ -19,8 +20,9 @@ def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clip_id, time_s, fp array<int>)"""
     e = table(spark, sf_dir, "embeddings")
     f = e.select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("clip_id"), (F.col("vec_id") % 10).alias("k"))
-    base = e.where(f"vec_id < {BASES * 10}").select(F.col("vec_id").alias("base"), "embedding")
-    f = f.withColumn("base", F.col("clip_id") % BASES * 10 + F.floor(F.col("k") / 4)).join(F.broadcast(base), "base")
+    base = e.select(F.col("vec_id").alias("base"), "embedding")
+    shown = F.floor(F.col("clip_id") / (10 * BASES)) * BASES + F.col("clip_id") % BASES
+    f = f.withColumn("base", shown * 10 + F.floor(F.col("k") / 4)).join(base, "base")
     place = lambda i: F.when(F.col("clip_id") % 2 == 1, (7 - i % 8) * 8 + F.floor(i / 8)).otherwise(i).cast("int")
     q = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 0.6) * 212.5))).cast("int")
     more = lambda i: (F.col("clip_id") % 3 * 5 + F.when((i + F.col("k")) % 3 == 0, 1).otherwise(0)).cast("int")
@@ -38,7 +40,7 @@ cells AS MATERIALIZED (
   SELECT f.clip_id, f.k, i, least(255, greatest(0, least(255, floor((b.embedding[(CASE WHEN f.clip_id % 2 = 1 THEN (7 - i % 8) * 8 + i // 8 ELSE i END) + 1]::DOUBLE + 0.6) * 212.5)))::INT
       + f.clip_id % 3 * 5 + (CASE WHEN (i + f.k) % 3 = 0 THEN 1 ELSE 0 END))::DOUBLE AS v
   FROM (SELECT vec_id // 10 AS clip_id, vec_id % 10 AS k FROM embeddings) f
-  JOIN embeddings b ON b.vec_id = f.clip_id % {BASES} * 10 + f.k // 4, range(64) t(i)
+  JOIN embeddings b ON b.vec_id = (f.clip_id // {10 * BASES} * {BASES} + f.clip_id % {BASES}) * 10 + f.k // 4, range(64) t(i)
 ), sized AS MATERIALIZED (
   SELECT clip_id, k, i, v, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM cells WINDOW w AS (PARTITION BY clip_id, k)
 ), norms AS MATERIALIZED (

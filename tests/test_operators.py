@@ -280,7 +280,7 @@ def test_every_line_is_a_segment(spark, sf):
     assert all(0 <= r.start_s < r.end_s <= 20.0001 for r in got)
 
 
-def test_all_linked_orders(spark, sf):
+def test_linked_orders_of_all(spark, sf):
     from cutgrain.plans import registry
 
     up = {}
@@ -293,7 +293,7 @@ def test_all_linked_orders(spark, sf):
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect():
         lo, hi = sorted((root(r.l_orderkey), root(r.l_suppkey + 1_000_000_000)))
         up[hi] = lo
-    got = registry.queries()["all_linked_orders"](spark, sf).collect()
+    got = registry.queries()["linked_orders"](spark, sf).collect()
     assert {r.id: r.component for r in got} == {x: root(x) for x in list(up)} and len(got) == len(up)
 
 
@@ -316,5 +316,5 @@ def test_every_part_is_hashed(spark, sf):
 
     names = {r[0] for t, c in (("nation", "n_name"), ("region", "r_name"), ("part", "p_name")) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c).collect()}
     names |= {f"part {r.p_partkey}" for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
-    got = registry.queries()["all_fnv_hash"](spark, sf).collect()
+    got = registry.queries()["fnv_hash"](spark, sf).collect()
     assert {r.name: r.hash for r in got} == {n: by_hand(n) for n in names} and len(got) == len(names)

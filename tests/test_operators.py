@@ -77,7 +77,7 @@ def test_parse_answer_limits(spark):
     assert parsed(spark, {"summary": "s", "segments": [seg(0, 27)]}, 30.0).segments == []
     assert len(parsed(spark, {"summary": "s", "segments": [seg(0, 26.9)]}, 30.0).segments) == 1
     assert parsed(spark, {"summary": "s", "segments": [seg(0, 14, "a"), seg(14, 28, "A ")]}, 30.0).segments == []
-    long_ = "a goat climbs the hill side"
+    long_ = "a goat walks up the slope"
     r = parsed(spark, {"summary": f"Here {long_} slowly. A dog too", "segments": [seg(1, 2, long_), seg(3, 4, "A dog")]})
     assert [s.description for s in r.segments] == ["A dog"]
     assert len(parsed(spark, {"summary": "s", "segments": [seg(i, i + 0.5, str(i)) for i in range(9)]}).segments) == 3
@@ -174,7 +174,7 @@ def test_ass(spark):
 
 
 def test_vocabulary_and_cache(spark):
-    v = spark.createDataFrame([(1, "Goat — hint\nIndoor\n# c\n\n Night - after dark\nX — ")], "file_id int, text string")
+    v = spark.createDataFrame([(1, "Sheep — hint\nKitchen\n# c\n\n Dawn - after dark\nX — ")], "file_id int, text string")
     assert [(r.name, r.hint) for r in tables.parse_vocabulary(v).orderBy("pos").collect()] == [("Sheep", "hint"), ("Kitchen", None), ("Dawn", "after dark"), ("X —", None)]
     line = lambda v, i, s: json.dumps({"v": v, "identity": i, "settings": s, "clip": "c" + s})
     raw = [line(1, "a", "1"), line(1, "a", "2"), "garbage", line(2, "a", "3"), line(1, "b", "1")]

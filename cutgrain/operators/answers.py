@@ -11,31 +11,12 @@ from pyspark.sql import functions as F
 
 from cutgrain.functions.costs import max_segments
 from cutgrain.functions.text import repeats_summary, trim
+from cutgrain.functions.variants import boolean, items, number, string
 from cutgrain.operators.intervals import covered, merge_neighbours
 
 #: A segment of this share of the clip, or ranges that cover it, say nothing about parts.
 WHOLE_CLIP = 0.9
 
-
-def number(v: Column, path: str) -> Column:
-    """A JSON number as double; null for anything else."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(v, path, "double"))
-
-
-def string(v: Column, path: str) -> Column:
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def boolean(v: Column, path: str) -> Column:
-    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
-
-
-def items(v: Column, path: str) -> Column:
-    """A JSON array's elements, each a variant; null where there is no array."""
-    return F.try_variant_get(v, path, "array<variant>")
-
-
 #: Messages of failed answers (fixed values: they are what a run's list of failures shows).
 TOO_LONG, STOPPED = "The answer was too long", "The model stopped early ("
 DECLINED, DECLINED_TAGS = "The model declined to describe it", "The model declined to suggest tags"

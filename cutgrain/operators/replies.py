@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.operators.answers import boolean, items, number, string
+from cutgrain.functions.variants import boolean, items, number, string
 
 #: Providers' names in messages (fixed values).
 LABELS = {"anthropic": "Anthropic", "openai": "OpenAI", "gemini": "Gemini"}

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutgrain.operators.answers import parse_answers
-from cutgrain.sources.tables import cached_answers
+from cutgrain.sources.cache import cached_answers
 
 LONGEST_S = 1800.0
 
 
 def describe_clips(clips: DataFrame, cache: DataFrame, provider: Callable[[DataFrame], DataFrame], longest_s: float = LONGEST_S, force: bool = False, important: bool = True) -> DataFrame:
-    """(clip_id, duration_s, identity, settings) -> (clip_id, outcome, error, summary, segments, main).
+    """(clip_id, duration_s, identity, settings) -> (clip_id, outcome, error, summary, segments, main), cached clips' own among them.
 
     provider takes the clips that need an answer and returns them with (body, stop_reason): a join with recorded answers, or
     a mapInPandas over a client. Clips that are too long never reach it; force leaves the cache unread.
@@ -22,9 +22,10 @@ def describe_clips(clips: DataFrame, cache: DataFrame, provider: Callable[[DataF
     known = cached_answers(clips, cache.limit(0) if force else cache)
     known = known.withColumn("way", F.when(F.col("duration_s") > longest_s, "too_long").when(F.col("cached"), "cached").otherwise("ask"))
     parsed = parse_answers(provider(known.where("way = 'ask'").select("clip_id", "duration_s")), important)
-    got = known.select("clip_id", "way").join(parsed, "clip_id", "left")
+    got = known.select("clip_id", "way", "cached_clip").join(parsed, "clip_id", "left")
     outcome = F.when(F.col("way") != "ask", F.col("way")).when(F.col("summary").isNotNull(), "described").when(F.col("error").isNotNull(), "failed").otherwise("not_started")
-    return got.select("clip_id", outcome.alias("outcome"), "error", "summary", "segments", "main")
+    said = [F.when(F.col("way") == "cached", F.col("cached_clip")[c]).otherwise(F.col(c)).alias(c) for c in ("summary", "segments", "main")]
+    return got.select("clip_id", outcome.alias("outcome"), "error", *said)
 
 
 def recorded(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:

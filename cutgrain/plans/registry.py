@@ -13,7 +13,7 @@ from cutgrain.operators import budget, grouping, intervals, keyframes, replies,
 from cutgrain.operators.components import connected_components
 from cutgrain.plans import fixtures as fx
 from cutgrain.session import cut, table
-from cutgrain.sources import subtitles, tables
+from cutgrain.sources import cache, subtitles, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -420,28 +420,58 @@ def _(spark, d):
     return budget.run_totals(o, ["o_orderpriority"]).select("o_orderpriority", "described", "cached", "problems", "moments", F.round("cost_usd", 2).alias("cost_usd"))
 
 
-_CACHE_SQL = "(SELECT event_id AS line_no, user_id::VARCHAR AS identity, event_type AS settings, props AS clip, event_id % 13 = 5 AS broken, CASE WHEN event_id % 17 = 4 THEN 2 ELSE 1 END AS v FROM events)"
+# a line an event: some are cut off, newer, or lack what they must have; a main range of another type is only none
+_CACHE_SQL = """(SELECT event_id AS line_no, (1000 + user_id) || '-' || (1700000000000000000 + user_id) || '-' || lpad(lower(to_hex(user_id)), 16, '0') AS identity, event_type AS settings, props AS summary,
+    event_id % 13 = 5 OR event_id % 19 IN (3, 4, 5, 6) AS broken, CASE WHEN event_id % 17 = 4 THEN 2 ELSE 1 END AS v, CASE WHEN event_id % 7 <> 2 AND event_id % 5 <> 0 THEN value END AS main_s, CASE WHEN event_id % 3 = 0 THEN event_id % 4 END AS tags FROM events)"""
+
+
+def _identity(x):
+    return cache.identity(x + 1000, x + 1_700_000_000_000_000_000, cache.hash_digits(x))
 
 
 def _cache_lines(spark, d):
-    e = table(spark, d, "events")
-    line = F.to_json(F.struct(F.when(F.col("event_id") % 17 == 4, 2).otherwise(1).alias("v"), F.col("user_id").cast("string").alias("identity"), F.col("event_type").alias("settings"), F.col("props").alias("clip")))
-    return e.select(F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 13 == 5, F.substr(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("raw"))
+    n, user = F.col("event_id"), F.col("user_id")
+    span = lambda a, b: F.struct(a.alias("start_s"), b.alias("end_s"))
+    tag = F.struct(F.lit("t").alias("name"), F.lit(0.5).alias("confidence"), F.array(span(F.lit(0), F.lit(1.5))).alias("ranges"))
+    tags = F.struct(F.slice(F.array_repeat(tag, 4), F.lit(1), (n % 4).cast("int")).alias("tags"), F.array(F.lit("idea")).alias("new_tag_ideas"))
+    segment = F.struct(F.lit(1).alias("start_s"), F.lit(2.5).alias("end_s"), F.when(n % 19 != 3, F.lit("said")).alias("description"))
+    frame = F.struct(F.lit(0.25).alias("t"), F.when(n % 19 == 4, "a===").otherwise(F.base64(F.col("event_type").cast("binary"))).alias("fp"))
+    usage = F.struct(F.when(n % 19 == 5, -1).otherwise(n).alias("input_tokens"), F.lit(7).alias("output_tokens"))
+    own = [F.when(n % 17 == 4, 2).otherwise(1).alias("v"), (user + 1000).alias("size"), (user + 1_700_000_000_000_000_000).alias("modified_ns"), F.when(n % 19 != 6, cache.hash_digits(user)).otherwise("x").alias("sample_hash"), F.col("event_type").alias("settings"), F.lit("f").alias("file"), F.lit("m").alias("model")]
+    clip = [F.lit(9).alias("duration_s"), usage.alias("usage"), F.col("props").alias("summary"), F.when(n % 5 != 0, span(F.when(n % 7 != 2, F.col("value")), F.lit(9.0))).alias("main"), F.array(segment).alias("segments"), F.when(n % 3 == 0, tags).alias("tags"), F.array(frame).alias("frames")]
+    line = F.to_json(F.struct(*own, *clip), {"ignoreNullFields": "false"})
+    return table(spark, d, "events").select(n.alias("line_no"), F.when(n % 13 == 5, F.substr(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("raw"))
+
+
+@query("cache_latest", f"SELECT identity, arg_max(settings, line_no) AS settings, arg_max(summary, line_no) AS summary, max(line_no) AS line_no, arg_max(coalesce(main_s, -1), line_no) AS main_s, arg_max(coalesce(tags, -1), line_no) AS tags FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity")
+def _(spark, d):
+    said = [F.coalesce("clip.main.start_s", F.lit(-1.0)).alias("main_s"), F.when(F.col("clip.tags").isNull(), -1).otherwise(F.size("clip.tags.tags")).cast("bigint").alias("tags")]
+    return cache.read_cache(_cache_lines(spark, d)).select("identity", "settings", F.col("clip.summary").alias("summary"), "line_no", *said)
 
 
-@query("cache_latest", f"SELECT identity, arg_max(settings, line_no) AS settings, arg_max(clip, line_no) AS clip, max(line_no) AS line_no FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity")
+@query("cache_compacted", f"SELECT max(line_no) AS line_no FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity UNION ALL SELECT line_no FROM {_CACHE_SQL} WHERE v = 2 AND line_no % 13 <> 5")
 def _(spark, d):
-    return tables.read_cache(_cache_lines(spark, d)).select("identity", "settings", "clip", "line_no")
+    return cache.compact(_cache_lines(spark, d)).select("line_no")
+
+
+@query("cache_round_trip", f"SELECT identity, arg_max(summary, line_no) AS summary, arg_max(coalesce(main_s, -1), line_no) AS main_s, arg_max(settings, line_no) AS fingerprint FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity")
+def _(spark, d):
+    """Records written as lines and read again."""
+    lines = cache.record_lines(cache.read_cache(_cache_lines(spark, d))).select(F.lit(0).alias("line_no"), F.col("value").alias("raw"))
+    return cache.read_cache(lines).select("identity", F.col("clip.summary").alias("summary"), F.coalesce("clip.main.start_s", F.lit(-1.0)).alias("main_s"), F.element_at("clip.frames", 1)["fp"].cast("string").alias("fingerprint"))
+
+
+_CUSTOMER_SQL = "(1000 + {0}) || '-' || (1700000000000000000 + {0}) || '-' || lpad(lower(to_hex({0})), 16, '0')"
 
 
 @query(
     "resume_split",
     f"""WITH l AS (SELECT identity, arg_max(settings, line_no) AS settings FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity)
-    SELECT c_custkey, coalesce(l.settings = 'click', false) AS cached FROM customer LEFT JOIN l ON l.identity = c_custkey::VARCHAR""",
+    SELECT c_custkey, coalesce(l.settings = 'click', false) AS cached FROM customer LEFT JOIN l ON l.identity = {_CUSTOMER_SQL.format("c_custkey")}""",
 )
 def _(spark, d):
-    clips = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("identity"), F.lit("click").alias("settings"))
-    return tables.cached_answers(clips, tables.read_cache(_cache_lines(spark, d))).select("c_custkey", "cached")
+    clips = table(spark, d, "customer").select("c_custkey", _identity(F.col("c_custkey")).alias("identity"), F.lit("click").alias("settings"))
+    return cache.cached_answers(clips, cache.read_cache(_cache_lines(spark, d))).select("c_custkey", "cached")
 
 
 @query(
@@ -544,12 +574,12 @@ def _(spark, d):
 @query(
     "described_run",
     f"""WITH {_SEG.split(', raw AS')[0].split('raw AS')[0].rstrip().rstrip(',')}, l AS (SELECT DISTINCT identity FROM {_CACHE_SQL} WHERE NOT broken AND v = 1)
-    SELECT clip_id, CASE WHEN duration_s > 600 THEN 'too_long' WHEN l.identity IS NOT NULL THEN 'cached' WHEN error IS NULL THEN 'described' ELSE 'failed' END AS outcome, CASE WHEN duration_s <= 600 AND l.identity IS NULL THEN error END AS error FROM a LEFT JOIN l ON l.identity = clip_id::VARCHAR""",
+    SELECT clip_id, CASE WHEN duration_s > 600 THEN 'too_long' WHEN l.identity IS NOT NULL THEN 'cached' WHEN error IS NULL THEN 'described' ELSE 'failed' END AS outcome, CASE WHEN duration_s <= 600 AND l.identity IS NULL THEN error END AS error FROM a LEFT JOIN l ON l.identity = {_CUSTOMER_SQL.format('clip_id')}""",
 )
 def _(spark, d):
     from cutgrain.operators.runs import describe_clips
 
-    clips = fx.answers(spark, d).select("clip_id", "duration_s", F.col("clip_id").cast("string").alias("identity"))
-    cache = tables.read_cache(_cache_lines(spark, d)).withColumn("settings", F.lit("s"))
-    got = describe_clips(clips.withColumn("settings", F.lit("s")), cache, lambda todo: todo.join(fx.answers(spark, d).drop("duration_s"), "clip_id"), longest_s=600.0)
+    clips = fx.answers(spark, d).select("clip_id", "duration_s", _identity(F.col("clip_id")).alias("identity"))
+    known = cache.read_cache(_cache_lines(spark, d)).withColumn("settings", F.lit("s"))
+    got = describe_clips(clips.withColumn("settings", F.lit("s")), known, lambda todo: todo.join(fx.answers(spark, d).drop("duration_s"), "clip_id"), longest_s=600.0)
     return got.select("clip_id", "outcome", "error")

@@ -1,4 +1,4 @@
-"""Other inputs and outputs: vocabularies, file listings and identities, JPEG headers, and the result cache."""
+"""Other inputs: vocabularies, file listings and identities, JPEG headers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -94,38 +94,3 @@ def jpeg_size(data: pd.Series) -> pd.DataFrame:
         return None, None
 
     return pd.DataFrame([one(x) for x in data], columns=["width", "height"]).astype("Int32")
-
-
-#: The version of a cache line that this engine reads.
-VERSION = 1
-CACHE_FIELDS = "v int, identity string, settings string, file string, model string, clip string"
-
-
-def read_cache(lines: DataFrame) -> DataFrame:
-    """(line_no, raw) -> the last record of each identity. Lines that can't be parsed or lack a field are skipped; newer
-    versions are left to compact()."""
-    r = lines.select("line_no", F.from_json("raw", CACHE_FIELDS).alias("r")).select("line_no", "r.*")
-    r = r.where(f"v = {VERSION} and identity is not null and settings is not null and clip is not null")
-    last = Window.partitionBy("identity").orderBy(F.col("line_no").desc())
-    return r.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
-
-
-def compact(lines: DataFrame) -> DataFrame:
-    """(line_no, raw) -> the lines that a cleaned cache keeps: each identity's last, and newer versions word for word."""
-    newer = lines.withColumn("v", F.from_json("raw", "v int")["v"]).where(f"v > {VERSION}").select("line_no", "raw")
-    return newer.union(lines.join(read_cache(lines).select("line_no"), "line_no", "left_semi").select("line_no", "raw"))
-
-
-def cached_answers(clips: DataFrame, cache: DataFrame) -> DataFrame:
-    """clips (identity, settings, ...) with `cached` and the cached clip: same identity and the same settings. `cache` holds one
-    record an identity already, so other settings there hide older ones of the same."""
-    c = cache.select("identity", F.col("settings").alias("__s"), F.col("clip").alias("cached_clip"))
-    got = clips.join(c, "identity", "left").withColumn("cached", F.coalesce(F.col("settings") == F.col("__s"), F.lit(False)))
-    return got.withColumn("cached_clip", F.when(F.col("cached"), F.col("cached_clip"))).drop("__s")
-
-
-def settings_key(model, sampling, moments, language, vocabulary, notes):
-    """Everything that an answer depends on beside the file, as one string; notes only where they say something."""
-    base = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), F.coalesce(v, F.lit(""))) for k, v in (("model", model), ("frames", sampling), ("moments", moments), ("language", language), ("tags", vocabulary))])
-    said = trim(F.coalesce(notes, F.lit("")))
-    return F.when(said != "", F.concat(base, F.lit(";instructions="), said)).otherwise(base)

@@ -173,16 +173,9 @@ def test_ass(spark):
     assert subtitles.plain_text("{" * 200_000) == "{" * 200_000
 
 
-def test_vocabulary_and_cache(spark):
+def test_vocabulary(spark):
     v = spark.createDataFrame([(1, "Sheep — hint\nKitchen\n# c\n\n Dawn - after dark\nX — ")], "file_id int, text string")
     assert [(r.name, r.hint) for r in tables.parse_vocabulary(v).orderBy("pos").collect()] == [("Sheep", "hint"), ("Kitchen", None), ("Dawn", "after dark"), ("X —", None)]
-    line = lambda v, i, s: json.dumps({"v": v, "identity": i, "settings": s, "clip": "c" + s})
-    raw = [line(1, "a", "1"), line(1, "a", "2"), "garbage", line(2, "a", "3"), line(1, "b", "1")]
-    lines = spark.createDataFrame(list(enumerate(raw)), "line_no long, raw string")
-    assert {(r.identity, r.settings) for r in tables.read_cache(lines).collect()} == {("a", "2"), ("b", "1")}
-    assert sorted(r.line_no for r in tables.compact(lines).collect()) == [1, 3, 4]
-    clips = spark.createDataFrame([(1, "a", "1"), (2, "b", "1")], "clip_id int, identity string, settings string")
-    assert {r.clip_id: r.cached for r in tables.cached_answers(clips, tables.read_cache(lines)).collect()} == {1: False, 2: True}
 
 
 def test_listing_and_identity(spark, tmp_path):
@@ -252,24 +245,17 @@ def test_block_size_changes_nothing(spark, sf, monkeypatch):
 
 def test_run(spark):
     clips = spark.createDataFrame([(1, 30.0, "a", "s"), (2, 30.0, "b", "s"), (3, 9999.0, "c", "s"), (4, 30.0, "d", "s"), (5, 30.0, "e", "s")], "clip_id long, duration_s double, identity string, settings string")
-    cache = spark.createDataFrame([("a", "s", "{}")], "identity string, settings string, clip string")
+    cache = spark.createDataFrame([("a", "s", ("before",))], "identity string, settings string, clip struct<summary:string>")
+    empty = "cast(array() as array<struct<start_s:double,end_s:double,description:string>>)"
+    cache = cache.withColumn("clip", F.struct("clip.summary", F.expr(empty).alias("segments"), F.expr("cast(null as struct<start_s:double,end_s:double>)").alias("main")))
     rec = spark.createDataFrame([(1, '{"summary": "x"}', "end_turn"), (2, '{"summary": "x"}', "end_turn"), (4, "{}", "refusal")], "clip_id long, body string, stop_reason string")
-    got = {r.clip_id: r.outcome for r in describe_clips(clips, cache, recorded(rec)).collect()}
+    run = describe_clips(clips, cache, recorded(rec)).collect()
+    got = {r.clip_id: r.outcome for r in run}
+    assert {r.clip_id: r.summary for r in run if r.summary} == {1: "before", 2: "x"}
     assert got == {1: "cached", 2: "described", 3: "too_long", 4: "failed", 5: "not_started"}
     assert {r.clip_id: r.outcome for r in describe_clips(clips, cache, recorded(rec), force=True).collect()}[1] == "described"
 
 
-def test_stream_resumes(spark, tmp_path):
-    from cutgrain.streaming.resume import describe_stream
-
-    source, out, mark = (f"file://{tmp_path}/{x}" for x in ("in", "out", "mark"))
-    for n in range(2):
-        spark.createDataFrame([(n, 30.0)], "clip_id long, duration_s double").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("clip_id long, duration_s double").parquet(source)
-        describe_stream(stream, lambda b: b.withColumn("summary", F.lit("s")), out, mark).awaitTermination()
-    assert sorted(r.clip_id for r in spark.read.parquet(out).collect()) == [0, 1]
-
-
 def test_every_line_is_a_segment(spark, sf):
     from cutgrain.plans import fixtures, registry
 

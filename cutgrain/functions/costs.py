@@ -66,12 +66,41 @@ def estimate_usage(frames: Column, tokens_a_frame: Column, subtitle_bytes: Colum
     return (frames * tokens_a_frame + text_tokens(subtitle_bytes) + 600).cast("bigint")
 
 
+def vocabulary_size(tags: list[tuple[str, str | None]]) -> tuple[int, int]:
+    """(name, hint) -> bytes that they take in a request, and how many they are."""
+    return sum(len(n.encode()) + len((h or "").encode()) + 4 for n, h in tags), len(tags)
+
+
 def estimate_tags_usage(vocabulary: DataFrame) -> DataFrame:
-    """(name, hint) -> one row (input_tokens, output_tokens) of a request that only asks for tags."""
+    """(name, hint) -> one row: the (input_tokens, output_tokens) that a request takes more when it asks for tags."""
     size = F.octet_length("name") + F.coalesce(F.octet_length("hint"), F.lit(0)) + 4
     return vocabulary.agg(text_tokens(F.coalesce(F.sum(size), F.lit(0))).alias("input_tokens"), (F.count("*") * 15 + 100).alias("output_tokens"))
 
 
+def estimate_clips(clips: DataFrame, sampling: str = "interval", tags: list[tuple[str, str | None]] | None = None) -> DataFrame:
+    """(clip_id, model, duration_s, subtitle_bytes) -> with input_tokens, output_tokens and usd of describing each, before its frames are
+    known: frames of 16 by 9 in the most that the sampling sends, subtitles and notes by their bytes, and the tags where a vocabulary
+    is given."""
+    from cutgrain.operators.sampling import frame_budget
+
+    p = priced(clips)
+    size = frame_size(F.lit(1920), F.lit(1080))
+    frame = image_tokens_bound(F.col("provider"), size["width"], size["height"])
+    extra, out = (0, 0) if tags is None else (int(vocabulary_size(tags)[0] / 3.5), vocabulary_size(tags)[1] * 15 + 100)
+    used = estimate_usage(frame_budget(F.col("duration_s"), sampling), frame, F.col("subtitle_bytes"))
+    p = p.withColumn("input_tokens", (used + extra).cast("bigint")).withColumn("output_tokens", (F.col("answer_tokens") + out).cast("bigint"))
+    return p.withColumn("usd", cost_usd(F.col("input_tokens"), F.col("output_tokens"))).select(*clips.columns, "input_tokens", "output_tokens", "usd")
+
+
+def estimate_retagging(clips: DataFrame, tags: list[tuple[str, str | None]]) -> DataFrame:
+    """(clip_id, model, subtitle_bytes, summary, segments array<struct<description, ..>>) -> with input_tokens, output_tokens and usd of
+    tagging described clips without their frames; a segment takes 20 bytes beside its description."""
+    size, n = vocabulary_size(tags)
+    said = F.octet_length("summary") + F.aggregate("segments", F.lit(0), lambda a, s: a + F.octet_length(s["description"]) + 20)
+    p = priced(clips).withColumn("input_tokens", (text_tokens(F.col("subtitle_bytes") + said) + 600 + int(size / 3.5)).cast("bigint")).withColumn("output_tokens", F.lit(n * 15 + 100).cast("bigint"))
+    return p.withColumn("usd", cost_usd(F.col("input_tokens"), F.col("output_tokens"))).select(*clips.columns, "input_tokens", "output_tokens", "usd")
+
+
 def request_cost_bound(content: DataFrame, schema_bytes: int) -> DataFrame:
     """(clip_id, model, kind, octets, width, height): a row an item of a request -> (clip_id, model, bound_usd)."""
     p = priced(content)

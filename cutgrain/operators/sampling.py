@@ -29,10 +29,16 @@ def sampled(clips: DataFrame, interval_s: float = FRAMES[0], most: int = FRAMES[
 
 
 def frame_budget(duration: Column, sampling: str) -> Column:
-    """Frames that a sampling may send: one a fixed interval, or the most of it for picked ones."""
+    """Most frames that a sampling may send: one a fixed interval, but for shots, of which a clip can have many, the most there are."""
     if sampling not in ("interval", "key_frames", "shots"):
         raise ValueError(f"unknown sampling {sampling!r}")
-    return frame_count(duration, *FRAMES)
+    return F.lit(FRAMES[1]) if sampling == "shots" else frame_count(duration, *FRAMES)
+
+
+def needs_exact(got: Column, wanted: Column, before: Column, interval_s: float) -> Column:
+    """Whether a frame that a seek to `wanted` gave must be sought again exactly: it isn't after the frame before (null: none), or
+    more than half an interval off."""
+    return F.coalesce(got <= before + 1e-3, F.lit(False)) | (F.abs(got - wanted) > interval_s / 2)
 
 
 def shot_times(shots: DataFrame, budget: Column, most: int = FRAMES[1]) -> DataFrame:

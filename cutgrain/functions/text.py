@@ -34,9 +34,8 @@ def collapse(x: Column) -> Column:
 def words(text: Column) -> Column:
     """Stems of the words that say what a text shows, in order, repeats kept; null for null."""
     found = F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+")
-    stops = F.array(*[F.lit(x) for x in STOP_WORDS])
-    stop = lambda w: F.array_contains(stops, w) | (w.endswith("s") & F.array_contains(stops, F.substr(w, F.lit(1), F.char_length(w) - 1)))
-    return F.transform(F.filter(found, lambda w: (F.char_length(w) >= LEAST_LETTERS) & ~stop(w)), lambda w: F.substring(w, 1, STEM_LETTERS))
+    stops = [w + s for w in STOP_WORDS for s in ("", "s")]  # looked up by hash
+    return F.transform(F.filter(found, lambda w: (F.char_length(w) >= LEAST_LETTERS) & ~w.isin(stops)), lambda w: F.substring(w, 1, STEM_LETTERS))
 
 
 def word_set(text: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from cutgrain.functions.costs import max_segments
 from cutgrain.functions.text import repeats_summary, trim
 from cutgrain.functions.variants import boolean, items, number, string
-from cutgrain.operators.intervals import covered, merge_neighbours
 
 #: A segment of this share of the clip, or ranges that cover it, say nothing about parts.
 WHOLE_CLIP = 0.9
@@ -29,45 +28,84 @@ def stop_error(stop_reason: Column, declined: str = DECLINED) -> Column:
     return F.when(stop_reason == "end_turn", F.lit(None).cast("string")).when(stop_reason == "max_tokens", TOO_LONG).when(stop_reason == "refusal", declined).otherwise(early)
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it and filters are pushed below it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+_SEGMENTS = "array<struct<start_s:double,end_s:double,description:string>>"
+
+
+def _merged(segments: Column) -> Column:
+    """merge_neighbours() of an array that is sorted."""
+    same = lambda acc, x: F.lower(trim(F.element_at(acc, -1)["description"])) == F.lower(trim(x["description"]))
+    last = lambda acc, x: F.struct(F.element_at(acc, -1)["start_s"].alias("start_s"), F.greatest(F.element_at(acc, -1)["end_s"], x["end_s"]).alias("end_s"), F.element_at(acc, -1)["description"].alias("description"))
+    step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(same(acc, x), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(last(acc, x)))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(segments, F.expr(f"cast(array() as {_SEGMENTS})"), step)
+
+
+def _covered(segments: Column, lo: Column, hi: Column) -> Column:
+    """Seconds of [lo, hi] that an array of spans sorted by start covers, overlaps counted once."""
+    start = F.struct(lo.cast("double").alias("reached"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a, b = F.greatest(x["start_s"], acc["reached"]), F.least(x["end_s"], hi)
+        return F.struct(F.greatest(acc["reached"], b).alias("reached"), (acc["sum"] + F.greatest(F.lit(0.0), b - a)).alias("sum"))
+
+    return F.aggregate(segments, start, step, lambda acc: acc["sum"])
+
+
 def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
     """(clip_id, duration_s, body, stop_reason) -> (clip_id, error, summary, segments array<struct<start_s, end_s, description>>, main).
 
     In order: stop reason, summary, each segment's validity, sorting by start; then, for important moments only, neighbours
     of one description merged, whole-clip segments and repeats of the summary dropped, the main range, and ranges that
-    tile the clip cleared; then at most so many segments as the duration allows.
+    tile the clip cleared; then at most so many segments as the duration allows. An answer is read within its row: nothing is
+    shuffled, and its segments are as many as a model's answer can hold.
     """
-    a = answers.select("clip_id", "duration_s", "stop_reason", F.try_parse_json("body").alias("j"))
-    summary = F.coalesce(trim(string(F.col("j"), "$.summary")), F.lit(""))
-    a = a.withColumn("summary", summary).withColumn("error", F.coalesce(stop_error(F.col("stop_reason")), F.when(F.col("summary") == "", NO_SUMMARY)))
-    ok = a.where("error is null")
-    s = ok.select("clip_id", "duration_s", "summary", F.posexplode(items(F.col("j"), "$.segments")).alias("item", "v"))
-    s = s.select("clip_id", "duration_s", "summary", "item", number(F.col("v"), "$.start_s").alias("start_s"), F.least(number(F.col("v"), "$.end_s"), "duration_s").alias("end_s"), trim(string(F.col("v"), "$.description")).alias("description"), number(F.col("v"), "$.end_s").isNotNull().alias("ended"))
-    s = s.where("ended and start_s >= 0 and end_s > start_s and start_s < duration_s + 1 and description != ''")
-    s = s.withColumn("pos", F.row_number().over(Window.partitionBy("clip_id").orderBy("start_s", "item")))
-    about = ok.select("clip_id", "duration_s", "summary")
-    m = items(F.col("j"), "$.main")
-    first = F.try_element_at(m, F.lit(1))
-    lo, hi = F.greatest(number(first, "$.start_s"), F.lit(0.0)), F.least(number(first, "$.end_s"), "duration_s")
-    known = number(first, "$.start_s").isNotNull() & number(first, "$.end_s").isNotNull()
-    inside = known & (hi > lo) & (lo < F.col("duration_s")) & (hi - lo < WHOLE_CLIP * F.col("duration_s"))
-    extra = ok.select("clip_id", F.when(inside, F.struct(lo.alias("start_s"), hi.alias("end_s"))).alias("main"), F.coalesce(boolean(F.col("j"), "$.distinct_parts"), F.lit(False)).alias("distinct"))
-    if important:
-        s = merge_neighbours(s.select("clip_id", "pos", "start_s", "end_s", "description")).join(about, "clip_id")
-        s = s.where(F.col("end_s") - F.col("start_s") < WHOLE_CLIP * F.col("duration_s")).where(~repeats_summary(F.col("description"), F.col("summary")))
-        spans = s.join(extra, "clip_id")
-        whole = covered(spans, ["clip_id"], F.lit(0.0), F.col("duration_s"))
-        within = covered(spans.where("main is not null"), ["clip_id"], F.col("main.start_s"), F.col("main.end_s")).withColumnRenamed("covered_s", "in_main")
-        t = extra.join(about.select("clip_id", "duration_s"), "clip_id").join(whole, "clip_id", "left").join(within, "clip_id", "left").fillna(0.0, ["covered_s", "in_main"])
-        main_s = F.col("main.end_s") - F.col("main.start_s")
-        full = WHOLE_CLIP * F.col("duration_s")
-        tiles = F.when(F.col("main").isNull(), F.col("covered_s") >= full).otherwise((F.col("covered_s") + main_s - F.col("in_main") >= full) | (F.col("in_main") >= WHOLE_CLIP * main_s))
-        cleared = t.where(~(F.col("main").isNull() & F.col("distinct")) & tiles).select("clip_id")
-        s = s.join(cleared, "clip_id", "left_anti")
-    listed = s.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_s", "end_s", "description"))).alias("l"))
-    got = a.select("clip_id", "duration_s", "error", "summary").join(listed, "clip_id", "left").join(extra, "clip_id", "left")
-    cut = F.slice(F.transform("l", lambda x: F.struct(x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["description"].alias("description"))), F.lit(1), max_segments(F.col("duration_s")))
-    none = F.expr("cast(array() as array<struct<start_s:double,end_s:double,description:string>>)")
-    return got.select("clip_id", "error", F.when(F.col("error").isNull(), F.col("summary")).alias("summary"), F.when(F.col("error").isNull(), F.coalesce(cut, none)).alias("segments"), (F.col("main") if important else F.lit(None).cast("struct<start_s:double,end_s:double>")).alias("main"))
+    duration = F.col("duration_s")
+    full = WHOLE_CLIP * duration
+    none = F.expr(f"cast(array() as {_SEGMENTS})")
+    no_main = F.expr("cast(null as struct<start_s:double,end_s:double>)")
+
+    def read(j: Column) -> Column:
+        summary = F.coalesce(trim(string(j, "$.summary")), F.lit(""))
+        error = F.coalesce(stop_error(F.col("stop_reason")), F.when(summary == "", NO_SUMMARY))
+        row = lambda v, i: F.struct(number(v, "$.start_s").alias("start_s"), i.alias("item"), number(v, "$.end_s").alias("end_s"), trim(string(v, "$.description")).alias("description"))
+        ended = F.filter(F.transform(items(j, "$.segments"), row), lambda s: s["end_s"].isNotNull())
+        cut = F.transform(ended, lambda s: s.withField("end_s", F.least(s["end_s"], duration)))
+        valid = F.filter(cut, lambda s: F.coalesce((s["start_s"] >= 0) & (s["end_s"] > s["start_s"]) & (s["start_s"] < duration + 1) & (s["description"] != ""), F.lit(False)))
+        segments = F.coalesce(F.transform(F.array_sort(valid), lambda s: s.dropFields("item")), none)
+        first = F.try_element_at(items(j, "$.main"), F.lit(1))
+        lo, hi = number(first, "$.start_s"), number(first, "$.end_s")
+        said = F.when(lo.isNotNull() & hi.isNotNull(), F.struct(F.greatest(lo, F.lit(0.0)).alias("start_s"), F.least(hi, duration).alias("end_s")))
+        return F.struct(error.alias("error"), summary.alias("summary"), segments.alias("segments"), said.alias("main"), F.coalesce(boolean(j, "$.distinct_parts"), F.lit(False)).alias("distinct"))
+
+    def parted(r: Column) -> Column:
+        m = r["main"]
+        main = F.when((m["end_s"] > m["start_s"]) & (m["start_s"] < duration) & (m["end_s"] - m["start_s"] < full), m)
+        own = F.filter(_merged(r["segments"]), lambda s: (s["end_s"] - s["start_s"] < full) & ~repeats_summary(s["description"], r["summary"]))
+        return r.withField("main", main).withField("segments", own)
+
+    def measured(r: Column) -> Column:
+        in_main = F.when(r["main"].isNull(), 0.0).otherwise(_covered(r["segments"], r["main"]["start_s"], r["main"]["end_s"]))
+        return r.withField("all_s", _covered(r["segments"], F.lit(0.0), duration)).withField("in_main", in_main)
+
+    def cleared(r: Column) -> Column:
+        main_s = r["main"]["end_s"] - r["main"]["start_s"]
+        tiles = F.when(r["main"].isNull(), r["all_s"] >= full).otherwise((r["all_s"] + main_s - r["in_main"] >= full) | (r["in_main"] >= WHOLE_CLIP * main_s))
+        return r.withField("segments", F.when(~(r["main"].isNull() & r["distinct"]) & tiles, none).otherwise(r["segments"]))
+
+    def told(r: Column) -> Column:
+        ok = r["error"].isNull()
+        most = F.slice(r["segments"], F.lit(1), max_segments(duration))
+        main = F.when(ok, r["main"]) if important else no_main
+        return F.struct(r["error"].alias("error"), F.when(ok, r["summary"]).alias("summary"), F.when(ok, most).alias("segments"), main.alias("main"))
+
+    got = F.try_parse_json("body")
+    for step in (read, *((parted, measured, cleared) if important else ()), told):
+        got = _with(got, step)
+    return answers.select("clip_id", got.alias("p")).select("clip_id", *[F.col("p")[c].alias(c) for c in ("error", "summary", "segments", "main")])
 
 
 def parse_tags(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:

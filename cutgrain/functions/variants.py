@@ -6,6 +6,8 @@ would coerce text to numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def whole(v: Column, path: str) -> Column:
     """A JSON integer from 0 to 2^64 - 1 as decimal(20, 0); null for anything else."""
     n = F.try_variant_get(v, path, "decimal(20,0)")
     return F.when(kind(v, path).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$") & (n >= 0) & (n <= F.lit("18446744073709551615").cast("decimal(20,0)")), n)
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it and filters are pushed below it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.functions.costs import max_segments
 from cutgrain.functions.text import repeats_summary, trim
-from cutgrain.functions.variants import boolean, items, number, string
+from cutgrain.functions.variants import boolean, items, number, once, string
 
 #: A segment of this share of the clip, or ranges that cover it, say nothing about parts.
 WHOLE_CLIP = 0.9
@@ -28,11 +28,6 @@ def stop_error(stop_reason: Column, declined: str = DECLINED) -> Column:
     return F.when(stop_reason == "end_turn", F.lit(None).cast("string")).when(stop_reason == "max_tokens", TOO_LONG).when(stop_reason == "refusal", declined).otherwise(early)
 
 
-def _with(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f names it and filters are pushed below it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 _SEGMENTS = "array<struct<start_s:double,end_s:double,description:string>>"
 
 
@@ -104,8 +99,9 @@ def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
 
     got = F.try_parse_json("body")
     for step in (read, *((parted, measured, cleared) if important else ()), told):
-        got = _with(got, step)
-    return answers.select("clip_id", got.alias("p")).select("clip_id", *[F.col("p")[c].alias(c) for c in ("error", "summary", "segments", "main")])
+        got = once(got, step)
+    # generated, so that no filter above reads an answer again
+    return answers.select("clip_id", F.explode_outer(F.array(got)).alias("p")).select("clip_id", *[F.col("p")[c].alias(c) for c in ("error", "summary", "segments", "main")])
 
 
 def parse_tags(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -440,7 +440,8 @@ def _cache_lines(spark, d):
     own = [F.when(n % 17 == 4, 2).otherwise(1).alias("v"), (user + 1000).alias("size"), (user + 1_700_000_000_000_000_000).alias("modified_ns"), F.when(n % 19 != 6, cache.hash_digits(user)).otherwise("x").alias("sample_hash"), F.col("event_type").alias("settings"), F.lit("f").alias("file"), F.lit("m").alias("model")]
     clip = [F.lit(9).alias("duration_s"), usage.alias("usage"), F.col("props").alias("summary"), F.when(n % 5 != 0, span(F.when(n % 7 != 2, F.col("value")), F.lit(9.0))).alias("main"), F.array(segment).alias("segments"), F.when(n % 3 == 0, tags).alias("tags"), F.array(frame).alias("frames")]
     line = F.to_json(F.struct(*own, *clip), {"ignoreNullFields": "false"})
-    return table(spark, d, "events").select(n.alias("line_no"), F.when(n % 13 == 5, F.substr(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("raw"))
+    events = table(spark, d, "events").repartition(spark.sparkContext.defaultParallelism, "event_id")  # as a split file of lines would be
+    return events.select(n.alias("line_no"), F.when(n % 13 == 5, F.substr(line, F.lit(1), F.char_length(line) - 4)).otherwise(line).alias("raw"))
 
 
 @query("cache_latest", f"SELECT identity, arg_max(settings, line_no) AS settings, arg_max(summary, line_no) AS summary, max(line_no) AS line_no, arg_max(coalesce(main_s, -1), line_no) AS main_s, arg_max(coalesce(tags, -1), line_no) AS tags FROM {_CACHE_SQL} WHERE NOT broken AND v = 1 GROUP BY identity")

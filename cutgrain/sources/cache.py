@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.functions.hashing import BASIS, fnv1a
 from cutgrain.functions.text import trim
-from cutgrain.functions.variants import items, kind, number, string, whole
+from cutgrain.functions.variants import items, kind, number, once, string, whole
 
 #: The version of the lines that this engine reads and writes.
 VERSION = 1
@@ -60,10 +60,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return read.select(at.alias("line_no"), F.col("value").alias("raw"))
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    """(line_no, raw) -> with v, the record's columns, and `good`: whether nothing that must be there is missing or of another type."""
-    j = F.col("j")
-    got = lines.select("line_no", "raw", F.try_parse_json("raw").alias("j")).withColumn("v", whole(j, "$.v"))
+def _read(j: Column) -> Column:
+    """A line's record, as far as it is there."""
     digits = F.regexp_extract(string(j, "$.sample_hash"), r"^\+?0*([0-9A-Fa-f]+)$", 1)
     sample = F.when((digits != "") & (F.char_length(digits) <= 16), F.lower(F.lpad(digits, 16, "0")))
     segments = F.transform(items(j, "$.segments"), lambda s: F.struct(number(s, "$.start_s").alias("start_s"), number(s, "$.end_s").alias("end_s"), string(s, "$.description").alias("description")))
@@ -75,20 +73,31 @@ def _parsed(lines: DataFrame) -> DataFrame:
         number(j, "$.duration_s").alias("duration_s"),
         F.struct(whole(j, "$.usage.input_tokens").alias("input_tokens"), whole(j, "$.usage.output_tokens").alias("output_tokens")).alias("usage"),
         string(j, "$.summary").alias("summary"),
-        F.when(main["start_s"].isNotNull() & main["end_s"].isNotNull(), main).alias("main"),
+        once(main, lambda m: F.when(m["start_s"].isNotNull() & m["end_s"].isNotNull(), m)).alias("main"),
         segments.alias("segments"),
         F.when(F.coalesce(kind(j, "$.tags"), F.lit("VOID")) != "VOID", tags).alias("tags"),
         frames.alias("frames"),
     )
-    got = got.select("line_no", "raw", "v", whole(j, "$.size").alias("size"), whole(j, "$.modified_ns").alias("modified_ns"), sample.alias("sample_hash"), *[string(j, f"$.{c}").alias(c) for c in ("settings", "file", "model")], clip.alias("clip"))
-    there = [F.col(c).isNotNull() for c in ("size", "modified_ns", "sample_hash", "settings", "file", "model", "clip.duration_s", "clip.usage.input_tokens", "clip.usage.output_tokens", "clip.summary")]
-    t = F.col("clip.tags")
+    return F.struct(whole(j, "$.v").alias("v"), whole(j, "$.size").alias("size"), whole(j, "$.modified_ns").alias("modified_ns"), sample.alias("sample_hash"), *[string(j, f"$.{c}").alias(c) for c in ("settings", "file", "model")], clip.alias("clip"))
+
+
+def _judged(r: Column) -> Column:
+    """A record with `good`: whether nothing that must be there is missing or of another type; and its identity."""
+    c = r["clip"]
+    t = c["tags"]
     tagged = t.isNull() | (_whole_rows(t["tags"], "name", "confidence", "ranges") & F.forall(t["tags"], lambda x: _whole_rows(x["ranges"], "start_s", "end_s")) & t["new_tag_ideas"].isNotNull() & F.forall(t["new_tag_ideas"], lambda x: x.isNotNull()))
-    rows = [_whole_rows(F.col("clip.segments"), "start_s", "end_s", "description"), _whole_rows(F.col("clip.frames"), "t", "fp"), tagged]
-    good = F.col("v") == VERSION
-    for x in there + rows:
-        good = good & x
-    return got.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("identity", identity(F.col("size"), F.col("modified_ns"), F.col("sample_hash")))
+    good = (r["v"] == VERSION) & tagged & _whole_rows(c["segments"], "start_s", "end_s", "description") & _whole_rows(c["frames"], "t", "fp")
+    for x in [r[n] for n in ("size", "modified_ns", "sample_hash", "settings", "file", "model")] + [c["duration_s"], c["usage"]["input_tokens"], c["usage"]["output_tokens"], c["summary"]]:
+        good = good & x.isNotNull()
+    return F.struct(r.alias("r"), F.coalesce(good, F.lit(False)).alias("good"), identity(r["size"], r["modified_ns"], r["sample_hash"]).alias("identity"))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """(line_no, raw) -> with a line's record, its identity, and whether it is good."""
+    p = F.col("p")
+    # generated, so that no filter above reads a line again
+    got = lines.select("line_no", "raw", F.explode_outer(F.array(once(once(F.try_parse_json("raw"), _read), _judged))).alias("p"))
+    return got.select("line_no", "raw", p["good"].alias("good"), p["identity"].alias("identity"), p["r"].alias("r")).select("line_no", "raw", "good", "identity", "r.*")
 
 
 def read_cache(lines: DataFrame) -> DataFrame:

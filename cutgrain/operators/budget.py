@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutgrain.operators.scans import ranges
+from cutgrain.session import unused
+
 
 def serial_budget(clips: DataFrame, cap: Column, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, order, bound, actual) -> with `spent_before` and `outcome`: a clip is admitted while what was spent before it and
-    its own bound stay within the cap; the first that isn't stops the run of its key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    got = clips.withColumn("spent_before", F.coalesce(F.sum("actual").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")))
-    over = (F.col("spent_before") + F.col("bound") > cap).cast("int")
-    got = got.withColumn("__o", over).withColumn("__s", F.max("__o").over(w))
-    before = F.coalesce(F.lag("__s").over(w), F.lit(0))
-    return got.withColumn("outcome", F.when(F.col("__s") == 0, "admitted").when(before == 0, "stopped").otherwise("not_started")).drop("__o", "__s")
+    its own bound stay within the cap; the first that isn't stops the run of its key. Sums carry over between ranges of the
+    order, so a key of any size is many tasks. Null amounts count as 0, and a null bound or cap stops nothing."""
+    spent, over, stops = unused(clips, "spent_before", "over", "stops")
+    got = ranges(clips, [*keys, *order]).total(keys, F.col("actual"), spent)
+    got = got.with_rows(got.rows.withColumn(over, (F.col(spent) + F.col("bound") > cap).cast("int"))).total(keys, F.col(over), stops).drop()
+    outcome = F.when((F.col(stops) == 0) & (F.col(over) == 0), "admitted").when(F.col(stops) == 0, "stopped").otherwise("not_started")
+    return got.withColumn("outcome", outcome).drop(over, stops)
 
 
 def serve_after_stop(clips: DataFrame) -> DataFrame:

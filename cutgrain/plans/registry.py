@@ -12,7 +12,7 @@ from cutgrain.operators import answers as answer_ops
 from cutgrain.operators import budget, grouping, intervals, keyframes, outputs, replies, requests, sampling, shots, stretches
 from cutgrain.operators.components import connected_components
 from cutgrain.plans import fixtures as fx
-from cutgrain.session import cut, table
+from cutgrain.session import cut, spread, table
 from cutgrain.sources import cache, subtitles, tables
 
 QUERIES: dict = {}
@@ -47,8 +47,7 @@ def _stretches(spark: SparkSession, d: str) -> DataFrame:
 
 def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = cut(_stretches(spark, d))
-    links = grouping.picture_pairs(p).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return p, grouping.group_ids(p, links)
+    return p, grouping.group_ids(p, grouping.picture_links(p))
 
 
 @query("stretches", f"WITH {fx.STRETCHES_SQL.split(', means AS')[0]} SELECT clip_id, pos::BIGINT AS pos, start_s, end_s, n_frames FROM stretches")
@@ -82,13 +81,54 @@ def _(spark, d):
     "group_medoid",
     f"""WITH RECURSIVE {fx.STRETCHES_SQL}, both_ways AS (SELECT a, b, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs),
     t AS (SELECT x.group_id, x.piece, coalesce(sum(p.distance / 0.2), 0) AS total FROM grouped x LEFT JOIN grouped y ON x.group_id = y.group_id AND x.piece <> y.piece LEFT JOIN both_ways p ON p.a = x.piece AND p.b = y.piece GROUP BY ALL)
-    SELECT group_id::BIGINT AS group_id, count(*) AS stretches, round(min(total), 6) AS total FROM t GROUP BY group_id""",
+    SELECT group_id::BIGINT AS group_id, count(*) AS stretches, arg_min(piece, (round(total, 9), piece))::BIGINT AS piece, round(min(total), 6) AS total FROM t GROUP BY group_id""",
 )
 def _(spark, d):
     p, g = _grouped(spark, d)
     g = cut(g)
     m = grouping.medoids(p, g).join(g.groupBy("group_id").agg(F.count("*").alias("stretches")), "group_id")
-    return m.select(F.col("group_id").cast("bigint").alias("group_id"), "stretches", F.round("total", 6).alias("total"))
+    return m.select(F.col("group_id").cast("bigint").alias("group_id"), "stretches", "piece", F.round("total", 6).alias("total"))
+
+
+# every vector a stretch: its own picture, or that of the vector before with its label, turned, so that groups grow with labels
+
+
+_VECTORS_SQL = """
+shown AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN vec_id ELSE coalesce(lag(vec_id) OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id), vec_id) END AS base FROM embeddings),
+cells AS MATERIALIZED (SELECT s.vec_id AS piece, i, e.embedding[(CASE WHEN s.vec_id % 2 = 1 THEN (7 - i % 8) * 8 + i // 8 ELSE i END) + 1]::DOUBLE * 100 AS v
+  FROM shown s JOIN embeddings e ON e.vec_id = s.base, range(64) t(i)),
+signed AS MATERIALIZED (SELECT piece, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM cells WINDOW w AS (PARTITION BY piece) QUALIFY stddev_pop(v) OVER w >= 4),
+stretches AS (SELECT vec_id AS piece FROM embeddings), grids AS MATERIALIZED ("""
+_VECTORS_SQL += fx.STRETCHES_SQL.split("grids AS MATERIALIZED (", 1)[1]
+
+
+def _vector_pieces(spark, d):
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("label", F.floor(F.col("vec_id") / 1000)).orderBy("vec_id")
+    base = F.when(F.col("vec_id") % 3 == 0, F.col("vec_id")).otherwise(F.coalesce(F.lag("vec_id").over(w), F.col("vec_id")))
+    shown = e.select(F.col("vec_id").alias("piece"), base.alias("base")).join(e.select(F.col("vec_id").alias("base"), "embedding"), "base")
+    place = lambda i: F.when(F.col("piece") % 2 == 1, (7 - i % 8) * 8 + F.floor(i / 8)).otherwise(i).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("embedding", place(i) + 1).cast("double") * 100)
+    return shown.select("piece", F.col("piece").alias("clip_id"), pictures.normalise(grid).alias("signature"))
+
+
+@query("vector_groups", f"WITH RECURSIVE {_VECTORS_SQL} SELECT piece::BIGINT AS piece, group_id::BIGINT AS group_id FROM grouped")
+def _(spark, d):
+    """The pictures pass over every vector."""
+    p = cut(_vector_pieces(spark, d))
+    return grouping.group_ids(p, grouping.picture_links(p)).select("piece", F.col("group_id").cast("bigint").alias("group_id"))
+
+
+@query(
+    "vector_medoid",
+    f"""WITH {_VECTORS_SQL.split(', links AS')[0]}, both_ways AS (SELECT a, b, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs),
+    t AS (SELECT label, vec_id AS piece, (SELECT coalesce(sum(p.distance / 0.2), 0) FROM both_ways p JOIN embeddings y ON p.b = y.vec_id AND y.label = x.label WHERE p.a = x.vec_id) AS total FROM embeddings x WHERE label IS NOT NULL)
+    SELECT label::BIGINT AS group_id, arg_min(piece, (round(total, 9), piece))::BIGINT AS piece, round(min(total), 6) AS total FROM t GROUP BY label""",
+)
+def _(spark, d):
+    """The medoid of every label's vectors, as pictures in any rotation."""
+    groups = table(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("piece"), F.col("label").cast("bigint").alias("group_id"))
+    return grouping.medoids(cut(_vector_pieces(spark, d)), groups).select("group_id", "piece", F.round("total", 6).alias("total"))
 
 
 def _line_segments(spark, d):
@@ -169,7 +209,7 @@ WORDS_SQL = f"""words AS MATERIALIZED (SELECT doc_id, left(w, 4) AS word FROM (S
 
 @query("doc_words", f"WITH {WORDS_SQL} SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(text.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 SIMILAR_SQL = f"""WITH {WORDS_SQL}, s AS MATERIALIZED (SELECT DISTINCT doc_id, word FROM words), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 3),
@@ -178,7 +218,7 @@ SIMILAR_SQL = f"""WITH {WORDS_SQL}, s AS MATERIALIZED (SELECT DISTINCT doc_id, w
 
 
 def _pieces_of_docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("piece"), F.col("doc_id").alias("clip_id"), text.word_set(F.col("text")).alias("words"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("piece"), F.col("doc_id").alias("clip_id"), text.word_set(F.col("text")).alias("words"))
 
 
 @query("similar_docs", SIMILAR_SQL)
@@ -409,6 +449,16 @@ def _(spark, d):
     return budget.serial_budget(o, F.lit(50_000_000), ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "spent_before", "outcome")
 
 
+@query(
+    "source_batches",
+    """WITH f AS (SELECT doc_id, source, CASE WHEN lag(source) OVER (ORDER BY doc_id) IS NOT DISTINCT FROM source THEN 0 ELSE 1 END AS fresh FROM documents), r AS (SELECT *, sum(fresh) OVER (ORDER BY doc_id) AS run FROM f)
+    SELECT source, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n FROM r GROUP BY source, run""",
+)
+def _(spark, d):
+    """Batches of documents in a row that come from the same source."""
+    return intervals.runs_of(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
 @query(
     "usage_totals",
     """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS described, count(*) FILTER (WHERE o_orderstatus = 'O') AS cached, count(*) FILTER (WHERE o_orderstatus = 'P') AS problems,

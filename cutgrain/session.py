@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Whether the shuffle files of an action go when it ends.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,5 +64,27 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Names that df has no column of, each as near to the wish as can be; one as itself, several as a list."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, which has been cut and has rows of bounded width, marked for a broadcast if it has few of them."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it comes in fewer partitions than there are cores, as a few small files do; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

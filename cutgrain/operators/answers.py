@@ -6,7 +6,7 @@ would coerce text to numbers. A value counts only if the JSON has it in its type
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutgrain.functions.costs import max_segments
@@ -29,6 +29,10 @@ def stop_error(stop_reason: Column, declined: str = DECLINED) -> Column:
 
 
 _SEGMENTS = "array<struct<start_s:double,end_s:double,description:string>>"
+_ANSWER = ("error", "summary", "segments", "main")
+_TAG = "name:string,confidence:double,ranges:array<struct<start_s:double,end_s:double>>"
+#: Names that a vocabulary has at most.
+MOST_TAGS = 100_000
 
 
 def _merged(segments: Column) -> Column:
@@ -58,6 +62,13 @@ def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
     tile the clip cleared; then at most so many segments as the duration allows. An answer is read within its row: nothing is
     shuffled, and its segments are as many as a model's answer can hold.
     """
+    got = _answer(important)
+    # generated, so that no filter above reads an answer again
+    return answers.select("clip_id", F.explode_outer(F.array(got)).alias("p")).select("clip_id", *[F.col("p")[c].alias(c) for c in _ANSWER])
+
+
+def _answer(important: bool) -> Column:
+    """A row's answer as a struct of _ANSWER, of the columns duration_s, body and stop_reason."""
     duration = F.col("duration_s")
     full = WHOLE_CLIP * duration
     none = F.expr(f"cast(array() as {_SEGMENTS})")
@@ -100,31 +111,62 @@ def parse_answers(answers: DataFrame, important: bool = True) -> DataFrame:
     got = F.try_parse_json("body")
     for step in (read, *((parted, measured, cleared) if important else ()), told):
         got = once(got, step)
-    # generated, so that no filter above reads an answer again
-    return answers.select("clip_id", F.explode_outer(F.array(got)).alias("p")).select("clip_id", *[F.col("p")[c].alias(c) for c in ("error", "summary", "segments", "main")])
+    return got
+
+
+def known_names(vocabulary: DataFrame) -> list[str]:
+    """A vocabulary's names. It goes whole into each request, so it is small; more than MOST_TAGS names are an error."""
+    names = [r[0] for r in vocabulary.where("name is not null").select("name").distinct().limit(MOST_TAGS + 1).collect()]
+    if len(names) > MOST_TAGS:
+        raise ValueError(f"a vocabulary has at most {MOST_TAGS} names")
+    return sorted(names)
+
+
+def _tags(names: list[str]) -> Column:
+    """A row's suggested tags as an array of (pos, name, confidence, ranges), of the columns duration_s and body."""
+    duration = F.col("duration_s")
+    none = F.expr(f"cast(array() as array<struct<pos:int,{_TAG}>>)")
+    known = (lambda name: name.isin(names)) if names else (lambda name: F.lit(False))
+
+    def ranges_of(raw: Column) -> Column:
+        read = F.transform(raw, lambda x, i: F.struct(number(x, "$.start_s").alias("start_s"), i.alias("item"), F.when(number(x, "$.end_s").isNotNull(), F.least(number(x, "$.end_s"), duration)).alias("end_s")))
+        good = F.filter(read, lambda x: F.coalesce((x["start_s"] >= 0) & (x["end_s"] > x["start_s"]) & (x["start_s"] < duration + 1), F.lit(False)))
+        return F.transform(F.array_sort(good), lambda x: x.dropFields("item"))
+
+    def entry(x: Column) -> Column:
+        raw = F.coalesce(items(x["v"], "$.ranges"), F.expr("cast(array() as array<variant>)"))
+        confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(x["v"], "$.confidence")))
+        # greatest() and least() pass over nulls
+        confidence = F.when(number(x["v"], "$.confidence").isNotNull(), confidence)
+        return F.struct(x["pos"].alias("pos"), x["name"].alias("name"), confidence.alias("confidence"), ranges_of(raw).alias("ranges"), F.size(raw).alias("n"))
+
+    def read(found: Column) -> Column:
+        named = F.filter(F.transform(found, lambda v, i: F.struct(i.alias("pos"), trim(string(v, "$.name")).alias("name"), v.alias("v"))), lambda x: F.coalesce(known(x["name"]), F.lit(False)))
+        return once(named, lambda ns: F.filter(F.transform(ns, lambda x, i: F.struct(x["pos"].alias("pos"), x["name"].alias("name"), x["v"].alias("v"), (F.array_position(F.transform(ns, lambda y: y["name"]), x["name"]) == i + 1).alias("first"))), lambda x: x["first"]))
+
+    got = once(items(F.try_parse_json("body"), "$.tags"), read)
+    kept = F.filter(F.transform(got, entry), lambda t: t["confidence"].isNotNull() & ((t["n"] == 0) | (F.size(t["ranges"]) > 0)))
+    return F.coalesce(F.transform(kept, lambda t: t.dropFields("n")), none)
+
+
+def _ideas() -> Column:
+    found = F.transform(items(F.try_parse_json("body"), "$.new_tag_ideas"), lambda x: trim(string(x, "$")))
+    return F.coalesce(F.filter(found, lambda x: x.isNotNull() & (x != "")), F.expr("cast(array() as array<string>)"))
 
 
 def parse_tags(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(clip_id, duration_s, body) and (name) -> (clip_id, pos, name, confidence, ranges array<struct<start_s, end_s>>).
 
     Unknown names are dropped. Of a name's entries only the first counts, and it counts as seen before its confidence and
-    ranges are looked at. An empty list of ranges is the whole clip; a list whose ranges are all invalid drops the tag.
+    ranges are looked at. An empty list of ranges is the whole clip; a list whose ranges are all invalid drops the tag. Ranges
+    come by start, those of one start as the answer has them. An answer is read within its row, so two of one clip stay two.
     """
-    t = answers.select("clip_id", "duration_s", F.posexplode(items(F.try_parse_json("body"), "$.tags")).alias("pos", "v"))
-    t = t.select("clip_id", "duration_s", "pos", "v", trim(string(F.col("v"), "$.name")).alias("name"))
-    t = t.join(F.broadcast(vocabulary.select("name").distinct()), "name", "left_semi")
-    t = t.withColumn("r", F.row_number().over(Window.partitionBy("clip_id", "name").orderBy("pos"))).where("r = 1")
-    raw = F.coalesce(items(F.col("v"), "$.ranges"), F.expr("cast(array() as array<variant>)"))
-    read = F.transform(raw, lambda x: F.struct(number(x, "$.start_s").alias("start_s"), F.when(number(x, "$.end_s").isNotNull(), F.least(number(x, "$.end_s"), F.col("duration_s"))).alias("end_s")))
-    good = F.filter(read, lambda x: F.coalesce((x["start_s"] >= 0) & (x["end_s"] > x["start_s"]) & (x["start_s"] < F.col("duration_s") + 1), F.lit(False)))
-    t = t.select("clip_id", "pos", "name", number(F.col("v"), "$.confidence").alias("confidence"), F.size(raw).alias("n"), F.array_sort(good).alias("ranges"))
-    return t.where("confidence is not null and (n = 0 or size(ranges) > 0)").select("clip_id", "pos", "name", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("confidence"), "ranges")
+    return answers.select("clip_id", F.explode(_tags(known_names(vocabulary))).alias("t")).select("clip_id", "t.*")
 
 
 def parse_new_tag_ideas(answers: DataFrame) -> DataFrame:
     """(clip_id, body) -> (clip_id, ideas array<string>): texts only, trimmed, blank ones dropped, repeats kept."""
-    found = F.transform(items(F.try_parse_json("body"), "$.new_tag_ideas"), lambda x: trim(string(x, "$")))
-    return answers.select("clip_id", F.coalesce(F.filter(found, lambda x: x.isNotNull() & (x != "")), F.expr("cast(array() as array<string>)")).alias("ideas"))
+    return answers.select("clip_id", _ideas().alias("ideas"))
 
 
 def parse_moments(answers: DataFrame) -> DataFrame:
@@ -135,22 +177,17 @@ def parse_moments(answers: DataFrame) -> DataFrame:
     return a.select("clip_id", error.alias("error"), F.when(error.isNull(), F.col("name")).alias("name"), F.when(error.isNull(), F.col("description")).alias("description"))
 
 
-def _tag_lists(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(clip_id, duration_s, body) -> (clip_id, tags, ideas)."""
-    listed = parse_tags(answers, vocabulary).groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "confidence", "ranges"))).alias("l"))
-    both = parse_new_tag_ideas(answers).join(listed, "clip_id", "left")
-    tags = F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["confidence"].alias("confidence"), x["ranges"].alias("ranges")))
-    none = F.expr("cast(array() as array<struct<name:string,confidence:double,ranges:array<struct<start_s:double,end_s:double>>>>)")
-    return both.select("clip_id", F.coalesce(tags, none).alias("tags"), "ideas")
+def _lists(vocabulary: DataFrame) -> list[Column]:
+    return [F.transform(_tags(known_names(vocabulary)), lambda t: t.dropFields("pos")).alias("tags"), _ideas().alias("ideas")]
 
 
 def parse_combined(answers: DataFrame, vocabulary: DataFrame, important: bool = True) -> DataFrame:
     """(clip_id, duration_s, body, stop_reason) -> parse_answers() with tags and ideas, which are null where there is an error."""
-    got = parse_answers(answers, important).join(_tag_lists(answers, vocabulary), "clip_id")
-    return got.select("clip_id", "error", "summary", "segments", "main", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("tags", "ideas")])
+    got = answers.select("clip_id", F.explode_outer(F.array(F.struct(_answer(important).alias("a"), *_lists(vocabulary)))).alias("p"))
+    return got.select("clip_id", *[F.col("p.a")[c].alias(c) for c in _ANSWER], *[F.when(F.col("p.a.error").isNull(), F.col("p")[c]).alias(c) for c in ("tags", "ideas")])
 
 
 def parse_tags_only(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(clip_id, duration_s, body, stop_reason) -> (clip_id, error, tags, ideas); there is no description to look at."""
-    got = answers.select("clip_id", stop_error(F.col("stop_reason"), DECLINED_TAGS).alias("error")).join(_tag_lists(answers, vocabulary), "clip_id")
-    return got.select("clip_id", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("tags", "ideas")])
+    got = answers.select("clip_id", stop_error(F.col("stop_reason"), DECLINED_TAGS).alias("error"), F.explode_outer(F.array(F.struct(*_lists(vocabulary)))).alias("p"))
+    return got.select("clip_id", "error", *[F.when(F.col("error").isNull(), F.col("p")[c]).alias(c) for c in ("tags", "ideas")])

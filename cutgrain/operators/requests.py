@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.functions.costs import MODELS
 from cutgrain.functions.text import collapse, format_time, trim
+from cutgrain.operators.intervals import nearest_shot, overlap_join
 
 #: Characters of notes that a request may carry.
 LONGEST_NOTES = 2000
@@ -113,8 +114,6 @@ def build_requests(clips: DataFrame, frames: DataFrame, cues: DataFrame, instruc
     label = F.concat(F.lit("Frame at "), format_time(F.col("time_s")))
     head = F.concat(F.lit(instructions), F.format_string("\nThe clip is %.1f s long.", "duration_s"), F.lit(tag_instructions(tags) if tags is not None else ""))
     if shots is not None:
-        from cutgrain.operators.intervals import nearest_shot
-
         counts = shots.groupBy("clip_id").agg(F.count("*").alias("shots"))
         spans = shots.select("clip_id", "pos", "start_s", "end_s").join(counts.where("shots > 1"), "clip_id")
         f = nearest_shot(frames, shots).join(spans, ["clip_id", "pos"], "left")
@@ -142,8 +141,9 @@ def build_moment_requests(moments: DataFrame, frames: DataFrame, cues: DataFrame
     """(moment_id, clip_id, at_s, window_s, notes), (moment_id, time_s, jpeg) and (clip_id, start_ms, end_ms, text) -> (moment_id, content):
     the moment's time, the notes and the cues that touch its window, then each frame after its time."""
     w = F.greatest(F.col("window_s"), F.lit(0.0))
-    touch = (F.col("start_ms") / 1000 <= F.col("at_s") + w) & (F.col("end_ms") / 1000 >= F.col("at_s") - w)
-    near = moments.select("moment_id", "clip_id", "at_s", "window_s").join(cues, "clip_id").where(touch)
+    windows = moments.select("moment_id", "clip_id", (F.col("at_s") - w).alias("lo"), (F.col("at_s") + w).alias("hi"))
+    timed = cues.select("clip_id", "start_ms", "end_ms", "text", (F.col("start_ms") / 1000).alias("cue_lo"), (F.col("end_ms") / 1000).alias("cue_hi"))
+    near = overlap_join(windows, timed, ["clip_id"], ("lo", "hi"), ("cue_lo", "cue_hi"))
     m = moments.join(_spoken(near, "moment_id"), "moment_id", "left")
     ask = "Name what happens at %s of a clip in a few words, and describe it in one or two sentences. Say only what is seen and said, and don't guess who someone is."
     head = F.concat(F.format_string(ask, format_time(F.col("at_s"))), F.coalesce(F.concat(F.lit("\n\n"), F.col("said")), F.lit("")))

@@ -17,10 +17,11 @@ def describe_clips(clips: DataFrame, cache: DataFrame, provider: Callable[[DataF
     """(clip_id, duration_s, identity, settings) -> (clip_id, outcome, error, summary, segments, main), cached clips' own among them.
 
     provider takes the clips that need an answer and returns them with (body, stop_reason): a join with recorded answers, or
-    a mapInPandas over a client. Clips that are too long never reach it; force leaves the cache unread.
+    a mapInPandas over a client. A cached clip is served whatever its
+    length, as only describing measures it; other clips that are too long never reach the provider. force leaves the cache unread.
     """
     known = cached_answers(clips, cache.limit(0) if force else cache)
-    known = known.withColumn("way", F.when(F.col("duration_s") > longest_s, "too_long").when(F.col("cached"), "cached").otherwise("ask"))
+    known = known.withColumn("way", F.when(F.col("cached"), "cached").when(F.col("duration_s") > longest_s, "too_long").otherwise("ask"))
     parsed = parse_answers(provider(known.where("way = 'ask'").select("clip_id", "duration_s")), important)
     got = known.select("clip_id", "way", "cached_clip").join(parsed, "clip_id", "left")
     outcome = F.when(F.col("way") != "ask", F.col("way")).when(F.col("summary").isNotNull(), "described").when(F.col("error").isNotNull(), "failed").otherwise("not_started")

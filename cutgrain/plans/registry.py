@@ -723,7 +723,7 @@ def _(spark, d):
 @query(
     "described_run",
     f"""WITH {_SEG.split(', raw AS')[0].split('raw AS')[0].rstrip().rstrip(',')}, l AS (SELECT DISTINCT identity FROM {_CACHE_SQL} WHERE NOT broken AND v = 1)
-    SELECT clip_id, CASE WHEN duration_s > 600 THEN 'too_long' WHEN l.identity IS NOT NULL THEN 'cached' WHEN error IS NULL THEN 'described' ELSE 'failed' END AS outcome, CASE WHEN duration_s <= 600 AND l.identity IS NULL THEN error END AS error FROM a LEFT JOIN l ON l.identity = {_CUSTOMER_SQL.format('clip_id')}""",
+    SELECT clip_id, CASE WHEN l.identity IS NOT NULL THEN 'cached' WHEN duration_s > 600 THEN 'too_long' WHEN error IS NULL THEN 'described' ELSE 'failed' END AS outcome, CASE WHEN duration_s <= 600 AND l.identity IS NULL THEN error END AS error FROM a LEFT JOIN l ON l.identity = {_CUSTOMER_SQL.format('clip_id')}""",
 )
 def _(spark, d):
     from cutgrain.operators.runs import describe_clips

@@ -37,9 +37,9 @@ def test_shot_times(spark):
 
 
 def test_merge_and_coverage(spark):
-    i = spark.createDataFrame([(1, 0, 0.0, 3.0, "A dog"), (1, 1, 3.0, 6.0, " a DOG "), (1, 2, 6.0, 9.0, "a dog"), (1, 3, 9.0, 10.0, "cat")], "clip_id int, pos int, start_s double, end_s double, description string")
+    i = spark.createDataFrame([(1, 0, 0.0, 3.0, "A tram"), (1, 1, 3.0, 6.0, " a TRAM "), (1, 2, 6.0, 9.0, "a tram"), (1, 3, 9.0, 10.0, "cat")], "clip_id int, pos int, start_s double, end_s double, description string")
     got = [tuple(r)[2:] for r in intervals.merge_neighbours(i).orderBy("pos").collect()]
-    assert got == [(0.0, 9.0, "A dog"), (9.0, 10.0, "cat")]
+    assert got == [(0.0, 9.0, "A tram"), (9.0, 10.0, "cat")]
     assert intervals.covered(i, ["clip_id"], F.lit(1.0), F.lit(9.5)).first().covered_s == 8.5
 
 
@@ -48,7 +48,6 @@ def test_nearby_cues(spark):
     for width, want in ((1000, {"in"}), (3000, {"in", "wide"}), (-5, {"in"})):
         m = spark.createDataFrame([(1, 0, 10000, width)], "clip_id int, moment_id int, at_ms long, width_ms long")
         assert {r.text for r in intervals.nearby_cues(c, m).collect()} == want
-        assert {r.text for r in intervals.nearby_cues(c, m, most_width_ms=100).collect()} == want
 
 
 def parsed(spark, body, duration=37.0, stop="end_turn", important=True):
@@ -77,9 +76,9 @@ def test_parse_answer_limits(spark):
     assert parsed(spark, {"summary": "s", "segments": [seg(0, 27)]}, 30.0).segments == []
     assert len(parsed(spark, {"summary": "s", "segments": [seg(0, 26.9)]}, 30.0).segments) == 1
     assert parsed(spark, {"summary": "s", "segments": [seg(0, 14, "a"), seg(14, 28, "A ")]}, 30.0).segments == []
-    long_ = "a goat walks up the slope"
-    r = parsed(spark, {"summary": f"Here {long_} slowly. A dog too", "segments": [seg(1, 2, long_), seg(3, 4, "A dog")]})
-    assert [s.description for s in r.segments] == ["A dog"]
+    long_ = "a lorry waits by the depot"
+    r = parsed(spark, {"summary": f"Here {long_} quietly. A tram too", "segments": [seg(1, 2, long_), seg(3, 4, "A tram")]})
+    assert [s.description for s in r.segments] == ["A tram"]
     assert len(parsed(spark, {"summary": "s", "segments": [seg(i, i + 0.5, str(i)) for i in range(9)]}).segments) == 3
 
 
@@ -226,7 +225,7 @@ def test_grouping(spark):
     a, b, c = r.integers(0, 256, (3, 64)).astype(float)
     turned = np.rot90(a.reshape(8, 8), -1).reshape(-1) * 0.9 + 5
     s = spark.createDataFrame([(1, 0, 0.0, 9.0, norm(a)), (2, 0, 0.0, 9.0, norm(turned)), (3, 0, 0.0, 9.0, norm(b)), (4, 0, 0.0, 9.0, norm(c)), (5, 0, 0.0, 9.0, None)], "clip_id long, pos long, start_s double, end_s double, signature array<double>")
-    words = ["goats climbing hills", "tractors ploughing fields", "boats sailing harbour water", "boats sailing harbour sunset", "boats sailing harbour"]
+    words = ["lorries crossing bridges", "tractors ploughing fields", "boats sailing harbour water", "boats sailing harbour sunset", "boats sailing harbour"]
     summaries = spark.createDataFrame([(i + 1, w) for i, w in enumerate(words)], "clip_id long, summary string")
     none = spark.createDataFrame([], "clip_id long, item int, start_s double, end_s double, description string")
     for on, want in ((True, [1, 1, 2, 2, 3]), (False, [1, 1, 2, 3, 4])):
@@ -235,14 +234,6 @@ def test_grouping(spark):
     assert got["groups"].where("group_id = 1").first().label == words[0]
 
 
-def test_block_size_changes_nothing(spark, sf, monkeypatch):
-    from cutgrain.plans import registry
-
-    want = {tuple(r) for r in registry.queries()["picture_pairs"](spark, sf).collect()}
-    monkeypatch.setattr(grouping, "BLOCK", 7)
-    assert {tuple(r) for r in registry.queries()["picture_pairs"](spark, sf).collect()} == want and want
-
-
 def test_run(spark):
     clips = spark.createDataFrame([(1, 30.0, "a", "s"), (2, 30.0, "b", "s"), (3, 9999.0, "c", "s"), (4, 30.0, "d", "s"), (5, 30.0, "e", "s")], "clip_id long, duration_s double, identity string, settings string")
     cache = spark.createDataFrame([("a", "s", ("before",))], "identity string, settings string, clip struct<summary:string>")

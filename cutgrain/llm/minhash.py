@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.rows import keyed, sliced, small
+from cutgrain.llm.rows import keyed, sliced, small, wrapped
 from cutgrain.llm.shingles import isin_sorted, mix, shingles, word_hashes
 from cutgrain.operators.components import connected_components
 from cutgrain.session import cut
@@ -225,8 +225,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     ids, which come after all others. Of rows with the same id, one is taken by a hash of its text. Rows without words
     all stay. Columns and their names are kept as they are; an empty table gives no rows.
     """
-    own = keyed(docs.withColumn("__id", F.col("doc_id").cast("long")), nulls=True, id_col="__id")
-    plain = own.select(F.col("__id").alias("doc_id"), F.col("__t").alias("t"), F.col("__copy").alias("copy"), F.col("text").cast("string").alias("text"))
+    own = keyed(wrapped(docs), nulls=True, id_col="id")
+    plain = own.select(F.col("id").alias("doc_id"), F.col("__t").alias("t"), F.col("__copy").alias("copy"), "text")
     rows = cut(signatures(plain, k))
     classes = _components(rows, plain, k, percent)
     linked = rows.where("n > 0").select("doc_id", "t", "copy", "d1", "d2", "n").join(classes.select("d1", "d2", "n", "component"), ["d1", "d2", "n"])
@@ -235,5 +235,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     firsts = linked.join(cut(best), "component").where("not copy and doc_id <=> best").groupBy("component").agg(F.first("doc_id").alias("best"), F.min("t").alias("t0"))
     gone = linked.join(cut(firsts), "component").where("copy or not (doc_id <=> best) or t != t0")
     gone = cut(gone.select(F.col("doc_id").alias("__gone"), F.col("t").alias("__gt"), F.col("copy").alias("__gc")).distinct())
-    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__t") == F.col("__gt")) & (F.col("__copy") == F.col("__gc"))
-    return own.join(small(gone), same, "left_anti").select(*docs.columns)
+    same = F.col("id").eqNullSafe(F.col("__gone")) & (F.col("__t") == F.col("__gt")) & (F.col("__copy") == F.col("__gc"))
+    return own.join(small(gone), same, "left_anti").select("row.*")

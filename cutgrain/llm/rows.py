@@ -45,6 +45,11 @@ def keyed(docs: DataFrame, nulls: bool = False, id_col: str = "doc_id", text_col
     return once.unionByName(marked.withColumn("__copy", F.col("__row") != F.col("__first")).drop("__row", "__kid", "__u", "__first"))
 
 
+def wrapped(docs: DataFrame, *apart: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs as (row, id long, text string): row holds all columns but those `apart`, so that no name of theirs meets another's."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c not in apart]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
 def release() -> None:
     """Gives freed memory back to the system; a worker that waits for its next task needn't hold it."""
     pa.default_memory_pool().release_unused()

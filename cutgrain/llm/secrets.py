@@ -2,7 +2,7 @@
 
 DataFrame functions only. One model is trained on random strings, the other on ordinary identifiers and words, both from
 a table of labelled samples. A token of a text is a secret where the log-likelihood ratio of its characters' transitions
-exceeds a threshold, which held-out samples decide. Spans of the patterns are always reported; the models add those of
+exceeds a threshold, which held-out samples of both kinds decide. Spans of the patterns are always reported; the models add those of
 other tokens.
 
 Offsets come from splitting a text at a pattern: the pieces' and the matches' lengths add up to positions. Sums run
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutgrain.session import cut, unused
+
 #: kind -> (pattern, group that is measured, least length of it), in the order in which kinds are listed.
 PATTERNS = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -26,10 +28,11 @@ PATTERNS = {
 #: Tokens that the models look at; shorter ones say too little.
 TOKEN = r"[A-Za-z0-9+/_=-]+"
 LEAST_TOKEN = 12
-#: Of tokens in texts at least so many are ordinary for each random one: the least log-likelihood ratio that says otherwise.
-LEAST_RATIO = math.log(1e5)
-#: Share of the held-out ordinary samples that may exceed the threshold, and one in how many samples is held out.
+#: Shares of the held-out ordinary samples that may exceed the threshold, and of the random ones, cut to SHORT characters, that
+#: may stay below it where both can be had; and one in how many samples is held out.
 FALSE_ALARMS = 1e-3
+MISSES = 1e-2
+SHORT = 16
 HELD_OUT = 4
 #: Documents from which samples are taken, about, and in how many of them a word has to stand to be an ordinary one.
 SAMPLE_DOCS = 5000
@@ -67,7 +70,7 @@ class Markov:
 
     ratios: tuple[float, ...]
     classes: int
-    threshold: float = LEAST_RATIO
+    threshold: float = math.inf
 
 
 def default_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
@@ -94,9 +97,11 @@ def samples_of(docs: DataFrame, about: int = SAMPLE_DOCS, text_col: str = "text"
     part = min(1.0, about / max(1, docs.count()))
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1 << 20)) < int(part * (1 << 20)))
     found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g, _ in PATTERNS.values()]))
-    random = some.select(F.explode(found).alias("text")).where(f"char_length(text) >= {LEAST_TOKEN} and text rlike '[0-9]'").distinct().withColumn("random", F.lit(True))
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z])[A-Za-z]{{{LEAST_TOKEN // 2},}}(?![A-Za-z])"), F.lit(0)))).alias("text"))
-    return random.union(words.groupBy("text").agg(F.count("*").alias("n")).where(f"n >= {WORD_DOCS}").select("text", F.lit(False)))
+    found = F.filter(found, lambda x: (F.char_length(x) >= LEAST_TOKEN) & x.rlike("[0-9]"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z])[A-Za-z]{{{LEAST_TOKEN // 2},}}(?![A-Za-z])"), F.lit(0)))
+    said = lambda xs, random: F.transform(xs, lambda x: F.struct(x.alias("text"), F.lit(random).alias("random")))
+    each = some.select(F.explode(F.concat(said(found, True), said(words, False))).alias("s")).select("s.*")
+    return each.groupBy("text", "random").agg(F.count("*").alias("n")).where(f"random or n >= {WORD_DOCS}").select("text", "random")
 
 
 def _class(c: Column) -> Column:
@@ -107,12 +112,13 @@ def _class(c: Column) -> Column:
 def train(samples: DataFrame) -> Markov:
     """(text, random boolean) -> add-half estimates of both chains. The result has a fixed size, whatever the samples'.
 
-    One in HELD_OUT samples, by a hash of its text, isn't trained on; the threshold is what at most FALSE_ALARMS of its
-    ordinary ones of a token's length exceed, and LEAST_RATIO at least. Null texts and labels, and texts of fewer than two
-    characters, count nothing; without samples all ratios are 0 and nothing is random.
+    One in HELD_OUT samples, by a hash of its text, isn't trained on; those of a token's length decide on the threshold. At most
+    FALSE_ALARMS of the ordinary ones exceed it; where it can be higher and no more than MISSES of the beginnings of random ones
+    stay below, it is half-way between both. Null texts and labels, and texts of fewer than two characters, count nothing; without
+    held-out samples of both kinds nothing is random.
     """
     k = len(ALPHABET) + 1
-    samples = samples.where("random is not null and char_length(text) > 1")
+    samples = cut(samples.where("random is not null and char_length(text) > 1"))
     held = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(HELD_OUT)) == 0
     letters = F.split(F.col("text"), "")
     two = F.arrays_zip(F.slice(letters, F.lit(1), F.size(letters) - 1).alias("a"), F.slice(letters, F.lit(2), F.size(letters) - 1).alias("b"))
@@ -123,9 +129,12 @@ def train(samples: DataFrame) -> Markov:
         n[r["random"]][r["a"]][r["b"]] += r["count"]
     ratios = [math.log(n[True][a][b] / sum(n[True][a])) - math.log(n[False][a][b] / sum(n[False][a])) for a in range(k) for b in range(k)]
     model = Markov(tuple(round(x, 6) for x in ratios), k)
-    plain = samples.where(held & ~F.col("random") & (F.char_length("text") >= LEAST_TOKEN))
-    high = plain.agg(F.percentile(_ratio(F.col("text"), model), F.lit(1 - FALSE_ALARMS))).first()[0]
-    return Markov(model.ratios, k, round(max(LEAST_RATIO, high if high is not None else 0.0), 6))
+    ratio = _ratio(F.when(F.col("random"), F.substring("text", 1, SHORT)).otherwise(F.col("text")), model)
+    tokens = samples.where(held & (F.char_length("text") >= LEAST_TOKEN)).select("random", ratio.alias("ratio"))
+    high, low = tokens.agg(F.percentile(F.when(~F.col("random"), F.col("ratio")), F.lit(1 - FALSE_ALARMS)), F.percentile(F.when(F.col("random"), F.col("ratio")), F.lit(MISSES))).first()
+    if high is None or low is None:
+        return model
+    return Markov(model.ratios, k, round(max(high, (high + low) / 2), 6))
 
 
 def _ratio(x: Column, model: Markov) -> Column:
@@ -212,15 +221,16 @@ def redact(docs: DataFrame, model: Markov, mark: str = "[SECRET]") -> DataFrame:
     """
     kinds = [_kind_of(k) for k in PATTERNS]
     spans = F.array_sort(F.concat(*kinds, _random_of(model)))
-    t = docs.withColumn("__spans", spans)
+    own = unused(docs, "spans")
+    t = docs.withColumn(own, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), fresh.alias("out"))
 
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    return t.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))).drop("__spans")
+    done = F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
+    return t.withColumn("text", F.when(F.size(own) > 0, done).otherwise(F.col("text"))).drop(own)
 
 
 def _kind_of(kind: str) -> Column:

@@ -6,9 +6,9 @@ and ends within lines and sentences are found to within WIDTH words. A piece rea
 neighbouring pieces overlap; a text's start and end are borders too.
 
 Units are normalised (A-Z lower-cased, white space left out) and digested to 96 bits. Digests are grouped globally with the
-smallest id that has them; only digests of several ids come back to the documents. A line of LEAST_LINE words and more goes
-wherever it isn't the earliest; pieces go where a run of such neighbours has LEAST_RUN words, since short ones recur by
-chance. Offsets are code points of the original text.
+smallest id that has them; only digests of several ids come back to the documents. A line goes wherever it isn't the
+earliest, whatever its length, unless the caller asks for longer ones only; pieces go where a run of such neighbours has
+`least_run` words, since short ones recur by chance. Offsets are code points of the original text.
 
 A digest of any number of occurrences is one aggregated row; the join back to the units can be split where one digest
 holds many of them. Each document sends a digest once, whatever number of times it has it.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.llm.rows import keyed, sliced
+from cutgrain.llm.rows import keyed, sliced, wrapped
 from cutgrain.llm.shingles import isin_sorted, located_words, mix, running
 from cutgrain.session import cut
 
@@ -31,13 +31,9 @@ from cutgrain.session import cut
 GRAM = 4
 WIDTH = 12
 
-#: Words that a run of repeated neighbouring pieces has to have to go.
+#: Words that a run of repeated neighbouring pieces has to have to go, where the caller names no other number.
 LEAST_RUN = 20
 
-#: Words of a line that goes. On sf0.1, of the distinct lines of 1, 2, 3, 4, 5 and 6 words 24, 20, 13, 13, 12 and 11 %
-#: recur, and of those of 7 to 12 words 9 to 12 %: only shorter ones recur by chance more than long ones.
-LEAST_LINE = 3
-
 _LINE, _SECOND = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)
 
 
@@ -62,7 +58,7 @@ def borders(gram: np.ndarray) -> np.ndarray:
 class Units:
     """A text's units: digests `h1` and `h2`, first words and the words after the last; pieces come first, then lines."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, least_line: int = 1) -> None:
         data = text.encode("utf-8", "replace")
         h, self.start, self.end = located_words(data)
         self.words = n = len(h)
@@ -79,7 +75,7 @@ class Units:
         self.pieces = len(first)
         line_end = np.flatnonzero(np.append(lines[:-1] > 0, True))[: n or None] + 1 if n else np.empty(0, np.int64)
         line_start = np.append(0, line_end[:-1])[: len(line_end)]
-        ok = line_end - line_start >= LEAST_LINE
+        ok = line_end - line_start >= max(1, least_line)
         self.first, self.last = np.concatenate([first, line_start[ok]]), np.concatenate([last, line_end[ok]])
         self.h1 = hashed(self.first, self.last)
         self.h1[self.pieces :] ^= _LINE
@@ -91,13 +87,13 @@ class Units:
             at = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80)])
             self.start, self.end, self.to, self.after = at[self.start], at[self.end], at[self.to], at[self.after]
 
-    def removed(self, late: np.ndarray) -> list[tuple[int, int]]:
+    def removed(self, late: np.ndarray, least_run: int = LEAST_RUN) -> list[tuple[int, int]]:
         """Offsets of what goes where `late` units aren't the earliest ones, in order and apart from each other."""
         if not late.any():
             return []
         edge = np.flatnonzero(np.diff(late[: self.pieces].astype(np.int8), prepend=0, append=0))
         first, last = self.first[edge[::2]], self.last[edge[1::2] - 1]
-        ok = last - first >= LEAST_RUN
+        ok = last - first >= least_run
         which = self.pieces + np.flatnonzero(late[self.pieces :])
         start = np.concatenate([self.start[first[ok]], self.start[self.first[which]]])
         end = np.concatenate([self.to[last[ok] - 1], self.after[self.last[which] - 1]])
@@ -111,11 +107,11 @@ class Units:
         return out
 
 
-def _send(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _send(b: pa.RecordBatch, least_line: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, t, text) -> (h1, h2, doc_id, t): each digest of a document once."""
     ids, ts, h1, h2 = [], [], [], []
     for doc, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-        u = Units(text)
+        u = Units(text, least_line)
         one = np.unique(u.h1, return_index=True)[1]
         h1.append(u.h1[one])
         h2.append(u.h2[one])
@@ -125,12 +121,12 @@ def _send(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (h2, ids, ts))], names=["h1", "h2", "doc_id", "t"])
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, least_line: int = 1) -> DataFrame:
     """(doc_id, t, text) -> (doc_id, t, late array<long>): digests of a row that another row before it has.
 
     Before it are rows of smaller ids, and of the same id those of smaller t.
     """
-    units, several = (d.mapInArrow(sliced(_send), "h1 long, h2 int, doc_id long, t long") for d in (docs, docs.where("t != 0")))
+    units, several = (d.mapInArrow(sliced(lambda b: _send(b, least_line)), "h1 long, h2 int, doc_id long, t long") for d in (docs, docs.where("t != 0")))
     # both sides of the joins are dealt anew, so that adaptive execution can split a digest of very many occurrences
     again = cut(units.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"))
     late = units.join(again, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "t", "h1")
@@ -141,40 +137,42 @@ def repeated(docs: DataFrame) -> DataFrame:
     return late.groupBy("doc_id", "t").agg(F.collect_list("h1").alias("late"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without what repeats, and `removed` array<struct<start, end>>: original offsets of what went, in order.
+def dedup(docs: DataFrame, least_line: int = 1, least_run: int = LEAST_RUN, removed_col: str | None = "removed") -> DataFrame:
+    """docs without what repeats, and, unless removed_col is None, a column of that name, array<struct<start, end>>: original
+    offsets of what went, in order.
 
-    What goes is each line of LEAST_LINE words and more, and each run of pieces of LEAST_RUN words and more, that has an
+    What goes is each line of `least_line` words and more, and each run of pieces of `least_run` words and more, that has an
     earlier occurrence. The earliest is that of the smallest doc_id and offset. Rows that repeat an id come in the order of a
     hash of their texts; of rows with the same id and text one counts as the first. Null texts and texts without words
-    lose nothing, nor do rows with a null id, nor count their texts. Other columns stay as they are; an input column
-    `removed` is replaced. A text is held whole in one task, at some hundred times its size. An empty table gives no rows.
+    lose nothing, nor do rows with a null id, nor count their texts. Other columns stay as they are, whatever their names; an
+    input column named removed_col is replaced. A text is held whole in one task, at some hundred times its size. An empty
+    table gives no rows.
     """
-    docs = docs.drop("removed")
-    own = keyed(docs.withColumn("__id", F.col("doc_id").cast("long")), id_col="__id")
-    full = own.where("__id is not null and text is not null and not __copy").select(F.col("__id").alias("doc_id"), F.col("__t").alias("t"), F.col("text").cast("string").alias("text"))
-    late = repeated(full).select(F.col("doc_id").alias("__doc"), F.col("t").alias("__u"), F.col("late").alias("__late"))
-    got = own.join(late, (F.col("__id") == F.col("__doc")) & (F.col("__t") == F.col("__u")), "left")
+    names = [c for c in docs.columns if c != removed_col]
+    own = keyed(wrapped(docs.select(*[docs[f"`{c}`"] for c in names]), "text"), id_col="id")
+    full = own.where("id is not null and text is not null and not __copy").select(F.col("id").alias("doc_id"), F.col("__t").alias("t"), "text")
+    late = repeated(full, least_line).select(F.col("doc_id").alias("__doc"), F.col("t").alias("__u"), "late")
+    got = own.join(late, (F.col("id") == F.col("__doc")) & (F.col("__t") == F.col("__u")), "left")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    names, at = docs.columns, docs.columns.index("text")
 
     def remove(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, gone = b.column(at).to_pylist(), []
-        for i, (text, late, copy) in enumerate(zip(texts, b.column("__late").to_pylist(), b.column("__copy").to_pylist(), strict=True)):
+        texts, gone = b.column("text").to_pylist(), []
+        for i, (text, late, copy) in enumerate(zip(texts, b.column("late").to_pylist(), b.column("copy").to_pylist(), strict=True)):
             out: list[tuple[int, int]] = []
             if text and (late or copy is not None):
-                u = Units(text)
+                u = Units(text, least_line)
                 again = np.ones(len(u.h1), bool)
                 if not copy:
                     again[np.unique(u.h1, return_index=True)[1]] = False  # a later occurrence in the same text
                     again |= isin_sorted(u.h1, np.sort(np.array(late or [], np.int64).view(np.uint64)))
-                out = u.removed(again)
+                out = u.removed(again, least_run)
             if out:
                 texts[i] = "".join([text[a:z] for a, z in zip([0, *[z for _, z in out]], [*[a for a, _ in out], len(text)], strict=True)])
             gone.append([{"start": a, "end": z} for a, z in out])
-        cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, spans)], names=[*names, "removed"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(gone, spans)], names=["row", "text", "removed"])
 
-    rows = got.select(*names, F.when(F.col("__id").isNotNull(), F.col("__copy")).alias("__copy"), "__late").withColumn("text", F.col("text").cast("string"))
-    schema = rows.select(*names).schema
-    return rows.mapInArrow(sliced(remove), ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema) + ", removed array<struct<start:int,end:int>>")
+    rows = got.select("row", "text", F.when(F.col("id").isNotNull(), F.col("__copy")).alias("copy"), "late")
+    kind = "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{f.dataType.simpleString()}" for f in rows.schema["row"].dataType) + ">"
+    done = rows.mapInArrow(sliced(remove), f"row {kind}, text string, removed array<struct<start:int,end:int>>")
+    out = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return done.select(*out, *([F.col("removed").alias(removed_col)] if removed_col else []))

@@ -184,13 +184,14 @@ def words_of(t):
     return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t or "")]
 
 
-def check_removed(rows):
+def check_removed(rows, least_line=1):
     """What each row lost is as told, stood earlier too, and no repeated line is left twice. rows: (rank, text, new text, removed)."""
+    grams = sorted({1, 2, 3, substrings.GRAM + 1})
     first, lines = {}, collections.defaultdict(list)
     for rank, t, _, _ in rows:
         w = words_of(t)
         for i in range(len(w)):
-            for n in (3, substrings.GRAM + 1):
+            for n in grams:
                 key = tuple(x[2] for x in w[i : i + n])
                 first[key] = min(first.get(key, (rank, i)), (rank, i))
     for rank, t, new, removed in rows:
@@ -206,14 +207,14 @@ def check_removed(rows):
         for a, z in removed:
             inside = [i for i, x in enumerate(w) if a <= x[0] and x[1] <= z]
             n = min(substrings.GRAM + 1, len(inside))
-            assert n >= 3
+            assert n >= least_line
             for i in inside[: len(inside) - n + 1]:
-                n_ = n if n in (3, substrings.GRAM + 1) else 3
+                n_ = n if n in grams else 3
                 assert first[tuple(x[2] for x in w[i : i + n_])] < (rank, i)
         gone = {i for a, z in removed for i in range(a, z)}
         for m in re.finditer(r"[^\n]+", t):
             key = " ".join(m[0].lower().split())
-            if len(key.split()) >= 3:
+            if len(key.split()) >= least_line:
                 whole = any(i not in gone and not t[i].isspace() for i in range(*m.span()))
                 lines[key].append(((rank, m.start()), whole))
     for places in lines.values():
@@ -222,16 +223,17 @@ def check_removed(rows):
     return lines
 
 
-def test_lines_and_passages(spark, docs, nothing):
+@pytest.mark.parametrize("least_line", [1, 3])
+def test_lines_and_passages(spark, docs, nothing, least_line):
     r, line = random.Random(8), "all rights kept by the makers"
     shared = [say(50 + i, n) for i, n in enumerate((50, 63, 90, 51))]
     rows = [(i, f"{say(200 + i, r.randint(0, 30))} {shared[i % 4]} é日 {say(300 + i, r.randint(1, 30))}") for i in range(24)]
     rows += [(100 + i, f"{say(400 + i, 9)}\n{line}\nyes\n{say(500 + i, 9)}\n\none two\nthree {'x' * (i % 2)}\n\n{'la ' * 70}end{i}\n") for i in range(4)]
     rows += [(200, ""), (201, " \n"), (202, "\n" + line.upper() + "  \n"), (203, None), (204, LONG), (205, "x " + LONG)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1)).withColumn("late", F.lit(2)).withColumn("h1", F.lit(3)).repartition(3)
-    got = {x.doc_id: x for x in substrings.dedup(df).collect()}
-    check_removed([(i, t, got[i].text, [tuple(x) for x in got[i].removed]) for i, t in rows])
-    assert got[5].late == 2 and got[202].text.strip() == "" and got[101].text.count(line) == 0 and "yes" in got[101].text
+    got = {x.doc_id: x for x in substrings.dedup(df, least_line).collect()}
+    check_removed([(i, t, got[i].text, [tuple(x) for x in got[i].removed]) for i, t in rows], least_line)
+    assert got[5].late == 2 and got[202].text.strip() == "" and got[101].text.count(line) == 0 and ("yes" in got[101].text) == (least_line > 1)
     for i in range(24):  # a passage within a sentence goes but for what stands before its first border
         lost = len(words_of(rows[i][1])) - len(words_of(got[i].text))
         assert lost == 0 if i < 4 else lost >= len(shared[i % 4].split()) - 2 * substrings.WIDTH
@@ -239,6 +241,25 @@ def test_lines_and_passages(spark, docs, nothing):
     assert substrings.dedup(nothing).collect() == []
 
 
+def test_every_later_line_goes(spark):
+    """Whatever its length, by a walk over all lines in order."""
+    r = random.Random(14)
+    rows = [(i, "\n".join(r.choice(["same line", "One", "one", "one two", f"own {i} {k} words", "other words  stand here", "", f"{i} {k}"]) for k in range(r.randint(0, 9)))) for i in range(60)]
+    rows += [(100, "same line\nend one two three"), (101, "same line\nother words stand here\nnew"), (102, "uno\nuno\nuno dos\nuno dos"), (103, None)]
+    seen, want = set(), {}
+    for i, t in rows:
+        left = []
+        for x in (t or "").split("\n"):
+            key = "".join(x.lower().split())
+            if key and key not in seen:
+                left.append(x)
+            seen |= {key}
+        want[i] = left
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.text for x in substrings.dedup(df, least_run=10**6).collect()}
+    assert {i: [x for x in (t or "").split("\n") if x.strip()] for i, t in got.items()} == want and got[103] is None
+
+
 def test_repeated_ids_lose_no_text(spark):
     a, b, c, d = (say(70 + i, 40) for i in range(4))
     rows = [(2, f"{a} {b}"), (2, c), (2, c), (2, c), (3, a), (5, d), (5, d + "\nplus one line here"), (None, a), (None, a), (None, "")]
@@ -603,6 +624,23 @@ def test_hashing_in_chunks(monkeypatch):
 
 # the pipeline
 
+CLASHES = "removed late h1 t copy row id rank n score component kept spans start end shingles bands __id __t __u __copy __late __doc __gone __gt __gc __kid __n __row __first __spans `odd name`".split(" ")
+
+
+def test_stages_keep_all_columns_and_stand_empty_tables(spark, sf):
+    names = " ".join(CLASHES).replace("`", "").replace("odd name", "odd-name").split()
+    docs = table(spark, sf, "documents").limit(40)
+    rows = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    wide = rows.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in names}).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (wide, wide.limit(0)):
+            got = stage(spark, df, sf)
+            assert got.columns == wide.columns, name
+            for r in got.collect():
+                assert all(r[c] == f"{c} {r.doc_id}" for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), sf).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).select("doc_id").distinct().count() == 40
+
 
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")

@@ -2,7 +2,7 @@
 
 Toxicity rejects documents, near-dedup keeps one of each group, substring dedup cuts repeated passages out of texts,
 the secret scan masks what it finds, and packing gives the sequences that remain. All but the last keep the columns of
-documents, whatever others there are. Empty tables give empty ones.
+documents and whatever others there are, under any names. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and passages that an earlier one, or the same one before, has. Rows all stay, if with an
     empty text; null texts stay null, and rows with null ids lose nothing."""
-    return substrings.dedup(docs).drop("removed")
+    return substrings.dedup(docs, removed_col=None)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -732,3 +732,73 @@ def _(spark, d):
     known = cache.read_cache(_cache_lines(spark, d)).withColumn("settings", F.lit("s"))
     got = describe_clips(clips.withColumn("settings", F.lit("s")), known, lambda todo: todo.join(fx.answers(spark, d).drop("duration_s"), "clip_id"), longest_s=600.0)
     return got.select("clip_id", "outcome", "error")
+
+
+# every order a clip of its priority's run: some cached, some too long, replies of all kinds, each run with another cap
+
+_RUN_CLIPS = """c AS (SELECT o_orderpriority AS run, o_orderkey AS idx, CASE WHEN o_orderkey % 7 = 0 THEN 'cached' WHEN o_orderkey % 31 = 1 THEN 'too_long' ELSE 'ask' END AS way,
+    (o_totalprice * 100)::BIGINT AS bound, (o_totalprice * 100)::BIGINT // 2 AS actual,
+    CASE WHEN o_orderkey % 11 = 5 THEN 'bad_answer' WHEN o_orderkey % 13 = 4 THEN 'timeout' WHEN o_orderkey % 17 = 3 THEN 'rejected' END AS error_kind,
+    CASE WHEN o_orderpriority LIKE '2%' AND o_orderkey > 30000 AND o_orderkey % 17 = 3 THEN 'the key was rejected' END AS stops_run,
+    o_orderpriority LIKE '3%' AND o_orderkey % 1000 = 2 AND o_orderkey > 20000 AS cancelled,
+    CASE WHEN o_orderpriority LIKE '1%' THEN 9000000000 WHEN o_orderpriority LIKE '4%' THEN 30000000 ELSE 9000000000000000 END AS cap FROM orders),
+  s AS (SELECT *, CASE WHEN way <> 'ask' THEN 0 WHEN error_kind IS NULL OR error_kind = 'bad_answer' THEN actual WHEN error_kind = 'timeout' THEN bound ELSE 0 END AS charged FROM c),
+  p AS (SELECT *, coalesce(sum(charged) OVER w, 0)::BIGINT AS spent_before FROM s WINDOW w AS (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  y AS (SELECT *, CASE WHEN way = 'ask' AND spent_before + bound > cap THEN 'over_budget' WHEN cancelled THEN 'cancelled' WHEN way = 'ask' AND error_kind IS NOT NULL THEN stops_run END AS why FROM p),
+  b AS (SELECT *, count(why) OVER w AS n, count(*) FILTER (WHERE cancelled) OVER w AS k FROM y WINDOW w AS (PARTITION BY run ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f AS (SELECT run, idx, way, actual, error_kind, CASE WHEN n = 0 THEN CASE WHEN way = 'cached' THEN 'cached' WHEN way = 'too_long' THEN 'failed' WHEN why = 'over_budget' THEN why WHEN cancelled THEN 'cancelled' WHEN error_kind IS NULL THEN 'described' ELSE 'failed' END
+    WHEN way = 'cached' AND k = 0 THEN 'cached' ELSE 'not_started' END AS outcome, CASE WHEN cancelled THEN 'cancelled' WHEN n = 0 THEN why END AS stops FROM b)"""
+
+
+def _finished(spark, d):
+    from cutgrain.operators.runs import finish_runs
+
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    clips = table(spark, d, "orders").select(
+        p.alias("run"),
+        k.alias("idx"),
+        F.when(k % 7 == 0, "cached").when(k % 31 == 1, "too_long").otherwise("ask").alias("way"),
+        cents.alias("bound"),
+        F.floor(cents / 2).alias("actual"),
+        F.when(k % 11 == 5, "bad_answer").when(k % 13 == 4, "timeout").when(k % 17 == 3, "rejected").alias("error_kind"),
+        F.when(p.startswith("2") & (k > 30000) & (k % 17 == 3), "the key was rejected").alias("stops_run"),
+        (p.startswith("3") & (k % 1000 == 2) & (k > 20000)).alias("cancelled"),
+    )
+    run = F.col("run")
+    return finish_runs(clips, ["run"], ["idx"], F.when(run.startswith("1"), F.lit(9_000_000_000)).when(run.startswith("4"), F.lit(30_000_000)).otherwise(F.lit(9_000_000_000_000_000)))
+
+
+@query("finished_runs", f"WITH {_RUN_CLIPS} SELECT run, idx, outcome, stops FROM f")
+def _(spark, d):
+    return _finished(spark, d).select("run", "idx", "outcome", "stops")
+
+
+@query(
+    "run_ends",
+    f"""WITH {_RUN_CLIPS} SELECT run, CASE WHEN count(*) FILTER (WHERE outcome NOT IN ('described', 'cached')) > 0 THEN coalesce(max(stops) FILTER (WHERE stops = 'cancelled'), max(stops) FILTER (WHERE stops <> 'cancelled')) END AS stopped, count(*) AS clips,
+    count(*) FILTER (WHERE outcome NOT IN ('described', 'cached')) AS left, sum(CASE WHEN outcome = 'described' OR outcome = 'failed' AND way = 'ask' AND error_kind = 'bad_answer' THEN actual ELSE 0 END)::BIGINT AS billed FROM f GROUP BY run""",
+)
+def _(spark, d):
+    from cutgrain.operators.runs import run_ends
+
+    return run_ends(_finished(spark, d), ["run"])
+
+
+# ranges of tags that every line of a document gives, by its length
+
+
+@query(
+    "line_tag_ranges",
+    """WITH d AS (SELECT doc_id AS clip_id, lang, (n_chars % 40 + 5)::DOUBLE AS duration_s, string_split(text, chr(10)) AS l FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+    r AS (SELECT clip_id, lang, duration_s, i, (length(l[i]) % 7)::DOUBLE AS s, least((length(l[i]) % 11 + length(l[i]) // 10 % 3)::DOUBLE, duration_s) AS e FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d))
+    SELECT clip_id, lang AS name, row_number() OVER (PARTITION BY clip_id ORDER BY s, i) - 1 AS item, s AS start_s, e AS end_s FROM r WHERE e > s AND s < duration_s + 1""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents").where("lang is not null and text is not null")
+    n = lambda x: F.char_length(x)
+    each = F.transform(F.split("text", "\n"), lambda x: F.format_string('{"start_s": %d, "end_s": %d}', n(x) % 7, n(x) % 11 + F.floor(n(x) / 10) % 3))
+    body = F.concat(F.lit('{"tags": [{"name": "'), "lang", F.lit('", "confidence": 0.5, "ranges": ['), F.array_join(each, ", "), F.lit("]}]}"))
+    answers = docs.select(F.col("doc_id").alias("clip_id"), (F.col("n_chars") % 40 + 5).cast("double").alias("duration_s"), body.alias("body"))
+    got = answer_ops.parse_tags(answers, table(spark, d, "documents").select(F.col("lang").alias("name")))
+    return got.select("clip_id", "name", F.posexplode("ranges").alias("item", "r")).select("clip_id", "name", F.col("item").cast("bigint").alias("item"), "r.start_s", "r.end_s")

@@ -689,25 +689,36 @@ def _(spark, d):
     return got.select("user_id", "event_id", F.round("d", 6).alias("d"), F.round("score", 6).alias("score"))
 
 
+#: Frames for which a film shows each of a clip's vectors, at 30 a second: longer than a cut's surroundings.
+_HELD = 36
+
+
 def grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Films of 120 frames at 30 a second, one for each ten vectors: a still, a cut after 2 s, noise by frame."""
-    e = table(spark, sf_dir, "embeddings")
+    """Films of 64 x 36 pixels: each clip shows its vectors' pictures, 8 x 8, one after the other."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("clip_id"), "vec_id", "embedding")
+    rows, columns = np.arange(36) * 8 // 36, np.arange(64) // 8
 
-    def make(batches):
-        for b in batches:
-            for v in b["vec_id"]:
-                r = np.random.default_rng(int(v))
-                a, c = r.integers(0, 256, (2, 64 * 36))
-                rows = [(int(v) // 10, i, i / 30.0, [int(x) for x in (a if i < 60 else c)]) for i in range(120)]
-                yield pd.DataFrame(rows, columns=["clip_id", "idx", "time_s", "px"])
+    def make(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")
+        grey = np.clip(np.floor((np.stack(g["embedding"]).astype(np.float64) + 0.6) * 212.5), 0, 255).astype(np.uint8).reshape(-1, 8, 8)
+        px = [x[rows][:, columns].tobytes() for x in grey for _ in range(_HELD)]
+        return pd.DataFrame({"clip_id": g["clip_id"].iloc[0], "idx": np.arange(len(px), dtype=np.int32), "time_s": np.arange(len(px)) / 30.0, "px": px})
 
-    return e.where("vec_id % 10 = 0").select("vec_id").mapInPandas(make, "clip_id long, idx int, time_s double, px array<int>")
+    return e.groupBy("clip_id").applyInPandas(make, "clip_id long, idx int, time_s double, px binary")
 
 
-@query("shots")
+@query(
+    "shots",
+    f"""WITH p AS (SELECT vec_id // 10 AS clip_id, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) - 1 AS k, list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 0.6) * 212.5)))) AS g FROM embeddings),
+    d AS (SELECT clip_id, k, g, lag(g) OVER (PARTITION BY clip_id ORDER BY k) AS b FROM p),
+    c AS (SELECT clip_id, k, k = 0 OR list_sum(list_transform(range(1, 65), lambda i: abs(g[i] - b[i]) * 8 * (5 - (i - 1) // 8 % 2))) / (64 * 36 * 255) * 100 >= 0.5 AS fresh FROM d),
+    s AS (SELECT clip_id, k, row_number() OVER w - 1 AS pos, lead(k) OVER w AS next FROM c WHERE fresh WINDOW w AS (PARTITION BY clip_id ORDER BY k))
+    SELECT clip_id, pos::INT AS pos, round(k * {_HELD} / 30.0, 6)::DOUBLE AS start_s, round(coalesce(next * {_HELD} / 30.0, 12.0), 6)::DOUBLE AS end_s, CASE WHEN k > 0 THEN 'cut' END AS enters_by FROM s""",
+)
 def _(spark, d):
-    clips = fx.clip_list(spark, d).select("clip_id", F.lit(4.0).alias("duration_s"))
-    return shots.find_shots(grey_frames(spark, d), clips)
+    clips = fx.clip_list(spark, d).select("clip_id", F.lit(12.0).alias("duration_s"))
+    got = shots.find_shots(grey_frames(spark, d), clips)
+    return got.select("clip_id", "pos", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "enters_by")
 
 
 # graph and whole runs

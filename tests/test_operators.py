@@ -209,6 +209,32 @@ def test_shots():
     assert shots_of(film((a, 5), (b, 60))) == []  # too early
 
 
+def test_the_longest_film_fits(spark):
+    """Half an hour at 30 frames a second: cuts, a dissolve, a flash and noise, in bounded memory."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    stills = r.integers(0, 255, (5, 64 * 36), np.uint8)
+    frames = np.repeat(stills, 10_800, 0)
+    frames[::7] += 1  # a little noise
+    ramp = np.linspace(0, 1, 42)[1:-1, None]
+    frames[21_580:21_620] = stills[1] * (1 - ramp) + stills[2] * ramp
+    frames[40_000:40_002] = stills[0]
+    tracemalloc.start()
+    found = shots_of(frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and frames.nbytes < 130e6
+    assert [(a, k) for a, _, k in found if k == "cut"] == [(10_800, "cut"), (32_400, "cut"), (43_200, "cut")]
+    assert [(abs(a - 21_580) < 10, abs(z - 21_620) < 3, k) for a, z, k in found if k != "cut"] == [(True, True, "dissolve")]
+    few = np.concatenate([frames[10_700:10_900]])
+    rows = [(1, i, i / 30, bytearray(x.tobytes()), x.tolist()) for i, x in enumerate(few)]
+    df = spark.createDataFrame(rows, "clip_id long, idx int, time_s double, px binary, ints array<int>")
+    clips = spark.createDataFrame([(1, 6.0)], "clip_id long, duration_s double")
+    got = [shots.find_shots(df.select("clip_id", "idx", "time_s", F.col(c).alias("px")), clips).orderBy("pos").collect() for c in ("px", "ints")]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 def test_stretches_partition_the_clip(spark):
     r = np.random.default_rng(2)
     a, b = (r.integers(0, 256, 64).tolist() for _ in range(2))

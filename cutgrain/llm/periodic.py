@@ -15,6 +15,8 @@ from cutgrain.llm.words import chunks
 from cutgrain.session import bounded
 
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
+#: Bytes of text looked at together; a longer text is a chunk of its own.
+CHUNK = 2 << 20
 FOUND = "runs array<struct<start: long, length: long, period: long>>, collapsed binary"
 
 
@@ -62,7 +64,7 @@ def collapse(docs: DataFrame, power: int = 4, least: int = 6, id_col: str = "doc
 
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         offsets, parts, texts = [0], [np.empty((0, 3), np.int64)], []
-        for some in chunks(b.column(1).to_pylist()):
+        for some in chunks(b.column(1).to_pylist(), CHUNK):
             split = [(t or b"").split() for t in some]
             for words, found in zip(split, word_runs(split, power, least), strict=True):
                 offsets.append(offsets[-1] + len(found))

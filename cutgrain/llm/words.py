@@ -11,9 +11,9 @@ import regex
 from cutgrain.llm.shingles import isin_sorted, span_hashes
 
 #: Words that are kept from one chunk of texts to the next.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Characters of text looked at together; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Longer keys are not kept in a Memory.
 LONGEST = 64
 

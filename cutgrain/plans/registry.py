@@ -226,6 +226,21 @@ def _(spark, d):
     return grouping.word_pairs(cut(_pieces_of_docs(spark, d))).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+_TURNS_SQL = f"""WITH t AS (SELECT conv_id * 1000 + turn AS piece, conv_id, text FROM conversations),
+  s AS MATERIALIZED (SELECT DISTINCT piece, conv_id, left(w, 4) AS word FROM (SELECT piece, conv_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM t)
+    WHERE length(w) >= 4 AND w NOT IN ({_STOP}) AND NOT (suffix(w, 's') AND left(w, length(w) - 1) IN ({_STOP}))),
+  n AS MATERIALIZED (SELECT piece, count(*) AS n FROM s GROUP BY piece HAVING count(*) >= 3),
+  c AS (SELECT x.piece AS a, y.piece AS b, count(*) AS c FROM s x JOIN s y ON x.word = y.word AND x.piece < y.piece AND x.conv_id <> y.conv_id GROUP BY ALL)
+  SELECT c.a, c.b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard FROM c JOIN n x ON x.piece = c.a JOIN n y ON y.piece = c.b WHERE c >= 0.25 * (x.n + y.n - c)"""
+
+
+@query("similar_turns", _TURNS_SQL)
+def _(spark, d):
+    """The words pass over every turn of every conversation, which are short; turns of one conversation aren't compared."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("piece"), F.col("conv_id").alias("clip_id"), text.word_set(F.col("text")).alias("words"))
+    return grouping.word_pairs(cut(t)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("word_groups")
 def _(spark, d):
     """Documents linked by words in order; every 400th is of the same clip, and no group holds a clip twice by words."""

@@ -52,7 +52,7 @@ def account(events, cap):
     return out
 
 
-def events_of(run, seed, n, cancel=None, fails=None):
+def events_of(run, seed, n, cancel=None, fails=None, most=25):
     r, out, asked = random.Random(seed), [], []
     for at in range(n):
         if at == cancel:
@@ -63,7 +63,7 @@ def events_of(run, seed, n, cancel=None, fails=None):
         else:
             clip = r.choice(asked[-6:])
             kind = "settle" if r.random() < 0.8 else "release"
-            out.append((run, at, kind, clip, r.randint(0, 25), None, "the key was rejected" if at == fails else None))
+            out.append((run, at, kind, clip, r.randint(0, most), None, "the key was rejected" if at == fails else None))
     return out
 
 
@@ -76,7 +76,7 @@ def run_stream(spark, source, out, mark, cap, give_up_s=600.0):
 
 def test_streams_decide_as_one_account(spark, tmp_path):
     source, out, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "mark"))
-    runs = {"a": events_of("a", 1, 130), "b": events_of("b", 2, 60, cancel=41), "c": events_of("c", 3, 60, fails=30), "d": events_of("d", 4, 60, cancel=20, fails=9)}
+    runs = {"a": events_of("a", 1, 130, most=60), "b": events_of("b", 2, 60, cancel=41), "c": events_of("c", 3, 60, fails=30), "d": events_of("d", 4, 60, cancel=20, fails=9)}
     settles = [i for i, e in enumerate(runs["c"]) if e[2] == "settle"]
     runs["c"] = [(*e[:6], "the key was rejected") if i in settles[6:] else e for i, e in enumerate(runs["c"])]
     every = sorted((e for es in runs.values() for e in es), key=lambda e: e[1])
@@ -86,10 +86,10 @@ def test_streams_decide_as_one_account(spark, tmp_path):
         if i == 1:
             repeated = [(e[0], 70, *e[2:]) for e in parts[0] if e[2] == "request"]
             spark.createDataFrame(repeated, EVENTS).coalesce(1).write.mode("append").parquet(source)
-        run_stream(spark, source, out, mark, 300)
+        run_stream(spark, source, out, mark, 100)
     got = spark.read.parquet(out).collect()
     for run, events in runs.items():
-        want = account(events, 300)
+        want = account(events, 100)
         assert sorted(map(repr, ((r.at, r.clip_id, r.decision, r.reason) for r in got if r.run == run))) == sorted(map(repr, want)), run
     assert {"admitted", "cached", "over_budget", "not_started", "cancelled", "stopped"} <= {r.decision for r in got}
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cutgrain.functions.hashing import BASIS, fnv1a
 from cutgrain.functions.text import trim
 from cutgrain.functions.variants import items, kind, number, once, string, whole
+from cutgrain.session import cut
 
 #: The version of the lines that this engine reads and writes.
 VERSION = 1
@@ -133,6 +134,94 @@ def append(records: DataFrame, path: str, part: str) -> None:
     record_lines(once).write.mode("overwrite").text(f"{path}/part={part}")
 
 
+#: Buckets of identities that a compacted folder has.
+BUCKETS = 64
+_STATE = "gen long, merged array<string>, homes array<long>"
+
+
+def _bucket(identity: Column, raw: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(identity, raw)), F.lit(buckets)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _state(spark: SparkSession, path: str):
+    """The newest generation: which parts it has in it, and which generation each bucket was written in (-1: none yet)."""
+    if not _exists(spark, f"{path}/_state"):
+        return None
+    return spark.read.schema(_STATE).json(f"{path}/_state").orderBy(F.col("gen").desc()).first()
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Names of the parts of a folder, from its listing alone."""
+    if not _exists(spark, path):
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return sorted(r[0] for r in files.select(F.regexp_extract("path", "/part=([^/]*)/[^/]*$", 1).alias("p")).where("p != ''").distinct().collect())
+
+
+def _folder_lines(spark: SparkSession, path: str, state, parts: list[str], buckets: list[int] | None) -> DataFrame | None:
+    """(line_no, raw) of compacted buckets and of parts, those of parts later."""
+    got = None
+    homes = [] if state is None else [(b, g) for b, g in enumerate(state["homes"]) if g >= 0 and (buckets is None or b in buckets)]
+    for recent, paths in ((0, [f"{path}/_base/gen={g}/bucket={b}" for b, g in homes]), (1, [f"{path}/part={p}" for p in parts])):
+        if paths:
+            read = spark.read.text(paths)
+            at = F.struct(F.lit(recent).alias("recent"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+            lines = read.select(at.alias("line_no"), F.col("value").alias("raw"))
+            got = lines if got is None else got.unionByName(lines)
+    return got
+
+
+def compact_folder(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int:
+    """Merge the parts that no compaction has had yet into the folder's buckets of identities -> the folder's generation.
+
+    Only new parts and the buckets that their identities fall into are read and written; other buckets stay where an earlier
+    generation wrote them. A generation counts once its state is there, so one that fails before leaves nothing to be seen and is
+    written anew by the next; lines of newer versions are kept word for word. A part mustn't change once it is merged.
+    """
+    state = _state(spark, path)
+    done = set(state["merged"]) if state else set()
+    fresh = [p for p in _parts(spark, path) if p not in done]
+    gen = state["gen"] if state else 0
+    if not fresh:
+        return gen
+    buckets = len(state["homes"]) if state else buckets
+    new = cut(_kept_lines(_folder_lines(spark, path, None, fresh, None)).withColumn("bucket", _bucket(F.col("identity"), F.col("raw"), buckets)))
+    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
+    merged = _folder_lines(spark, path, state, fresh, touched)
+    kept = _kept_lines(compact(merged)).withColumn("bucket", _bucket(F.col("identity"), F.col("raw"), buckets))
+    kept.select(F.col("raw").alias("value"), "bucket").repartition("bucket").write.partitionBy("bucket").mode("overwrite").text(f"{path}/_base/gen={gen + 1}")
+    homes = state["homes"] if state else [-1] * buckets
+    homes = [gen + 1 if b in touched else g for b, g in enumerate(homes)]
+    spark.createDataFrame([(gen + 1, sorted(done | set(fresh)), homes)], _STATE).coalesce(1).write.mode("append").json(f"{path}/_state")
+    return gen + 1
+
+
+def _kept_lines(lines: DataFrame) -> DataFrame:
+    """(line_no, raw) that are good or of newer versions, with their identity."""
+    got = _parsed(lines)
+    return got.where(F.col("good") | (F.col("v") > VERSION)).select("line_no", "raw", F.when(F.col("good"), F.col("identity")).alias("identity"))
+
+
+def read_folder(spark: SparkSession, path: str, identities: list[str] | None = None) -> DataFrame:
+    """A folder's lines (line_no, raw) for read_cache(): its compacted buckets, and the parts that aren't merged yet. Where some
+    identities are asked for, only their buckets are read. A folder without anything gives no lines."""
+    state = _state(spark, path)
+    done = set(state["merged"]) if state else set()
+    wanted = None
+    if identities is not None and state:
+        asked = spark.createDataFrame([(x,) for x in identities], "i string")
+        wanted = [r[0] for r in asked.select(_bucket(F.col("i"), F.lit(""), len(state["homes"]))).distinct().collect()]
+    got = _folder_lines(spark, path, state, [p for p in _parts(spark, path) if p not in done], wanted)
+    if got is None:
+        at = "cast(null as struct<recent:int,written:timestamp,part:string,block:bigint,row:bigint>) as line_no"
+        return spark.range(0).select(F.expr(at), F.lit("").alias("raw"))
+    return got
+
+
 def cached_answers(clips: DataFrame, cache: DataFrame) -> DataFrame:
     """clips (identity, settings, ...) with `cached` and the cached clip: same identity and the same settings. `cache` holds one
     record an identity already, so other settings there hide older ones of the same."""

@@ -73,6 +73,38 @@ def test_stream_appends(spark, tmp_path):
     assert cache.read_lines(spark, out).count() == 2
 
 
+def test_folders_are_compacted_by_what_is_new(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    assert cache.read_folder(spark, path).count() == 0 and cache.compact_folder(spark, path) == 0
+    whole = lambda lines: sorted((r.identity, r.settings, r.file) for r in cache.read_cache(lines).collect())
+
+    def part(name, *rows):
+        body = [but(size=n, settings=s) for n, s in rows] + ["not json", but(v=7, size=99)]
+        spark.createDataFrame([(x,) for x in body], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part={name}")
+
+    part("a", (1, "x"), (2, "x"), (3, "x"))
+    part("b", (2, "y"))
+    want = whole(cache.read_lines(spark, path))
+    assert whole(cache.read_folder(spark, path)) == want and len(want) == 3
+    assert cache.compact_folder(spark, path, 8) == 1 == cache.compact_folder(spark, path, 8)
+    assert whole(cache.read_folder(spark, path)) == want
+    first = {p.name for p in (tmp_path / "cache/_base/gen=1").iterdir() if p.name.startswith("bucket")}
+    part("a", (1, "garbage that nobody reads"))  # merged parts aren't looked at again
+    part("c", (3, "z"), (4, "z"))
+    got = whole(cache.read_folder(spark, path))
+    assert {(s) for _, s, _ in got} == {"x", "y", "z"} and len(got) == 4
+    assert cache.compact_folder(spark, path) == 2 and whole(cache.read_folder(spark, path)) == got
+    second = {p.name for p in (tmp_path / "cache/_base/gen=2").iterdir() if p.name.startswith("bucket")}
+    assert second and len(second) <= 3 and len(first | second) > len(second)
+    one = next(i for i, s, _ in got if s == "y")
+    assert (one, "y") in {(i, s) for i, s, _ in whole(cache.read_folder(spark, path, [one]))}
+    assert sum('"v": 7' in r.raw or '"v":7' in r.raw for r in cache.read_folder(spark, path).collect()) == 3
+    # a generation without its state was never made
+    (tmp_path / "cache/_base/gen=3/bucket=0").mkdir(parents=True)
+    (tmp_path / "cache/_base/gen=3/bucket=0/part-x.txt").write_text(but(size=1, settings="lost") + "\n")
+    assert whole(cache.read_folder(spark, path)) == got
+
+
 def test_settings_key(spark):
     row = spark.createDataFrame([("m", "en", "none", " be brief ")], "m string, l string, s string, n string")
     key = lambda notes: row.select(cache.settings_key(F.col("m"), F.col("l"), "key_frames", True, cache.vocabulary_key(None), F.col("s"), notes)).first()[0]

@@ -234,7 +234,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass -> (doc_id, n_tokens, ids_sha256, decoded_sha256), without moving the ids."""
+    """Encode and decode in one pass -> (doc_id, n_tokens, ids_sha256, decoded_sha256), without moving the ids.
+
+    Null and empty texts have no ids and the digests of nothing. Rows are independent: null and repeated ids and repeated rows
+    are kept, other columns are dropped, texts of any length are one piece of work each, and no rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)

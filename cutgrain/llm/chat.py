@@ -97,7 +97,8 @@ def parse(formatted: Column, template: Template = CHATML) -> Column:
 
 
 def digest(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """What can be read back from format_chats()'s output, as digests."""
+    """What can be read back from format_chats()'s output, as digests: one row a conversation, of any length, the null id's
+    among them. Null texts and roles were formatted as empty ones; no rows give none; other columns are dropped."""
     whole = formatted.select("conv_id", "valid", text_of(F.col("segments")).alias("whole"), loss_text(F.col("segments")).alias("loss"))
     read = whole.select("*", parse(F.col("whole"), template).alias("turns"))
     return read.select(

@@ -332,7 +332,8 @@ def score(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET, id_co
     Documents whose crc32(doc_id as text) mod 7 is not 2 train both models; all are scored. score is log10 of the
     context-tree model's probability of the text's UTF-8 bytes; base_score that of an add-one unigram model of lower-cased
     words and an end. A null or empty text has no bytes (score 0) and one token, the end. Null ids count as training
-    documents. Rows that repeat an id are scored one by one. An empty table gives no rows; other columns are dropped.
+    documents. Rows that repeat an id are scored one by one. A text of any length is scored whole: it is
+    packed into one bucket, which is as large as it is. An empty table gives no rows; other columns are dropped.
     """
     if not 1 <= depth <= 6:
         raise ValueError("a gram has to fit 63 bits: depth is 1 to 6")

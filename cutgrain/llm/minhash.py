@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Two rows are linked where 100 x shared shingles >= percent x all their shingles; component_id is the smallest id
     reachable by links and kept says that it is the row's own. Texts without words, and null texts, have no shingles and
-    link with nothing. A null id links with nothing, has a null component and is kept. Rows that repeat an id are one
+    link with nothing. A text's shingles are hashed whole in its task, at some twenty times its size. A null id links with nothing, has a null component and is kept. Rows that repeat an id are one
     vertex with several sets, which links what each of them is linked with. An empty table gives no rows; other columns are
     dropped.
     """

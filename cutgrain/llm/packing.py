@@ -133,7 +133,8 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = 2048,
 
     A null or empty text is the end id alone. Documents go to packers by a hash of id and text checksum, and each
     packer places them in that order, so a lost executor's packer gives the same windows again. Repeated rows are
-    packed once each; null ids are kept; other columns are dropped. An empty table gives no pieces.
+    packed once each; null ids are kept; other columns are dropped. A text of any length is cut where it is read, and its
+    pieces are placed one by one. An empty table gives no pieces.
     """
     packers = max(1, -(-docs.count() // per_packer))
 

@@ -89,7 +89,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id
 
     Queries are rows for which is_query holds; a query's candidates are all other rows of the same length. Vectors that are
     null, zero or hold null or non-finite components, and null ids, take no part. Rows that repeat an id are queries and
-    candidates each. With fewer candidates than k all are returned; none, or an empty table, give no rows.
+    candidates each. With fewer candidates than k all are returned; none, or an empty table, give no rows. Other columns are
+    dropped.
     """
     good = bounded(rows).where(F.col(id_col).isNotNull() & is_usable(vector))
     kind = rows.schema[vector].dataType.simpleString()

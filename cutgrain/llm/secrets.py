@@ -192,7 +192,8 @@ def scan(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str =
 
     rank counts the kinds of PATTERNS in order; the models' kind comes after them. The models add only tokens that no base
     span touches. A null text counts as empty and has no spans; rows are independent, so null and
-    repeated ids are kept; other columns are dropped; an empty table gives no rows.
+    repeated ids are kept; other columns are dropped; an empty table gives no rows. A text of any length is scanned whole in
+    its row, in time linear in its length but for added spans, each of which is held against all of its base spans.
     """
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = t.select("doc_id", "text", *[_kind(F.col("text"), k).alias(k) for k in PATTERNS], _random(F.col("text"), model).alias("found"))

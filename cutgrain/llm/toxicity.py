@@ -190,7 +190,8 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """-> (doc_id, severity, p_toxic, grade, toxic): one row a row of docs.
 
     severity is the expected grade, grade the median one, toxic the decision to reject. Null and empty texts have no
-    features and get the base rate; rows are independent, null and repeated ids are kept, other columns are dropped.
+    features and get the base rate; rows are independent, null and repeated ids are kept, other columns are dropped. A text is
+    scored whole in its task, whatever its length; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -622,6 +622,46 @@ def test_hashing_in_chunks(monkeypatch):
     assert len(shingles(whole, 5)) == 3997 and len(shingles(whole[:3], 5)) == 1 and len(shingles(whole[:0], 5)) == 0
 
 
+def test_toxicity_features_and_scores_by_hand(spark, monkeypatch):
+    """What the fit is given, and what a model says, text by text in plain Python."""
+    r = random.Random(21)
+    rude, plain = ["grubble", "snorkwit", "zounds"], ["kettle", "harbour", "ledger", "meadow", "Ägypten"]
+    rows = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(r.choice(plain) for _ in range(r.randint(3, 12))) + (" " + " ".join(r.choice(rude) for _ in range(r.randint(1, 4))) if toxic else ""), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "no label")], "doc_id long, text string").withColumn("toxic", F.lit("x"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 0), (None, 1)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "_regress", lambda got, names_: seen.update(rows=got, names=names_) or toxicity.Ordinal({}, (1.0, 2.0)))
+    toxicity.fit(docs, labels)
+    words_ = {i: collections.Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t, _ in rows}
+    parts = lambda w: {"=" + w} | {f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) >= n}
+    has = {i: {f for w in c for f in parts(w)} for i, c in words_.items()}
+    pos, neg = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    strong = {}
+    for f in set().union(*has.values()):
+        p, q = (sum(f in has[i] for i, _, y in rows if y == want) for want in (1, 0))
+        part = lambda n, share, both=p + q: n * math.log(n / both / share) if n else 0.0
+        g = 2 * (part(p, pos / (pos + neg)) + part(q, neg / (pos + neg)))
+        if g >= toxicity.EVIDENCE:
+            strong[f] = p / pos > 20 * (q + 0.5) / neg
+    assert set(seen["names"]) == set(strong) and any(strong.values())
+    want = []
+    for i, _, y in rows:
+        x = collections.Counter(f for w, n in words_[i].items() for f in parts(w) & set(strong) for _ in range(n))
+        hits = sum(n for w, n in words_[i].items() if any(strong.get(f) for f in parts(w)))
+        want.append((bool(y), hits, tuple(sorted((f, round(math.log1p(n), 5)) for f, n in x.items()))))
+    given = [(bool(g.toxic), g.hits, tuple(sorted((seen["names"][k], round(float(v), 5)) for k, v in zip(g.ids, g.x, strict=True)))) for g in seen["rows"].itertuples()]
+    assert sorted(given) == sorted(want)
+    model = toxicity.Ordinal({"=grubble": 1.5, "4:snor": 0.75, "=kettle": -0.5}, (1.0, 2.5))
+    for g in toxicity.score(docs, model).collect():
+        c = words_.get(g.doc_id, {})
+        x = sum(w * math.log1p(sum(n for word, n in c.items() if f in parts(word))) for f, w in model.weights.items())
+        over = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+        assert (round(g.severity, 9), round(g.p_toxic, 9), g.grade, g.toxic) == (round(sum(over), 9), round(over[0], 9), sum(o >= 0.5 for o in over), over[0] >= toxicity.REJECT)
+
+
 # the pipeline
 
 CLASHES = "removed late h1 t copy row id rank n score component kept spans start end shingles bands __id __t __u __copy __late __doc __gone __gt __gc __kid __n __row __first __spans `odd name`".split(" ")

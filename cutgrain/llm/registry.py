@@ -193,5 +193,41 @@ FROM s LEFT JOIN per ON s.doc_id = per.doc_id LEFT JOIN kept ON s.doc_id = kept.
 """
 
 
+#: Components by the least id that has come round so far, of links (a, b) between ids.
+_COMPONENTS_SQL = """
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, component) USING KEY (id) AS (
+  SELECT DISTINCT a, a FROM both_ways
+  UNION
+  SELECT l.b, min(r.component) FROM reached r JOIN both_ways l ON l.a = r.id JOIN recurring.reached AS now ON now.id = l.b WHERE r.component < now.component GROUP BY l.b
+)"""
+
+VECTORS_SQL = f"""
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), {_COMPONENTS_SQL}, counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, e.vec_id)::BIGINT AS component_id, coalesce(component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN reached ON reached.id = e.vec_id
+"""
+
+SHINGLES_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), each AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), {_COMPONENTS_SQL}
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, s.doc_id)::BIGINT AS component_id, coalesce(component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN reached ON reached.id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op4_chat": CHAT_SQL, "op11_lloyd": _lloyd_sql(), "op13_periodic": PERIODIC_SQL}
+    return {"op4_chat": CHAT_SQL, "op8_covertree": VECTORS_SQL, "op10_minhash": SHINGLES_SQL, "op11_lloyd": _lloyd_sql(), "op13_periodic": PERIODIC_SQL}

@@ -190,7 +190,7 @@ def test_collapsed_texts(spark):
     assert none.n_runs == 0 and none.start is None and none.exponent_milli is None and none.runs_sha256 == none.collapsed_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op11_lloyd", "op13_periodic"])
+@pytest.mark.parametrize("name", ["op4_chat", "op8_covertree", "op10_minhash", "op11_lloyd", "op13_periodic"])
 def test_queries_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "conversations"):

@@ -669,13 +669,26 @@ def _(spark, d):
     return subtitles.parse_srt(files).select("clip_id", "start_ms", "end_ms", "text")
 
 
-@query("ass_parse")
+@query(
+    "ass_parse",
+    """WITH t AS (SELECT conv_id AS clip_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c, turn // 20 * 60000 + turn * 3 % 60 * 1000 AS t0 FROM conversations),
+    x AS (SELECT clip_id, turn, t0 + 500 AS start_ms, t0 + 2750 AS end_ms, CASE turn % 5 WHEN 0 THEN trim(c || chr(10) || 'end') WHEN 1 THEN c WHEN 4 THEN trim(c || ' {open') END AS text FROM t WHERE turn % 5 IN (0, 1, 4))
+    SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_ms, turn) - 1 AS pos, start_ms, end_ms, text FROM x WHERE text <> ''""",
+)
 def _(spark, d):
-    """ASS files written from conversations, parsed; cues are held against brute force in tests."""
-    t = table(spark, d, "conversations").withColumn("clean", text.collapse(F.col("text")))
-    line = F.format_string("Dialogue: 0,0:%02d:%02d.5,0:%02d:%02d.75,Default,,{\\i1}%s\\Nend", F.floor(F.col("turn") / 20).cast("bigint"), F.col("turn") * 3 % 60, F.floor(F.col("turn") / 20).cast("bigint"), F.col("turn") * 3 % 60 + 2, F.col("clean"))
-    files = t.groupBy(F.col("conv_id").alias("clip_id")).agg(F.concat(F.lit("[Script Info]\n[Events]\nFormat: Layer, Start, End, Style, Name, Text\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("b")))), lambda s: s["b"]), "\n")).alias("text"))
-    return subtitles.parse_ass(files)
+    """ASS files written from conversations, then parsed: overrides, a drawing, comments, broken times, an unclosed brace, lines
+    of another section, and a second format whose trailing names are empty."""
+    t = table(spark, d, "conversations").withColumn("c", text.collapse(F.col("text")))
+    n = F.col("turn")
+    stamp = lambda more, part: F.format_string(f"0:%02d:%02d.{part}", F.floor(n / 20).cast("bigint"), n * 3 % 60 + more)
+    said = F.when(n % 5 == 0, F.concat(F.lit("{\\i1}"), "c", F.lit("\\Nend"))).when(n % 5 == 1, F.concat(F.lit("{\\p1}m 0 0 l 9 9{\\an8\\p0}"), "c")).when(n % 5 == 4, F.concat("c", F.lit(" {open"))).otherwise(F.col("c"))
+    start = F.when(n % 5 == 3, F.lit("0:0x:00.5")).otherwise(stamp(0, "5"))
+    head = F.when(n % 5 == 2, F.lit("Comment: ")).when(n % 5 == 4, F.lit("dialogue:")).otherwise(F.lit("Dialogue: "))
+    line = F.concat(head, F.when(n < 4, F.lit("0,")).otherwise(""), start, F.lit(","), stamp(2, "75"), F.when(n < 4, F.lit(",Default,,")).otherwise(","), said)
+    lines = lambda early: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("turn", line.alias("b"))), lambda s: (s["turn"] < 4) == early)), lambda s: s["b"]), "\n")
+    first, other, second = "[Script Info]\n[Events]\nFormat: Layer, Start, End, Style, Name, Text\n", "\n\n[Fonts]\nDialogue: 0,0:00:00.0,0:00:09.0,x,,no event\n", "[EVENTS]\nformat: Start, End, Text, ,\n"
+    files = t.groupBy(F.col("conv_id").alias("clip_id")).agg(F.concat(F.lit(first), lines(F.lit(True)), F.lit(other), F.lit(second), lines(F.lit(False))).alias("text"))
+    return subtitles.parse_ass(files).select("clip_id", F.col("pos").cast("bigint").alias("pos"), "start_ms", "end_ms", "text")
 
 
 @query(
@@ -739,9 +752,15 @@ def _(spark, d):
 # graph and whole runs
 
 
-@query("linked_orders")
+@query(
+    "linked_orders",
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem), b AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+    cc(id, component) USING KEY (id) AS (SELECT DISTINCT src, src FROM b UNION
+      SELECT b.dst, min(cc.component) FROM cc JOIN b ON b.src = cc.id JOIN recurring.cc AS now ON now.id = b.dst WHERE cc.component < now.component GROUP BY b.dst)
+    SELECT id::BIGINT AS id, component::BIGINT AS component FROM cc""",
+)
 def _(spark, d):
-    """Orders and suppliers that lineitem links, all of it; recursive SQL can't reach that, so brute force holds it in tests."""
+    """Orders and suppliers that lineitem links, all of it."""
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000).alias("dst"))
     return connected_components(e)
 

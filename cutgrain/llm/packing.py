@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cutgrain.llm.bpe import Merger
 from cutgrain.llm.rows import sliced
-from cutgrain.llm.words import Words
+from cutgrain.llm.words import CHUNK, MEMORY, Words
 from cutgrain.session import bounded
 
 #: Documents that one packer places, about.
@@ -72,7 +72,7 @@ class _Ids:
     Its file's merges go through the rank queue of operator 6; texts that hold strings of special tokens go to the library.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, chunk: int = CHUNK, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -88,7 +88,7 @@ class _Ids:
         shown = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         letters = np.array([vocab[chr(shown.get(b, b))] for b in range(256)], np.int64)
         merge = Merger(letters, {vocab[a] << 24 | vocab[b]: r for (a, b), r in zip(merges, ranks, strict=True)}, {})
-        self.words = Words(pattern, lambda pretokens: merge([p.encode("utf-8", "replace") for p in pretokens]))
+        self.words = Words(pattern, lambda pretokens: merge([p.encode("utf-8", "replace") for p in pretokens]), chunk, memory)
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; null texts count as empty."""
@@ -97,23 +97,23 @@ class _Ids:
             yield np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.int32) if i in odd else ids
 
 
-_made: dict[tuple[str, str], _Ids] = {}
+_made: dict[tuple, _Ids] = {}
 
 
-def _ids(path: str, pattern: str) -> _Ids:
-    if (path, pattern) not in _made:
-        _made[path, pattern] = _Ids(path, pattern)
-    return _made[path, pattern]
+def _ids(*kind) -> _Ids:
+    if kind not in _made:
+        _made[kind] = _Ids(*kind)
+    return _made[kind]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, memory: int = MEMORY) -> DataFrame:
     """-> PIECES: whole documents cut at multiples of the window, each piece with its ids' checksum.
 
     A null or empty text is the end id alone; null and repeated ids are passed through; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(tokenizer_path, pattern)
+        ids = _ids(tokenizer_path, pattern, chunk, memory)
 
         def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
@@ -128,13 +128,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, window: int, end_
     return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = 2048, end_id: int = 1, per_packer: int = PER_PACKER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = 2048, end_id: int = 1, per_packer: int = PER_PACKER, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, memory: int = MEMORY) -> DataFrame:
     """-> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id in exactly one piece.
 
     A null or empty text is the end id alone. Documents go to packers by a hash of id and text checksum, and each
     packer places them in that order, so a lost executor's packer gives the same windows again. Repeated rows are
     packed once each; null ids are kept; other columns are dropped. A text of any length is cut where it is read, and its
-    pieces are placed one by one. An empty table gives no pieces.
+    pieces are placed one by one. A worker looks at `chunk` characters together and keeps the ids of `memory` words at most, for
+    some 50 and 100 bytes each. An empty table gives no pieces.
     """
     packers = max(1, -(-docs.count() // per_packer))
 
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, window: int = 2048,
                 off.append(o)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(1, 6)] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    cut = pieces(docs, tokenizer_path, pattern, window, end_id, id_col, text_col)
+    cut = pieces(docs, tokenizer_path, pattern, window, end_id, id_col, text_col, chunk, memory)
     dealt = cut.select(F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(packers)).alias("packer"), "*")
     spread = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.xxhash64("doc_id"), "doc_id", "start", "ids_crc32")
     return spread.mapInArrow(place, PIECES + ", sequence_id long, offset long")

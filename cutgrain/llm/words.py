@@ -83,9 +83,10 @@ class Words:
     words share one with a probability of 3e-8); what was made of them is kept, and forgotten when it is too much.
     """
 
-    def __init__(self, pattern: str, values: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, pattern: str, values: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chunk: int = CHUNK, memory: int = MEMORY) -> None:
         self.pattern = regex.compile(pattern)
         self.values = values
+        self.chunk, self.memory = chunk, memory
         self._forget()
 
     def _forget(self) -> None:
@@ -123,7 +124,7 @@ class Words:
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null texts count as empty."""
-        for some in chunks(texts):
+        for some in chunks(texts, self.chunk):
             plain = [i for i, t in enumerate(some) if t and not unsafe(t)]
             out = dict(zip(plain, self._plain([some[i].encode("utf-8", "replace") for i in plain]), strict=True))
             rest = [i for i, t in enumerate(some) if i not in out]
@@ -155,7 +156,7 @@ class Words:
         kinds, one, which = np.unique(keys, return_index=True, return_inverse=True)
         lacks = ~isin_sorted(kinds, self.keys)
         begin, end = at[:-1][one[lacks]].tolist(), at[1:][one[lacks]].tolist()
-        if len(self.keys) + len(begin) > MEMORY or len(self.ids) > 16 * MEMORY:  # what this chunk needs and is known goes along
+        if len(self.keys) + len(begin) > self.memory or len(self.ids) > 16 * self.memory:  # what this chunk needs and is known goes along
             self._forget()
             begin, end, lacks = at[:-1][one].tolist(), at[1:][one].tolist(), slice(None)
         if begin:

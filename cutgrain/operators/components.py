@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutgrain.session import cut
+from cutgrain.session import cut, narrow
 
 
 #: Edges that one task joins, 16 bytes each.
@@ -65,19 +65,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Only vertices that have an edge to another vertex are returned. Null ends and self loops are ignored;
     repeated edges count once; an empty edge list gives an empty result.
     """
+    with narrow(edges.sparkSession):
+        now = _settled(edges, src, dst, max_steps, few)
+    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def _settled(edges: DataFrame, src: str, dst: str, max_steps: int, few: int) -> DataFrame:
     now = cut(edges.where(f"{src} is not null and {dst} is not null and {src} != {dst}").select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     mark = None
     for _ in range(max_steps):
         if now.limit(few + 1).count() <= few:
-            now = cut(_joined(now))
-            break
+            return cut(_joined(now))
         now = cut(_small_star(_large_star(now)))
         # order-free fingerprint of the edge set: equal before and after means every vertex points at its root
         got = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if tuple(got) == mark or got[0] == 0:
-            break
+            return now
         mark = tuple(got)
-    else:
-        raise RuntimeError("connected components did not settle")
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    raise RuntimeError("connected components did not settle")

@@ -49,6 +49,23 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIDY, had)
 
 
+@contextmanager
+def narrow(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Actions within join small shuffle partitions up to so many bytes only, where rows of a few numbers shrink when shuffled
+    and grow many times in hash tables; a smaller size that was set before stays."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    had = spark.conf.get(key, None)
+    if had is None or had == "67108864b":  # the default
+        spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, had)
+
+
 def bounded(df: DataFrame, size: str = "8m") -> DataFrame:
     """df, in whose session batches for Python workers get at most so many bytes, unless that was set before."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
